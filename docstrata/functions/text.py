@@ -1,0 +1,25 @@
+"""String functions as Columns; white space is Unicode white space throughout."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def col(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def squeeze(x: Column | str) -> Column:
+    """Runs of white space become one space, the ends are trimmed."""
+    return F.trim(F.regexp_replace(col(x), r"(?U)\s+", " "))
+
+
+def _is_counter(w: Column) -> Column:
+    num, den = F.split_part(w, F.lit("/"), F.lit(1)).try_cast("bigint"), F.split_part(w, F.lit("/"), F.lit(2)).try_cast("bigint")
+    return w.rlike("^[0-9]+$") | (w.rlike("^[0-9]+/[0-9]+$") & (num >= 1) & (den >= num))
+
+
+def furniture_key(x: Column | str) -> Column:
+    """Counters in the squeezed line read ``#``."""
+    return F.array_join(F.transform(F.split(col(x), " "), lambda w: F.when(F.coalesce(_is_counter(w), F.lit(False)), "#").otherwise(w)), " ")

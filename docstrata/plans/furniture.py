@@ -1,0 +1,46 @@
+"""Repeated header and footer lines ("furniture") of a source's documents.
+
+A line of 1 to 100 bytes after trimming becomes a key in which every token that
+is a number, or a fraction a/b with 1 <= a <= b, reads ``#``. A key that occurs
+at least max(2, documents of the source div 3) times is furniture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docstrata.functions.text import furniture_key, squeeze
+from docstrata.session import table
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """One row per line: doc_id, source, line_no from 0, line."""
+    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    rows = lines(docs).withColumn("trimmed", squeeze("line"))
+    size = F.octet_length("trimmed")
+    return rows.withColumn("key", F.when((size >= 1) & (size <= 100), furniture_key("trimmed")))
+
+
+def furniture_keys(docs: DataFrame, divisor: int = 3) -> DataFrame:
+    """source, key, n for the keys that repeat often enough."""
+    n_docs = docs.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"))
+    counts = _keyed(docs).where("key is not null").groupBy("source", "key").agg(F.count("*").alias("n"))
+    return counts.where("n >= 2").join(n_docs, "source").where(F.expr(f"n >= greatest(2, n_docs div {divisor})")).select("source", "key", "n")
+
+
+def furniture_removed(docs: DataFrame, divisor: int = 3) -> DataFrame:
+    """The lines that are no furniture."""
+    found = furniture_keys(docs, divisor).select("source", "key")
+    return _keyed(docs).join(found, ["source", "key"], "left_anti").select("doc_id", "line_no", "line")
+
+
+def q_furniture_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture_keys(table(spark, sf_dir, "documents"))
+
+
+def q_furniture_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture_removed(table(spark, sf_dir, "documents"))
