@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam
+from docstrata.llm import decontam, pii
 
 QUERIES = {
     "op7_decontamination": decontam.query,
+    "op10_pii": pii.query,
 }
 
 ORACLES = {
     "op7_decontamination": decontam.SQL,
+    "op10_pii": pii.SQL,
 }
