@@ -92,7 +92,8 @@ def _valid(kind: str, m: Column) -> Column:
 def _spans(kind: Kind, text: Column) -> Column:
     """array<struct<kind,start,end,score>> of a kind, in text order."""
     found = F.regexp_extract_all(text, F.lit("(" + kind.pattern + ")"), F.lit(1))
-    gaps = F.regexp_extract_all(text, F.lit("(?s)(.*?)(?:" + kind.pattern + ")"), F.lit(1))
+    # "\G" ties each try to the end of the last match; without it the tail after the last one would be scanned from every position.
+    gaps = F.regexp_extract_all(text, F.lit("(?s)\\G(.*?)(?:" + kind.pattern + ")"), F.lit(1))
     both = F.arrays_zip(found.alias("m"), gaps.alias("g"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>").alias("spans"))
 
