@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, pii
+from docstrata.llm import decontam, pii, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.query,
     "op7_decontamination": decontam.query,
     "op10_pii": pii.query,
 }
