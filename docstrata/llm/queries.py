@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, pii, simhash
+from docstrata.llm import decontam, license, pii, simhash, toxicity
 
 QUERIES = {
+    "op4_license_scan": license.query,
+    "op8_toxicity": toxicity.query,
     "op3_simhash": simhash.query,
     "op7_decontamination": decontam.query,
     "op10_pii": pii.query,
