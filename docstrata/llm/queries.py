@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, langid, license, pii, simhash, toxicity
+from docstrata.llm import decontam, htmlmain, langid, license, pii, simhash, toxicity
 
 QUERIES = {
+    "op9_html_main_text": htmlmain.query,
     "op6_language_id": langid.query,
     "op4_license_scan": license.query,
     "op8_toxicity": toxicity.query,
