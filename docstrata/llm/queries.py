@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, htmlmain, langid, license, pii, simhash, toxicity
+from docstrata.llm import decontam, htmlmain, langid, license, mixing, pii, simhash, toxicity
 
 QUERIES = {
+    "op5_source_mixing": mixing.query,
     "op9_html_main_text": htmlmain.query,
     "op6_language_id": langid.query,
     "op4_license_scan": license.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_source_mixing": mixing.SQL,
     "op7_decontamination": decontam.SQL,
     "op10_pii": pii.SQL,
 }
