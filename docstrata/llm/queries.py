@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, htmlmain, langid, license, mixing, pii, simhash, toxicity
+from docstrata.llm import decontam, htmlmain, langid, license, mixing, pii, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_warc_derivatives": warc.query,
     "op5_source_mixing": mixing.query,
     "op9_html_main_text": htmlmain.query,
     "op6_language_id": langid.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_derivatives": warc.SQL,
     "op5_source_mixing": mixing.SQL,
     "op7_decontamination": decontam.SQL,
     "op10_pii": pii.SQL,
