@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, htmlmain, langid, license, mixing, pii, simhash, toxicity, warc
+from docstrata.llm import decontam, htmlmain, langid, license, mixing, ordermin, pii, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_order_minhash": ordermin.query,
     "op2_warc_derivatives": warc.query,
     "op5_source_mixing": mixing.query,
     "op9_html_main_text": htmlmain.query,
