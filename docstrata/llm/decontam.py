@@ -182,11 +182,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     return frame
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a window of an item; all columns stay."""
-    wanted = docs.select("*", F.col("doc_id").alias("_key"))
-    bad = matches(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return wanted.join(bad, "_key", "left_anti").drop("_key")
+def _without_hits(index: Windows, n_columns: int):
+    """A mapInArrow function that keeps the rows of (columns..., text) in which no window of the block occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = index.vocab.get
+        for batch, texts in chunks(batches):
+            parts, offsets = [], [0]
+            for text in texts:
+                ids = [get(w, -1) for w in words(text)]
+                ids.append(-2)
+                parts.append(np.array(ids, np.int32))
+                offsets.append(offsets[-1] + len(ids))
+            start, *_ = shard_matches(np.concatenate(parts), index, -1)
+            keep = np.ones(len(texts), bool)
+            keep[np.searchsorted(offsets, start, "right") - 1] = False
+            yield batch.select(list(range(n_columns))).filter(pa.array(keep))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without those that hold a window of an item; all columns stay, nothing is shuffled."""
+    frame, schema, n = docs, docs.schema, len(docs.columns)
+    for block in _blocks(benchmark):
+        frame = frame.select("*", F.col("text").cast("string").alias("_searched")).mapInArrow(_without_hits(Windows(block, window), n), schema)
+    return frame
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
