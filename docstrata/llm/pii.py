@@ -78,7 +78,7 @@ def mod97(account: Column) -> Column:
 
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(m, "[.]"), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(m, "[.]"), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(_digits(m)).between(16, 19) & luhn(_digits(m))
     if kind == "phone":
@@ -175,7 +175,7 @@ SQL = (
     + ",\n".join(
         (
             _sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-            _sql_kind("ip", r"[0-9]+(?:\.[0-9]+){3}", "list_bool_and(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) <= 255))"),
+            _sql_kind("ip", r"[0-9]+(?:\.[0-9]+){3}", "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || ltrim(p, '0')[1:3] AS INT) <= 255))"),
             _sql_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
             _sql_kind("phone", KINDS[3].pattern, f"length({_DIGITS}) BETWEEN 8 AND 15"),
             _sql_kind("iban", KINDS[4].pattern, f"length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97}"),
