@@ -89,6 +89,8 @@ class Model:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.trees:
+            return np.full(len(x), self.share[0])
         raw = 1 / (1 + np.exp(-self.margin(x)))
         # A thousandth of the uncalibrated score keeps the order within a step.
         return np.clip(0.999 * np.interp(raw, self.raw, self.share) + 0.001 * raw, 0, 1)
