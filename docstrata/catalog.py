@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.plans import furniture
+from docstrata.plans import catalogue
 
-QUERIES = {
-    "furniture_keys": furniture.q_furniture_keys,
-    "furniture_removed": furniture.q_furniture_removed,
-}
-
-ORACLES: dict[str, str] = {}
+QUERIES = dict(catalogue.QUERIES)
+ORACLES = dict(catalogue.ORACLES)
