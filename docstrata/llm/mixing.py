@@ -39,6 +39,8 @@ DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
 #: Hash slices of a leaf's epoch, by the first hex digits of the hash.
 SLICE_DIGITS = 3
+#: Leaves of the tree up to which the plan (a row a leaf) is broadcast.
+BROADCAST_LEAVES = 100_000
 
 
 def _weight(column: str, weights: dict[str, int]) -> Column:
@@ -91,8 +93,14 @@ def select(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, se
     plan = budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), budget, epochs)
     plan = plan.select(*leaf, F.expr("got div tokens").alias("whole"), F.expr("got % tokens").alias("rest"))
     # The seeded order of the epoch that is cut: one hash of seed, epoch and id.
-    placed = rows.join(plan, leaf).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))))
-    placed = placed.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
+    plan = cut(plan)
+    if plan.count() <= BROADCAST_LEAVES:
+        met = rows.join(F.broadcast(plan), leaf)
+    else:
+        met = rows.join(plan, leaf)
+    # Dealt by leaf and slice, so that no leaf stays in one task.
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    placed = met.withColumn("_h", order).withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS)).repartition(*leaf, "_slice")
     sums = placed.groupBy(*leaf, "_slice").agg(F.sum("tokens").alias("_n"))
     before = Window.partitionBy(*leaf).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*leaf, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
