@@ -1,7 +1,6 @@
 r"""Document fingerprints by Order MinHash, in SQL expressions.
 
-A text's tokens are runs of up to TOKEN letters or digits and single signs
-(white space and control characters separate). Its k-mers are KMER tokens in a
+A text's tokens are pieces of up to TOKEN characters between ASCII white space. Its k-mers are KMER tokens in a
 row (fewer: all of them), each numbered by how often it has occurred before. The
 hashes of the numbered k-mers fall into BINS by their top bits (one permutation
 in place of one per bin); in each bin the PICKED smallest are selected, put back
@@ -39,7 +38,7 @@ PICKED = 2
 #: Places for the token position below a packed hash.
 POSITION = 24
 QUANTILES = 128
-TOKENS = rf"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{{1,{TOKEN}}}|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+TOKENS = rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}+"
 
 
 def _once(df: DataFrame, **made: Column) -> DataFrame:
