@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.plans import catalogue
+from docstrata.plans import catalogue, documents
 
-QUERIES = dict(catalogue.QUERIES)
-ORACLES = dict(catalogue.ORACLES)
+QUERIES = catalogue.QUERIES | documents.QUERIES
+ORACLES = catalogue.ORACLES | documents.ORACLES

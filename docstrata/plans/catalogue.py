@@ -30,7 +30,7 @@ def _words(d) -> str:
         rows = f"SELECT doc_id, line_no, i - 1 AS seq, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, string_split(line, ' ') AS ws FROM ({_lines(d)})))"
     width = f.text_width(d, "word")
     return f"""SELECT doc_id, line_no, seq, word AS text, CAST(720 - 14 * line_no AS DOUBLE) AS y, CAST(12 AS DOUBLE) AS font, {width} AS width,
-      72 + coalesce(sum(n) OVER w, 0) * CAST(5.4 AS DOUBLE) + seq * 3 AS x
+      72 + coalesce(sum(n) OVER w, 0) * CAST(5.4 AS DOUBLE) + seq * 4 AS x
       FROM (SELECT *, length(word) AS n FROM ({rows}) WHERE word <> '') WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
