@@ -1,9 +1,9 @@
 r"""Document fingerprints by Order MinHash, in SQL expressions.
 
 A text's tokens are pieces of up to TOKEN characters between ASCII white space. Its k-mers are KMER tokens in a
-row (fewer: all of them), each numbered by how often it has occurred before. The
+row (fewer at the end of the text), each numbered by how often it has occurred before. The
 hashes of the numbered k-mers fall into BINS by their top bits (one permutation
-in place of one per bin); in each bin the PICKED smallest are selected, put back
+in place of one per bin); in each bin the two smallest are selected, put back
 in text order, and their tuple is hashed to 16 bits. A fingerprint has, for each
 bin that is not empty, two hex digits for the bin and four for the tuple. The
 same k-mers in another order make other tuples, which is what follows edit
@@ -34,7 +34,6 @@ from docstrata.session import table
 TOKEN = 8
 KMER = 3
 BINS = 64
-PICKED = 2
 #: Places for the token position below a packed hash.
 POSITION = 24
 QUANTILES = 128
@@ -46,44 +45,52 @@ def _once(df: DataFrame, **made: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
 
 
-def _pack(h: Column, position: Column) -> Column:
-    return F.shiftleft(F.shiftright(h, POSITION), POSITION).bitwiseOR(position.cast("bigint").bitwiseAND(F.lit((1 << POSITION) - 1)))
+LOW = (1 << POSITION) - 1
+
+
+def _packed(h: Column, position: Column) -> Column:
+    """A hash without its low bits, and a position in their place."""
+    return h.bitwiseAND(F.lit(~LOW)).bitwiseOR(position.cast("bigint").bitwiseAND(F.lit(LOW)))
+
+
+def _differs(x: Column, other: Column, bits: int) -> Column:
+    """Whether x differs from another packed hash (null: there is none) above so many bits."""
+    return F.shiftright(x.bitwiseXOR(F.coalesce(other, F.bitwise_not(x))), bits) != 0
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``name``: array<int> of bin * 65536 + tuple hash in order of the bins."""
-    bin_of = lambda x: F.shiftright(x, 64 - (BINS - 1).bit_length())
+    shift = 64 - (BINS - 1).bit_length()
     df = _once(df, _t=F.regexp_extract_all(F.col(text), F.lit(TOKENS), F.lit(0)))
-    n_kmers = F.when(F.size("_t") > 0, F.greatest(F.lit(1), F.size("_t") - (KMER - 1))).otherwise(0)
-    none = F.expr("cast(array() as array<bigint>)")
-    hashed = F.transform(F.sequence(F.lit(0), n_kmers - 1), lambda i: _pack(F.xxhash64(*(F.get(F.col("_t"), i + k) for k in range(KMER))), i))
-    df = _once(df, _s=F.sort_array(F.when(n_kmers > 0, hashed).otherwise(none))).drop("_t")
-    same = lambda a, b: F.shiftright(a, POSITION) == F.shiftright(b, POSITION)
-    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | ~same(F.get(F.col("_s"), i), F.get(F.col("_s"), F.greatest(i - 1, F.lit(0)))))
-    df = _once(df, _b=F.when(F.size("_s") > 0, starts).otherwise(F.expr("cast(array() as array<int>)")))
-
-    def numbered(x: Column, seen: Column) -> Column:
-        return _pack(F.xxhash64(F.shiftright(x, POSITION), seen), x)
-
-    def run(start: Column, j: Column) -> Column:
-        end = F.coalesce(F.get(F.col("_b"), j + 1), F.size("_s"))
-        return F.transform(F.slice(F.col("_s"), start + 1, end - start), lambda x, k: numbered(x, k))
-
-    every = F.when(F.size("_b") == F.size("_s"), F.transform(F.col("_s"), lambda x: numbered(x, F.lit(0)))).otherwise(F.flatten(F.transform(F.col("_b"), run)))
-    df = _once(df, _h=F.sort_array(every)).drop("_s", "_b")
-    picked = F.filter(F.col("_h"), lambda x, i: (i < PICKED) | (bin_of(F.get(F.col("_h"), F.greatest(i - PICKED, F.lit(0)))) != bin_of(x)))
-    df = _once(df, _p=picked).drop("_h")
-
-    def tuple_of(x: Column, i: Column) -> Column:
-        after = F.get(F.col("_p"), i + 1)
-        two = after.isNotNull() & (bin_of(after) == bin_of(x))
-        at = lambda y: y.bitwiseAND(F.lit((1 << POSITION) - 1))
-        bare = lambda y: F.shiftright(y, POSITION)
-        hashed = F.when(~F.coalesce(two, F.lit(False)), F.xxhash64(bare(x))).when(at(x) <= at(after), F.xxhash64(bare(x), bare(after))).otherwise(F.xxhash64(bare(after), bare(x)))
-        first = (i == 0) | (bin_of(F.get(F.col("_p"), F.greatest(i - 1, F.lit(0)))) != bin_of(x))
-        return F.when(first, (bin_of(x).cast("int") + BINS // 2) * 65536 + hashed.bitwiseAND(F.lit(65535)).cast("int"))
-
-    return _once(df, **{name: F.array_compact(F.transform(F.col("_p"), tuple_of))}).drop("_p")
+    at = lambda a, i: F.get(F.col(a), i)
+    kmers = F.transform("_t", lambda t, i: _packed(F.xxhash64(t, *(at("_t", i + k) for k in range(1, KMER))), i))
+    df = _once(df, _s=F.sort_array(kmers)).drop("_t")
+    # Equal k-mers stand side by side in text order: the first ones keep their hash, the others get one with their number.
+    df = _once(df, _f=F.filter("_s", lambda x, i: _differs(x, at("_s", i - 1), POSITION)))
+    later = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: ~_differs(at("_s", i), at("_s", i - 1), POSITION))
+    some = F.size("_f") < F.size("_s")
+    ints = F.expr("cast(array() as array<int>)")
+    df = _once(df, _d=F.when(some, later).otherwise(ints))
+    df = _once(df, _b=F.when(some, F.filter(F.sequence(F.lit(0), F.size("_d") - 1), lambda j: at("_d", j) != F.coalesce(at("_d", j - 1), F.lit(-2)) + 1)).otherwise(ints))
+
+    def run(start: Column, k: Column) -> Column:
+        size = F.coalesce(at("_b", k + 1), F.size("_d")) - start
+        return F.transform(F.slice(F.col("_d"), start + 1, size), lambda i, n: _packed(F.xxhash64(F.shiftright(at("_s", i), POSITION), n), at("_s", i)))
+
+    every = F.when(some, F.sort_array(F.concat("_f", F.flatten(F.transform("_b", run))))).otherwise(F.col("_f"))
+    df = _once(df, _h=every).drop("_s", "_f", "_d", "_b")
+    # Where a bin begins, its smallest hash and the next one, if that is of the bin, are the pick.
+    heads = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: _differs(at("_h", i), at("_h", i - 1), shift))
+    df = _once(df, _p=F.when(F.size("_h") > 0, heads).otherwise(ints))
+
+    def tuple_of(i: Column) -> Column:
+        x, y = at("_h", i), at("_h", i + 1)
+        bare = lambda z: F.shiftright(z, POSITION)
+        place = lambda z: z.bitwiseAND(F.lit(LOW))
+        hashed = F.when(_differs(x, y, shift), F.xxhash64(bare(x))).when(place(x) <= place(y), F.xxhash64(bare(x), bare(y))).otherwise(F.xxhash64(bare(y), bare(x)))
+        return ((F.shiftright(x, shift) + BINS // 2) * 65536 + hashed.bitwiseAND(F.lit(65535))).cast("int")
+
+    return _once(df, **{name: F.transform("_p", tuple_of)}).drop("_h", "_p")
 
 
 def shown(fingerprint: Column) -> Column:

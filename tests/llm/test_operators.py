@@ -256,10 +256,11 @@ def _chain(parts):
 def plain_order_minhash(text):
     t = re.findall(ordermin.TOKENS, text)
     seen, out = {}, []
-    for i in range(max(1, len(t) - 2) if t else 0):
+    for i in range(len(t)):
         k = _chain(w.encode() for w in t[i : i + 3]) >> 24
-        out.append((_chain((struct.pack("<q", k), struct.pack("<i", seen.get(k, 0)))) >> 24, i))
-        seen[k] = seen.get(k, 0) + 1
+        n = seen.get(k, 0)
+        out.append((_chain((struct.pack("<q", k), struct.pack("<i", n - 1))) >> 24 if n else k, i))
+        seen[k] = n + 1
     bins = {}
     for h, i in sorted(out):
         bins.setdefault(h >> 34, []).append((h, i))
