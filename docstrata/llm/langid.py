@@ -10,8 +10,8 @@ products. Normalised text: lower case, every run of characters that are no
 letters is one space.
 
 The model is learned from a bounded sample: the PER_LANG documents with the
-smallest hash of doc_id of each non-null lang, whole texts, as presence bits;
-rows with an empty kernel vector teach nothing. It has a fixed size per language.
+smallest hash of doc_id of each non-null lang, SAMPLE in all, whole texts, as
+presence bits; rows with an empty kernel vector teach nothing.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without any learned language every text is ``und``; ties go to the smaller lang
@@ -33,6 +33,8 @@ from docstrata.llm.text import chunks
 from docstrata.session import table
 
 PER_LANG = 600
+#: Most rows of the sample in all.
+SAMPLE = 50_000
 LANDMARKS = 192
 DIM = 1 << 13
 ORDERS = (1, 2, 3, 4)
@@ -116,10 +118,10 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)))
     first = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
     then = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).withColumn("r", F.row_number().over(then)).where(F.col("r") <= per_lang).select("doc_id").distinct()
-    langs_seen = ids.select("lang").distinct().count()
-    hint = F.broadcast(chosen) if langs_seen * per_lang <= 1_000_000 else chosen
-    rows = known.join(hint, "doc_id", "left_semi").mapInArrow(_presence_rows, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, bits binary")
+    chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).withColumn("r", F.row_number().over(then)).where(F.col("r") <= per_lang)
+    # At most SAMPLE ids whatever the number of languages, every language's first ones first.
+    chosen = chosen.orderBy("r", "h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_presence_rows, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, bits binary").dropDuplicates(["doc_id"])
     got = sorted(((r[1], str(r[0]), bytes(r[2])) for r in rows.collect()))
     got = [g for g in got if any(g[2])]
     if not got:
