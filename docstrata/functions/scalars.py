@@ -128,10 +128,15 @@ def fill_sign(d, x):
 # --- rewriting ---------------------------------------------------------------
 
 
+def squeezed_key(d, x):
+    """Counters of an already squeezed line read ``#``; lines without digits stay as they are."""
+    pair = r"^([0-9]{1,9})/([0-9]{1,9})$"
+    counter = f"({d.like('w', '^[0-9]+$')} OR ({d.like('w', pair)} AND {d.whole(d.get('w', pair, 1))} >= 1 AND {d.whole(d.get('w', pair, 1))} <= {d.whole(d.get('w', pair, 2))}))"
+    return f"CASE WHEN {d.like(x, '[0-9]')} THEN {d.join(d.map(d.split(x, ' '), 'w', f'CASE WHEN {counter} THEN ' + d.text('#') + ' ELSE w END'), ' ')} ELSE {x} END"
+
+
 def furniture_key(d, x):
-    big = r"^([0-9]{1,9})/([0-9]{1,9})$"
-    counter = f"({d.like('w', '^[0-9]+$')} OR coalesce({d.whole(d.get('w', big, 1))} >= 1 AND {d.whole(d.get('w', big, 1))} <= {d.whole(d.get('w', big, 2))}, false))"
-    return d.join(d.map(d.split(squeeze(d, x), " "), "w", f"CASE WHEN {counter} THEN '#' ELSE w END"), " ")
+    return squeezed_key(d, squeeze(d, x))
 
 
 def license_runs(d, x):

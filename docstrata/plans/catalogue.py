@@ -101,7 +101,7 @@ _scalar("p40_generated_variant", _names, NAME, {"generated": lambda d: d.like(f.
 _scalar("m16_table_alignment", _words, "doc_id, line_no, seq", {"is_right": lambda d: f.numeric_cells(d, "text")})
 _scalar("f22_f23_f43_tokens", _words, "doc_id, line_no, seq", {"number": lambda d: f.plain_number(d, "text"), "identifier": lambda d: f.plain_identifier(d, "text"), "fill_sign": lambda d: f.fill_sign(d, "text")})
 _scalar("f21_outer_punctuation", _words, "doc_id, line_no, seq", {"prefix": lambda d: f.outer_prefix(d, "text"), "suffix": lambda d: f.outer_suffix(d, "text")})
-_scalar("f27_furniture_key", _lines, LINE, {"key": lambda d: f.furniture_key(d, "line")})
+_scalar("f27_furniture_key", lambda d: f"SELECT doc_id, line_no, {f.squeeze(d, 'line')} AS sq FROM ({_lines(d)}) b", LINE, {"key": lambda d: f.squeezed_key(d, "sq")})
 _scalar("f28_f29_license_runs", lambda d: f"SELECT doc_id, line_no, concat('`,-`,-`,-`,-`,- ', line) AS line FROM ({_lines(d)})", LINE, {"bare": lambda d: f.license_runs(d, "line")})
 _scalar("f30_f31_joined_words", lambda d: f"SELECT doc_id, line_no, concat(line, ' andcan 3rd abc12 isofover') AS line FROM ({_lines(d)})", LINE, {"split_text": lambda d: f.joined_pairs(d, f.joined_words(d, "line"))})
 _scalar("f06_f09_spacing", lambda d: f"SELECT doc_id, line_no, concat('( ', line, ' ) Last3') AS line FROM ({_lines(d)})", LINE, {"fixed": lambda d: f.period_spacing(d, f.parenthesis_spacing(d, "line"))})
@@ -155,8 +155,9 @@ _scalar("g24_text_score", lambda d: "SELECT doc_id, text FROM @documents", "doc_
 
 
 def _furniture(d) -> str:
-    size = d.octets(f.squeeze(d, "line"))
-    return f"""k AS (SELECT doc_id, source, line_no, line, CASE WHEN {size} BETWEEN 1 AND 100 THEN {f.furniture_key(d, "line")} END AS key FROM ({_lines(d)}) b),
+    size = d.octets("sq")
+    return f"""q AS (SELECT doc_id, source, line_no, line, {f.squeeze(d, "line")} AS sq FROM ({_lines(d)}) b),
+    k AS (SELECT doc_id, source, line_no, line, CASE WHEN {size} BETWEEN 1 AND 100 THEN {f.squeezed_key(d, "sq")} END AS key FROM q),
     n AS (SELECT source, count(DISTINCT doc_id) AS n_docs FROM @documents GROUP BY source),
     c AS (SELECT k.source, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY k.source, key),
     bad AS (SELECT c.source, c.key, c.n FROM c JOIN n ON c.source = n.source WHERE c.n >= greatest(2, {d.div("n_docs", "%d")}))"""
