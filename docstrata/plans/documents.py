@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import scalars
 from docstrata.functions.dialect import DUCK, SPARK
-from docstrata.operators import compare, layout, model
+from docstrata.operators import compare, editor, layout, model, visual
 from docstrata.plans import catalogue
 from docstrata.session import shared_folder, table
 from docstrata.sources import docx, htmldoc, markdown, pdf
@@ -107,7 +107,26 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.col("start").cast("string").alias("start"), "event_type", "n")
 
 
+def editor_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 characters of each line, two ranges toggled, a word put in, as runs in HTML."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.substring("line", 1, 40).alias("line"))
+    chars = editor.insert(editor.styled(F.col("line")), F.lit(4), editor.styled(F.lit("<new>")))
+    chars = editor.toggle(editor.toggle(chars, F.lit(0), F.lit(6), editor.BOLD), F.lit(3), F.lit(8), editor.ITALIC)
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), editor.runs_html(editor.runs(chars)).alias("html"))
+
+
+def visual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived segments of each document as one positioned page."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    words = spark.sql(catalogue._words(SPARK).replace("@documents", "docstrata_documents"))
+    nothing = F.lit(None).cast("string")
+    rows = words.select("doc_id", F.lit(1).alias("page"), (F.col("line_no") * 100_000 + F.col("seq")).alias("seq"), F.lit("text").alias("kind"), "x", "y", "width", F.col("font").alias("height"), "text", nothing.alias("fill"), nothing.alias("stroke"), F.lit(0.0).alias("turn"), nothing.alias("href"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+    return visual.render_pages(rows)
+
+
 QUERIES = {
+    "d01_d10_editor_html": editor_html,
+    "k38_k43_visual_pages": visual_pages,
     "s44_html_blocks": html_blocks,
     "w05_md_blocks": md_blocks,
     "s05_docx_text": docx_text,
@@ -118,7 +137,10 @@ QUERIES = {
 }
 
 _D = DUCK
+_RUN = lambda a, b, open_, close: f"CASE WHEN length(c[{a}:{b}]) > 0 THEN '{open_}' || replace(replace(replace(c[{a}:{b}], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '{close}' ELSE '' END"
 ORACLES = {
+    "d01_d10_editor_html": f"SELECT doc_id, line_no, {_RUN(1, 3, '<strong>', '</strong>')} || {_RUN(4, 6, '<em><strong>', '</strong></em>')} || {_RUN(7, 8, '<em>', '</em>')} || {_RUN(9, 60, '', '')} AS html FROM (SELECT doc_id, line_no, left(x, 4) || '<new>' || substr(x, 5) AS c FROM (SELECT doc_id, line_no, left(line, 40) AS x FROM ({catalogue._lines(_D).replace('@', '')}) b))",
+    "k38_k43_visual_pages": f"WITH s AS ({catalogue._words(_D).replace('@', '')}), e AS (SELECT doc_id, line_no, seq, '<span style=\"position:absolute;left:' || printf('%.2f', x) || 'pt;top:' || printf('%.2f', 792 - y - 12) || 'pt;font-size:12.00pt\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</span>' AS h FROM s WHERE x < 612 AND x + width > 0 AND 792 - y > 0 AND 792 - y - 12 < 792) SELECT doc_id, 1 AS page, '<section class=\"page\" style=\"position:relative;width:612.00pt;height:792.00pt\">' || string_agg(h, '' ORDER BY line_no, seq) || '</section>' AS html FROM e GROUP BY doc_id",
     "s05_docx_text": "SELECT item_id, text FROM benchmark",
     "s11_pdf_text": f"SELECT item_id, {scalars.squeeze(_D, 'text')} AS text FROM benchmark",
     "g06_page_lines": f"WITH s AS ({catalogue._words(_D).replace('@', '')}) SELECT doc_id, round(max(y), 3) AS y, string_agg(text, ' ' ORDER BY seq) AS text, count(*) AS n_cells FROM s GROUP BY doc_id, line_no",
