@@ -111,9 +111,10 @@ def select(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, se
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The chosen documents with all their columns, and ``copies``. Repeated rows of a doc_id share their number of copies."""
-    chosen = select(docs, budget, epochs, seed).where("doc_id is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"))
-    return docs.withColumn("_key", F.col("doc_id")).join(chosen, "_key").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_copies").alias("copies"))
+    """The chosen documents with all their columns, and ``copies`` (in place of a column of that name). Repeated rows of a doc_id share their number of copies."""
+    chosen = select(docs, budget, epochs, seed).where("doc_id is not null").groupBy(F.col("doc_id").alias("__docstrata_key")).agg(F.max("copies").alias("__docstrata_copies"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copies"]
+    return docs.withColumn("__docstrata_key", F.col("doc_id")).join(chosen, "__docstrata_key").select(*kept, F.col("__docstrata_copies").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = F.array_sort(F.transform(F.concat(*(_spans(k, text) for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     names = docs.columns
-    marked = docs.select("*", F.explode(F.array(every)).alias("_spans"))
+    marked = docs.select("*", F.explode(F.array(every)).alias("__docstrata_spans"))
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -136,8 +136,8 @@ def redact(docs: DataFrame) -> DataFrame:
         end = F.greatest(acc["at"], -s["back"])
         return F.struct(F.when(inside, end).otherwise(-s["back"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"))
 
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", init, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))).otherwise(F.col("text"))
-    out = marked.withColumn("text", clean).drop("_spans")
+    clean = F.when(F.size("__docstrata_spans") > 0, F.aggregate("__docstrata_spans", init, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))).otherwise(F.col("text"))
+    out = marked.withColumn("text", clean).drop("__docstrata_spans")
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

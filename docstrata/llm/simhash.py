@@ -207,13 +207,13 @@ def groups(docs: DataFrame, most: int = BITS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, most: int = BITS) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns stay. Of repeated rows one stays; rows without doc_id stay."""
-    found = groups(docs, most).where("doc_id != component_id").select(F.col("doc_id").alias("_key")).distinct()
-    kept = docs.withColumn("_key", F.col("doc_id").cast("bigint")).join(found, "_key", "left_anti")
-    twice = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_key")).count().where("count > 1").select("_key"))
+    found = groups(docs, most).where("doc_id != component_id").select(F.col("doc_id").alias("__docstrata_key")).distinct()
+    kept = docs.withColumn("__docstrata_key", F.col("doc_id").cast("bigint")).join(found, "__docstrata_key", "left_anti")
+    twice = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("__docstrata_key")).count().where("count > 1").select("__docstrata_key"))
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(twice, "_key", "left_anti")
-    return once.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])).select(*docs.columns)
+    once = kept.join(twice, "__docstrata_key", "left_anti")
+    return once.unionByName(kept.join(twice, "__docstrata_key", "left_semi").dropDuplicates(["__docstrata_key"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

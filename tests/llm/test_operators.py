@@ -477,3 +477,13 @@ def test_mixing_prefixes(spark, docs, none):
     mixed = mixing.mix(docs)
     assert mixed.columns == [*docs.columns, "copies"]
     assert mixing.select(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_clashing_columns(spark):
+    odd = "doc_id bigint, text string, lang string, source string, copies int, _key string, _spans string, fp int, spans string, n int, component_id int, tokens int"
+    docs = spark.createDataFrame([(i, "a b c " * 5 + str(i % 3), "en", "s", 9, "k", "s", 1, "p", 2, 3, 4) for i in range(6)], odd)
+    assert mixing.mix(docs).columns[-1] == "copies" and sorted(mixing.mix(docs).columns) == sorted(docs.columns)
+    assert pii.redact(docs).count() == 6 and pii.redact(docs).columns == docs.columns
+    assert simhash.deduplicate(docs).columns == docs.columns and 1 <= simhash.deduplicate(docs).count() <= 3
+    assert toxicity.keep_clean(docs, toxicity.Model()).columns == docs.columns
+    assert decontam.decontaminate(docs, spark.createDataFrame([(1, "x y")], "item_id int, text string")).columns == docs.columns
