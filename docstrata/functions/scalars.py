@@ -404,3 +404,49 @@ def overlap_area(d, a, b):
     x = f"greatest(0.0, least({a[0]} + {a[2]}, {b[0]} + {b[2]}) - greatest({a[0]}, {b[0]}))"
     y = f"greatest(0.0, least({a[1]} + {a[3]}, {b[1]} + {b[3]}) - greatest({a[1]}, {b[1]}))"
     return f"{x} * {y}"
+
+
+# --- repairs of shifted and split text ----------------------------------------------
+
+#: Codes 0x21 to 0x61 and what stands 29 above them.
+SHIFTED = "".join(map(chr, range(0x21, 0x62)))
+UNSHIFTED = "".join(map(chr, range(0x21 + 29, 0x62 + 29)))
+#: Literal repairs in their order.
+SYMBOLS = (("Ł", "•"), ("––", "......"), (">&", "("), (">'", ")"))
+SPLIT_WORDS = (("h a r m o n i c", "harmonic"),)
+
+
+def unshift(d, x):
+    return f"translate({x}, {d.text(SHIFTED)}, {d.text(UNSHIFTED)})"
+
+
+def shift_wins(d, score, other, gain):
+    return f"CASE WHEN {other} >= {score} + {gain} THEN 'shifted' ELSE 'plain' END"
+
+
+def literal(d, x, table):
+    for old, new in table:
+        x = d.replace(x, old, new)
+    return x
+
+
+def shifted_number(d, x):
+    return f"CASE WHEN {d.like(x, '^[M-V]+(?:I[M-V]+)?$')} THEN replace(translate({x}, 'MNOPQRSTUV', '0123456789'), 'I', ',') ELSE {x} END"
+
+
+def fiscal_period(d, x):
+    return d.sub(x, r"\be([0-9])[(](Q[0-9])", r"H\1(\2")
+
+
+def number_markers(d, x):
+    return d.sub(x, "Œ([0-9]+)Œ", r"– \1 –")
+
+
+def connector(d, words):
+    """``C`` between two capitalised words is an ampersand."""
+    return d.sub(words, r"([A-Z][A-Za-z]+) C ([A-Z][A-Za-z]+)", r"\1 & \2")
+
+
+def open_parenthesis(d, words):
+    """``E`` between two lower-case words is an opening parenthesis."""
+    return d.sub(words, r"([a-z]{2,}) E ([a-z]{2,})", r"\1 (\2")

@@ -59,18 +59,19 @@ _RECTS = "SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TABLES = ("documents", "pages", "lineitem", "events", "conversations", "benchmark", "labels", "orders", "customer")
+_TABLE = re.compile(rf"@({'|'.join(TABLES)})\b")
 
 
 def _register(name: str, sql: Callable, checked: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = sql(SPARK)
-        for t in sorted(set(re.findall(r"@(\w+)", text))):
+        for t in sorted(set(_TABLE.findall(text))):
             table(spark, sf_dir, t).createOrReplaceTempView(f"docstrata_{t}")
-        return spark.sql(re.sub(r"@(\w+)", r"docstrata_\1", text).replace("VARCHAR(9)", "STRING").replace("VARCHAR(12)", "STRING"))
+        return spark.sql(_TABLE.sub(r"docstrata_\1", text).replace("VARCHAR(9)", "STRING").replace("VARCHAR(12)", "STRING"))
 
     QUERIES[name] = run
     if checked:
-        ORACLES[name] = re.sub(r"@(\w+)", r"\1", sql(DUCK))
+        ORACLES[name] = _TABLE.sub(r"\1", sql(DUCK))
 
 
 def _scalar(name: str, base: Callable, key: str, columns: dict[str, Callable], where: str = "") -> None:
@@ -151,6 +152,15 @@ _scalar("k33_j31_outline", lambda d: f"SELECT * FROM ({_markdown(d)}) WHERE line
 _COMMON = "('the', 'and', 'of', 'to', 'in', 'is', 'for', 'that', 'with', 'der', 'die', 'und', 'les', 'des', 'que', 'las', 'los')"
 _scalar("g24_text_score", lambda d: "SELECT doc_id, text FROM @documents", "doc_id", {"score": lambda d: f"12 * {d.size(d.keep(f.tokens(d, 'text'), 'w', 'w IN ' + _COMMON))} + 3 * {d.size(d.every('text', '[aeiouAEIOU]'))} - 8 * {d.size(d.every('text', r'[|~^#]'))} - 10 * {d.size(d.every('text', r'[\x00-\x08\x{FFFD}]'))}"})
 
+_scalar("f11_f13_shifted_text", _words, "doc_id, line_no, seq", {"unshifted": lambda d: f.unshift(d, "text"), "choice": lambda d: f.shift_wins(d, d.size(d.every("text", "[aeiou]")), d.size(d.every(f.unshift(d, "text"), "[aeiou]")), "2")})
+_scalar("f16_f36_f37_literal_repairs", lambda d: f"SELECT doc_id, line_no, concat('Ł h a r m o n i c >& ', line, ' >' || chr(39) || ' ––') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.literal(d, f.literal(d, "line", f.SYMBOLS), f.SPLIT_WORDS)})
+_scalar("f19_f26_shifted_numbers", lambda d: f"SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN 'NPIQ' WHEN 1 THEN 'MNV' ELSE line END AS word FROM ({_lines(d)}) b", LINE, {"number": lambda d: f.shifted_number(d, "word")})
+_scalar("f24_f39_fiscal_markers", lambda d: f"SELECT doc_id, line_no, concat('e3(Q3 ', line, ' Œ3Œ') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.number_markers(d, f.fiscal_period(d, "line"))})
+_scalar("w15_w17_connectors", lambda d: f"SELECT doc_id, line_no, concat('Sales C Marketing and profit E loss ', line) AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.open_parenthesis(d, f.connector(d, "line"))})
+_scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambda d: "x BETWEEN 0.35 * 612 AND 0.68 * 612"})
+_scalar("g20_polygon_area", lambda d: _RECTS, "l_orderkey, l_linenumber", {"area": lambda d: "abs((x * y - (x + w) * y) + ((x + w) * (y + h) - (x + w) * y) + ((x + w) * (y + h) - x * (y + h)) + (x * y - x * (y + h))) * 0.5"})
+_scalar("p35_container_path", lambda d: _RECTS, "l_orderkey, l_linenumber", {"prepaint": lambda d: "c > 0 AND m = 0 AND w * h >= 0.015 * 41 * 7"})
+
 # --- relational plans --------------------------------------------------------------------
 
 
@@ -212,6 +222,11 @@ _register("j24_p16_overlaps", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderk
 _register("j25_containment", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS outer_no, count(*) AS n_inside FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE b.x >= a.x - 1.5 AND b.y >= a.y - 1.5 AND b.x + b.w <= a.x + a.w + 1.5 AND b.y + b.h <= a.y + a.h + 1.5 GROUP BY a.l_orderkey, a.l_linenumber")
 _register("p27_hairlines_removed", lambda d: f"WITH r AS ({_RECTS}) SELECT l_orderkey, l_linenumber FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.l_orderkey = a.l_orderkey AND b.w >= 2 * a.w AND b.y > a.y AND b.y - a.y <= 3)")
 _register("j14_asof_anchor", lambda d: "SELECT e.event_id, coalesce(max(c.event_id), -1) AS anchor FROM @events e LEFT JOIN @events c ON c.user_id = e.user_id AND c.event_type = 'click' AND c.ts <= e.ts GROUP BY e.event_id" if d is DUCK else "SELECT event_id, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS anchor FROM @events")
+_register("j15_j16_left_neighbour", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, seq, coalesce(lag(text) OVER (PARTITION BY doc_id, line_no ORDER BY x, seq), '') AS before_text, {d.like('text', '[0-9]')} AND count(CASE WHEN NOT {d.like('text', '[0-9]')} THEN 1 END) OVER (PARTITION BY doc_id, line_no) > 0 AS anchored FROM s")
+_register("j22_long_rule_above", lambda d: f"WITH r AS ({_RECTS}) SELECT l_orderkey, l_linenumber FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE b.l_orderkey = a.l_orderkey AND b.w >= 3.5 * a.w AND b.y - a.y BETWEEN 2 AND 8)")
+_register("j19_j20_heading_above", lambda d: f"WITH m AS (SELECT doc_id, line_no, {f.heading_depth(d, 'line')} AS depth FROM ({_markdown(d)}) b) SELECT doc_id, line_no, coalesce(max(CASE WHEN depth > 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heading_line FROM m")
+_register("j18_column_band", lambda d: f"WITH s AS ({_words(d)}), b AS (SELECT doc_id, line_no, floor(x / 40) AS band, min(x) AS x FROM s GROUP BY doc_id, line_no, floor(x / 40)) n AS (SELECT doc_id, line_no, CAST(band AS BIGINT) AS band, lag(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS above, lead(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS below FROM b) SELECT doc_id, line_no, band, coalesce(line_no - above <= 13, false) AND coalesce(below - line_no <= 13, false) AS both_sides FROM n")
+_register("g04_g05_common_columns", lambda d: f"WITH s AS ({_words(d)}), c AS (SELECT doc_id, CAST(floor(x / 4) AS BIGINT) AS col_no, count(DISTINCT line_no) AS n_lines FROM s GROUP BY doc_id, floor(x / 4)), n AS (SELECT doc_id, count(DISTINCT line_no) AS total FROM s GROUP BY doc_id) SELECT c.doc_id, c.col_no, c.n_lines FROM c JOIN n ON c.doc_id = n.doc_id WHERE c.n_lines >= greatest(2, {d.div('n.total + 1', '2')})")
 _register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT {d.item(f.tokens(d, 'text'), 0)} AS w FROM @benchmark) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
 _register("o11_fuzzy_topk", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, seq) AS r FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0) e WHERE r <= 3")
 _register("o03_nearest_column", lambda d: f"SELECT doc_id, line_no, seq, CASE WHEN x <= 136 THEN 0 WHEN x <= 270 THEN 1 WHEN x <= 405 THEN 2 ELSE 3 END AS col_no FROM ({_words(d)}) b")  # columns at 72, 200, 340 and 470: the nearest, the first on a tie
