@@ -225,7 +225,7 @@ _register("j14_asof_anchor", lambda d: "SELECT e.event_id, coalesce(max(c.event_
 _register("j15_j16_left_neighbour", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, seq, coalesce(lag(text) OVER (PARTITION BY doc_id, line_no ORDER BY x, seq), '') AS before_text, {d.like('text', '[0-9]')} AND count(CASE WHEN NOT {d.like('text', '[0-9]')} THEN 1 END) OVER (PARTITION BY doc_id, line_no) > 0 AS anchored FROM s")
 _register("j22_long_rule_above", lambda d: f"WITH r AS ({_RECTS}) SELECT l_orderkey, l_linenumber FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE b.l_orderkey = a.l_orderkey AND b.w >= 3.5 * a.w AND b.y - a.y BETWEEN 2 AND 8)")
 _register("j19_j20_heading_above", lambda d: f"WITH m AS (SELECT doc_id, line_no, {f.heading_depth(d, 'line')} AS depth FROM ({_markdown(d)}) b) SELECT doc_id, line_no, coalesce(max(CASE WHEN depth > 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heading_line FROM m")
-_register("j18_column_band", lambda d: f"WITH s AS ({_words(d)}), b AS (SELECT doc_id, line_no, floor(x / 40) AS band, min(x) AS x FROM s GROUP BY doc_id, line_no, floor(x / 40)) n AS (SELECT doc_id, line_no, CAST(band AS BIGINT) AS band, lag(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS above, lead(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS below FROM b) SELECT doc_id, line_no, band, coalesce(line_no - above <= 13, false) AND coalesce(below - line_no <= 13, false) AS both_sides FROM n")
+_register("j18_column_band", lambda d: f"WITH s AS ({_words(d)}), b AS (SELECT doc_id, line_no, floor(x / 40) AS band, min(x) AS x FROM s GROUP BY doc_id, line_no, floor(x / 40)), n AS (SELECT doc_id, line_no, CAST(band AS BIGINT) AS band, lag(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS above, lead(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS below FROM b) SELECT doc_id, line_no, band, coalesce(line_no - above <= 13, false) AND coalesce(below - line_no <= 13, false) AS both_sides FROM n")
 _register("g04_g05_common_columns", lambda d: f"WITH s AS ({_words(d)}), c AS (SELECT doc_id, CAST(floor(x / 4) AS BIGINT) AS col_no, count(DISTINCT line_no) AS n_lines FROM s GROUP BY doc_id, floor(x / 4)), n AS (SELECT doc_id, count(DISTINCT line_no) AS total FROM s GROUP BY doc_id) SELECT c.doc_id, c.col_no, c.n_lines FROM c JOIN n ON c.doc_id = n.doc_id WHERE c.n_lines >= greatest(2, {d.div('n.total + 1', '2')})")
 _register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT {d.item(f.tokens(d, 'text'), 0)} AS w FROM @benchmark) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
 _register("o11_fuzzy_topk", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, seq) AS r FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0) e WHERE r <= 3")
