@@ -138,6 +138,7 @@ def _compare(most: int):
         starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(node)]))
         size = ends - starts
         a, b = [], []
+        fp = fp.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
         small = size <= 32
         group = np.repeat(np.arange(len(size)), size)
         inside = small[group]

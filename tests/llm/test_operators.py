@@ -8,6 +8,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -224,6 +225,23 @@ def test_anchors_cover_every_pair(spark):
     assert found == {**{i: i for i in range(40)}, **{40 + i: i for i in range(40)}}
 
 
+def test_links_count_bit_63(spark):
+    rng = np.random.default_rng(4)
+    base = [int(b) for b in rng.integers(0, 1 << 64, 60, dtype=np.uint64)]
+    near = [b ^ sum(1 << int(k) for k in {63, *rng.choice(64, 2, replace=False).tolist()}) for b in base]
+    reps = spark.createDataFrame([(i, _signed(f)) for i, f in enumerate(base + near)], "node bigint, fp bigint")
+    found = {r.node: r.component for r in components.components(simhash.links(reps)).collect()}
+    assert found == {i: i % 60 for i in range(120)}
+
+
+def test_forest_counts_bit_63():
+    prints = [0, *(1 << 63 | 1 << i for i in range(40))]
+    columns = [*([[0] * 41] * 3), list(range(41)), [_signed(f) for f in prints]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "lo", "hi", "node", "fp"])
+    (out,) = simhash._compare(2)(iter([batch]))
+    assert {(r["a"], r["b"]) for r in out.to_pylist()} == {(0, i) for i in range(1, 41)}
+
+
 @pytest.mark.parametrize("hot", [20_000, 50])
 def test_one_hot_anchor(spark, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)
