@@ -41,6 +41,7 @@ LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
 SLICE_DIGITS = 3
 #: Leaves of the tree up to which the plan (a row a leaf) is broadcast.
 BROADCAST_LEAVES = 100_000
+LEAF = ("domain", "lang", "source")
 
 
 def _weight(column: str, weights: dict[str, int]) -> Column:
@@ -52,11 +53,24 @@ def _weight(column: str, weights: dict[str, int]) -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, domain, lang, source, tokens of every document with tokens."""
+    return _keyed(docs).select("doc_id", *LEAF, "tokens")
+
+
+def _some() -> Column:
+    return F.col("text").cast("string").rlike("[^\\x09-\\x0D ]")
+
+
+def _key() -> dict[str, Column]:
+    """What the place of a document in the order depends on; rows with one key are copies of one text with one id (or none) in one leaf."""
+    text = F.col("text").cast("string")
     source, lang = F.coalesce(F.col("source").cast("string"), F.lit("?")), F.coalesce(F.col("lang").cast("string"), F.lit("?"))
-    tokens = F.size(F.split(F.trim(F.regexp_replace(F.col("text").cast("string"), "[\\x09-\\x0D ]+", " ")), " ")).cast("bigint")
-    some = F.col("text").cast("string").rlike("[^\\x09-\\x0D ]")
+    tokens = F.size(F.split(F.trim(F.regexp_replace(text, "[\\x09-\\x0D ]+", " ")), " ")).cast("bigint")
     domain = F.concat(F.lit("d"), F.crc32(source.cast("binary")) % DOMAINS)
-    return docs.where(some).select("doc_id", domain.alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens"))
+    return {"doc_id": F.col("doc_id"), "domain": domain, "lang": lang, "source": source, "tokens": tokens, "digest": F.xxhash64(text)}
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where(_some()).select(*[c.alias(name) for name, c in _key().items()])
 
 
 def shares(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
@@ -88,8 +102,13 @@ def budgets(leaves: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS)
 
 def select(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, domain, lang, source, tokens, copies (> 0) of the chosen documents."""
-    leaf = ["domain", "lang", "source"]
-    rows = cut(keyed(docs))
+    return _placed(docs, budget, epochs, seed).where("copies > 0").select("doc_id", *LEAF, "tokens", "copies")
+
+
+def _placed(docs: DataFrame, budget: float, epochs: int, seed: int) -> DataFrame:
+    """The key of every document with tokens, and its copies, 0 if it isn't chosen."""
+    leaf = list(LEAF)
+    rows = cut(_keyed(docs))
     plan = budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), budget, epochs)
     plan = plan.select(*leaf, F.expr("got div tokens").alias("whole"), F.expr("got % tokens").alias("rest"))
     # The seeded order of the epoch that is cut: one hash of seed, epoch and id.
@@ -104,17 +123,38 @@ def select(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, se
     sums = placed.groupBy(*leaf, "_slice").agg(F.sum("tokens").alias("_n"))
     before = Window.partitionBy(*leaf).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*leaf, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*leaf, "_slice").orderBy("_h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*leaf, "_slice").orderBy("_h", "doc_id", "tokens", "digest").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("_ahead", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, [*leaf, "_slice"])
     copies = F.col("whole") + F.when(F.col("_before") + F.col("_ahead") < F.col("rest"), 1).otherwise(0)
-    return ordered.select("doc_id", *leaf, "tokens", copies.cast("bigint").alias("copies")).where("copies > 0")
+    return ordered.select("doc_id", *leaf, "tokens", "digest", copies.cast("bigint").alias("copies"))
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The chosen documents with all their columns, and ``copies`` (in place of a column of that name). Repeated rows of a doc_id share their number of copies."""
-    chosen = select(docs, budget, epochs, seed).where("doc_id is not null").groupBy(F.col("doc_id").alias("__docstrata_key")).agg(F.max("copies").alias("__docstrata_copies"))
+    """The chosen documents with all their columns, and ``copies`` (in place of a column of that name): row by row those of ``select``, rows without doc_id and repeated rows too.
+
+    Rows of one key are copies of one text; where the cut falls among them (one key a leaf at most) they are numbered, the key's rows in one task.
+    """
+    names = list(_key())
+    least, n = F.min("copies"), F.count("*")
+    found = _placed(docs, budget, epochs, seed).groupBy(*names).agg(least.alias("least"), (F.sum("copies") - least * n).alias("more"))
+    found = cut(found.where("least > 0 or more > 0").toDF(*[f"__docstrata_{c}" for c in (*names, "least", "more")]))
+    keyed_docs = docs.where(_some()).withColumns({f"__docstrata_of_{name}": c for name, c in _key().items()})
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "copies"]
-    return docs.withColumn("__docstrata_key", F.col("doc_id")).join(chosen, "__docstrata_key").select(*kept, F.col("__docstrata_copies").alias("copies"))
+    met = None
+    for name in names:
+        same = F.col(f"__docstrata_of_{name}").eqNullSafe(F.col(f"__docstrata_{name}"))
+        met = same if met is None else met & same
+    whole = keyed_docs.join(found.where("__docstrata_more = 0"), met).select(*kept, F.col("__docstrata_least").alias("copies"))
+    split = found.where("__docstrata_more > 0")
+    n_split = split.count()
+    if not n_split:
+        return whole
+    # One key of a leaf has rows on both sides of the cut: the first ones take one copy more.
+    inside = Window.partitionBy(*[f"__docstrata_{name}" for name in names]).orderBy("__docstrata_row")
+    rows = keyed_docs.join(F.broadcast(split) if n_split <= BROADCAST_LEAVES else split, met).withColumn("__docstrata_row", F.xxhash64(F.to_json(F.struct(*kept))))
+    copies = F.col("__docstrata_least") + F.when(F.row_number().over(inside) <= F.col("__docstrata_more"), 1).otherwise(0)
+    parts = rows.withColumn("__docstrata_copies", copies.cast("bigint")).where("__docstrata_copies > 0")
+    return whole.unionByName(parts.select(*kept, F.col("__docstrata_copies").alias("copies")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
