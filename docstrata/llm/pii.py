@@ -9,7 +9,10 @@ off the Java stack.
 
 Kinds: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to
 15 digits) are the base kinds and are always reported. The method adds ``iban``
-(mod-97) and ``ssn`` (3-2-4 digits). A span's score is its kind's prior, moved up
+(mod-97) and ``ssn`` (3-2-4 digits). An iban is tried at every place that looks
+like its start, and ends at a word's end: the one at its country's length, else the
+last one within 34 signs or, for a country that isn't in IBAN_LENGTHS, the last one
+that passes. A span's score is its kind's prior, moved up
 when one of the kind's context words stands within CONTEXT code points before it;
 added kinds are reported from a score of MIN_SCORE, base kinds at any score.
 
@@ -51,6 +54,17 @@ KINDS = (
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", 0.8, r"\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[0-9]-[0-9]{2}-[0-9]", 0.3, r"\b(?:ssn|social security|tax id)\b"),
 )
+#: ISO 13616 lengths by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 BASE = ("email", "ip", "card", "phone")
 BOOST = 0.3
 
@@ -113,11 +127,48 @@ def _spans(kind: Kind, text: Column) -> Column:
     return F.when(text.rlike(kind.needs), folded).otherwise(start["spans"])
 
 
+def _iban_spans(kind: Kind, text: Column) -> Column:
+    """As ``_spans``; a match that fails is tried with its other ends, and what it ran over is read again."""
+    head, rest = kind.pattern[: kind.pattern.index("(?:")], kind.pattern[kind.pattern.index("(?:") :]
+    # Every place that looks like a start, with the longest match from there; only the start is used up.
+    found = F.regexp_extract_all(text, F.lit(f"(?=({kind.pattern})){head}"), F.lit(1))
+    gaps = F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?){head}(?={rest})"), F.lit(1))
+    spans = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("seen"), spans.alias("spans"))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    def best(m: Column) -> Column:
+        """Length of the span that starts the match, 0 if there is none."""
+        words = F.split(m, " ")
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+        passed = F.filter(ends, lambda e: F.coalesce(_valid("iban", e), F.lit(False)))
+        own = F.try_element_at(lengths, F.substring(m, 1, 2))
+        of_country = F.filter(passed, lambda e: F.length(F.replace(e, F.lit(" "), F.lit(""))) == own)
+        others = F.when(own.isNull(), passed).otherwise(F.filter(passed, lambda e: e == m))
+        return F.coalesce(F.length(F.try_element_at(of_country, F.lit(-1))), F.length(F.try_element_at(others, F.lit(-1))), F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        m, seen = x["m"], F.right(F.concat(acc["seen"], x["g"]), F.lit(CONTEXT))
+        at = acc["at"] + F.length(x["g"])
+        size = F.when(at >= acc["free"], best(m)).otherwise(0)
+        score = F.lit(kind.prior) + F.when(F.lower(seen).rlike(kind.context), BOOST).otherwise(0.0)
+        keep = (size > 0) & (score >= MIN_SCORE)
+        one = F.struct(F.lit(kind.name).alias("kind"), at.cast("int").alias("start"), (at + size).cast("int").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.struct((at + 4).alias("at"), F.when(keep, at + size).otherwise(acc["free"]).alias("free"), F.concat(seen, F.left(m, F.lit(4))).alias("seen"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+    folded = F.aggregate(F.arrays_zip(found.alias("m"), gaps.alias("g")), start, step, lambda acc: acc["spans"])
+    return F.when(text.rlike(kind.needs), folded).otherwise(spans)
+
+
+def _all_spans(text: Column) -> Column:
+    return F.concat(*(_iban_spans(k, text) if k.name == "iban" else _spans(k, text) for k in KINDS))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and spans array<struct<kind,start,end,score>> by kind, then start."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = docs.select("doc_id", text.alias("text"))
-    every = F.concat(*(_spans(k, F.col("text")) for k in KINDS))
+    every = _all_spans(F.col("text"))
     # Generate is a barrier: the spans are made once, however often they are used.
     return parts.select("doc_id", "text", F.explode(F.array(every)).alias("spans"))
 
@@ -125,7 +176,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by ``[KIND]``; overlapping spans become one, named after the first; n_chars follows the new text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = F.array_sort(F.transform(F.concat(*(_spans(k, text) for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    every = F.array_sort(F.transform(_all_spans(text), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     names = docs.columns
     marked = docs.select("*", F.explode(F.array(every)).alias("__docstrata_spans"))
     init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
