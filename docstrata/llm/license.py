@@ -4,8 +4,8 @@ One automaton over the words of all templates (and of the base phrases) is built
 on the driver from fixed text. A document streams through it word by word; the
 state and the length reached are the matching statistics. A base phrase ends
 where a state on the suffix-link path of the current one is the phrase's end.
-Maximal matches of MIN_MATCH words or more are chained per template, in both
-texts' order with at most MAX_GAP document words between, and a chain that
+Each template's own maximal matches of MIN_MATCH words or more, those inside a longer
+match of another one too, are chained per template, in both texts' order with at most MAX_GAP document words between, and a chain that
 covers THRESHOLD of its template is a span with the template's label.
 
 Documents are handled one by one, in whole, without a shuffle.
@@ -137,20 +137,46 @@ class Automaton:
 class Scanner:
     def __init__(self, base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD):
         texts = [t.encode().split() for t, _ in base] + [t.encode().split() for _, t in templates]
+        self.texts = texts
         self.labels = [label for _, label in base] + [label for label, _ in templates]
         self.size = [len(t) for t in texts]
         self.n_base = len(base)
         self.least = min(MIN_MATCH, *self.size)
         self.threshold = threshold
         self.automaton = Automaton(texts)
+        self._met: dict[int, list[tuple[int, int, int]]] = {}
+
+    def _occurrences(self, state: int) -> list[tuple[int, int, int]]:
+        """(sequence, words up to the end, longest) wherever a suffix of the state's strings, of up to ``longest`` words, ends in a sequence."""
+        found = self._met.get(state)
+        if found is None:
+            longest: dict[tuple[int, int], int] = {}
+            up = state
+            while up > 0 and self.automaton.length[up] >= self.least:
+                for place in self.automaton.ends[up]:
+                    longest.setdefault(place, self.automaton.length[up])
+                up = self.automaton.link[up]
+            found = self._met[state] = [(number, end, size) for (number, end), size in longest.items()]
+        return found
+
+    def pieces(self, text: list[bytes], stats: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(sequence, start in the text, start in the sequence, words) of each sequence's maximal matches of ``least`` words or more."""
+        out = []
+        for at, matched, state in stats:
+            after = text[at + 1] if at + 1 < len(text) else None
+            for number, end, longest in self._occurrences(state):
+                if end == self.size[number] or self.texts[number][end] != after:
+                    size = min(matched, longest)
+                    out.append((number, at - size + 1, end - size, size))
+        return out
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, float]], float]:
         """Base places (start, phrase), template spans (start, end, template, coverage) and the best coverage."""
         stats = self.automaton.statistics(text, self.least)
         if not stats:
             return [], [], 0.0
-        places, pieces = [], []
-        for k, (at, matched, state) in enumerate(stats):
+        places, pieces = [], self.pieces(text, stats)
+        for at, matched, state in stats:
             # Ends of shorter strings lie further up the suffix-link path, whose states hold their own ends too.
             up = state
             while up > 0 and self.automaton.length[up] >= self.least:
@@ -158,8 +184,6 @@ class Scanner:
                     if number < self.n_base and end == self.size[number] and self.automaton.length[self.automaton.link[up]] < end <= min(matched, self.automaton.length[up]):
                         places.append((at - end + 1, number))
                 up = self.automaton.link[up]
-            if k + 1 == len(stats) or stats[k + 1][0] != at + 1 or stats[k + 1][1] != matched + 1:
-                pieces += [(number, at - matched + 1, end - matched, matched) for number, end in self.automaton.ends[state]]
         spans, best = [], 0.0
         for number in sorted({p[0] for p in pieces}):
             for start, end, covered in self._chains(sorted(p[1:] for p in pieces if p[0] == number)):
