@@ -7,12 +7,13 @@ a ``metadata`` record (application/warc-fields) with the source's record id,
 digests, status, headers and title, and a ``conversion`` record (text/plain) with
 the page's visible text. Digests are sha256 in hexadecimal with the algorithm's
 name; the source's payload digest is kept on both. All is SQL expressions on one
-row at a time. ``read_warc`` reads WARC files (plain or gzip by record) into
+row at a time, but for texts with references, which Arrow batches decode. ``read_warc`` reads WARC files (plain or gzip by record) into
 response rows and ``write_warc`` writes records as gzip members.
 
-Plain text: scripts, styles, comments and tags go, block elements end lines, the
-references in ENTITIES are decoded, white space inside a line is one space, empty
-lines go.
+Plain text: scripts, styles, comments and tags go, block elements end lines, all
+named and numeric references are decoded once, as HTML does (white space among
+them, the no-break space too, to a space), white space inside a line is one space,
+empty lines go.
 
 Defined cases: a null payload is empty and so is its text; null urls and headers
 are empty fields; repeated rows give repeated records with the same ids; an empty
@@ -22,17 +23,18 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import html as htmllib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docstrata.session import table
 
-#: References that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Fixed value: elements that end a line.
 LINE_ENDS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
@@ -42,12 +44,33 @@ TAGS = r"<[a-zA-Z/!?][^>]*>"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def plain_text(html: Column) -> Column:
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
+SPACES = re.compile("[ \t\n\r\f\xa0]")
+
+
+def decode(text: str) -> str:
+    """The text with every reference decoded; what is no reference stays."""
+    return REFERENCE.sub(lambda m: SPACES.sub(" ", htmllib.unescape(m[0])), text)
+
+
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else decode(t) for t in texts.to_pylist()], pa.string())
+
+
+def _bare(html: Column) -> Column:
+    """The page without what isn't seen, its lines ended, its references as they are."""
     text = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(text, r"[ \t\n\r\f]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
+
+
+def _signs(bare: Column) -> Column:
+    """The text with its references decoded; texts without any don't leave the JVM."""
+    return F.coalesce(_decoded(F.when(bare.contains("&"), bare)), bare)
+
+
+def _lines(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(text, "[ ]+", " "), " ?\n[\n ]*", "\n"), F.lit(" \n"))
 
 
@@ -75,7 +98,10 @@ def derive(source: DataFrame) -> DataFrame:
     keep = [c for c in source.columns if c not in ("record_id", "target_uri", "date", "http_headers", "payload")]
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = source.select(*keep, text("record_id").alias("refers_to"), text("target_uri").alias("target_uri"), text("date").alias("date"), text("http_headers").alias("http_headers"), _digest(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_length"), F.explode(F.array(plain_text(payload))).alias("text"), F.btrim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[ \t\n\r\f]+", " ")).alias("title"))
+    rows = source.select(*keep, text("record_id").alias("refers_to"), text("target_uri").alias("target_uri"), text("date").alias("date"), text("http_headers").alias("http_headers"), _digest(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_length"), F.explode(F.array(_bare(payload))).alias("__docstrata_bare"), F.btrim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[ \t\n\r\f]+", " ")).alias("title"))
+    # Generate is a barrier: each text is made once, however often it is used.
+    rows = rows.withColumn("__docstrata_signs", _signs(F.col("__docstrata_bare")))
+    rows = rows.select(*keep, "refers_to", "target_uri", "date", "http_headers", "payload_digest", "payload_length", "title", F.explode(F.array(_lines(F.col("__docstrata_signs")))).alias("text"))
     meta = F.concat(
         F.lit("source-record-id: "), F.col("refers_to"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-payload-length: "), F.col("payload_length").cast("string"),
         F.lit("\r\nsource-header: "), F.regexp_replace("http_headers", "\r\n", "\r\nsource-header: "), F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\ntext-digest: "), _digest(F.col("text")), F.lit("\r\n"),
@@ -157,6 +183,10 @@ def _sql_uuid(seed: str) -> str:
     return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-3' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
 
 
+#: The references that the SQL decodes (those of the given pages), the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _sql_text(x: str) -> str:
     x = f"regexp_replace({x}, '{HIDDEN}', '', 'g')"
     x = rf"regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g')"
