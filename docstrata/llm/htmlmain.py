@@ -1,29 +1,40 @@
 """Main-text extraction by minimum-cut labelling of a page's text blocks.
 
-A page is cut into text blocks with their path of open elements. A linear
-classifier (fixed weights over length, link density, heading or list kind and
-the signs of the elements around the block) gives each block a cost of being
-content and a cost of being boilerplate; those are the capacities to the two
-terminals. Smoothness edges join blocks that follow each other and blocks of one
-parent element, heavier the more of the path they share. The minimum cut
-(augmenting paths on level graphs) is the labelling of least total cost; a block
-of an element that is never main text (scripts, forms, navigation, ...) has an
-unbounded capacity to the boilerplate terminal.
-
-Pages are handled one by one, in whole, without a shuffle.
-
-Defined cases: null or empty html gives an empty text; unclosed elements end
-with their parent, a new block element closes an open paragraph; broken markup
-is read as text; repeated rows are answered one by one; an empty table gives an
-empty result; other columns are ignored.
+A page is cut into text blocks that know their open elements. A linear classifier
+gives each block a margin; its positive part is the capacity to the content
+terminal, its negative part that to the boilerplate terminal. Smoothness edges
+join blocks that follow each other (heavier the more open elements they share)
+and blocks of one parent element. The minimum cut (augmenting paths on level
+graphs) is the labelling of least total cost.
+
+The weights are fixed, as no page is labelled: without signs, a block of prose of
+about 50 characters stands even between content and boilerplate, which is where
+one-line remarks end and sentences begin; SIGN is worth more than a long block's
+length and the edges around it together, so that one long advert between two
+paragraphs stays out; everything else is worth less than the edges, so that short
+lines inside prose, and prose-like lines inside a menu, go with their neighbours.
+Only what is never shown as text (scripts, form controls, hidden elements) and
+navigation is left out beforehand; all signs of class, id, role and tag are
+features, weighed by the nearest element that has any, and undone where an
+article stands inside a wrapper whose sign names the page's layout.
+
+Pages are handled one by one, in whole, without a shuffle; the work grows with a
+page's length, however deep its elements are nested.
+
+Defined cases: null or empty html gives an empty text, so does a page without any
+block on the content side; unclosed elements end with their parent, a new block
+element closes an open paragraph; broken markup is read as text; repeated rows
+are answered one by one; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,80 +47,159 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul button legend label option".split())
 CLOSES_P = BLOCK - frozenset("button label legend option html head body td th tr tbody thead tfoot caption".split())
-NEVER = frozenset("nav footer aside form button menu dialog head label legend option fieldset".split())
+NEVER = frozenset("nav button menu head label legend option".split())
+#: Elements that say something by name alone.
+SIGNED = NEVER | frozenset("article main aside footer form dialog fieldset header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Signs in class, id and role of elements that hold no main text, and of those that do.
-BAD_SIGN = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|comments?|respond|replies|reply|disqus|side-?bar|aside|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pager|pagination|tags?|widget|copyright|legal|disclaimer|search|form|toolbar|contentinfo|complementary|search|hidden|skip)(?:$|[\s_-]|\d)", re.I)
-GOOD_SIGN = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|content|main|text|body-?text|prose)(?:$|[\s_-])", re.I)
-#: Never main text by sign alone.
-HARD_SIGN = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|comments?|disqus|side-?bar|cookies?|consent|newsletter|breadcrumbs?|navbar|navigation|menu)(?:$|[\s_-]|\d)", re.I)
+PROSE = frozenset("p blockquote pre figcaption".split())
+CELLS = frozenset("li td th dd dt".split())
+#: Roles that are never main text, and roles that are weighed like BAD words.
+NEVER_ROLES = frozenset("navigation search menu menubar toolbar".split())
+BAD_ROLES = frozenset("banner contentinfo complementary dialog alert alertdialog form note".split())
+
+#: Words of class and id by what they say of an element: never an article's wrapper, a part of the page's layout, main text.
+BAD = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions comment comments respond reply replies disqus related recommended recommendations cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pager pagination copyright legal disclaimer".split())
+LAYOUT = frozenset("sidebar side aside nav navbar navigation menu footer foot masthead banner widget widgets toolbar notice notices notification notifications alert alerts popup modal dialog overlay search form topbar".split())
+GOOD = frozenset("article post story entry content main text body prose".split())
+#: A word after or before one of these names a state or a count ("no-sidebar", "comments-open"), not a part of the page.
+STATES = frozenset("no has have with without open opened closed enabled disabled count on off".split())
+
+#: Weights of the classifier.
+BIAS, PER_CHAR, MOST_LENGTH = -0.8, 1 / 80, 2.0
+LINKED, HEADING, IN_PROSE, IN_CELL, LEGAL_LINE = -3.0, 1.2, 0.3, -0.4, -2.0
+SIGN, TAG_SIGN, GOOD_WORD, GOOD_TAG, LEAST, MOST = -5.0, -4.5, 1.0, 1.5, -6.0, 2.5
+#: Share of an outer sign that stays with an inner element of the other kind: inside BAD, and an article inside LAYOUT.
+KEPT, KEPT_LAYOUT = 0.8, 0.1
+#: Edges: between neighbours at least and by shared elements, and to the last block of the same parent.
+NEIGHBOUR, SHARED, SIBLING = 0.2, 0.6, 0.4
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?][^>]*>)", re.S)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 SIGNS = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
-UNBOUNDED = 1e6
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+LEGAL = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
     parent: Element | None
     depth: int
     number: int
-    banned: bool = False
-    bad: int = 0
-    good: int = 0
+    #: The nearest block element, this one included.
+    holder: Element | None = None
+    never: bool = False
+    #: Sum of the signs of this and the outer elements, and whether the bad part of it names the page's layout only.
+    sign: float = 0.0
+    layout: bool = False
+    in_article: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     element: Element
     linked: int
     kind: str = ""
-    costs: tuple[float, float] = field(default=(0.0, 0.0))
-
-
-def _open(name: str, attributes: str, parent: Element | None, number: int) -> Element:
-    made = Element(name, parent, parent.depth + 1 if parent else 0, number)
-    if parent:
-        made.banned, made.bad, made.good = parent.banned, parent.bad, parent.good
-    in_article = parent is not None and _inside(parent, ("article", "main"))
-    if name in NEVER or name == "header" and not in_article:
-        made.banned = True
-    if name in ("article", "main"):
-        made.good += 1
-    if attributes:
-        for m in SIGNS.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                made.banned = True
-            elif key in ("class", "id", "role") and name not in ("html", "body"):
-                if HARD_SIGN.search(value):
-                    made.banned = True
-                made.bad += bool(BAD_SIGN.search(value))
-                made.good += bool(GOOD_SIGN.search(value))
-                if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"):
-                    made.banned = True
+
+
+def named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id value has bad, layout and good names."""
+    bad = layout = good = False
+    for name in value.split():
+        parts = [w.lower() for w in WORDS.findall(name)]
+        if not STATES.isdisjoint(parts):
+            continue
+        is_good = not GOOD.isdisjoint(parts)
+        # "entry-header" is an article's head, "post-comments" are comments.
+        bad = bad or not BAD.isdisjoint(parts) or "header" in parts and not is_good
+        layout = layout or not LAYOUT.isdisjoint(parts)
+        good = good or is_good
+    return bad, layout, good
+
+
+def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
+    if name not in SIGNED and not attributes:
+        made = Element(name, parent, parent.depth + 1, number, parent.holder, parent.never, parent.sign, parent.layout, parent.in_article)
+        if name in BLOCK:
+            made.holder = made
+        return made
+    made = Element(name, parent, parent.depth + 1, number)
+    made.holder = made if name in BLOCK else parent.holder
+    made.never, made.in_article = parent.never or name in NEVER, parent.in_article or name in ("article", "main")
+    own, layout = 0.0, True
+    if name == "aside" or name == "footer":
+        own, layout = TAG_SIGN, False
+    elif name == "form" or name == "dialog" or name == "fieldset" or name == "header" and not parent.in_article:
+        own = TAG_SIGN
+    good = GOOD_TAG if name in ("article", "main") else 0.0
+    for m in SIGNS.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
+            made.never = True
+        elif key == "role":
+            role = value.lower()
+            made.never = made.never or role in NEVER_ROLES
+            if role in BAD_ROLES:
+                own = min(own, SIGN)
+            good = max(good, GOOD_TAG if role in ("article", "main") else 0.0)
+        elif key in ("class", "id") and name not in ("html", "body"):
+            is_bad, is_layout, is_good = named(value)
+            if is_bad or is_layout:
+                own, layout = min(own, SIGN), layout and not is_bad
+            good = max(good, GOOD_WORD if is_good else 0.0)
+    if own:
+        made.sign, made.layout = max(LEAST, own + min(0.0, parent.sign)), layout and (parent.layout or parent.sign >= 0)
+    elif good:
+        article = good >= GOOD_TAG
+        kept = parent.sign if parent.sign >= 0 or not article and parent.layout else parent.sign * (KEPT_LAYOUT if parent.layout else KEPT)
+        made.sign, made.layout = min(MOST, kept + good), parent.layout
+    else:
+        made.sign, made.layout = parent.sign, parent.layout
     return made
 
 
-def _inside(element: Element | None, names: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.name in names:
-            return True
-        element = element.parent
-    return False
+class Stack:
+    """The open elements, with the places of each name and of all block elements, so that no tag looks through them."""
+
+    def __init__(self) -> None:
+        root = Element("#root", None, 0, 0)
+        root.holder = root
+        self.open = [root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.count = 0
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of the names, 0 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def push(self, name: str, attributes: str) -> None:
+        self.count += 1
+        place = len(self.open)
+        self.open.append(_open(name, attributes, self.open[-1], self.count))
+        self.at[name].append(place)
+        if name in BLOCK:
+            self.blocks.append(place)
+
+    def close(self, to: int) -> None:
+        while len(self.open) > to:
+            name = self.open.pop().name
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+
+#: An element that an open one of the same kind ends at, and what holds such elements.
+ITEMS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with white space reduced and references decoded."""
-    root = Element("#root", None, 0, 0)
-    stack, out, parts, links = [root], [], [], 0
-    in_link = 0
-    number = 0
+    stack, out, parts, links = Stack(), [], [], 0
 
     def flush() -> None:
         nonlocal links
@@ -117,17 +207,11 @@ def blocks(page: str) -> list[Block]:
         if text and not text.isspace():
             text = SPACE.sub(" ", entities.unescape(text) if "&" in text else text).strip()
             if text:
-                holder = next((e for e in reversed(stack) if e.name in BLOCK or e is root), root)
+                holder = stack.open[-1].holder
                 out.append(Block(text, holder, min(links, len(text)), holder.name))
         parts.clear()
         links = 0
 
-    def close(to: int) -> None:
-        nonlocal in_link
-        for e in stack[to:]:
-            in_link -= e.name == "a"
-        del stack[to:]
-
     at, size = 0, len(page)
     find = TAG.search
     while at < size:
@@ -135,7 +219,7 @@ def blocks(page: str) -> list[Block]:
         text = page[at : m.start()] if m else page[at:]
         if text:
             parts.append(text)
-            if in_link:
+            if stack.at.get("a"):
                 links += len(text)
         if not m:
             break
@@ -147,10 +231,10 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+            k = stack.last(name)
             # An inline end tag does not reach out of its block.
-            if k and (name in BLOCK or not any(e.name in BLOCK for e in stack[k + 1 :])):
-                close(k)
+            if k and (name in BLOCK or not stack.blocks or stack.blocks[-1] < k):
+                stack.close(k)
             continue
         if name in RAW_END:
             # What the element holds is no markup and no main text.
@@ -165,63 +249,55 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p"), 0)
-                if k:
-                    close(k)
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                same = ("dd", "dt") if name in ("dd", "dt") else ("td", "th") if name in ("td", "th") else (name,)
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in same:
-                        close(k)
-                        break
-                    if stack[k].name in ("ul", "ol", "dl", "table", "select", "menu"):
-                        break
-        number += 1
-        stack.append(_open(name, m[3], stack[-1], number))
-        in_link += name == "a"
+            if name in CLOSES_P and (k := stack.last("p")):
+                stack.close(k)
+            if name in ITEMS:
+                same, around = ITEMS[name]
+                k = stack.last(*same)
+                if k and k > stack.last(*around):
+                    stack.close(k)
+        stack.push(name, m[3])
     flush()
     return out
 
 
+def margin(block: Block) -> float:
+    """How much rather content than boilerplate a block is by itself."""
+    length = len(block.text)
+    out = BIAS + min(MOST_LENGTH, length * PER_CHAR) + LINKED * block.linked / max(1, length) + block.element.sign
+    out += HEADING if block.kind in HEADINGS else IN_PROSE if block.kind in PROSE else IN_CELL if block.kind in CELLS else 0.0
+    return out + (LEGAL_LINE if LEGAL.match(block.text) and block.element.sign <= 0 else 0.0)
+
+
 def costs(block: Block) -> tuple[float, float]:
     """Costs of labelling the block as content and as boilerplate."""
-    e = block.element
-    if e.banned:
-        return UNBOUNDED, 0.0
-    length = len(block.text)
-    density = block.linked / max(1, length)
-    margin = -0.3 + min(2.0, length / 80.0) + (1.5 if block.kind in HEADINGS else 0.0) + (0.8 if block.kind in ("p", "blockquote", "pre", "figcaption") else 0.0)
-    margin += 1.5 * min(e.good, 2) - 2.5 * e.bad - 3.5 * density - (0.6 if block.kind in ("li", "td", "th", "dd", "dt") else 0.0)
-    if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", block.text, re.I) and not e.good:
-        margin -= 2.5
-    return max(0.0, -margin), max(0.0, margin)
+    by = margin(block)
+    return max(0.0, -by), max(0.0, by)
 
 
 def smoothness(found: list[Block]) -> Iterator[tuple[int, int, float]]:
-    """Edges between neighbours, by shared path, and to the last block before of the same parent element."""
+    """Edges between neighbours, by shared elements, and to the last block before of the same parent element."""
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         parent = b.element.parent or b.element
         if i:
             a, c = found[i - 1].element, b.element
             depth = max(a.depth, c.depth, 1)
+            # The way from one block to the next passes only elements whose tags stand between them.
             while a is not c:
                 if a.depth >= c.depth:
                     a = a.parent
                 else:
                     c = c.parent
-            yield i - 1, i, 0.6 * a.depth / depth
+            yield i - 1, i, NEIGHBOUR + SHARED * a.depth / depth
         j = last.get(parent.number)
-        if j is not None and j != i - 1:
-            yield j, i, 0.4
-        elif j is not None:
-            yield j, i, 0.6
+        if j is not None:
+            yield j, i, SIBLING
         last[parent.number] = i
 
 
 def minimum_cut(n: int, terminal: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the content side of a minimum cut (Dinic's algorithm; ties go to content)."""
+    """Whether each node is on the content side of a minimum cut (Dinic's algorithm; ties go to boilerplate)."""
     source, sink = n, n + 1
     head: list[list[int]] = [[] for _ in range(n + 2)]
     to, cap = [], []
@@ -281,27 +357,15 @@ def minimum_cut(n: int, terminal: list[tuple[float, float]], edges: list[tuple[i
                     break
                 level[u] = -1
                 u = to[path.pop() ^ 1]
-    # The largest source side: all that cannot reach the sink any more.
-    reach = [False] * (n + 2)
-    reach[sink] = True
-    queue = [sink]
-    for v in queue:
-        for k in head[v]:
-            if cap[k ^ 1] > tiny and not reach[to[k]]:
-                reach[to[k]] = True
-                queue.append(to[k])
-    return [not reach[i] for i in range(n)]
+    # The smallest source side: what the source still reaches.
+    return [level[i] >= 0 for i in range(n)]
 
 
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    terminal = [costs(b) for b in found]
-    # Blocks of costs (0, 0) have no side of their own; without any content cost nothing is main text.
-    if not any(b > a for a, b in terminal):
-        return ""
-    keep = minimum_cut(len(found), terminal, list(smoothness(found)))
+    found = [b for b in blocks(page) if not b.element.never]
+    keep = minimum_cut(len(found), [costs(b) for b in found], list(smoothness(found)))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
