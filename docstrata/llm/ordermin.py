@@ -20,7 +20,8 @@ window spans the table and each text is shuffled once.
 
 Defined cases: a null text is empty, the fingerprint of a text without tokens is
 empty; null doc_ids stand below all others; rows with one doc_id are ordered by
-text; the only document is its own next; positions above 2**24 tokens are taken
+text; a doc_id that is no integer is refused with a TypeError before any job;
+the only document is its own next; positions above 2**24 tokens are taken
 modulo that; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docstrata.llm.text import integral
 from docstrata.session import table
 
 TOKEN = 8
@@ -120,16 +122,16 @@ def _slice(key: Column, bounds: list[float], fine: int) -> Column:
     return tree(0, len(edges) - 1)
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows (doc_id, text, ...) with ``next_<c>`` of the next row by descending doc_id for each carried column."""
+def with_next(rows: DataFrame, carried: list[str], ids: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with ``next_<c>`` of the next row by descending doc_id for each carried column; ids: the doc_id of every row, from where nothing has to be computed."""
     spark = rows.sparkSession
     lowest = -(1 << 63)
-    keyed = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lowest)))
-    bounds = rows.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").approxQuantile("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES))
+    bounds = ids.where("doc_id is not null").approxQuantile("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES))
     fine = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // QUANTILES))
-    keyed = keyed.withColumn("_slice", _slice(F.col("_key"), bounds, fine).cast("int"))
+    sliced = lambda df: df.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(lowest))).withColumn("_slice", _slice(F.col("_key"), bounds, fine).cast("int"))
+    keyed = sliced(rows)
     # The highest key of each slice; one row a slice, at most QUANTILES * fine.
-    tops = keyed.groupBy("_slice").agg(F.max("_key").alias("_top"))
+    tops = sliced(ids).groupBy("_slice").agg(F.max("_key").alias("_top"))
     up = Window.partitionBy().orderBy("_slice")
     every = Window.partitionBy()
     to = tops.select("_top", F.coalesce(F.lead("_slice").over(up), F.min("_slice").over(every)).alias("_to"))
@@ -146,9 +148,15 @@ def edited(n: Column) -> Column:
     return F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(docs.transform(lambda d: with_fingerprint(d, "text", "own")), ["text", "own"])
+def neighbours(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited, and the fingerprints own, other (of edited) and next_own as arrays, for every row of the documents."""
+    ids = docs.select(integral(docs, "doc_id").alias("doc_id"))
+    texts = docs.select(integral(docs, "doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_next(with_fingerprint(texts, "text", "own"), ["text", "own"], ids)
     rows = rows.select("doc_id", "own", "next_own", F.length("text").cast("bigint").alias("n_chars"), edited(F.length("text")).alias("edited"))
-    rows = with_fingerprint(rows, "edited", "other")
+    return with_fingerprint(rows, "edited", "other")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

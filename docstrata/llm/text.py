@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: a-z, 0-9 and all bytes above 0x7F belong to words, A-Z is lower-cased, the rest separates.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -30,3 +33,11 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = 2 << 20) -> Iterator[t
             size += len(text)
         if texts:
             yield batch.slice(at, len(texts)), texts
+
+
+def integral(df: DataFrame, name: str) -> Column:
+    """An id column as bigint; ids of another type than an integer are refused."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType) and kind.typeName() != "void":
+        raise TypeError(f"{name} has to be an integer, not {kind.simpleString()}")
+    return F.col(name).cast("bigint")
