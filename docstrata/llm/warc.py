@@ -1,44 +1,59 @@
 r"""WARC derivatives: linked metadata and plain-text conversion records of responses.
 
-A response row (record_id, target_uri, date, http_headers, payload) gives two
-records, both WARC/1.1 with a record id made from the response's id, a
-WARC-Refers-To naming it, its target and date, and digests of the new block:
-a ``metadata`` record (application/warc-fields) with the source's record id,
-digests, status, headers and title, and a ``conversion`` record (text/plain) with
-the page's visible text. Digests are sha256 in hexadecimal with the algorithm's
-name; the source's payload digest is kept on both. All is SQL expressions on one
-row at a time, but for texts with references, which Arrow batches decode. ``read_warc`` reads WARC files (plain or gzip by record) into
-response rows and ``write_warc`` writes records as gzip members.
-
-Plain text: scripts, styles, comments and tags go, block elements end lines, all
-named and numeric references are decoded once, as HTML does (white space among
-them, the no-break space too, to a space), white space inside a line is one space,
-empty lines go.
+A response row (record_id, target_uri, date, http_headers, payload, and where the
+source has them source_payload_digest and source_block_digest) gives two records,
+both WARC/1.1 with a record id made from the response's id, a WARC-Refers-To
+naming it, its target and date, and digests of the new block: a ``metadata``
+record (application/warc-fields) with the source's record id, digests, status,
+headers and title, and a ``conversion`` record (text/plain) with the page's
+visible text. ``payload_digest`` is the source's own WARC-Payload-Digest, else the
+sha256 of the payload's bytes; the source's block digest is kept beside it.
+
+A payload of bytes is decoded for its text only: chunks are put together, gzip and
+deflate undone, and the charset is that of the byte order mark, the HTTP header
+or the page's meta element, else UTF-8. A payload of type string is its own text.
+
+``read_warc`` reads WARC files (plain, or gzip by record) into response rows, and
+a row with ``error`` for each record that is cut off or broken; what follows a
+broken record is read on from the next record's head. Files up to WHOLE bytes are
+read member by member; larger ones are split at record heads by Spark's line
+reader, which never holds more than a record. ``write_warc`` writes records as
+gzip members.
+
+Plain text: scripts, styles, comments (unclosed ones up to the end) and tags go,
+block elements end lines, all named and numeric references are decoded once, as
+HTML does (white space among them, the no-break space too, to a space), white
+space inside a line is one space, empty lines go.
 
 Defined cases: a null payload is empty and so is its text; null urls and headers
-are empty fields; repeated rows give repeated records with the same ids; an empty
-table gives an empty result; other columns are ignored.
+are empty fields; a payload whose encoding is unknown or broken has the text that
+its bytes decode to; repeated rows give repeated records with the same ids; an
+empty table gives an empty result; other columns before ``payload`` stay.
 """
 
 from __future__ import annotations
 
 import gzip
 import html as htmllib
-import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from docstrata.session import table
 
+#: Files up to this size are read in whole by one task each.
+WHOLE = 256 << 20
+#: Bytes that are inflated at once.
+STEP = 1 << 16
 #: Fixed value: elements that end a line.
 LINE_ENDS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 BREAKS = rf"(?i)</?(?:{LINE_ENDS})(?:[ \t\n\r\f/][^>]*)?>"
 TAGS = r"<[a-zA-Z/!?][^>]*>"
 DATE = "2024-01-01T00:00:00Z"
@@ -93,17 +108,30 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _uuid(F.concat(F.lit("response:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), url)).alias("record_id"), url.alias("target_uri"), F.lit(DATE).alias("date"), headers.alias("http_headers"), html.alias("payload"))
 
 
+FIELDS = ("record_id", "target_uri", "date", "http_headers", "payload", "source_payload_digest", "source_block_digest")
+
+
+@F.arrow_udf(StringType())
+def _page(payload: pa.Array, headers: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else page_of(p, h or "") for p, h in zip(payload.to_pylist(), headers.to_pylist(), strict=True)], pa.string())
+
+
 def derive(source: DataFrame) -> DataFrame:
-    """The metadata and conversion records of response rows; columns before ``payload`` that are no WARC field stay."""
-    keep = [c for c in source.columns if c not in ("record_id", "target_uri", "date", "http_headers", "payload")]
-    payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = source.select(*keep, text("record_id").alias("refers_to"), text("target_uri").alias("target_uri"), text("date").alias("date"), text("http_headers").alias("http_headers"), _digest(payload).alias("payload_digest"), F.octet_length(payload).cast("bigint").alias("payload_length"), F.explode(F.array(_bare(payload))).alias("__docstrata_bare"), F.btrim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[ \t\n\r\f]+", " ")).alias("title"))
+    """The metadata and conversion records of response rows; columns that are no WARC field stay."""
+    keep = [c for c in source.columns if c not in FIELDS]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in source.columns else F.lit("")
+    bytes_ = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
+    page = F.col("__docstrata_page") if isinstance(source.schema["payload"].dataType, BinaryType) else text("payload")
+    if isinstance(source.schema["payload"].dataType, BinaryType):
+        source = source.withColumn("__docstrata_page", F.coalesce(_page(F.col("payload"), text("http_headers")), F.lit("")))
+    own = F.when(text("source_payload_digest") != "", text("source_payload_digest")).otherwise(_digest(bytes_))
+    title = F.btrim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[ \t\n\r\f]+", " "))
+    rows = source.select(*keep, text("record_id").alias("refers_to"), text("target_uri").alias("target_uri"), text("date").alias("date"), text("http_headers").alias("http_headers"), own.alias("payload_digest"), text("source_block_digest").alias("source_block_digest"), F.octet_length(bytes_).cast("bigint").alias("payload_length"), F.explode(F.array(_bare(page))).alias("__docstrata_bare"), title.alias("title"))
     # Generate is a barrier: each text is made once, however often it is used.
     rows = rows.withColumn("__docstrata_signs", _signs(F.col("__docstrata_bare")))
-    rows = rows.select(*keep, "refers_to", "target_uri", "date", "http_headers", "payload_digest", "payload_length", "title", F.explode(F.array(_lines(F.col("__docstrata_signs")))).alias("text"))
+    rows = rows.select(*keep, "refers_to", "target_uri", "date", "http_headers", "payload_digest", "source_block_digest", "payload_length", "title", F.explode(F.array(_lines(F.col("__docstrata_signs")))).alias("text"))
     meta = F.concat(
-        F.lit("source-record-id: "), F.col("refers_to"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-payload-length: "), F.col("payload_length").cast("string"),
+        F.lit("source-record-id: "), F.col("refers_to"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.when(F.col("source_block_digest") != "", F.concat(F.lit("\r\nsource-block-digest: "), "source_block_digest")).otherwise(F.lit("")), F.lit("\r\nsource-payload-length: "), F.col("payload_length").cast("string"),
         F.lit("\r\nsource-header: "), F.regexp_replace("http_headers", "\r\n", "\r\nsource-header: "), F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\ntext-digest: "), _digest(F.col("text")), F.lit("\r\n"),
     )
     made = F.array(
@@ -132,46 +160,176 @@ def gzip_members(records: DataFrame) -> DataFrame:
     return records.mapInArrow(_members, "member binary")
 
 
+def page_of(payload: bytes, headers: str) -> str:
+    """The text of an HTTP payload: chunks, content encoding and charset undone."""
+    fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in headers.split("\n"))}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    encoding = fields.get("content-encoding", "").lower()
+    for kind, bits in (("gzip", (31,)), ("deflate", (15, -15))):
+        if kind in encoding:
+            payload = next((out for b in bits if (out := _inflated(payload, b))), payload)
+    if payload[:3] == b"\xef\xbb\xbf":
+        return payload[3:].decode("utf-8", "replace")
+    if payload[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return payload.decode("utf-16", "replace")
+    named = re.search(r"charset\s*=\s*[\"']?([\w-]+)", fields.get("content-type", ""), re.I) or re.search(r"<meta[^>]{0,300}?charset\s*=\s*[\"']?([\w-]+)", payload[:4096].decode("latin-1"), re.I)
+    try:
+        # HTML reads latin-1 as windows-1252.
+        name = named[1].lower() if named else "utf-8"
+        return payload.decode("cp1252" if name in ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii") else name, "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The chunks of a transfer put together; data that isn't chunked stays as it is, a cut-off chunk is taken as far as it goes."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\n", at)
+        head = data[at:end].split(b";")[0].strip() if 0 <= end - at <= 1000 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", head):
+            return b"".join(out) if out else data
+        size = int(head, 16)
+        if not size:
+            break
+        out.append(data[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] == b"\n"
+    return b"".join(out)
+
+
+def _inflated(data: bytes, bits: int) -> bytes:
+    """As much as can be inflated."""
+    unpack, out = zlib.decompressobj(bits), []
+    try:
+        for at in range(0, len(data), 1 << 16):
+            out.append(unpack.decompress(data[at : at + (1 << 16)]))
+        out.append(unpack.flush())
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+HEAD = re.compile(rb"(?:^|(?<=\n))WARC/[0-9.]+\r?\n")
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields with lower-case names, block) of every record of a WARC file; broken records end the reading."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.strip():
+    """(header fields with lower-case names, block) of every record of a WARC file; a record that is cut off or broken has the field ``error``."""
+    for part in _parts(data):
+        if isinstance(part, str):
+            yield {"error": part}, b""
+        else:
+            yield from _records(part)
+
+
+def _parts(data: bytes) -> Iterator[bytes | str]:
+    """The gzip members of a file one at a time (each holds whole records), or the whole of a plain file; an error for a broken member."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at < len(data):
+        unpack, out, fed = zlib.decompressobj(31), [], at
+        try:
+            while fed < len(data) and not unpack.eof:
+                out.append(unpack.decompress(data[fed : fed + STEP]))
+                fed = min(len(data), fed + STEP)
+        except zlib.error as problem:
+            yield f"broken gzip member at {at}: {problem}"
+            # The next member that can begin.
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                return
             continue
-        if not line.startswith(b"WARC/"):
+        yield b"".join(out)
+        if not unpack.eof:
+            yield f"cut-off gzip member at {at}"
+            return
+        at = fed - len(unpack.unused_data)
+        while at < len(data) and data[at] == 0:
+            at += 1
+
+
+def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    at = 0
+    while at < len(data):
+        head = HEAD.search(data, at)
+        if not head:
+            if data[at:].strip():
+                yield {"error": "no record head"}, b""
             return
+        if data[at : head.start()].strip():
+            yield {"error": "no record head"}, b""
         fields: dict[str, str] = {}
-        for raw in iter(stream.readline, b""):
+        at = head.end()
+        while at < len(data):
+            end = data.find(b"\n", at)
+            raw = data[at : end if end >= 0 else len(data)]
+            at = end + 1 if end >= 0 else len(data)
             if not raw.strip():
                 break
             name, _, value = raw.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         size = fields.get("content-length", "")
-        if not size.isdigit():
+        if not (size.isascii() and size.isdigit()):
+            # What follows is looked through for the next head.
+            yield fields | {"error": "no content length"}, b""
+            continue
+        block = data[at : at + int(size)]
+        if len(block) < int(size):
+            yield fields | {"error": "cut off"}, block
             return
-        yield fields, stream.read(int(size))
+        yield fields, block
+        at += int(size)
+
+
+_RESPONSE = "path string, record_id string, target_uri string, date string, http_headers string, source_payload_digest string, source_block_digest string, payload binary, error string"
+
+
+def _response_rows(path: str, found: Iterator[tuple[dict[str, str], bytes]]) -> pa.RecordBatch | None:
+    rows = []
+    for fields, block in found:
+        if "error" in fields or fields.get("warc-type", "").lower() == "response":
+            head, _, body = block.partition(b"\r\n\r\n")
+            get = lambda name: fields.get(name, "")  # noqa: B023, E731
+            rows.append((path, get("warc-record-id"), get("warc-target-uri"), get("warc-date"), head.decode("utf-8", "replace"), get("warc-payload-digest"), get("warc-block-digest"), body, fields.get("error")))
+    kinds = [pa.binary() if part.split()[1] == "binary" else pa.string() for part in _RESPONSE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [part.split()[0] for part in _RESPONSE.split(", ")]) if rows else None
+
+
+def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for one in parse_records(batch.column(1)[i].as_py() or b""):
+                made = _response_rows(batch.column(0)[i].as_py(), iter([one]))
+                if made is not None:
+                    yield made
 
 
-def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "record_id", "target_uri", "date", "http_headers", "payload"]
+def _from_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces between record heads: the head's end, the fields and the block."""
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = []
-            for fields, block in parse_records(content or b""):
-                if fields.get("warc-type", "").lower() == "response":
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    rows.append((path, fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", ""), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], names)
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response rows of the WARC files under a path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_responses, "path string, record_id string, target_uri string, date string, http_headers string, payload string")
+        for path, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            piece = re.sub(rb"^WARC/1", b"", piece or b"")
+            made = _response_rows(path, _records(b"WARC/1" + piece)) if piece.strip() else None
+            if made is not None:
+                yield made
+
+
+def read_warc(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """Response rows of the WARC files under a path, and rows with ``error`` for records that can't be read.
+
+    Files over ``whole`` bytes are cut at lines that begin with WARC/1: a payload that holds such a line is reported as cut off, and of a
+    gzip file that ends inside a member Spark's reader gives what comes before.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(_from_files, _RESPONSE)
+    large = [r[0] for r in files.where(F.col("length") > whole).select("path").toLocalIterator()]
+    if not large:
+        return small
+    pieces = spark.read.option("lineSep", "\r\n\r\nWARC/1").option("ignoreCorruptFiles", "true").text(large)
+    return small.unionByName(pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_from_pieces, _RESPONSE))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,7 +450,7 @@ def test_warc_round_trip(spark, tmp_path):
     one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://b/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(head + body) + head + body + b"\r\n\r\n"
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
     read = warc.read_warc(spark, str(tmp_path)).collect()
-    assert len(read) == 2 and read[0].payload == "<p>Hi</p>" and read[0].http_headers.endswith("Server: x")
+    assert len(read) == 2 and bytes(read[0].payload) == b"<p>Hi</p>" and read[0].http_headers.endswith("Server: x")
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
