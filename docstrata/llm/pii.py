@@ -9,12 +9,18 @@ off the Java stack.
 
 Kinds: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to
 15 digits) are the base kinds and are always reported. The method adds ``iban``
-(mod-97) and ``ssn`` (3-2-4 digits). An iban is tried at every place that looks
+(mod-97), ``ssn`` (3-2-4 digits) and ``secret`` (keys of well-known shapes, and long
+values given to a name such as token or password). An iban is tried at every place that looks
 like its start, and ends at a word's end: the one at its country's length, else the
 last one within 34 signs or, for a country that isn't in IBAN_LENGTHS, the last one
-that passes. A span's score is its kind's prior, moved up
-when one of the kind's context words stands within CONTEXT code points before it;
-added kinds are reported from a score of MIN_SCORE, base kinds at any score.
+that passes. A span's score, 0 to 100, is its kind's prior, moved up when one of the
+kind's context words stands within CONTEXT code points before or after it (between
+it and the kind's next match; before it alone for an iban) and down by DOUBT when
+none does; added kinds are reported from a score of MIN_SCORE, base kinds at any
+score, and ``scores`` tells them apart.
+
+Offsets are running sums over blocks of BLOCK matches, so that the work grows with
+the matches alone.
 
 Defined cases: a null text is empty and has no spans; repeated rows are answered
 one by one; an empty table gives an empty result; other columns are ignored by
@@ -23,6 +29,7 @@ one by one; an empty table gives an empty result; other columns are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +38,8 @@ from pyspark.sql import functions as F
 from docstrata.session import table
 
 CONTEXT = 40
-MIN_SCORE = 0.5
+MIN_SCORE = 50
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -41,18 +49,23 @@ class Kind:
     pattern: str
     #: A cheap pattern without which there is no match.
     needs: str
-    prior: float
+    prior: int
     context: str
 
 
 #: Kinds in the order in which spans are listed.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, r"\b(?:mail|email|e-mail|contact|write)\b"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9][.][0-9]", 0.6, r"\b(?:ip|address|host|server|ping)\b"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", 0.8, r"\b(?:card|visa|credit|debit|mastercard|amex)\b"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", 0.7, r"\b(?:phone|tel|call|mobile|fax)\b"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", 0.8, r"\b(?:iban|account|bank|konto|compte|cuenta)\b"),
-    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[0-9]-[0-9]{2}-[0-9]", 0.3, r"\b(?:ssn|social security|tax id)\b"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 90, r"\b(?:mail|email|e-mail|contact|write)\b"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "[0-9][.][0-9]", 60, r"\b(?:ip|address|host|server|ping)\b"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", 80, r"\b(?:card|visa|credit|debit|mastercard|amex)\b"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+][0-9]", 70, r"\b(?:phone|tel|call|mobile|fax)\b"),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", 80, r"\b(?:iban|account|bank|konto|compte|cuenta)\b"),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[0-9]-[0-9]{2}-[0-9]", 40, r"\b(?:ssn|social security|tax id)\b"),
+    Kind(
+        "secret",
+        r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?i:api_?key|secret|token|passw(?:or)?d|pwd)[\"\x27]?\x20?[:=]\x20?[\"\x27]?[A-Za-z0-9+/_.-]{16,}",
+        "[:=]\\x20?[\"\\x27]?[A-Za-z0-9+/_.-]{16}|AKIA|ASIA|gh[pousr]_|sk-|xox|AIza|PRIVATE KEY", 80, r"\b(?:key|secret|token|password|credentials?)\b",
+    ),
 )
 #: ISO 13616 lengths by country.
 IBAN_LENGTHS = {
@@ -66,7 +79,7 @@ IBAN_LENGTHS = {
     for country in countries.split()
 }
 BASE = ("email", "ip", "card", "phone")
-BOOST = 0.3
+BOOST, DOUBT = 30, 10
 
 
 def _digits(x: Column) -> Column:
@@ -103,28 +116,56 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+_SPANS = "array<struct<kind:string,start:int,end:int,score:int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _score(kind: Kind, near: Column) -> Column:
+    return F.least(F.lit(100), F.lit(kind.prior) + F.when(F.lower(near).rlike(kind.context), BOOST).otherwise(-DOUBT))
+
+
 def _spans(kind: Kind, text: Column) -> Column:
     """array<struct<kind,start,end,score>> of a kind, in text order."""
     found = F.regexp_extract_all(text, F.lit("(" + kind.pattern + ")"), F.lit(1))
     # "\G" ties each try to the end of the last match; without it the tail after the last one would be scanned from every position.
     gaps = F.regexp_extract_all(text, F.lit("(?s)\\G(.*?)(?:" + kind.pattern + ")"), F.lit(1))
-    both = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>").alias("spans"))
+    add = lambda a, x: a + x
+    zero, none = F.lit(0), F.array().cast(_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        at = acc["at"] + F.length(g)
-        end = at + F.length(m)
-        before = F.lower(F.right(g, F.lit(CONTEXT)))
-        score = F.lit(kind.prior) + F.when(before.rlike(kind.context), BOOST).otherwise(0.0)
-        keep = _valid(kind.name, m)
+        at = acc["at"] + F.length(x["g"])
+        end = at + F.length(x["m"])
+        score = _score(kind, F.concat(F.right(x["g"], F.lit(CONTEXT)), F.lit(" "), x["a"]))
+        keep = F.coalesce(_valid(kind.name, x["m"]), F.lit(False))
         if kind.name not in BASE:
             keep = keep & (score >= MIN_SCORE)
-        one = F.struct(F.lit(kind.name).alias("kind"), at.cast("int").alias("start"), end.cast("int").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(keep, F.lit(False)), F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        one = F.struct(F.lit(kind.name).alias("kind"), at.alias("start"), end.alias("end"), score.alias("score"))
+        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+    def with_after(both: Column) -> Column:
+        """Matches with the gap before and what follows; the last one's text is cut from its end on."""
+        end = F.aggregate(both, zero, lambda a, x: a + F.length(x["m"]) + F.length(x["g"]))
+        after = lambda i: F.when(i < F.size(both) - 1, F.left(F.get(both, i + 1)["g"], F.lit(CONTEXT))).otherwise(F.substring(text, end + 1, F.lit(CONTEXT)))
+        return F.transform(both, lambda x, i: F.struct(x["m"].alias("m"), x["g"].alias("g"), after(i).alias("a")))
 
-    folded = F.aggregate(both, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(kind.needs), folded).otherwise(start["spans"])
+    def in_blocks(every: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(every) - 1) / BLOCK).cast("int"))
+        block = lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK))
+        sums = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda a, x: a + F.length(x["m"]) + F.length(x["g"])))
+
+        def fold(sums: Column) -> Column:
+            start = lambda b: F.struct(F.aggregate(F.slice(sums, F.lit(1), b), zero, add).alias("at"), none.alias("spans"))
+            return F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), start(b), step, lambda acc: acc["spans"])))
+
+        return _let(sums, fold)
+
+    both = F.arrays_zip(found.alias("m"), gaps.alias("g"))
+    folded = _let(both, lambda z: F.when(F.size(z) > 0, _let(with_after(z), in_blocks)).otherwise(none))
+    return F.when(text.rlike(kind.needs), folded).otherwise(none)
 
 
 def _iban_spans(kind: Kind, text: Column) -> Column:
@@ -133,7 +174,7 @@ def _iban_spans(kind: Kind, text: Column) -> Column:
     # Every place that looks like a start, with the longest match from there; only the start is used up.
     found = F.regexp_extract_all(text, F.lit(f"(?=({kind.pattern})){head}"), F.lit(1))
     gaps = F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?){head}(?={rest})"), F.lit(1))
-    spans = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    spans = F.array().cast(_SPANS)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("seen"), spans.alias("spans"))
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
 
@@ -151,9 +192,9 @@ def _iban_spans(kind: Kind, text: Column) -> Column:
         m, seen = x["m"], F.right(F.concat(acc["seen"], x["g"]), F.lit(CONTEXT))
         at = acc["at"] + F.length(x["g"])
         size = F.when(at >= acc["free"], best(m)).otherwise(0)
-        score = F.lit(kind.prior) + F.when(F.lower(seen).rlike(kind.context), BOOST).otherwise(0.0)
+        score = _score(kind, seen)
         keep = (size > 0) & (score >= MIN_SCORE)
-        one = F.struct(F.lit(kind.name).alias("kind"), at.cast("int").alias("start"), (at + size).cast("int").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        one = F.struct(F.lit(kind.name).alias("kind"), at.cast("int").alias("start"), (at + size).cast("int").alias("end"), score.alias("score"))
         return F.struct((at + 4).alias("at"), F.when(keep, at + size).otherwise(acc["free"]).alias("free"), F.concat(seen, F.left(m, F.lit(4))).alias("seen"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
     folded = F.aggregate(F.arrays_zip(found.alias("m"), gaps.alias("g")), start, step, lambda acc: acc["spans"])
@@ -201,18 +242,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in BASE]
     base = of(*BASE)
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
-
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def _sql_kind(name: str, pattern: str, keep: str) -> str:
     order = [k.name for k in KINDS].index(name)
+    kind = KINDS[order]
+    near = "ctx" if name == "iban" else "ctx || ' ' || aft"
     return rf"""{name} AS (
-  SELECT rid, count(*) AS n, list(struct_pack(o := {order}, s := s, k := '{name}:' || s || ':' || (s + length(m)))) AS spans FROM (
-    SELECT rid, ms[i] AS m, right(gs[i], {CONTEXT}) AS ctx,
-           CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS s
-    FROM (SELECT rid, gs, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT rid, regexp_extract_all(text, '(?s)(.*?)({pattern})', 1) AS gs, regexp_extract_all(text, '(?s)(.*?)({pattern})', 2) AS ms FROM d))
+  SELECT rid, count(*) AS n, list(struct_pack(o := {order}, s := s, k := '{name}:' || s || ':' || (s + length(m)), c := CAST(score AS VARCHAR))) AS spans FROM (
+    SELECT *, least(100, {kind.prior} + CASE WHEN regexp_matches(lower({near}), '{kind.context}') THEN {BOOST} ELSE -{DOUBT} END) AS score FROM (
+      SELECT rid, m, ctx, s, CASE WHEN i < total THEN left(nxt, {CONTEXT}) ELSE substr(text, s + length(m) + 1, {CONTEXT}) END AS aft FROM (
+        SELECT rid, text, i, len(ms) AS total, ms[i] AS m, right(gs[i], {CONTEXT}) AS ctx, gs[i + 1] AS nxt,
+             CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS s
+        FROM (SELECT rid, text, gs, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+          SELECT rid, text, regexp_extract_all(text, '(?s)(.*?)({pattern})', 1) AS gs, regexp_extract_all(text, '(?s)(.*?)({pattern})', 2) AS ms FROM d))))
   ) WHERE {keep} GROUP BY rid)"""
 
 
@@ -220,7 +264,6 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 % 10 + CAST(CAST(c AS INT) >= 5 AS INT) END)) % 10 = 0"
 _BARE = "replace(m, ' ', '')"
 _MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_BARE}, 5) || substr({_BARE}, 1, 4), ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"
-_SSN = KINDS[5]
 SQL = (
     "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),\n"
     + ",\n".join(
@@ -230,13 +273,16 @@ SQL = (
             _sql_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
             _sql_kind("phone", KINDS[3].pattern, f"length({_DIGITS}) BETWEEN 8 AND 15"),
             _sql_kind("iban", KINDS[4].pattern, f"length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97}"),
-            _sql_kind("ssn", _SSN.pattern, f"{_SSN.prior} + CASE WHEN regexp_matches(lower(ctx), '{_SSN.context}') THEN {BOOST} ELSE 0 END >= {MIN_SCORE}"),
+            _sql_kind("ssn", KINDS[5].pattern, f"score >= {MIN_SCORE}"),
+            _sql_kind("secret", KINDS[6].pattern, f"score >= {MIN_SCORE}"),
         )
     )
     + """
 SELECT d.doc_id, coalesce(email.n, 0) AS n_email, coalesce(ip.n, 0) AS n_ip, coalesce(card.n, 0) AS n_card, coalesce(phone.n, 0) AS n_phone,
   sha256(coalesce(array_to_string(list_transform(list_sort(list_concat(list_concat(email.spans, ip.spans), list_concat(card.spans, phone.spans))), lambda x: x.k), ','), '')) AS base_sha256,
-  coalesce(array_to_string(list_transform(list_sort(list_concat(list_concat(list_concat(email.spans, ip.spans), list_concat(card.spans, phone.spans)), list_concat(iban.spans, ssn.spans))), lambda x: x.k), ','), '') AS spans
-FROM d LEFT JOIN email USING (rid) LEFT JOIN ip USING (rid) LEFT JOIN card USING (rid) LEFT JOIN phone USING (rid) LEFT JOIN iban USING (rid) LEFT JOIN ssn USING (rid)
+  coalesce(array_to_string(list_transform(every, lambda x: x.k), ','), '') AS spans, coalesce(array_to_string(list_transform(every, lambda x: x.c), ','), '') AS scores
+FROM (SELECT d.rid, list_sort(list_concat(list_concat(list_concat(list_concat(email.spans, ip.spans), list_concat(card.spans, phone.spans)), list_concat(iban.spans, ssn.spans)), secret.spans)) AS every
+  FROM d LEFT JOIN email USING (rid) LEFT JOIN ip USING (rid) LEFT JOIN card USING (rid) LEFT JOIN phone USING (rid) LEFT JOIN iban USING (rid) LEFT JOIN ssn USING (rid) LEFT JOIN secret USING (rid)) e
+JOIN d USING (rid) LEFT JOIN email USING (rid) LEFT JOIN ip USING (rid) LEFT JOIN card USING (rid) LEFT JOIN phone USING (rid)
 """
 )
