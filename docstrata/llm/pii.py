@@ -64,7 +64,7 @@ KINDS = (
     Kind(
         "secret",
         r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?i:api_?key|secret|token|passw(?:or)?d|pwd)[\"\x27]?\x20?[:=]\x20?[\"\x27]?[A-Za-z0-9+/_.-]{16,}",
-        "[:=]\\x20?[\"\\x27]?[A-Za-z0-9+/_.-]{16}|AKIA|ASIA|gh[pousr]_|sk-|xox|AIza|PRIVATE KEY", 80, r"\b(?:key|secret|token|password|credentials?)\b",
+        "[:=AgsxP](?:(?<=[:=])\\x20?[\"\\x27]?[A-Za-z0-9+/_.-]{16}|(?<=A)(?:KIA|SIA|Iza)|(?<=g)h[pousr]_|(?<=s)k-|(?<=x)ox[abprs]-|(?<=P)RIVATE KEY)", 80, r"\b(?:key|secret|token|password|credentials?)\b",
     ),
 )
 #: ISO 13616 lengths by country.
@@ -133,38 +133,34 @@ def _spans(kind: Kind, text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("(" + kind.pattern + ")"), F.lit(1))
     # "\G" ties each try to the end of the last match; without it the tail after the last one would be scanned from every position.
     gaps = F.regexp_extract_all(text, F.lit("(?s)\\G(.*?)(?:" + kind.pattern + ")"), F.lit(1))
-    add = lambda a, x: a + x
     zero, none = F.lit(0), F.array().cast(_SPANS)
+    state = lambda at, i: F.struct(at.alias("at"), i.alias("i"), none.alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["g"])
-        end = at + F.length(x["m"])
-        score = _score(kind, F.concat(F.right(x["g"], F.lit(CONTEXT)), F.lit(" "), x["a"]))
-        keep = F.coalesce(_valid(kind.name, x["m"]), F.lit(False))
-        if kind.name not in BASE:
-            keep = keep & (score >= MIN_SCORE)
-        one = F.struct(F.lit(kind.name).alias("kind"), at.alias("start"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    def with_after(both: Column) -> Column:
-        """Matches with the gap before and what follows; the last one's text is cut from its end on."""
-        end = F.aggregate(both, zero, lambda a, x: a + F.length(x["m"]) + F.length(x["g"]))
-        after = lambda i: F.when(i < F.size(both) - 1, F.left(F.get(both, i + 1)["g"], F.lit(CONTEXT))).otherwise(F.substring(text, end + 1, F.lit(CONTEXT)))
-        return F.transform(both, lambda x, i: F.struct(x["m"].alias("m"), x["g"].alias("g"), after(i).alias("a")))
+    def fold(every: Column, some: Column, start: Column) -> Column:
+        """The spans of some of the matches, from a position and a number on."""
+
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + F.length(x["g"])
+            end = at + F.length(x["m"])
+            after = F.coalesce(F.left(F.get(every, acc["i"] + 1)["g"], F.lit(CONTEXT)), F.substring(text, end + 1, F.lit(CONTEXT)))
+            score = _score(kind, F.concat(F.right(x["g"], F.lit(CONTEXT)), F.lit(" "), after))
+            keep = F.coalesce(_valid(kind.name, x["m"]), F.lit(False))
+            if kind.name not in BASE:
+                keep = keep & (score >= MIN_SCORE)
+            one = F.struct(F.lit(kind.name).alias("kind"), at.alias("start"), end.alias("end"), score.alias("score"))
+            return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(keep, F.array_append(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(some, start, step, lambda acc: acc["spans"])
 
     def in_blocks(every: Column) -> Column:
         blocks = F.sequence(zero, F.floor((F.size(every) - 1) / BLOCK).cast("int"))
         block = lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK))
         sums = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda a, x: a + F.length(x["m"]) + F.length(x["g"])))
-
-        def fold(sums: Column) -> Column:
-            start = lambda b: F.struct(F.aggregate(F.slice(sums, F.lit(1), b), zero, add).alias("at"), none.alias("spans"))
-            return F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), start(b), step, lambda acc: acc["spans"])))
-
-        return _let(sums, fold)
+        start = lambda sums, b: state(F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x), b * BLOCK)
+        return _let(sums, lambda sums: F.flatten(F.transform(blocks, lambda b: fold(every, block(b), start(sums, b)))))
 
     both = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    folded = _let(both, lambda z: F.when(F.size(z) > 0, _let(with_after(z), in_blocks)).otherwise(none))
+    folded = _let(both, lambda z: F.when(F.size(z) <= BLOCK, fold(z, z, state(zero, zero))).otherwise(in_blocks(z)))
     return F.when(text.rlike(kind.needs), folded).otherwise(none)
 
 
