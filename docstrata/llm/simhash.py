@@ -13,7 +13,8 @@ fingerprints is dealt out in tiles (pairs of blocks), which is exact.
 
 Defined cases: null, empty and white text have fingerprint 0 and are linked like
 any other; rows with one doc_id are one document, their groups join; a null
-doc_id counts as no id (component null if nothing else is there); an empty table
+doc_id counts as no id (component null if nothing else is there), a doc_id that is
+no integer is refused with a TypeError before any job; an empty table
 gives an empty result; other columns are ignored by ``groups`` and kept by
 ``deduplicate``.
 """
@@ -27,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docstrata.llm.components import components
-from docstrata.llm.text import chunks
+from docstrata.llm.text import chunks, integral
 from docstrata.session import cut, table
 
 SEED = 42
@@ -66,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp for every row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(integral(docs, "doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 
@@ -206,15 +208,35 @@ def groups(docs: DataFrame, most: int = BITS) -> DataFrame:
     return out.toDF("doc_id", "fp", "component_id", "node")
 
 
+def _first_of(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row of each key, the one whose columns have the smallest hash; partly done before the shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return rows.select(key, row.alias("__docstrata_row"), F.xxhash64(F.to_json(row)).alias("__docstrata_hash")).groupBy(key).agg(F.min_by("__docstrata_row", "__docstrata_hash").alias("__docstrata_row")).select(key, *[F.col("__docstrata_row")[c].alias(c) for c in columns])
+
+
 def deduplicate(docs: DataFrame, most: int = BITS) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns stay. Of repeated rows one stays; rows without doc_id stay."""
-    found = groups(docs, most).where("doc_id != component_id").select(F.col("doc_id").alias("__docstrata_key")).distinct()
-    kept = docs.withColumn("__docstrata_key", F.col("doc_id").cast("bigint")).join(found, "__docstrata_key", "left_anti")
-    twice = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("__docstrata_key")).count().where("count > 1").select("__docstrata_key"))
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(twice, "__docstrata_key", "left_anti")
-    return once.unionByName(kept.join(twice, "__docstrata_key", "left_semi").dropDuplicates(["__docstrata_key"])).select(*docs.columns)
+    """One document of each group, the one with the smallest doc_id; all columns stay. Of rows with that doc_id, or of a group in which no row has one, the row whose columns have the smallest hash stays."""
+    key, columns = "__docstrata_key", docs.columns
+    found = groups(docs, most)
+    later = found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.withColumn(key, integral(docs, "doc_id")).where(F.col(key).isNotNull())
+    kept = named.join(later, key, "left_anti")
+    twice = cut(named.groupBy(key).count().where("count > 1").select(key))
+    if not twice.isEmpty():
+        kept = kept.join(twice, key, "left_anti").unionByName(_first_of(kept.join(twice, key, "left_semi"), key, columns))
+    kept = kept.select(*columns)
+    alone = cut(found.where("component_id is null").select("fp", F.col("node").alias(key)).distinct())
+    if alone.isEmpty():
+        return kept
+    schema = StructType([*docs.schema.fields, StructField("__docstrata_fp", LongType())])
+
+    def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([fingerprint(t) for t in texts], pa.int64())], [*columns, "__docstrata_fp"])
+
+    nameless = docs.where("doc_id is null").select("*", F.col("text").cast("string").alias("__docstrata_text")).mapInArrow(with_print, schema)
+    nameless = nameless.join(alone, nameless["__docstrata_fp"] == alone["fp"]).select(*[nameless[c] for c in columns], key)
+    return kept.unionByName(_first_of(nameless, key, columns).select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
