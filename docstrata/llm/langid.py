@@ -36,7 +36,8 @@ PER_LANG = 600
 #: Most rows of the sample in all.
 SAMPLE = 50_000
 LANDMARKS = 192
-DIM = 1 << 13
+BITS = 13
+DIM = 1 << BITS
 ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
 BATCH = 1024
@@ -64,7 +65,7 @@ def presence(text: bytes) -> np.ndarray:
             if not len(gram):
                 break
             if n in ORDERS:
-                out[(gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - 13)] = 1
+                out[(gram * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - BITS)] = 1
     return out
 
 

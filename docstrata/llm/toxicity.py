@@ -1,10 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Learned from a bounded sample of labelled rows (TRAIN_ROWS, those with the
-smallest hash of doc_id): a lexicon of at most LEXICON words that tell label 1
-from label 0 by smoothed log-odds of document counts, boosted trees on the
-features of three quarters of the sample, and isotonic regression of the label
-on the trees' score over the last quarter. Features: lexicon density and
+smallest hash of doc_id): from three quarters of it a lexicon of at most LEXICON
+words that tell label 1 from label 0 by smoothed log-odds of document counts, and
+boosted trees on the features; isotonic regression of the label on the trees'
+score over the last quarter, of which the lexicon knows nothing. Features: lexicon density and
 weight, nearness of second-person words, capitals, punctuation, digits,
 obfuscated lexicon words. Scoring is one pass over the whole texts with a model
 of fixed size; nothing of the corpus is shuffled.
@@ -37,6 +37,8 @@ LEXICON = 64
 LEAST_DOCS = 5
 LEAST_ODDS = 2.0
 REJECT = 0.3
+#: One of so many parts of the sample is kept for the calibration.
+PARTS = 4
 NEAR = 5
 
 #: Second-person words of the four languages.
@@ -169,21 +171,29 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
+    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]))
-    n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    ones, zeros = n.get(1, 0), n.get(0, 0)
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    # Of several texts of one doc_id the one with the smallest hash teaches.
+    sample = sample.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = cut(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))))
+    n = {(r[0], r[1] > 0): r[2] for r in sample.groupBy("toxic", F.least("part", F.lit(1)).alias("part")).count().collect()}
+    ones, zeros = (n.get((k, True), 0) + n.get((k, False), 0) for k in (1, 0))
     if not ones or not zeros:
         return Model(share=np.array([1.0 if ones else 0.0]))
+    # Without both labels, or without rows to calibrate on, the whole sample does for all.
+    apart = n.get((1, True), 0) > 0 and n.get((0, True), 0) > 0 and n.get((1, False), 0) + n.get((0, False), 0) > 0
+    teaching = sample.where("part > 0") if apart else sample
+    if apart:
+        ones, zeros = n[(1, True)], n[(0, True)]
     odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
-    counts = sample.select("toxic", "text").mapInArrow(_word_counts, "word binary, ones bigint, zeros bigint").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = teaching.select("toxic", "text").mapInArrow(_word_counts, "word binary, ones bigint, zeros bigint").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     top = counts.where(F.col("ones") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("ones")), "word").limit(LEXICON).collect()
     lexicon = {bytes(r["word"]): float(r["odds"]) for r in top}
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(lexicon), "doc_id bigint, toxic int, x array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))).orderBy("doc_id").collect()
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(lexicon), "doc_id bigint, toxic int, x array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))).orderBy("doc_id").collect()
     x, y, part = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got])
-    for_trees = part != 0 if len(set(y[part != 0])) == 2 and (part == 0).any() else np.ones(len(y), bool)
+    for_trees = part != 0 if apart else np.ones(len(y), bool)
     model = Model(lexicon)
     model.base, model.trees = boost(x[for_trees], y[for_trees])
     rest = ~for_trees if (~for_trees).any() else for_trees
