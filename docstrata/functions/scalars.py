@@ -47,22 +47,43 @@ def tokens(d, x):
 
 
 def classify_score(d, x):
-    return f"CASE WHEN {x} >= 95 THEN 'very close' WHEN {x} >= 80 THEN 'mostly similar' WHEN {x} >= 60 THEN 'partly similar' ELSE 'different' END"
+    return f"CASE WHEN {x} >= 95 THEN 'Very close' WHEN {x} >= 80 THEN 'Mostly similar' WHEN {x} >= 60 THEN 'Partly similar' ELSE 'Substantially different' END"
 
 
 # --- predicates on lines ------------------------------------------------------
 
 
+#: Signs that structure a line, and signs that wrongly decoded text is full of.
+STRUCTURE = r"[<>\[\]()/+\-.:•◦▪□☐☑☒✓✔]"
+NOISE = r"[}\]^~\x{FFFD}]"
+
+
 def readable(d, x):
     visible, alnum = d.chars(d.sub(x, f"[{WS}]", "")), d.chars(d.sub(x, r"[^\p{L}\p{N}]", ""))
-    return f"({visible} > 0 AND NOT {d.like(x, r'[\x00-\x08\x0E-\x1F\x7F]')} AND ({alnum} * 2 >= {visible} OR {d.like(x, r'[-+*/=<>()|•–—.]')}))"
+    return f"({visible} > 0 AND NOT {d.like(x, r'[\x00-\x08\x0E-\x1F\x7F\x{80}-\x{84}\x{86}-\x{9F}]')} AND ({alnum} * 2 >= {visible} OR {d.like(x, STRUCTURE)}))"
 
 
 def symbol_noise(d, x):
-    noise, visible = d.chars(d.sub(x, r"[^~^`|\\#$%&@*<>_]", "")), d.chars(d.sub(x, f"[{WS}]", ""))
+    noise, visible = d.size(d.every(x, NOISE)), d.chars(d.sub(x, f"[{WS}]", ""))
     return f"(NOT {d.like(x, r'[\[{0-9]')} AND ({noise} >= 2 OR ({noise} = 1 AND {visible} <= 5)))"
 
 
+#: Common words of the text score, and words that count wherever they stand.
+COMMON = "a an and are as be by for from in is it not of or shall the this to with agreement confidential equipment information party".split()
+EMBEDDED = "agreement confidential equipment information party shall the this".split()
+
+
+def text_score(d, x):
+    """How much like English a text reads: common words and words with vowels against long words without and signs of noise."""
+    low = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = d.keep(d.map(d.split(squeeze(d, low), " "), "w", d.sub("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), "w", "w <> ''")
+    count = lambda test: d.size(d.keep(words, "w", test))
+    listed = ", ".join(f"'{w}'" for w in COMMON)
+    embedded = " + ".join(f"CASE WHEN {d.contains(low, d.text(w))} THEN 1 ELSE 0 END" for w in EMBEDDED)
+    vowel = d.like("w", "[aeiou]")
+    return f"(12 * {count(f'w IN ({listed})')} + 6 * ({embedded}) + 3 * {count(vowel)} - 8 * {count(f'{d.octets("w")} >= 8 AND NOT {vowel}')} - 10 * {d.size(d.every(x, NOISE))})"
+
+
 def heading_ending(d, x):
     return f"(NOT {d.like(trim_ends(d, x), '[,;:]$')} AND {d.size(d.keep(d.split(squeeze(d, x), ' '), 'w', 'w != ' + chr(39) * 2))} <= 12)"
 
@@ -72,7 +93,7 @@ def list_marker(d, x):
 
 
 def bullet_prose(d, x):
-    return f"({d.like(x, f'^[{WS}]*[-*+•] ')} AND {d.size(d.every(x, r'[\p{L}]{2,}'))} >= 4 AND {d.like(x, r'\p{Ll}')})"
+    return f"({d.like(x, f'^[{WS}]*[•o] ')} AND {_worded(d, x)} >= 4 AND {d.like(x, r'\p{Ll}')})"
 
 
 def page_number_footer(d, x):
@@ -105,8 +126,13 @@ def domain_like(d, x):
     return d.like(x, r"www[.]|://|[.](?:com|org|net|ch|io)")
 
 
-def definition_prose(d, x):
-    return f"({d.chars(x)} >= 42 AND {d.size(d.split(squeeze(d, x), ' '))} >= 6 AND NOT {d.like(x, '[=+]')})"
+def _worded(d, x):
+    """How many words have two letters or more."""
+    return d.size(d.keep(d.split(squeeze(d, x), " "), "w", f"{d.chars(d.sub('w', r'[^\p{L}]', ''))} >= 2"))
+
+
+def definition_prose(d, x, font="12"):
+    return f"({font} BETWEEN 7 AND 12.5 AND NOT {d.like(x, '[=+]')} AND NOT {domain_like(d, x)} AND {leader_page(d, x)} = '' AND {d.like(x, r'\p{Ll}')} AND {d.chars(x)} >= 42 AND {_worded(d, x)} >= 6)"
 
 
 def numeric_cells(d, x):
@@ -450,3 +476,67 @@ def connector(d, words):
 def open_parenthesis(d, words):
     """``E`` between two lower-case words is an opening parenthesis."""
     return d.sub(words, r"([a-z]{2,}) E ([a-z]{2,})", r"\1 (\2")
+
+
+# --- boxes, rules, matrices -------------------------------------------------------
+
+#: The page that boxes are measured against.
+PAGE_WIDTH, PAGE_HEIGHT = 612, 792
+
+
+def dark(d, colour):
+    return f"({luminance(d, colour)} < 48)"
+
+
+def hairline(d, fill, stroke, w, h):
+    """A dark horizontal hairline: filled, not stroked, 40 wide and 1.5 high at most."""
+    return f"coalesce({stroke} IS NULL AND {fill} IS NOT NULL AND {dark(d, fill)} AND {w} >= 40 AND {h} <= 1.5, false)"
+
+
+def long_rule_above(d, a, b, page_height=PAGE_HEIGHT):
+    """Whether rule b (x, y, w, h) runs above the right end of the short hairline a."""
+    gap = f"(({page_height} - {a}.y - {a}.h) - ({page_height} - {b}.y - {b}.h))"
+    return f"({gap} BETWEEN 6 AND 24 AND {b}.w >= 3.5 * {a}.w AND {b}.w >= 320 AND {a}.x >= {b}.x + 0.75 * {b}.w AND {a}.x + {a}.w <= {b}.x + {b}.w + 80 AND {a}.x <= {b}.x + {b}.w + 8)"
+
+
+def in_header(a, page_height=PAGE_HEIGHT):
+    return f"({page_height} - {a}.y - {a}.h <= 0.16 * {page_height} AND {a}.w <= 180)"
+
+
+def container(d, fill, stroke, w, h):
+    return f"({fill} IS NOT NULL AND {stroke} IS NULL AND {w} * {h} >= {PAGE_WIDTH * PAGE_HEIGHT} * 0.015 AND {w} >= {PAGE_WIDTH} * 0.12 AND {h} >= {PAGE_HEIGHT} * 0.035)"
+
+
+def wide_clip(d, w, h):
+    return f"({w} >= 100 AND {h} >= 20 AND {w} / greatest({h}, 1.0) >= 3)"
+
+
+def times(m, n):
+    """The product of two matrices (a, b, c, d, e, f), n applied first."""
+    (a, b, c, d, e, f_), (o, p, q, r, s_, t) = m, n
+    return (f"({a} * {o} + {c} * {p})", f"({b} * {o} + {d} * {p})", f"({a} * {q} + {c} * {r})", f"({b} * {q} + {d} * {r})", f"({a} * {s_} + {c} * {t} + {e})", f"({b} * {s_} + {d} * {t} + {f_})")
+
+
+def moved(m, x, y):
+    return f"({m[0]} * {x} + {m[2]} * {y} + {m[4]})", f"({m[1]} * {x} + {m[3]} * {y} + {m[5]})"
+
+
+def moved_box(m, x, y, w, h):
+    """left, bottom, width, height of the box around a moved box."""
+    corners = [moved(m, a, b) for a in (x, f"({x} + {w})") for b in (y, f"({y} + {h})")]
+    xs, ys = ", ".join(c[0] for c in corners), ", ".join(c[1] for c in corners)
+    return f"least({xs})", f"least({ys})", f"(greatest({xs}) - least({xs}))", f"(greatest({ys}) - least({ys}))"
+
+
+def advance(d, text, width, char_space, word_space, scaling, scale_x):
+    """Points that a shown text moves on: its width, a space after each character but the last, and one for each space sign."""
+    spacing = f"(greatest({d.chars(text)} - 1, 0) * {char_space} + ({d.chars(text)} - {d.chars(d.replace(text, ' ', ''))}) * {word_space})"
+    return f"(({width} + {spacing}) * greatest({scaling} / 100.0, 0.01) * {scale_x})"
+
+
+def drawn_line(x1, y1, x2, y2, width):
+    """left, bottom, width, height of a drawn line as a box; null where it is slanted or too short."""
+    thick = f"greatest({width}, 0.25)"
+    level, upright = f"(abs({y1} - {y2}) < 0.1)", f"(abs({x1} - {x2}) < 0.1)"
+    pick = lambda a, b: f"CASE WHEN {level} THEN CASE WHEN abs({x1} - {x2}) >= 0.25 THEN {a} END WHEN {upright} AND abs({y1} - {y2}) >= 0.25 THEN {b} END"
+    return pick(f"least({x1}, {x2})", f"{x1} - {thick} / 2"), pick(f"{y1} - {thick} / 2", f"least({y1}, {y2})"), pick(f"abs({x1} - {x2})", thick), pick(thick, f"abs({y1} - {y2})")

@@ -31,10 +31,7 @@ def line_stats(a: list[str], b: list[str]) -> dict[str, int]:
         elif tag == "insert":
             out["right_only"] += m - k
         else:
-            both = min(j - i, m - k)
-            out["changed"] += both
-            out["left_only"] += j - i - both
-            out["right_only"] += m - k - both
+            out["changed"] += max(j - i, m - k)
     return out
 
 
@@ -49,15 +46,19 @@ def diff_html(a: list[str], b: list[str], context: int = 3) -> str:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """pairs (id, left_text, right_text) with score, band, line statistics and the difference."""
+    """pairs (key columns..., left_text, right_text) with score, band, line statistics and the difference."""
+    keys = [f for f in pairs.schema.fields if f.name not in ("left_text", "right_text")]
+    names = [f.name for f in keys]
+    made = ["score", "matching", "left_only", "right_only", "changed", "diff"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, a, b in zip(batch["id"], batch["left_text"], batch["right_text"], strict=True):
+            for a, b in zip(batch["left_text"], batch["right_text"], strict=True):
                 x, y = lines(a), lines(b)
-                rows.append({"id": key, "score": ratio(a, b), **line_stats(x, y), "diff": diff_html(x, y)})
-            yield pd.DataFrame(rows, columns=["id", "score", "matching", "left_only", "right_only", "changed", "diff"])
+                rows.append({"score": ratio(a, b), **line_stats(x, y), "diff": diff_html(x, y)})
+            yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(rows, columns=made)], axis=1)
 
-    made = pairs.select(F.col("id").cast("bigint").alias("id"), "left_text", "right_text").mapInPandas(run, "id bigint, score double, matching bigint, left_only bigint, right_only bigint, changed bigint, diff string")
-    return made.withColumn("band", F.when(F.col("score") >= 95, "very close").when(F.col("score") >= 80, "mostly similar").when(F.col("score") >= 60, "partly similar").otherwise("different"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "score double, matching bigint, left_only bigint, right_only bigint, changed bigint, diff string"])
+    out = pairs.select(*[f"`{n}`" for n in names], "left_text", "right_text").mapInPandas(run, schema)
+    return out.withColumn("band", F.when(F.col("score") >= 95, "Very close").when(F.col("score") >= 80, "Mostly similar").when(F.col("score") >= 60, "Partly similar").otherwise("Substantially different"))

@@ -15,9 +15,12 @@ from docstrata.operators.model import Block, Inline, plain
 
 #: Distances in points, or in parts of a font size.
 SAME_LINE, SAME_TURN, DUPLICATE = 3.0, 15.0, 1.0
-SPACE_GAP, CELL_GAP, ROW_GAP = 0.25, 2.25, 2.5
+SPACE_GAP, CELL_GAP, LEAST_CELL_GAP, ROW_GAP = 0.25, 1.75, 18.0, 2.5
 HEADING, PARAGRAPH_GAP, INDENT = 1.25, 1.8, 2.0
 CLUSTER = 4.0
+ANCHOR, ANCHOR_SEGMENTS = 3.0, 3
+SAME_VISUAL_LINE = 0.35
+TABLE_WINDOW, LEFT_OF_TABLE, CONTINUATION, COLUMN_STEP = 4, 6.0, 12.0, 24.0
 
 
 @dataclass
@@ -79,24 +82,68 @@ def split_cells(cells: list[Segment]) -> list[list[Segment]]:
     """Runs of segments without a wide gap."""
     out: list[list[Segment]] = []
     for s in cells:
-        if out and s.x - max(c.x + c.width for c in out[-1]) < CELL_GAP * max(8.0, s.font):
+        gap = max(LEAST_CELL_GAP, CELL_GAP * max(8.0, cells[0].font))
+        if out and s.x - end < gap:
             out[-1].append(s)
+            end = max(end, s.x + s.width)
         else:
             out.append([s])
+            end = s.x + s.width
     return out
 
 
+def repeated_anchors(segments: list[Segment]) -> list[float]:
+    """Left edges that three segments or more share: each joins the first mean within 3 points, in the segments' order."""
+    means: list[list[float]] = []
+    for s in segments:
+        if s.text.strip() and s.width > 0 and not re.fullmatch(r"\s*(?:[-*+•o]|[0-9]+[.)])\s*", s.text):
+            for mean in means:
+                if abs(mean[0] - s.x) <= ANCHOR:
+                    mean[0] = (mean[0] * mean[1] + s.x) / (mean[1] + 1)
+                    mean[1] += 1
+                    break
+            else:
+                means.append([s.x, 1])
+    return sorted(m for m, n in means if n >= ANCHOR_SEGMENTS)
+
+
+def visual_groups(segments: list[Segment]) -> list[list[Segment]]:
+    """Runs of segments from the top that stand within 0.35 of the larger font of the run's first one, turned alike."""
+    out: list[list[Segment]] = []
+    for s in sorted(segments, key=lambda s: (-s.y, s.x, s.seq)):
+        first = out[-1][0] if out else None
+        if first is not None and abs(first.y - s.y) <= SAME_VISUAL_LINE * max(first.font, s.font) and abs(first.turn - s.turn) < 0.5:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
+def common_columns(lines: list[Line]) -> list[float]:
+    """Left edges of cells that half of the lines, two at least, share within 4 points of the least."""
+    clusters: list[tuple[float, set[int]]] = []
+    for x, k in sorted((cell[0].x, k) for k, line in enumerate(lines) for cell in split_cells(line.cells)):
+        if clusters and x - clusters[-1][0] <= CLUSTER:
+            clusters[-1][1].add(k)
+        else:
+            clusters.append((x, {k}))
+    return [x for x, seen in clusters if len(seen) >= max(2, -(-len(lines) // 2))]
+
+
 def text_lines(segments: list[Segment]) -> list[Line]:
     """Lines from the top: a segment joins the first line within 3 points and about its direction."""
     groups: list[list[Segment]] = []
     for s in deduplicate(sorted(segments, key=lambda s: (-s.y, s.x, s.seq))):
-        # Lines are met from the top, so only the last ones can be near.
-        for g in groups[-8:]:
-            if abs(g[0].y - s.y) <= SAME_LINE and abs((g[0].turn - s.turn + 180) % 360 - 180) <= SAME_TURN:
-                g.append(s)
-                break
-        else:
+        # Lines are met from the top, so only the last ones can be near; the first of them that fits is taken.
+        fits, k = None, len(groups) - 1
+        while k >= 0 and groups[k][0].y - s.y <= SAME_LINE:
+            if abs((groups[k][0].turn - s.turn + 180) % 360 - 180) <= SAME_TURN:
+                fits = groups[k]
+            k -= 1
+        if fits is None:
             groups.append([s])
+        else:
+            fits.append(s)
     out = []
     for g in groups:
         cells = sorted(g, key=lambda s: (s.x, s.seq))
@@ -128,7 +175,7 @@ MARKER = re.compile(r"^(?:([-*+•o]) |([0-9]{1,9})[.)] )(.*)$")
 
 def is_heading(lines: list[Line], i: int, median: float) -> bool:
     line = lines[i]
-    if len(line.text.encode()) > 120 or line.text.endswith(".") or line.font < HEADING * median:
+    if len(line.text.encode()) > 120 or line.text.endswith(".") or "  " in line.text or line.font < HEADING * median:
         return False
     above = i == 0 or lines[i - 1].y - line.y >= 1.5 * line.font
     below = i + 1 == len(lines) or line.y - lines[i + 1].y >= 1.5 * lines[i + 1].font
@@ -141,29 +188,60 @@ def heading_level(role: str | None, ratio: float) -> int:
     return 1 if role in ("H", "Title") or ratio >= 1.6 else 2
 
 
+def bullet_prose(value: str) -> bool:
+    return bool(re.match(r"\s*[•o] ", value)) and sum(sum(c.isalpha() for c in w) >= 2 for w in value.split()) >= 4 and any(c.islower() for c in value)
+
+
+def _nearest(columns: list[float], x: float) -> int:
+    return min(range(len(columns)), key=lambda n: (abs(columns[n] - x), n))
+
+
+def _continued(columns: list[float], row: list[str], line: Line) -> int | None:
+    """The cell that a line without cells of its own goes on with: the nearest column at or left of it, else the last one if the line begins in mid-sentence."""
+    near = [n for n, x in enumerate(columns) if line.x + CONTINUATION >= x]
+    at = min(near, key=lambda n: (abs(columns[n] - line.x), n)) if near else 0
+    if at > 0:
+        return at
+    start = line.text.lstrip()
+    if not start or ":" in start or re.match("[0-9A-Z]", start) or len(row) < 2:
+        return None
+    return len(row) - 1
+
+
 def _table(lines: list[Line], i: int) -> tuple[Block | None, int]:
-    """A table that starts at line i: two or more lines of two or more cells in common columns."""
-    rows, end = [], i
+    """A table that starts at line i: two or more lines that fill the columns which the next lines share, with wrapped cells."""
+    columns = common_columns(lines[i : i + TABLE_WINDOW]) if len(lines) - i >= 2 else []
+    if len(columns) < 2 or bullet_prose(lines[i].text):
+        return None, i
+    rows: list[list[str]] = []
+    end = i
     while end < len(lines):
-        cells = split_cells(lines[end].cells)
-        if len(cells) < 2 or MARKER.match(lines[end].text) or end > i and lines[end - 1].y - lines[end].y > ROW_GAP * max(8.0, lines[end].font):
+        line = lines[end]
+        drop = lines[end - 1].y - line.y if end > i else 0.0
+        limit = ROW_GAP * max(8.0, line.font, lines[end - 1].font if end > i else 0.0)
+        if drop > limit or line.cells[0].x + LEFT_OF_TABLE < columns[0]:
+            break
+        values: list[list[str]] = [[] for _ in columns]
+        for segment in line.cells:
+            values[_nearest(columns, segment.x)].append(segment.text)
+        texts = [" ".join(" ".join(v).split()) for v in values]
+        if texts[0] and sum(bool(t) for t in texts) >= 2:
+            rows.append(texts)
+        elif rows and drop > 0 and not is_tabular(line) and not MARKER.match(line.text) and (at := _continued(columns, rows[-1], line)) is not None:
+            rows[-1][at] = f"{rows[-1][at]} {line.text}".strip()
+        else:
             break
-        rows.append(cells)
         end += 1
     if len(rows) < 2:
         return None, i
-    least = max(2, -(-len(rows) // 2))
-    columns = [c[0] for c in anchors([c[0].x for r in rows for c in r]) if len(c) >= least]
-    if len(columns) < 2:
-        return None, i
-    out = []
-    for k, row in enumerate(rows):
-        values = [""] * len(columns)
-        for cell in row:
-            at = min(range(len(columns)), key=lambda n: (abs(columns[n] - cell[0].x), n))
-            values[at] = f"{values[at]} {joined(cell)}".strip()
-        out.append([([("text", v, {})] if v else [], k == 0, "right" if k and re.fullmatch(r"[0-9.,%+\- ]+", v) else "", 1, 1) for v in values])
-    return Block("table", rows=out), end
+    made = [[([("text", v, {})] if v else [], k == 0, "right" if k and re.fullmatch(r"[0-9.,%+\- ]+", v) else "", 1, 1) for v in row] for k, row in enumerate(rows)]
+    return Block("table", rows=made), end
+
+
+def is_tabular(line: Line) -> bool:
+    """Two cells or more, each 24 points right of the one before."""
+    cells = split_cells(line.cells)
+    return not bullet_prose(line.text) and len(cells) >= 2 and all(b[0].x - a[0].x >= COLUMN_STEP for a, b in zip(cells, cells[1:], strict=False))
 
 
 def page_blocks(segments: list[Segment]) -> list[Block]:

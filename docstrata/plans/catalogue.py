@@ -54,6 +54,26 @@ def _tags(d) -> str:
     return f"SELECT page_id, i - 1 AS seq, ts[i] AS tag FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT page_id, {d.every('html', tag)} AS ts FROM @pages))"
 
 
+def _spread(d) -> str:
+    """Derived segments with wide gaps: 40 points more after each word that ends a clause."""
+    ends = d.like("text", "[.,]$")
+    return f"""SELECT doc_id, line_no, seq, text, y, font, width, x + 40 * coalesce(sum(CASE WHEN {ends} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM ({_words(d)}) b"""
+
+
+def _cells(d) -> str:
+    """Segments with their cell: one begins where a gap of 1.75 font sizes (8 at least), 18 points at least, lies before it."""
+    end = "max(x + width) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    heads = f"SELECT *, CASE WHEN x - {end} < greatest(1.75 * greatest(font, 8), 18) THEN 0 ELSE 1 END AS head FROM ({_spread(d)}) b"
+    return f"SELECT *, CAST(sum(head) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cell FROM ({heads}) h"
+
+
+#: Filled and stroked boxes on a page, header rules and matrices, made of the lines of orders.
+_BOXES = """SELECT l_orderkey, l_linenumber, CAST(l_quantity * 10 AS DOUBLE) AS x, CAST(l_discount * 7000 AS DOUBLE) AS y, CAST(l_tax * 5000 + 20 AS DOUBLE) AS w, CAST(l_linenumber * 20 AS DOUBLE) AS h,
+  CASE WHEN l_linenumber % 3 > 0 THEN '#202020' END AS fill, CASE WHEN l_linenumber % 4 = 0 THEN '#000000' END AS stroke FROM @lineitem"""
+_RULES = """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 60.0 ELSE CAST(340 + l_quantity * 4 AS DOUBLE) END AS x, CAST(CASE l_linenumber WHEN 1 THEN 765 ELSE 765 - l_discount * 300 END AS DOUBLE) AS y,
+  CASE l_linenumber WHEN 1 THEN 420.0 ELSE CAST(30 + l_tax * 1200 AS DOUBLE) END AS w, 1.0 AS h, CASE WHEN l_linenumber % 5 = 4 THEN '#808080' ELSE '#101010' END AS fill, CASE WHEN l_linenumber % 7 = 6 THEN '#000000' END AS stroke FROM @lineitem"""
+_MATRICES = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, CAST(l_tax * 100 + 1 AS DOUBLE) AS w, CAST(l_discount * 50 + 1 AS DOUBLE) AS h, CAST(l_quantity / 8 AS DOUBLE) AS a, CAST(l_tax AS DOUBLE) AS b, CAST(-l_discount AS DOUBLE) AS c, CAST(l_linenumber / 2.0 AS DOUBLE) AS dd, CAST(l_quantity AS DOUBLE) AS e, CAST(l_linenumber AS DOUBLE) AS f FROM @lineitem"
+
 _RECTS = "SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_tax * 500 + 1 AS w, CAST(l_linenumber AS DOUBLE) AS h, l_discount AS c, l_tax AS m FROM @lineitem"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,8 +116,8 @@ _scalar("p21_p22_xml_line", _tags, "page_id, seq", {"xml": lambda d: f.xml_line(
 _scalar("p23_link_uri", lambda d: "SELECT page_id, url FROM @pages", "page_id", {"plausible": lambda d: f.link_uri(d, "url")})
 _scalar("p25_column_start", _lines, LINE, {"starts": lambda d: f.column_start(d, "line")})
 _scalar("p26_p32_domain_like", _lines, LINE, {"domain": lambda d: f.domain_like(d, "line")})
-_scalar("p34_definition_prose", _lines, LINE, {"prose": lambda d: f.definition_prose(d, "line")})
-_scalar("p39_p82_attributes", _tags, "page_id, seq", {"tag_name": lambda d: f.tag_name(d, "tag"), "class_name": lambda d: f.attribute(d, "tag", "class"), "href": lambda d: f.attribute(d, "tag", "href"), "has_ad": lambda d: d.contains(f.attribute(d, "tag", "class"), d.text("ad"))})
+_scalar("p34_definition_prose", lambda d: f"SELECT doc_id, line_no, line, CAST(6 + line_no % 9 AS DOUBLE) AS font FROM ({_lines(d)}) b", LINE, {"prose": lambda d: f.definition_prose(d, "line", "font")})
+_scalar("p39_f82_attributes", _tags, "page_id, seq", {"tag_name": lambda d: f.tag_name(d, "tag"), "class_name": lambda d: f.attribute(d, "tag", "class"), "href": lambda d: f.attribute(d, "tag", "href"), "has_ad": lambda d: d.contains(f.attribute(d, "tag", "class"), d.text("ad"))})
 _scalar("p40_generated_variant", _names, NAME, {"generated": lambda d: d.like(f.strip_extension(d, "name"), "(?i)[.]include-images$")})
 _scalar("m16_table_alignment", _words, "doc_id, line_no, seq", {"is_right": lambda d: f.numeric_cells(d, "text")})
 _scalar("f22_f23_f43_tokens", _words, "doc_id, line_no, seq", {"number": lambda d: f.plain_number(d, "text"), "identifier": lambda d: f.plain_identifier(d, "text"), "fill_sign": lambda d: f.fill_sign(d, "text")})
@@ -109,7 +129,7 @@ _scalar("f06_f09_spacing", lambda d: f"SELECT doc_id, line_no, concat('( ', line
 _scalar("f38_f40_markers", lambda d: f"SELECT doc_id, line_no, concat('Note3to Figure 3Œ ', line) AS line FROM ({_lines(d)})", LINE, {"fixed": lambda d: f.caption_dash(d, f.note_markers(d, "line"))})
 _scalar("f34_acronym_title", lambda d: f"SELECT doc_id, line_no, concat('ABC', line) AS line FROM ({_lines(d)})", LINE, {"fixed": lambda d: f.acronym_title(d, "line")})
 _scalar("f41_f42_url_text", lambda d: "SELECT page_id, url FROM @pages", "page_id", {"normal": lambda d: f.url_text(d, "url"), "target": lambda d: f.link_target(d, "url")})
-_scalar("f32_f33_leader_lines", lambda d: f"SELECT doc_id, line_no, concat(substr(line, 1, 40), ' . . . . ', CASE line_no % 2 WHEN 0 THEN 'NP' ELSE '17' END) AS line FROM ({_lines(d)})", LINE, {"label": lambda d: f.leader_label(d, "line"), "page": lambda d: f.leader_page(d, "line"), "digits": lambda d: f.marker_digits(d, f.leader_page(d, "line"))})
+_scalar("f32_f33_leader_lines", lambda d: f"SELECT doc_id, line_no, concat(line, ' . . . . ', CASE line_no % 2 WHEN 0 THEN 'NP' ELSE '17' END) AS line FROM ({_lines(d)})", LINE, {"label": lambda d: f.leader_label(d, "line"), "page": lambda d: f.leader_page(d, "line"), "digits": lambda d: f.marker_digits(d, f.leader_page(d, "line"))})
 _scalar("s34_title_clean", lambda d: f"SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN concat('Microsoft Word - ', line) WHEN 1 THEN concat(line, '.docx') WHEN 2 THEN 'Draft' ELSE line END AS line FROM ({_lines(d)}) WHERE line_no = 0", "doc_id", {"title": lambda d: f.document_title(d, "line")})
 _scalar("f44_f45_text_width", _lines, LINE, {"width": lambda d: f.text_width(d, "line"), "mono": lambda d: f"{d.chars('line')} * 12 * CAST(0.6 AS DOUBLE)"})
 _scalar("f46_md_heading", _markdown, MD, {"depth": lambda d: f.heading_depth(d, "line"), "heading": lambda d: f.heading_text(d, "line")})
@@ -133,33 +153,34 @@ _scalar("f83_tag_names", _tags, "page_id, seq", {"tag_name": lambda d: f.tag_nam
 _scalar("k09_k10_escape", lambda d: "SELECT page_id, html FROM @pages", "page_id", {"escaped": lambda d: f.escape_html(d, "html"), "attr": lambda d: f.escape_attribute(d, "html")})
 _scalar("k11_k12_attributes", lambda d: "SELECT page_id, url FROM @pages", "page_id", {"attr": lambda d: f"concat(' href=\"', {f.escape_attribute(d, 'url')}, '\"')", "number": lambda d: "CASE WHEN page_id % 2 = 0 THEN concat(' width=\"', CAST(page_id AS VARCHAR(12)), '\"') ELSE '' END"})
 _scalar("k17_k18_heading_paragraph", _markdown, MD, {"block": lambda d: f"CASE WHEN {f.heading_depth(d, 'line')} > 0 THEN concat('<h', CAST({f.heading_depth(d, 'line')} AS VARCHAR(9)), '>', {f.escape_html(d, f.heading_text(d, 'line'))}, '</h', CAST({f.heading_depth(d, 'line')} AS VARCHAR(9)), '>') ELSE concat('<p>', {f.escape_html(d, 'line')}, '</p>') END"})
-_scalar("k25_k26_table_rows", lambda d: f"SELECT * FROM ({_markdown(d)}) WHERE line_no % 12 = 6", MD, {"row_html": lambda d: f"concat('<tr>', {d.join(d.map(f.cells(d, 'line'), 'c', 'concat(' + d.text('<td>') + ', ' + f.escape_html(d, 'c') + ', ' + d.text('</td>') + ')'), '')}, '</tr>')"})
+_scalar("k25_k26_table_rows", lambda d: f"SELECT * FROM ({_markdown(d)}) m WHERE {d.like('line', '^[|]')}", MD, {"row_html": lambda d: f"concat('<tr>', {d.join(d.map(f.cells(d, 'line'), 'c', 'concat(' + d.text('<td>') + ', ' + f.escape_html(d, 'c') + ', ' + d.text('</td>') + ')'), '')}, '</tr>')"})
 _scalar("k23_checkbox", _markdown, MD, {"box": lambda d: f"CASE {f.task_state(d, 'line')} WHEN 'done' THEN '<input type=\"checkbox\" disabled checked>' WHEN 'open' THEN '<input type=\"checkbox\" disabled>' ELSE '' END"})
 _scalar("m04_m05_m06_colours", lambda d: _RECTS, "l_orderkey, l_linenumber", {"rgb": lambda d: f.rgb(d, "c", "m", "c"), "gray": lambda d: f.rgb(d, "m", "m", "m"), "cmyk": lambda d: f.cmyk(d, "c", "m", "0.25", "0.125")})
 _scalar("m13_m14_f88_luminance", lambda d: f"SELECT l_orderkey, l_linenumber, {f.rgb(d, 'c', 'm', 'c * 4')} AS colour FROM ({_RECTS})", "l_orderkey, l_linenumber", {"lum": lambda d: f.luminance(d, "colour"), "neutral": lambda d: f.neutral(d, "colour"), "red": lambda d: f.hex_channel(d, "colour", 0)})
 _scalar("p09_p10_rotation", lambda d: "SELECT l_orderkey, l_linenumber, CAST(l_quantity * 37 - 900 AS DOUBLE) AS turn FROM @lineitem", "l_orderkey, l_linenumber", {"normal": lambda d: f.normalized_rotation(d, "turn"), "rotated": lambda d: f"abs({f.normalized_rotation(d, 'turn')}) >= 30"})
-_scalar("m01_m07_m08_affine", lambda d: _RECTS, "l_orderkey, l_linenumber", {"px": lambda d: "2 * x + 3 * y + 10", "py": lambda d: "-1 * x + 2 * y + 5", "left_edge": lambda d: "least(2 * x + 3 * y, 2 * (x + w) + 3 * y, 2 * x + 3 * (y + h), 2 * (x + w) + 3 * (y + h)) + 10", "right_edge": lambda d: "greatest(2 * x + 3 * y, 2 * (x + w) + 3 * y, 2 * x + 3 * (y + h), 2 * (x + w) + 3 * (y + h)) + 10"})
-_scalar("m15_m18_m19_shapes", lambda d: _RECTS, "l_orderkey, l_linenumber", {"dim": lambda d: "CAST(greatest(1, floor(w + 0.5)) AS BIGINT)", "thin": lambda d: "CASE WHEN w > h * 3 THEN 'horizontal' WHEN h > w * 3 THEN 'vertical' ELSE 'box' END", "wide": lambda d: "w >= 30 AND h >= 2 AND w / h >= 3"})
-_scalar("m03_text_advance", lambda d: _RECTS, "l_orderkey, l_linenumber", {"advance": lambda d: "(w + 0.5) * 1.25 * h"})
+_M, _N = ("a", "b", "c", "dd", "e", "f"), ("dd", "c", "b", "a", "f", "e")
+_scalar("m01_m07_m08_affine", lambda d: _MATRICES, "l_orderkey, l_linenumber", {**{f"m{k}": (lambda d, k=k: f.times(_M, _N)[k]) for k in range(6)}, "px": lambda d: f.moved(_M, "x", "y")[0], "py": lambda d: f.moved(_M, "x", "y")[1], **{n: (lambda d, k=k: f.moved_box(_M, "x", "y", "w", "h")[k]) for k, n in enumerate(("box_x", "box_y", "box_w", "box_h"))}})
+_scalar("m15_m19_shapes", lambda d: _BOXES, "l_orderkey, l_linenumber", {"dim": lambda d: "CAST(greatest(1, floor(w + 0.5)) AS BIGINT)", "wide": lambda d: f.wide_clip(d, "w", "h")})
+_LINES = ("x", "y", "CASE WHEN l_linenumber % 3 = 0 THEN x ELSE x + w END", "CASE WHEN l_linenumber % 3 = 1 THEN y ELSE y + h END", "l_linenumber / 4.0")
+_scalar("m18_line_shape", lambda d: _MATRICES, "l_orderkey, l_linenumber", {n: (lambda d, k=k: f.drawn_line(*_LINES)[k]) for k, n in enumerate(("box_x", "box_y", "box_w", "box_h"))})
+_scalar("m03_text_advance", _words, "doc_id, line_no, seq", {"advance": lambda d: f.advance(d, "text", "width", "0.25", "1.5", "(80 + seq % 3 * 10)", "(1 + line_no % 2)")})
 _scalar("p15_p38_image_rules", lambda d: _RECTS, "l_orderkey, l_linenumber", {"content_image": lambda d: "w >= 8 AND h >= 3 AND w * h >= 40", "background": lambda d: "w * h >= 0.95 * 41 * 7"})
 _scalar("p01_p04_visible", lambda d: "SELECT event_id, CASE WHEN event_type = 'click' THEN 'Artifact' WHEN user_id % 2 = 0 THEN event_type END AS role, user_id % 8 AS mode FROM @events", "event_id, role, mode", {"drawn": lambda d: "mode NOT IN (3, 7)"}, "role IS NULL OR role <> 'Artifact'")
 _scalar("g02_threshold", lambda d: "SELECT DISTINCT n_chars AS pages FROM @documents", "pages", {"least_repeats": lambda d: f"CASE WHEN pages <= 1 THEN 2 ELSE greatest(2, {d.div('pages', '3')}) END"})
 _scalar("f87_table_size", lambda d: "SELECT doc_id, concat(CAST(doc_id % 30 AS VARCHAR(9)), 'x', CAST(doc_id % 17 AS VARCHAR(9))) AS size FROM @documents", "doc_id", {"n_rows": lambda d: f"least(20, greatest(1, {d.whole(d.get('size', '^([0-9]+)x[0-9]+$', 1))}))", "n_cols": lambda d: f"least(12, greatest(1, {d.whole(d.get('size', '^[0-9]+x([0-9]+)$', 1))}))"})
 _scalar("f85_f86_style", lambda d: "SELECT doc_id, concat('color:#', CAST(doc_id % 999 AS VARCHAR(9)), ';left:', CAST(doc_id AS VARCHAR(12)), '.5pt;width:3px') AS style FROM @documents", "doc_id", {"left_pt": lambda d: d.double(d.get("style", r"(?:^|;)\s*left\s*:\s*(-?[0-9]+(?:[.][0-9]+)?)", 1)), "colour": lambda d: d.get("style", r"(?:^|;)\s*color\s*:\s*([^;]*)", 1)})
-_scalar("k33_j31_outline", lambda d: f"SELECT * FROM ({_markdown(d)}) WHERE line_no % 12 = 0", MD, {"depth": lambda d: f.heading_depth(d, "line"), "heading": lambda d: f.heading_text(d, "line")})
+_scalar("k33_j31_outline", lambda d: f"SELECT * FROM ({_markdown(d)}) m WHERE {f.heading_depth(d, 'line')} > 0", MD, {"depth": lambda d: f.heading_depth(d, "line"), "heading": lambda d: f.heading_text(d, "line")})
 
-#: Common words of the text score.
-_COMMON = "('the', 'and', 'of', 'to', 'in', 'is', 'for', 'that', 'with', 'der', 'die', 'und', 'les', 'des', 'que', 'las', 'los')"
-_scalar("g24_text_score", lambda d: "SELECT doc_id, text FROM @documents", "doc_id", {"score": lambda d: f"12 * {d.size(d.keep(f.tokens(d, 'text'), 'w', 'w IN ' + _COMMON))} + 3 * {d.size(d.every('text', '[aeiouAEIOU]'))} - 8 * {d.size(d.every('text', r'[|~^#]'))} - 10 * {d.size(d.every('text', r'[\x00-\x08\x{FFFD}]'))}"})
+_scalar("g24_text_score", lambda d: "SELECT doc_id, text FROM @documents", "doc_id", {"score": lambda d: f.text_score(d, "text")})
 
-_scalar("f11_f13_shifted_text", _words, "doc_id, line_no, seq", {"unshifted": lambda d: f.unshift(d, "text"), "choice": lambda d: f.shift_wins(d, d.size(d.every("text", "[aeiou]")), d.size(d.every(f.unshift(d, "text"), "[aeiou]")), "2")})
+_scalar("f11_f13_shifted_text", _words, "doc_id, line_no, seq", {"unshifted": lambda d: f.unshift(d, "text"), "choice": lambda d: f.shift_wins(d, f.text_score(d, "text"), f.text_score(d, f.unshift(d, "text")), "2")})
 _scalar("f16_f36_f37_literal_repairs", lambda d: f"SELECT doc_id, line_no, concat('Ł h a r m o n i c >& ', line, ' >' || chr(39) || ' ––') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.literal(d, f.literal(d, "line", f.SYMBOLS), f.SPLIT_WORDS)})
 _scalar("f19_f26_shifted_numbers", lambda d: f"SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN 'NPIQ' WHEN 1 THEN 'MNV' ELSE line END AS word FROM ({_lines(d)}) b", LINE, {"number": lambda d: f.shifted_number(d, "word")})
 _scalar("f24_f39_fiscal_markers", lambda d: f"SELECT doc_id, line_no, concat('e3(Q3 ', line, ' Œ3Œ') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.number_markers(d, f.fiscal_period(d, "line"))})
 _scalar("w15_w17_connectors", lambda d: f"SELECT doc_id, line_no, concat('Sales C Marketing and profit E loss ', line) AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.open_parenthesis(d, f.connector(d, "line"))})
 _scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambda d: "x BETWEEN 0.35 * 612 AND 0.68 * 612"})
-_scalar("g20_polygon_area", lambda d: _RECTS, "l_orderkey, l_linenumber", {"area": lambda d: "abs((x * y - (x + w) * y) + ((x + w) * (y + h) - (x + w) * y) + ((x + w) * (y + h) - x * (y + h)) + (x * y - x * (y + h))) * 0.5"})
-_scalar("p35_container_path", lambda d: _RECTS, "l_orderkey, l_linenumber", {"prepaint": lambda d: "c > 0 AND m = 0 AND w * h >= 0.015 * 41 * 7"})
+_register("g20_polygon_area", lambda d: f"WITH p AS (SELECT l_orderkey, x, y, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM ({_BOXES}) b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w)) SELECT l_orderkey, CASE WHEN count(*) < 3 THEN CAST(0 AS DOUBLE) ELSE round(abs(sum(x * ny - nx * y)) / 2, 3) END AS area FROM p GROUP BY l_orderkey")
+_scalar("p35_container_path", lambda d: _BOXES, "l_orderkey, l_linenumber", {"prepaint": lambda d: f.container(d, "fill", "stroke", "w", "h")})
 
 # --- relational plans --------------------------------------------------------------------
 
@@ -174,7 +195,7 @@ def _furniture(d) -> str:
 
 
 _register("furniture_keys", lambda d: f"WITH {_furniture(d) % 3} SELECT source, key, n FROM bad")
-_register("furniture_removed", lambda d: f"WITH {_furniture(d) % 3} SELECT doc_id, line_no, line FROM k WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = k.source AND bad.key = k.key)")
+_register("furniture_removed", lambda d: f"WITH {_furniture(d) % 3} SELECT doc_id, line_no, line FROM k WHERE key IS NULL UNION ALL SELECT doc_id, line_no, line FROM (SELECT * FROM k WHERE key IS NOT NULL) k WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = k.source AND bad.key = k.key)")
 _register("g01_furniture_keys_tenth", lambda d: f"WITH {_furniture(d) % 10} SELECT source, key, n FROM bad")
 
 _register("g29_turn_word_stats", lambda d: f"""WITH t AS (SELECT conv_id, role, {f.tokens(d, "text")} AS ws FROM @conversations),
@@ -215,22 +236,22 @@ _register("g07_text_lines", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, l
 _register("g10_g35_joined_text", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, " + ("array_join(transform(array_sort(collect_list(struct(seq, text))), z -> z.text), ' ')" if d is SPARK else "string_agg(text, ' ' ORDER BY seq)") + " AS joined FROM s GROUP BY doc_id, line_no")
 _register("g16_page_extent", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, greatest(612.0, max(x + width)) AS width, greatest(792.0, max(y + font)) AS height, min(x) AS left_edge FROM s GROUP BY doc_id")
 _register("g21_g22_line_width", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, greatest(max(x + width) - min(x), 0.5 * max(font)) AS line_width FROM s GROUP BY doc_id, line_no")
-_register("p12_w12_tabular", lambda d: f"WITH s AS ({_words(d)}), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, line_no ORDER BY seq) AS step FROM s) SELECT doc_id, line_no, count(*) >= 2 AND min(step) >= 24 AS tabular FROM g GROUP BY doc_id, line_no")
-_register("w11_table_cells", lambda d: f"WITH s AS ({_words(d)}), g AS (SELECT *, CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS head FROM s) SELECT doc_id, line_no, CAST(sum(head) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cell, seq FROM g")
-_register("p30_p31_page_aggregates", lambda d: f"SELECT l_orderkey, sum(CASE WHEN h < 2 THEN 1 ELSE 0 END) >= 2 AS grid, max(w * h) >= 100 AS large_image, CAST(count(*) AS BIGINT) AS n FROM ({_RECTS}) b GROUP BY l_orderkey")
+_register("p12_w12_tabular", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, line_no ORDER BY cell) AS step FROM c), t AS (SELECT doc_id, line_no, count(*) >= 2 AND min(step) >= 24 AS cells_fit FROM g GROUP BY doc_id, line_no) SELECT t.doc_id, t.line_no, cells_fit, cells_fit AND NOT {f.bullet_prose(d, 'l.line')} AS tabular FROM t JOIN ({_lines(d)}) l ON l.doc_id = t.doc_id AND l.line_no = t.line_no")
+_register("w11_table_cells", lambda d: f"SELECT doc_id, line_no, seq, cell FROM ({_cells(d)}) c")
+_register("p30_p31_page_aggregates", lambda d: f"SELECT l_suppkey, sum(CASE WHEN h <= 1.5 AND w >= 20 THEN 1 ELSE 0 END) >= 8 AND sum(CASE WHEN w <= 1.5 AND h >= 20 THEN 1 ELSE 0 END) >= 6 AS grid, max(w * h) >= {f.PAGE_WIDTH * f.PAGE_HEIGHT} * 0.08 AS large_image, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE CAST(l_tax * 5000 + 1 AS DOUBLE) END AS w, CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE CAST(l_quantity * 4 AS DOUBLE) END AS h FROM @lineitem) b GROUP BY l_suppkey")
 _register("j24_p16_overlaps", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, {f.overlap_area(d, ('a.x', 'a.y', 'a.w', 'a.h'), ('b.x', 'b.y', 'b.w', 'b.h'))} AS area FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 _register("j25_containment", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS outer_no, count(*) AS n_inside FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE b.x >= a.x - 1.5 AND b.y >= a.y - 1.5 AND b.x + b.w <= a.x + a.w + 1.5 AND b.y + b.h <= a.y + a.h + 1.5 GROUP BY a.l_orderkey, a.l_linenumber")
-_register("p27_hairlines_removed", lambda d: f"WITH r AS ({_RECTS}) SELECT l_orderkey, l_linenumber FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.l_orderkey = a.l_orderkey AND b.w >= 2 * a.w AND b.y > a.y AND b.y - a.y <= 3)")
+_register("p27_hairlines_removed", lambda d: f"WITH r AS ({_RULES}), k AS (SELECT * FROM r WHERE {f.hairline(d, 'fill', 'stroke', 'w', 'h')}), gone AS (SELECT DISTINCT a.l_orderkey, a.l_linenumber FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE {f.in_header('a')} AND {f.long_rule_above(d, 'a', 'b')}) SELECT r.l_orderkey, r.l_linenumber FROM r WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.l_orderkey = r.l_orderkey AND gone.l_linenumber = r.l_linenumber)")
 _register("j14_asof_anchor", lambda d: "SELECT e.event_id, coalesce(max(c.event_id), -1) AS anchor FROM @events e LEFT JOIN @events c ON c.user_id = e.user_id AND c.event_type = 'click' AND c.ts <= e.ts GROUP BY e.event_id" if d is DUCK else "SELECT event_id, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS anchor FROM @events")
 _register("j15_j16_left_neighbour", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, seq, coalesce(lag(text) OVER (PARTITION BY doc_id, line_no ORDER BY x, seq), '') AS before_text, {d.like('text', '[0-9]')} AND count(CASE WHEN NOT {d.like('text', '[0-9]')} THEN 1 END) OVER (PARTITION BY doc_id, line_no) > 0 AS anchored FROM s")
-_register("j22_long_rule_above", lambda d: f"WITH r AS ({_RECTS}) SELECT l_orderkey, l_linenumber FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE b.l_orderkey = a.l_orderkey AND b.w >= 3.5 * a.w AND b.y - a.y BETWEEN 2 AND 8)")
+_register("j22_long_rule_above", lambda d: f"WITH r AS ({_RULES}) SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS rule_no FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE {f.long_rule_above(d, 'a', 'b')}")
 _register("j19_j20_heading_above", lambda d: f"WITH m AS (SELECT doc_id, line_no, {f.heading_depth(d, 'line')} AS depth FROM ({_markdown(d)}) b) SELECT doc_id, line_no, coalesce(max(CASE WHEN depth > 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heading_line FROM m")
-_register("j18_column_band", lambda d: f"WITH s AS ({_words(d)}), b AS (SELECT doc_id, line_no, floor(x / 40) AS band, min(x) AS x FROM s GROUP BY doc_id, line_no, floor(x / 40)), n AS (SELECT doc_id, line_no, CAST(band AS BIGINT) AS band, lag(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS above, lead(line_no) OVER (PARTITION BY doc_id, band ORDER BY line_no) AS below FROM b) SELECT doc_id, line_no, band, coalesce(line_no - above <= 13, false) AND coalesce(below - line_no <= 13, false) AS both_sides FROM n")
-_register("g04_g05_common_columns", lambda d: f"WITH s AS ({_words(d)}), c AS (SELECT doc_id, CAST(floor(x / 4) AS BIGINT) AS col_no, count(DISTINCT line_no) AS n_lines FROM s GROUP BY doc_id, floor(x / 4)), n AS (SELECT doc_id, count(DISTINCT line_no) AS total FROM s GROUP BY doc_id) SELECT c.doc_id, c.col_no, c.n_lines FROM c JOIN n ON c.doc_id = n.doc_id WHERE c.n_lines >= greatest(2, {d.div('n.total + 1', '2')})")
+_register("j18_column_band", lambda d: f"WITH s AS ({_spread(d)}), a AS (SELECT doc_id, min(x) AS anchor FROM s WHERE x BETWEEN 0.35 * {f.PAGE_WIDTH} AND 0.68 * {f.PAGE_WIDTH} GROUP BY doc_id), n AS (SELECT s.doc_id, s.line_no, s.y, anchor, max(CASE WHEN abs(s.x - anchor) <= greatest(s.font, 6) THEN 1 ELSE 0 END) AS near FROM s JOIN a ON a.doc_id = s.doc_id GROUP BY s.doc_id, s.line_no, s.y, anchor) SELECT doc_id, line_no, anchor, coalesce(max(near) OVER (PARTITION BY doc_id ORDER BY y RANGE BETWEEN 6.01 FOLLOWING AND 192.0 FOLLOWING), 0) = 1 AND coalesce(max(near) OVER (PARTITION BY doc_id ORDER BY y RANGE BETWEEN 192.0 PRECEDING AND 6.01 PRECEDING), 0) = 1 AS both_sides FROM n")
 _register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT {d.item(f.tokens(d, 'text'), 0)} AS w FROM @benchmark) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
-_register("o11_fuzzy_topk", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, seq) AS r FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0) e WHERE r <= 3")
-_register("o03_nearest_column", lambda d: f"SELECT doc_id, line_no, seq, CASE WHEN x <= 136 THEN 0 WHEN x <= 270 THEN 1 WHEN x <= 405 THEN 2 ELSE 3 END AS col_no FROM ({_words(d)}) b")  # columns at 72, 200, 340 and 470: the nearest, the first on a tie
-_register("o12_natural_sort", lambda d: f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY lpad({d.get('name', '([0-9]+)[^0-9]*$', 1)}, 12, '0'), name) AS place FROM ({_names(d)}) b")
+_register("o11_fuzzy_scores", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0")
+_register("o03_nearest_column", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), k AS (SELECT doc_id, cell - 1 AS col_no, x AS col_x FROM c WHERE line_no = 0) SELECT c.doc_id, c.line_no, c.cell, " + ("min_by(k.col_no, struct(abs(c.x - k.col_x), k.col_no))" if d is SPARK else "arg_min(k.col_no, {'t': abs(c.x - k.col_x), 'n': k.col_no})") + " AS col_no FROM c JOIN k ON k.doc_id = c.doc_id GROUP BY c.doc_id, c.line_no, c.cell")
+_NATURAL = lambda d, x: d.sub(d.sub(x, "([0-9]+)", r"00000000000\1"), "0*([0-9]{12})([^0-9]|$)", r"\1\2")
+_register("o12_natural_sort", lambda d: f"SELECT doc_id, match_key, row_number() OVER (PARTITION BY match_key ORDER BY variant, natural_name, doc_id) AS place FROM (SELECT doc_id, {f.match_key(d, 'name')} AS match_key, CASE WHEN {d.like(f.strip_extension(d, 'name'), '(?i)[.]include-images$')} THEN 1 ELSE 0 END AS variant, {_NATURAL(d, 'lower(name)')} AS natural_name FROM (SELECT doc_id, concat(source, '-', CAST(doc_id % 89 AS VARCHAR(9)), CASE doc_id % 3 WHEN 0 THEN '.include-images' ELSE '' END, CASE doc_id % 2 WHEN 0 THEN '.html' ELSE '.htm' END) AS name FROM @documents) z) b")
 _register("u04_latest_revision", lambda d: "SELECT user_id, event_type, " + ("max_by(value, struct(ts, event_id))" if d is SPARK else "arg_max(value, {'t': ts, 'e': event_id})") + " AS value, count(*) AS revisions FROM @events GROUP BY user_id, event_type")
 _register("u07_priority_union", lambda d: "WITH u AS (SELECT doc_id, 1 AS prio, CASE quality WHEN 1 THEN 'good' END AS v FROM @labels UNION ALL SELECT doc_id, 2, lang FROM @documents) SELECT doc_id, " + ("min_by(v, prio)" if d is SPARK else "arg_min(v, prio)") + " AS v FROM u WHERE v IS NOT NULL GROUP BY doc_id")
 _register("r05_g31_job_rollup", lambda d: "SELECT source, count(*) AS n, count(CASE WHEN n_chars > 5000 THEN 1 END) AS failed, CASE WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = 0 THEN 'done' WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM @documents GROUP BY source")
@@ -239,4 +260,4 @@ _register("r07_page_offsets", lambda d: "SELECT conv_id, turn, CAST(coalesce(sum
 _register("r08_positional_zip", lambda d: "WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM @conversations WHERE role = 'user'), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM @conversations WHERE role = 'assistant') SELECT a.conv_id, a.k, a.turn AS left_turn, b.turn AS right_turn FROM a JOIN b ON a.conv_id = b.conv_id AND a.k = b.k")
 _register("k48_k49_article_html", lambda d: f"SELECT doc_id, concat('<article>', " + (f"array_join(transform(array_sort(collect_list(struct(line_no, {f.escape_html(SPARK, 'line')} AS h))), z -> concat('<p>', z.h, '</p>')), '')" if d is SPARK else f"string_agg('<p>' || {f.escape_html(DUCK, 'line')} || '</p>', '' ORDER BY line_no)") + f", '</article>') AS html FROM ({_lines(d)}) b GROUP BY doc_id")
 _register("k55_k56_manifest", lambda d: f"WITH {_SIDES(d)} SELECT match_key, concat('- ', match_key, ': ', CAST(count(input_id) AS VARCHAR(12)), ' in, ', CAST(count(output_id) AS VARCHAR(12)), ' out') AS entry FROM p GROUP BY match_key")
-_register("g36_block_text", lambda d: f"SELECT doc_id, line_no, {d.join(f.cells(d, 'line'), chr(9))} AS text FROM ({_markdown(d)}) b WHERE line_no % 12 = 6")
+_register("g36_block_text", lambda d: f"SELECT doc_id, line_no, CASE WHEN {d.like('line', '^[|]')} THEN {d.join(f.cells(d, 'line'), chr(9))} WHEN {f.heading_depth(d, 'line')} > 0 THEN {f.heading_text(d, 'line')} WHEN {f.item_text(d, 'line')} <> '' THEN {f.item_text(d, 'line')} ELSE {f.unquote(d, 'line')} END AS text FROM ({_markdown(d)}) b")

@@ -25,13 +25,26 @@ _ROWS = "id bigint, path string, kind string, level int, text string, html strin
 _NAMES = ["id", "path", "kind", "level", "text", "html"]
 
 
+#: Characters of output that one batch holds, unless one document has more.
+_BATCH = 4 << 20
+
+
 def _blocks(parse: Callable[[str], model.Document]):
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [{"id": key, **{n: r[n] for n in _NAMES[1:]}} for r in model.rows(parse(value or "").blocks)]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("id", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("html", pa.string())]))
+            columns: list[list] = [[] for _ in _NAMES]
+            size = 0
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                for r in model.rows(parse(batch.column(1)[i].as_py() or "").blocks):
+                    for values, value in zip(columns, (key, *(r[n] for n in _NAMES[1:])), strict=True):
+                        values.append(value)
+                    size += len(r["text"]) + len(r["html"])
+                if columns[0] and (size >= _BATCH or i + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
+                    columns, size = [[] for _ in _NAMES], 0
 
     return run
 
@@ -90,11 +103,27 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, y double, text string, n_cells bigint")
 
 
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of each document's page: those that a window of four lines shares (at: its first line), left edges that repeat, and runs of one visual line (at: their number)."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    words = spark.sql(catalogue._spread(SPARK).replace("@documents", "docstrata_documents"))
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["line_no", "seq"])
+        made = [layout.Segment(t, x, y, f, w, seq=int(s)) for t, x, y, f, w, s in zip(page.text, page.x, page.y, page.font, page.width, page.seq, strict=True)]
+        lines = layout.text_lines(made)
+        rows = [("window", i, x) for i in range(len(lines) - 1) for x in layout.common_columns(lines[i : i + layout.TABLE_WINDOW])]
+        rows += [("repeated", i, x) for i, x in enumerate(layout.repeated_anchors(made))] + [("run", i, g[0].x) for i, g in enumerate(layout.visual_groups(made))]
+        return pd.DataFrame([(page.doc_id.iloc[0], *r) for r in rows], columns=["doc_id", "kind", "at", "x"])
+
+    return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, kind string, at bigint, x double")
+
+
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     left = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("left_text"))
     right = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("right_text"))
-    return compare.compare(left.join(right, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "left_text", "right_text"))
+    return compare.compare(left.join(right, ["conv_id", "turn"]).select("conv_id", "turn", "left_text", "right_text"))
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +137,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def editor_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 characters of each line, two ranges toggled, a word put in, as runs in HTML."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.substring("line", 1, 40).alias("line"))
+    """Each line with two ranges toggled and a word put in, as runs in HTML."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     chars = editor.insert(editor.styled(F.col("line")), F.lit(4), editor.styled(F.lit("<new>")))
     chars = editor.toggle(editor.toggle(chars, F.lit(0), F.lit(6), editor.BOLD), F.lit(3), F.lit(8), editor.ITALIC)
     return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), editor.runs_html(editor.runs(chars)).alias("html"))
@@ -132,6 +161,7 @@ QUERIES = {
     "s05_docx_text": docx_text,
     "s11_pdf_text": pdf_text,
     "g06_page_lines": page_lines,
+    "g04_g05_g09_columns": columns,
     "f74_g30_turn_similarity": turn_similarity,
     "r01_stream_counts": stream_counts,
 }
@@ -139,7 +169,7 @@ QUERIES = {
 _D = DUCK
 _RUN = lambda a, b, open_, close: f"CASE WHEN length(c[{a}:{b}]) > 0 THEN '{open_}' || replace(replace(replace(c[{a}:{b}], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '{close}' ELSE '' END"
 ORACLES = {
-    "d01_d10_editor_html": f"SELECT doc_id, line_no, {_RUN(1, 3, '<strong>', '</strong>')} || {_RUN(4, 6, '<em><strong>', '</strong></em>')} || {_RUN(7, 8, '<em>', '</em>')} || {_RUN(9, 60, '', '')} AS html FROM (SELECT doc_id, line_no, left(x, 4) || '<new>' || substr(x, 5) AS c FROM (SELECT doc_id, line_no, left(line, 40) AS x FROM ({catalogue._lines(_D).replace('@', '')}) b))",
+    "d01_d10_editor_html": f"SELECT doc_id, line_no, {_RUN(1, 3, '<strong>', '</strong>')} || {_RUN(4, 6, '<em><strong>', '</strong></em>')} || {_RUN(7, 8, '<em>', '</em>')} || {_RUN(9, '', '', '')} AS html FROM (SELECT doc_id, line_no, left(x, 4) || '<new>' || substr(x, 5) AS c FROM (SELECT doc_id, line_no, line AS x FROM ({catalogue._lines(_D).replace('@', '')}) b))",
     "k38_k43_visual_pages": f"WITH s AS ({catalogue._words(_D).replace('@', '')}), e AS (SELECT doc_id, line_no, seq, '<span style=\"position:absolute;left:' || printf('%.2f', x) || 'pt;top:' || printf('%.2f', 792 - y - 12) || 'pt;font-size:12.00pt\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</span>' AS h FROM s WHERE x < 612 AND x + width > 0 AND 792 - y > 0 AND 792 - y - 12 < 792) SELECT doc_id, 1 AS page, '<section class=\"page\" style=\"position:relative;width:612.00pt;height:792.00pt\">' || string_agg(h, '' ORDER BY line_no, seq) || '</section>' AS html FROM e GROUP BY doc_id",
     "s05_docx_text": "SELECT item_id, text FROM benchmark",
     "s11_pdf_text": f"SELECT item_id, {scalars.squeeze(_D, 'text')} AS text FROM benchmark",

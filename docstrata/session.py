@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests, a laptop)."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset and master is local (tests, a laptop)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "docstrata-checkpoints"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(?:\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "docstrata-checkpoints"))
     return context.getCheckpointDir()
 
 

@@ -85,7 +85,11 @@ def alignment(cell: str) -> str:
     return {(True, True): "center", (False, True): "right", (True, False): "left"}.get((cell.startswith(":"), cell.endswith(":")), "")
 
 
-def blocks(lines: list[str]) -> list[Block]:
+#: Quotes nested deeper than this are one paragraph of their text, so that no document overflows the stack.
+DEPTH = 100
+
+
+def blocks(lines: list[str], depth: int = 0) -> list[Block]:
     out: list[Block] = []
     i = 0
     while i < len(lines):
@@ -104,7 +108,11 @@ def blocks(lines: list[str]) -> list[Block]:
             i += 1
         elif QUOTE.match(line):
             end = next((k for k in range(i, len(lines)) if not QUOTE.match(lines[k])), len(lines))
-            out.append(Block("quote", children=blocks([QUOTE.sub("", x, count=1) for x in lines[i:end]])))
+            inner = [QUOTE.sub("", x, count=1) for x in lines[i:end]]
+            if depth < DEPTH:
+                out.append(Block("quote", children=blocks(inner, depth + 1)))
+            else:
+                out.append(Block("quote", children=[Block("paragraph", [("text", " ".join(x.lstrip("> \t") for x in inner).strip(), {})])]))
             i = end
         elif "|" in line and i + 1 < len(lines) and "|" in lines[i + 1] + line and SEPARATOR.match(lines[i + 1]):
             aligns = [alignment(c) for c in cells(lines[i + 1])]

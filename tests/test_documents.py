@@ -147,7 +147,7 @@ def seg(text, x, y, font=12.0, seq=0):
 
 
 def test_layout():
-    blocks = layout.page_blocks([seg(t, x, y, seq=i) for i, (t, x, y) in enumerate([("Model", 10, 100), ("Current", 120, 100), ("EUD-150", 10, 84), ("700", 120, 84)])])
+    blocks = layout.page_blocks([seg(t, x, y, seq=i) for i, (t, x, y) in enumerate([("Fruit", 40, 300), ("Crates", 210, 300), ("plums", 41, 285), ("1,250", 212, 285)])])
     assert blocks[0].kind == "table" and [c[1] for c in blocks[0].rows[0]] == [True, True] and blocks[0].rows[1][1][2] == "right"
     assert [b.kind for b in layout.page_blocks([seg("Big", 10, 200, 20), seg("text of a line", 10, 150), seg("and more.", 10, 136), seg("- a", 10, 100), seg("- b", 10, 86)])] == ["heading", "paragraph", "list"]
     assert len(layout.deduplicate([seg("a", 1, 1), seg("a", 1.5, 1.5), seg("a", 3, 1)])) == 2
@@ -178,9 +178,10 @@ def test_document_html():
 
 
 def test_compare(spark):
-    assert compare.line_stats(["alpha", "old line", "shared"], ["alpha", "new line", "shared", "web only"]) == {"matching": 2, "left_only": 0, "right_only": 1, "changed": 1}
+    assert compare.line_stats(["p", "q", "r", "s"], ["p", "x", "s", "t", "u"]) == {"matching": 2, "left_only": 0, "right_only": 2, "changed": 2}
+    assert compare.line_stats(["p", "q", "r"], ["x"]) == {"matching": 0, "left_only": 0, "right_only": 0, "changed": 3}
     pairs = spark.createDataFrame([(1, "a b c", "a b c"), (2, "a", None)], "id bigint, left_text string, right_text string")
-    assert {r.id: r.band for r in compare.compare(pairs).collect()} == {1: "very close", 2: "different"}
+    assert {r.id: r.band for r in compare.compare(pairs).collect()} == {1: "Very close", 2: "Substantially different"}
 
 
 # files and streams
