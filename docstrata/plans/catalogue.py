@@ -214,7 +214,8 @@ _register("j01_j03_pair_full_outer", lambda d: f"WITH {_SIDES(d)} SELECT coalesc
 _register("g25_pair_coverage", lambda d: f"WITH {_SIDES(d)} SELECT count(input_id) AS n_input, count(output_id) AS n_output, count(CASE WHEN input_id IS NOT NULL AND output_id IS NOT NULL THEN 1 END) AS matched, count(CASE WHEN output_id IS NULL THEN 1 END) AS missing, count(CASE WHEN input_id IS NULL THEN 1 END) AS extra FROM p")
 _PAGES = lambda d: f"WITH {_SIDES(d)}, c AS (SELECT match_key, input_id, output_id, greatest(CASE WHEN input_id IS NULL THEN 0 ELSE input_id % 5 + 1 END, CASE WHEN output_id IS NULL THEN 0 ELSE output_id % 4 + 1 END) AS n FROM p), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY match_key, input_id NULLS FIRST, output_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_page FROM c)"
 _register("g26_g28_page_ranges", lambda d: f"{_PAGES(d)} SELECT match_key, coalesce(input_id, -1) AS input_id, coalesce(output_id, -1) AS output_id, CAST(n AS BIGINT) AS n, CAST(start_page AS BIGINT) AS start_page FROM r")
-_register("j04_resolve_global_page", lambda d: f"{_PAGES(d)}, g AS (SELECT doc_id + 1 AS page FROM @documents WHERE doc_id % 10 = 0) SELECT g.page, r.match_key, coalesce(r.input_id, -1) AS input_id, coalesce(r.output_id, -1) AS output_id, CAST(g.page - r.start_page AS BIGINT) AS local_page FROM g JOIN r ON g.page > r.start_page AND g.page <= r.start_page + r.n")
+# Each range is dealt out to its pages, so that any page meets its pair by equality.
+_register("j04_resolve_global_page", lambda d: f"{_PAGES(d)}, e AS (SELECT r.match_key, r.input_id, r.output_id, r.start_page, " + ("explode(sequence(CAST(start_page AS BIGINT) + 1, CAST(start_page + n AS BIGINT)))" if d is SPARK else "unnest(range(CAST(start_page AS BIGINT) + 1, CAST(start_page + n AS BIGINT) + 1))") + " AS page FROM r WHERE n > 0), g AS (SELECT doc_id + 1 AS page FROM @documents) SELECT g.page, e.match_key, coalesce(e.input_id, -1) AS input_id, coalesce(e.output_id, -1) AS output_id, CAST(g.page - e.start_page AS BIGINT) AS local_page FROM g JOIN e ON g.page = e.page")
 _register("j05_pruned_counts", lambda d: "SELECT l.doc_id, l.quality FROM @labels l WHERE EXISTS (SELECT 1 FROM @documents x WHERE x.doc_id = l.doc_id)")
 _register("j06_missing_warnings", lambda d: "SELECT x.doc_id, concat('unlabelled document ', CAST(x.doc_id AS VARCHAR(12))) AS message FROM @documents x WHERE NOT EXISTS (SELECT 1 FROM @labels l WHERE l.doc_id = x.doc_id)")
 _register("j08_scoped_lookup", lambda d: "WITH m AS (SELECT user_id, event_type, max(event_id) AS v FROM @events WHERE event_id % 3 = 0 GROUP BY user_id, event_type), z AS (SELECT event_type, max(event_id) AS v FROM @events GROUP BY event_type) SELECT e.event_id, coalesce(m.v, z.v) AS found FROM @events e LEFT JOIN m ON e.user_id = m.user_id AND e.event_type = m.event_type LEFT JOIN z ON e.event_type = z.event_type")
