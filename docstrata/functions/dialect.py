@@ -41,6 +41,9 @@ class Spark:
     def keep(self, xs: str, var: str, body: str) -> str:
         return f"filter({xs}, {var} -> {body})"
 
+    def smallest(self, xs: str) -> str:
+        return f"array_min({xs})"
+
     def size(self, xs: str) -> str:
         return f"cast(size({xs}) as bigint)"
 
@@ -112,6 +115,9 @@ class Duck(Spark):
     def keep(self, xs, var, body):
         return f"list_filter({xs}, lambda {var}: {body})"
 
+    def smallest(self, xs):
+        return f"list_min({xs})"
+
     def size(self, xs):
         return f"CAST(len({xs}) AS BIGINT)"
 

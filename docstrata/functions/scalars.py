@@ -119,7 +119,7 @@ def link_uri(d, x):
 
 
 def column_start(d, x):
-    return d.like(x, r"^[^\p{L}\p{N}]*(?:[0-9]|\p{Lu}|www[.]|http)")
+    return d.like(x, r"^[-–—:;,(\[]*(?:[0-9A-Z]|www[.]|http)|^[-–—:;,(\[]*[^-–—:;,(\[].*://")
 
 
 def domain_like(d, x):
@@ -216,15 +216,23 @@ def outer_suffix(d, x):
 
 
 def leader_label(d, x):
-    return d.get(x, r"^(.*[^. ]) *[. ]*[.][. ]* ([^ ]+) *$", 1)
+    return _leaders(d, x, 1)
 
 
 def leader_page(d, x):
-    return d.get(x, r"^(.*[^. ]) *[. ]*[.][. ]* ([^ ]+) *$", 2)
+    return _leaders(d, x, 2)
+
+
+def _leaders(d, x, part):
+    """Label (1) or last word (2) of a line with three dots in a row whose last word is a page number; '' for others."""
+    shape = r"^(.*[^. ]) *[. ]*[.][. ]* ([^ ]+) *$"
+    return f"CASE WHEN {d.contains(x, d.text('...'))} AND {marker_digits(d, d.get(x, shape, 2))} <> '' THEN {d.get(x, shape, part)} ELSE '' END"
 
 
 def marker_digits(d, x):
-    return f"CASE WHEN {d.like(x, '^[0-9M-V]{1,4}$')} THEN translate({x}, 'MNOPQRSTUV', '0123456789') ELSE '' END"
+    """A number as it is or with all its digits shifted to capitals, without the signs around it; '' for others."""
+    bare = d.sub(x, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
+    return f"CASE WHEN {d.like(bare, '^[0-9]+$')} THEN {bare} WHEN {d.like(bare, '^[M-V]+$')} THEN translate({bare}, 'MNOPQRSTUV', '0123456789') ELSE '' END"
 
 
 def document_title(d, x):
@@ -507,6 +515,26 @@ def container(d, fill, stroke, w, h):
     return f"({fill} IS NOT NULL AND {stroke} IS NULL AND {w} * {h} >= {PAGE_WIDTH * PAGE_HEIGHT} * 0.015 AND {w} >= {PAGE_WIDTH} * 0.12 AND {h} >= {PAGE_HEIGHT} * 0.035)"
 
 
+def content_image(d, y, w, h, page_width=PAGE_WIDTH, page_height=PAGE_HEIGHT):
+    """An image that is part of the text: neither small nor a mark in the header."""
+    page = page_width * page_height
+    return f"({w} >= 24 AND {h} >= 18 AND NOT ({w} * {h} < {page} * 0.01 AND {w} < {page_width} * 0.22) AND (greatest(0, {page_height} - {y} - {h}) >= 72 OR {w} * {h} >= {page} * 0.04))"
+
+
+def background(d, fill, stroke, w, h, page_width=PAGE_WIDTH, page_height=PAGE_HEIGHT):
+    return f"({fill} IS NOT NULL AND {stroke} IS NULL AND {w} >= {page_width} * 0.95 AND {h} >= {page_height} * 0.95)"
+
+
+def plausible_anchor(d, a, page_width=PAGE_WIDTH):
+    return f"({a} BETWEEN 0.35 * {page_width} AND 0.68 * {page_width})"
+
+
+def anchor_inside(d, anchors, x, width, font="12", page_width=PAGE_WIDTH):
+    """The least anchor of a right column that lies inside a segment; null without any."""
+    fits = d.keep(anchors, "a", f"{plausible_anchor(d, 'a', page_width)} AND a > {x} + 0.22 * {page_width} AND a < {x} + {width} - 2 * {font}")
+    return d.smallest(fits)
+
+
 def wide_clip(d, w, h):
     return f"({w} >= 100 AND {h} >= 20 AND {w} / greatest({h}, 1.0) >= 3)"
 

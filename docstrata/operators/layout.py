@@ -19,6 +19,8 @@ SPACE_GAP, CELL_GAP, LEAST_CELL_GAP, ROW_GAP = 0.25, 1.75, 18.0, 2.5
 HEADING, PARAGRAPH_GAP, INDENT = 1.25, 1.8, 2.0
 CLUSTER = 4.0
 ANCHOR, ANCHOR_SEGMENTS = 3.0, 3
+#: Signs of check boxes.
+CHECK_BOXES = ("□", "☐", "☑", "☒", "✓", "✔", "✕", "✗")
 SAME_VISUAL_LINE = 0.35
 TABLE_WINDOW, LEFT_OF_TABLE, CONTINUATION, COLUMN_STEP = 4, 6.0, 12.0, 24.0
 
@@ -96,7 +98,7 @@ def repeated_anchors(segments: list[Segment]) -> list[float]:
     """Left edges that three segments or more share: each joins the first mean within 3 points, in the segments' order."""
     means: list[list[float]] = []
     for s in segments:
-        if s.text.strip() and s.width > 0 and not re.fullmatch(r"\s*(?:[-*+•o]|[0-9]+[.)])\s*", s.text):
+        if s.text.strip() and s.width > 0 and s.text.strip() not in CHECK_BOXES:
             for mean in means:
                 if abs(mean[0] - s.x) <= ANCHOR:
                     mean[0] = (mean[0] * mean[1] + s.x) / (mean[1] + 1)

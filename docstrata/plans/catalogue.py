@@ -129,7 +129,7 @@ _scalar("f06_f09_spacing", lambda d: f"SELECT doc_id, line_no, concat('( ', line
 _scalar("f38_f40_markers", lambda d: f"SELECT doc_id, line_no, concat('Note3to Figure 3Œ ', line) AS line FROM ({_lines(d)})", LINE, {"fixed": lambda d: f.caption_dash(d, f.note_markers(d, "line"))})
 _scalar("f34_acronym_title", lambda d: f"SELECT doc_id, line_no, concat('ABC', line) AS line FROM ({_lines(d)})", LINE, {"fixed": lambda d: f.acronym_title(d, "line")})
 _scalar("f41_f42_url_text", lambda d: "SELECT page_id, url FROM @pages", "page_id", {"normal": lambda d: f.url_text(d, "url"), "target": lambda d: f.link_target(d, "url")})
-_scalar("f32_f33_leader_lines", lambda d: f"SELECT doc_id, line_no, concat(line, ' . . . . ', CASE line_no % 2 WHEN 0 THEN 'NP' ELSE '17' END) AS line FROM ({_lines(d)})", LINE, {"label": lambda d: f.leader_label(d, "line"), "page": lambda d: f.leader_page(d, "line"), "digits": lambda d: f.marker_digits(d, f.leader_page(d, "line"))})
+_scalar("f32_f33_leader_lines", lambda d: f"SELECT doc_id, line_no, concat(line, CASE line_no % 5 WHEN 4 THEN ' . . . ' ELSE ' ..... ' END, CASE line_no % 3 WHEN 0 THEN 'NP' WHEN 1 THEN '(17)' ELSE 'N7' END) AS line FROM ({_lines(d)})", LINE, {"label": lambda d: f.leader_label(d, "line"), "page": lambda d: f.leader_page(d, "line"), "digits": lambda d: f.marker_digits(d, f.leader_page(d, "line"))})
 _scalar("s34_title_clean", lambda d: f"SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN concat('Microsoft Word - ', line) WHEN 1 THEN concat(line, '.docx') WHEN 2 THEN 'Draft' ELSE line END AS line FROM ({_lines(d)}) WHERE line_no = 0", "doc_id", {"title": lambda d: f.document_title(d, "line")})
 _scalar("f44_f45_text_width", _lines, LINE, {"width": lambda d: f.text_width(d, "line"), "mono": lambda d: f"{d.chars('line')} * 12 * CAST(0.6 AS DOUBLE)"})
 _scalar("f46_md_heading", _markdown, MD, {"depth": lambda d: f.heading_depth(d, "line"), "heading": lambda d: f.heading_text(d, "line")})
@@ -164,7 +164,7 @@ _scalar("m15_m19_shapes", lambda d: _BOXES, "l_orderkey, l_linenumber", {"dim":
 _LINES = ("x", "y", "CASE WHEN l_linenumber % 3 = 0 THEN x ELSE x + w END", "CASE WHEN l_linenumber % 3 = 1 THEN y ELSE y + h END", "l_linenumber / 4.0")
 _scalar("m18_line_shape", lambda d: _MATRICES, "l_orderkey, l_linenumber", {n: (lambda d, k=k: f.drawn_line(*_LINES)[k]) for k, n in enumerate(("box_x", "box_y", "box_w", "box_h"))})
 _scalar("m03_text_advance", _words, "doc_id, line_no, seq", {"advance": lambda d: f.advance(d, "text", "width", "0.25", "1.5", "(80 + seq % 3 * 10)", "(1 + line_no % 2)")})
-_scalar("p15_p38_image_rules", lambda d: _RECTS, "l_orderkey, l_linenumber", {"content_image": lambda d: "w >= 8 AND h >= 3 AND w * h >= 40", "background": lambda d: "w * h >= 0.95 * 41 * 7"})
+_scalar("p15_p38_image_rules", lambda d: _BOXES, "l_orderkey, l_linenumber", {"content_image": lambda d: f.content_image(d, "y", "w", "h"), "background": lambda d: f.background(d, "fill", "stroke", "w", "h", 420, 140)})
 _scalar("p01_p04_visible", lambda d: "SELECT event_id, CASE WHEN event_type = 'click' THEN 'Artifact' WHEN user_id % 2 = 0 THEN event_type END AS role, user_id % 8 AS mode FROM @events", "event_id, role, mode", {"drawn": lambda d: "mode NOT IN (3, 7)"}, "role IS NULL OR role <> 'Artifact'")
 _scalar("g02_threshold", lambda d: "SELECT DISTINCT n_chars AS pages FROM @documents", "pages", {"least_repeats": lambda d: f"CASE WHEN pages <= 1 THEN 2 ELSE greatest(2, {d.div('pages', '3')}) END"})
 _scalar("f87_table_size", lambda d: "SELECT doc_id, concat(CAST(doc_id % 30 AS VARCHAR(9)), 'x', CAST(doc_id % 17 AS VARCHAR(9))) AS size FROM @documents", "doc_id", {"n_rows": lambda d: f"least(20, greatest(1, {d.whole(d.get('size', '^([0-9]+)x[0-9]+$', 1))}))", "n_cols": lambda d: f"least(12, greatest(1, {d.whole(d.get('size', '^[0-9]+x([0-9]+)$', 1))}))"})
@@ -178,7 +178,7 @@ _scalar("f16_f36_f37_literal_repairs", lambda d: f"SELECT doc_id, line_no, conca
 _scalar("f19_f26_shifted_numbers", lambda d: f"SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN 'NPIQ' WHEN 1 THEN 'MNV' ELSE line END AS word FROM ({_lines(d)}) b", LINE, {"number": lambda d: f.shifted_number(d, "word")})
 _scalar("f24_f39_fiscal_markers", lambda d: f"SELECT doc_id, line_no, concat('e3(Q3 ', line, ' Œ3Œ') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.number_markers(d, f.fiscal_period(d, "line"))})
 _scalar("w15_w17_connectors", lambda d: f"SELECT doc_id, line_no, concat('Sales C Marketing and profit E loss ', line) AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.open_parenthesis(d, f.connector(d, "line"))})
-_scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambda d: "x BETWEEN 0.35 * 612 AND 0.68 * 612"})
+_scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambda d: f.plausible_anchor(d, "x")})
 _register("g20_polygon_area", lambda d: f"WITH p AS (SELECT l_orderkey, x, y, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM ({_BOXES}) b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w)) SELECT l_orderkey, CASE WHEN count(*) < 3 THEN CAST(0 AS DOUBLE) ELSE round(abs(sum(x * ny - nx * y)) / 2, 3) END AS area FROM p GROUP BY l_orderkey")
 _scalar("p35_container_path", lambda d: _BOXES, "l_orderkey, l_linenumber", {"prepaint": lambda d: f.container(d, "fill", "stroke", "w", "h")})
 
@@ -248,6 +248,14 @@ _register("j15_j16_left_neighbour", lambda d: f"WITH s AS ({_words(d)}) SELECT d
 _register("j22_long_rule_above", lambda d: f"WITH r AS ({_RULES}) SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS rule_no FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE {f.long_rule_above(d, 'a', 'b')}")
 _register("j19_j20_heading_above", lambda d: f"WITH m AS (SELECT doc_id, line_no, {f.heading_depth(d, 'line')} AS depth FROM ({_markdown(d)}) b) SELECT doc_id, line_no, coalesce(max(CASE WHEN depth > 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS heading_line FROM m")
 _register("j18_column_band", lambda d: f"WITH s AS ({_spread(d)}), a AS (SELECT doc_id, min(x) AS anchor FROM s WHERE x BETWEEN 0.35 * {f.PAGE_WIDTH} AND 0.68 * {f.PAGE_WIDTH} GROUP BY doc_id), n AS (SELECT s.doc_id, s.line_no, s.y, anchor, max(CASE WHEN abs(s.x - anchor) <= greatest(s.font, 6) THEN 1 ELSE 0 END) AS near FROM s JOIN a ON a.doc_id = s.doc_id GROUP BY s.doc_id, s.line_no, s.y, anchor) SELECT doc_id, line_no, anchor, coalesce(max(near) OVER (PARTITION BY doc_id ORDER BY y RANGE BETWEEN 6.01 FOLLOWING AND 192.0 FOLLOWING), 0) = 1 AND coalesce(max(near) OVER (PARTITION BY doc_id ORDER BY y RANGE BETWEEN 192.0 PRECEDING AND 6.01 PRECEDING), 0) = 1 AS both_sides FROM n")
+#: Whole lines as segments, and the left edges that their page's columns share.
+_WIDE = lambda d: f"SELECT doc_id, line_no, line, CAST(72 AS DOUBLE) AS x, {f.text_width(d, 'line')} AS width, {'array' if d is SPARK else 'list_value'}(CAST(130 + doc_id % 300 AS DOUBLE), CAST(250 AS DOUBLE), CAST(330 AS DOUBLE), CAST(409 AS DOUBLE), CAST(470 AS DOUBLE)) AS anchors FROM ({_lines(d)}) b"
+# Where a line that runs over two columns is cut: before the word that begins like a column and whose left part is nearest to the room it has.
+_register("o05_o06_column_cuts", lambda d: f"""WITH a AS (SELECT * FROM (SELECT doc_id, line_no, {f.anchor_inside(d, 'anchors', 'x', 'width')} AS anchor FROM ({_WIDE(d)}) s) i WHERE anchor IS NOT NULL),
+  w AS (SELECT doc_id, line_no, seq, text, coalesce(sum(length(text) + 1) OVER o - 1, 0) AS n_left, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY seq) - 1 AS k, max(CASE WHEN {d.contains("text", d.text("://"))} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS address
+    FROM ({_words(d)}) s WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  e AS (SELECT w.doc_id, w.line_no, a.anchor, k, abs(n_left * 12 * CAST(0.45 AS DOUBLE) - greatest(a.anchor - 72 - 24, 12)) AS error FROM w JOIN a ON a.doc_id = w.doc_id AND a.line_no = w.line_no WHERE k > 0 AND ({f.column_start(d, "text")} OR address = 1))
+  SELECT doc_id, line_no, anchor, CAST({"min_by(k, struct(error, k))" if d is SPARK else "arg_min(k, {'e': error, 'k': k})"} AS BIGINT) AS words_left FROM e WHERE error <= 144 GROUP BY doc_id, line_no, anchor""")
 _register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT {d.item(f.tokens(d, 'text'), 0)} AS w FROM @benchmark) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
 _register("o11_fuzzy_scores", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0")
 _register("o03_nearest_column", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), k AS (SELECT doc_id, cell - 1 AS col_no, x AS col_x FROM c WHERE line_no = 0) SELECT c.doc_id, c.line_no, c.cell, " + ("min_by(k.col_no, struct(abs(c.x - k.col_x), k.col_no))" if d is SPARK else "arg_min(k.col_no, {'t': abs(c.x - k.col_x), 'n': k.col_no})") + " AS col_no FROM c JOIN k ON k.doc_id = c.doc_id GROUP BY c.doc_id, c.line_no, c.cell")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import scalars
 from docstrata.functions.dialect import DUCK, SPARK
+from docstrata.operators import columns as repairs
 from docstrata.operators import compare, editor, layout, model, visual
 from docstrata.plans import catalogue
 from docstrata.session import shared_folder, table
@@ -91,6 +92,56 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(_texts(make_pdf, pdf.parse), "item_id bigint, text string")
 
 
+def make_picture_pdf(key: int) -> bytes:
+    """A page of 600 x 800 with a line of text and an image of three pixels, clipped to the left half; its box follows from the key."""
+    x, y, w, h = picture_box(key)
+    content = b"BT /F1 12 Tf 60 700 Td (Line) Tj ET q 0 0 300 800 re W n %d 0 0 %d %d %d cm /I Do Q" % (w, h, x, y)
+    pixels = bytes((key + k) % 256 for k in range(9))
+    parts = (
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",
+        b"<< /Type /Page /MediaBox [0 0 600 800] /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 >> >> /XObject << /I 5 0 R >> >> >>",
+        b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content),
+        b"<< /Subtype /Image /Width 3 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Length 9 >>\nstream\n%s\nendstream" % pixels,
+    )
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, p) for n, p in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+def picture_box(key: int) -> tuple[int, int, int, int]:
+    return key % 11 * 40, 20 + key % 13 * 55, 10 + key % 17 * 12, 10 + key % 19 * 10
+
+
+def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's key as a PDF with an image, read back: images that show, where they are drawn, and their place among the blocks (-1: not part of the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                data = make_picture_pdf(key)
+                shown = pdf.read_pages(data)[1][0].images
+                kinds = [b.kind for b in pdf.parse(data).blocks]
+                rows += [(key, p.x, p.y, p.width, p.height, kinds.index("image") if "image" in kinds else -1) for p in shown]
+            names = ["item_id", "x", "y", "width", "height", "place"]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names).astype({n: "float64" for n in names[1:5]} | {"item_id": "int64", "place": "int64"}), preserve_index=False)
+
+    return table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL").select("item_id").mapInArrow(run, "item_id bigint, x double, y double, width double, height double, place bigint")
+
+
+def column_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each document's page after column repair."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    words = spark.sql(catalogue._spread(SPARK).replace("@documents", "docstrata_documents"))
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["line_no", "seq"])
+        made = [layout.Segment(t, x, y, f, w, seq=k) for k, (t, x, y, f, w) in enumerate(zip(page.text, page.x, page.y, page.font, page.width, strict=True))]
+        fixed = repairs.repair(scalars.PAGE_WIDTH, scalars.PAGE_HEIGHT, made)
+        return pd.DataFrame([(page.doc_id.iloc[0], s.seq, s.text, s.x, s.y, s.width) for s in fixed], columns=["doc_id", "seq", "text", "x", "y", "width"])
+
+    return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, seq bigint, text string, x double, y double, width double")
+
+
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a document grouped to lines by the fold: one group is one document's page."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
@@ -160,6 +211,8 @@ QUERIES = {
     "w05_md_blocks": md_blocks,
     "s05_docx_text": docx_text,
     "s11_pdf_text": pdf_text,
+    "j29_w21_o02_pdf_pictures": pdf_pictures,
+    "w14_j17_j20_j21_o09_column_repair": column_repair,
     "g06_page_lines": page_lines,
     "g04_g05_g09_columns": columns,
     "f74_g30_turn_similarity": turn_similarity,
@@ -173,6 +226,9 @@ ORACLES = {
     "k38_k43_visual_pages": f"WITH s AS ({catalogue._words(_D).replace('@', '')}), e AS (SELECT doc_id, line_no, seq, '<span style=\"position:absolute;left:' || printf('%.2f', x) || 'pt;top:' || printf('%.2f', 792 - y - 12) || 'pt;font-size:12.00pt\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</span>' AS h FROM s WHERE x < 612 AND x + width > 0 AND 792 - y > 0 AND 792 - y - 12 < 792) SELECT doc_id, 1 AS page, '<section class=\"page\" style=\"position:relative;width:612.00pt;height:792.00pt\">' || string_agg(h, '' ORDER BY line_no, seq) || '</section>' AS html FROM e GROUP BY doc_id",
     "s05_docx_text": "SELECT item_id, text FROM benchmark",
     "s11_pdf_text": f"SELECT item_id, {scalars.squeeze(_D, 'text')} AS text FROM benchmark",
+    "j29_w21_o02_pdf_pictures": """WITH b AS (SELECT item_id, item_id % 11 * 40 AS x, 20 + item_id % 13 * 55 AS y, 10 + item_id % 17 * 12 AS w, 10 + item_id % 19 * 10 AS h FROM benchmark),
+      t AS (SELECT *, greatest(0, 800 - y - h) AS top FROM b WHERE least(300, x + w) - x >= 0.5)
+      SELECT item_id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS width, h::DOUBLE AS height, (CASE WHEN w < 24 OR h < 18 OR (w * h < 4800 AND w < 132) OR (top < 72 AND w * h < 19200) THEN -1 WHEN top >= 94 THEN 1 ELSE 0 END)::BIGINT AS place FROM t""",
     "g06_page_lines": f"WITH s AS ({catalogue._words(_D).replace('@', '')}) SELECT doc_id, round(max(y), 3) AS y, string_agg(text, ' ' ORDER BY seq) AS text, count(*) AS n_cells FROM s GROUP BY doc_id, line_no",
     "r01_stream_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -30,7 +30,7 @@ def parse(fmt: str, content: bytes, include_images: bool = True) -> model.Docume
     if fmt == "docx":
         return docx.parse(content, include_images)
     if fmt == "pdf":
-        return pdf.parse(content)
+        return pdf.parse(content, include_images)
     raise ValueError(f"unknown format {fmt}")
 
 

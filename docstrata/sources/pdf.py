@@ -14,8 +14,9 @@ import re
 import zlib
 from dataclasses import dataclass, field, replace
 
-from docstrata.operators import layout
+from docstrata.operators import columns, layout
 from docstrata.operators.model import Block, Document, text
+from docstrata.sources import pdfimages
 
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
 SPACES, DELIMITERS = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
@@ -311,6 +312,17 @@ class Objects:
         holder = self.dict(value)
         return decode(self.found[value.number][2], self.get(holder.get("Filter", holder.get("F"))), self.get(holder.get("DecodeParms", holder.get("DP"))))
 
+    def native(self, value) -> tuple[str, bytes] | None:
+        """The filter and data of a stream that ends in an image file's own coding; None for others."""
+        holder = self.dict(value)
+        filters = self.get(holder.get("Filter", holder.get("F")))
+        filters = [self.get(x) for x in filters] if isinstance(filters, list) else [filters]
+        if not isinstance(value, Ref) or not filters or filters[-1] not in pdfimages.NATIVE or self.found[value.number][2] is None:
+            return None
+        parms = self.get(holder.get("DecodeParms", holder.get("DP")))
+        data = decode(self.found[value.number][2], filters[:-1], parms)
+        return None if data is None else (filters[-1], data)
+
     def values(self):
         return [(Ref(n), v[1]) for n, v in self.found.items()]
 
@@ -458,6 +470,8 @@ class State:
     leading: float = 0.0
     rise: float = 0.0
     mode: int = 0
+    #: Left, bottom, right and top of what may show; None is everything.
+    clip: tuple[float, float, float, float] | None = None
 
 
 class TextMachine:
@@ -465,14 +479,16 @@ class TextMachine:
         self.objects, self.roles = objects, roles
         self.segments: list[layout.Segment] = []
         self.images = 0
+        self.placements: list[pdfimages.Placement] = []
 
-    def run(self, data: bytes, resources: dict, ctm: Matrix = UNIT, above: tuple = ()) -> None:
+    def run(self, data: bytes, resources: dict, ctm: Matrix = UNIT, above: tuple = (), clip: tuple | None = None) -> None:
         objects = self.objects
         fonts = {k: objects.dict(v) for k, v in objects.dict(resources.get("Font")).items()}
         known: dict[str, Font] = {}
         forms = objects.dict(resources.get("XObject"))
         properties = objects.dict(resources.get("Properties"))
-        state, stack, held, marks = State(ctm), [], [], []
+        state, stack, held, marks = State(ctm, clip=clip), [], [], []
+        outline: list[tuple[float, float]] = []
         tm = line = UNIT
         lexer = Lexer(data)
 
@@ -506,6 +522,15 @@ class TextMachine:
                 state = stack.pop()
             elif op == "cm" and len(numbers) == 6:
                 state.ctm = multiply(tuple(numbers), state.ctm)
+            elif op == "re" and len(numbers) == 4:
+                x, y, w, h = numbers
+                outline += [multiply((1, 0, 0, 1, px, py), state.ctm)[4:] for px, py in ((x, y), (x + w, y), (x, y + h), (x + w, y + h))]
+            elif op in ("m", "l", "c", "v", "y"):
+                outline += [multiply((1, 0, 0, 1, px, py), state.ctm)[4:] for px, py in zip(numbers[::2], numbers[1::2], strict=False)]
+            elif op in ("W", "W*") and outline:
+                state.clip = pdfimages.intersect(state.clip, pdfimages.bounding(outline))
+            elif op in ("n", "f", "F", "f*", "S", "s", "B", "B*", "b", "b*"):
+                outline = []
             elif op == "BT":
                 tm = line = UNIT
             elif op == "Tf" and held and numbers:
@@ -551,12 +576,15 @@ class TextMachine:
                 form = objects.dict(ref)
                 if form.get("Subtype") == "Image":
                     self.images += 1
+                    drawn = pdfimages.placement(ref, state.ctm, state.clip)
+                    if drawn:
+                        self.placements.append(drawn)
                 elif form.get("Subtype") == "Form" and ref not in above and len(above) < 16:
                     inner = objects.stream(ref)
                     matrix = objects.get(form.get("Matrix"))
                     own = multiply(tuple(matrix), state.ctm) if isinstance(matrix, list) and len(matrix) == 6 else state.ctm
                     if inner is not None:
-                        self.run(inner, objects.dict(form.get("Resources")) or resources, own, (*above, ref))
+                        self.run(inner, objects.dict(form.get("Resources")) or resources, own, (*above, ref), state.clip)
             elif op == "BI":
                 end = re.compile(rb"[\s]EI(?=[\s]|\Z)").search(data, lexer.at)
                 lexer.at = end.end() if end else len(data)
@@ -629,7 +657,7 @@ class Page:
     height: float
     segments: list[layout.Segment]
     links: list[str]
-    images: int
+    images: list[pdfimages.Placement]
     warnings: list[str]
 
 
@@ -661,11 +689,12 @@ def read_pages(data: bytes) -> tuple[Objects, list[Page], list[str]]:
             own.append(f"page {number} has no selectable text")
             if machine.images:
                 own.append(f"page {number} shows {machine.images} images without text")
-        pages.append(Page(number, width or 612.0, height or 792.0, machine.segments, links, machine.images, own))
+        width, height = width or 612.0, height or 792.0
+        pages.append(Page(number, width, height, columns.repair(width, height, machine.segments), links, machine.placements, own))
     return objects, pages, warnings
 
 
-def parse(data: bytes) -> Document:
+def parse(data: bytes, include_images: bool = True) -> Document:
     objects, pages, warnings = read_pages(data)
     doc = Document(source_format="pdf", warnings=warnings)
     trailers = [m.end() for m in re.finditer(rb"trailer", data)]
@@ -678,6 +707,11 @@ def parse(data: bytes) -> Document:
     per_page = [layout.page_blocks(p.segments) for p in pages]
     per_page = layout.without_furniture(per_page)
     for page, found in zip(pages, per_page, strict=True):
+        if include_images and page.images:
+            sources, left_out = pdfimages.uris(objects, page.images, page.number)
+            lines = layout.text_lines([s for s in page.segments if s.role != "Artifact"])
+            found = pdfimages.with_images(found, lines, page.images, sources, page.number, page.width, page.height)
+            doc.warnings += left_out
         if page.number > 1:
             doc.blocks.append(Block("page_break", attributes={"page": str(page.number)}))
         if not page.segments:

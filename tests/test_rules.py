@@ -27,6 +27,16 @@ CASES = [
     (f.definition_prose, (LONG,), True),
     (f.definition_prose, (LONG.upper(),), False),
     (f.definition_prose, (LONG + " www.rivers.org",), False),
+    (f.column_start, ("(Total",), True),
+    (f.column_start, ("/Total",), False),
+    (f.column_start, ("see ftp://x",), True),
+    (f.column_start, ("École",), False),
+    (f.leader_label, ("Part one ..... NP",), "Part one"),
+    (f.leader_page, ("Part one ... (17)",), "(17)"),
+    (f.leader_label, ("Part one . . . 17",), ""),
+    (f.leader_label, ("Part one ..... N7",), ""),
+    (f.marker_digits, ("(MNV)",), "019"),
+    (f.marker_digits, ("N7",), ""),
     (f.classify_score, (59.9,), "Substantially different"),
 ]
 
@@ -63,6 +73,17 @@ def test_geometry_rules(spark):
     assert round(float(spark.sql("SELECT " + f.advance(SPARK, "'a b c'", "10", "1", "2", "50", "2")).first()[0]), 6) == (10 + 4 + 4) * 0.5 * 2
 
 
+def test_image_rules(spark):
+    boxes = [(100, 200, 150), (100, 23, 300), (300, 60, 60), (740, 150, 40), (740, 500, 45)]
+    for d in (SPARK, DUCK):
+        assert numbers(spark, [f"CASE WHEN {f.content_image(d, y, w, h)} THEN 1 ELSE 0 END" for y, w, h in boxes]) == [1, 0, 0, 0, 1]
+        assert numbers(spark, [f"CASE WHEN {f.background(d, c, s, w, 800)} THEN 1 ELSE 0 END" for c, s, w in (("'#fff'", "NULL", 590), ("'#fff'", "NULL", 580), ("NULL", "NULL", 612), ("'#fff'", "'#000'", 612))]) == [1, 0, 0, 0]
+    for d, run in ((SPARK, lambda q: spark.sql(q).first()[0]), (DUCK, lambda q: duckdb.sql(q).fetchall()[0][0])):
+        anchors = f"{'array' if d is SPARK else 'list_value'}(500e0, 330e0, 300e0, 220e0, 200e0)"
+        # 200 is no right column, 500 none either; from 90 on, 220 is too near.
+        assert [run(f"SELECT {f.anchor_inside(d, anchors, x, w)}") for x, w in (("72", "400"), ("90", "250"), ("90", "230"), ("180", "400"))] == [220, 300, None, 330]
+
+
 def seg(text, x, y, font=12.0, width=None, seq=0):
     return layout.Segment(text, x, y, font, len(text) * 6.0 if width is None else width, seq=seq)
 
@@ -74,7 +95,8 @@ def test_cells_begin_at_gaps():
 
 def test_anchors_follow_the_running_mean():
     assert layout.repeated_anchors([seg("w", x, 0) for x in (100, 103, 104.4, 50, 50, 200, 200.5, 199.5)]) == pytest.approx([102.466666, 200.0])
-    assert layout.repeated_anchors([seg("-", 10, y) for y in range(5)]) == []
+    assert layout.repeated_anchors([seg("□ ", 10, y) for y in range(5)]) == []
+    assert layout.repeated_anchors([seg("-", 10, y) for y in range(5)]) == [10]
 
 
 def test_columns_are_cut_by_distance_not_by_bins():
