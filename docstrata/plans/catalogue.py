@@ -198,10 +198,8 @@ _register("furniture_keys", lambda d: f"WITH {_furniture(d) % 3} SELECT source,
 _register("furniture_removed", lambda d: f"WITH {_furniture(d) % 3} SELECT doc_id, line_no, line FROM k WHERE key IS NULL UNION ALL SELECT doc_id, line_no, line FROM (SELECT * FROM k WHERE key IS NOT NULL) k WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = k.source AND bad.key = k.key)")
 _register("g01_furniture_keys_tenth", lambda d: f"WITH {_furniture(d) % 10} SELECT source, key, n FROM bad")
 
-_register("g29_turn_word_stats", lambda d: f"""WITH t AS (SELECT conv_id, role, {f.tokens(d, "text")} AS ws FROM @conversations),
-  u AS (SELECT conv_id, min(turn) AS a FROM @conversations WHERE role = 'user' GROUP BY conv_id), v AS (SELECT conv_id, min(turn) AS a FROM @conversations WHERE role = 'assistant' GROUP BY conv_id),
-  p AS (SELECT u.conv_id, {f.tokens(d, "x.text")} AS xs, {f.tokens(d, "y.text")} AS ys FROM u JOIN v ON u.conv_id = v.conv_id JOIN @conversations x ON x.conv_id = u.conv_id AND x.turn = u.a AND x.role = 'user' JOIN @conversations y ON y.conv_id = v.conv_id AND y.turn = v.a AND y.role = 'assistant')
-  SELECT conv_id, {d.size("xs")} AS n_user, {d.size("ys")} AS n_assistant, {d.both("xs", "ys")} AS shared, {d.fewer("xs", "ys")} AS only_user, {d.fewer("ys", "xs")} AS only_assistant FROM p""")
+_register("g29_turn_word_stats", lambda d: f"""WITH p AS (SELECT x.conv_id, x.turn, {f.tokens(d, "x.text")} AS xs, {f.tokens(d, "y.text")} AS ys FROM @conversations x JOIN @conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 WHERE x.role = 'user' AND y.role = 'assistant')
+  SELECT conv_id, turn, {d.size("xs")} AS n_user, {d.size("ys")} AS n_assistant, {d.both("xs", "ys")} AS shared, {d.fewer("xs", "ys")} AS only_user, {d.fewer("ys", "xs")} AS only_assistant FROM p""")
 
 _EXPLODED = lambda d, t, k: f"SELECT {k}, explode({f.tokens(d, 'text')}) AS w FROM {t}" if d is SPARK else f"SELECT {k}, unnest({f.tokens(d, 'text')}) AS w FROM {t}"
 _register("g29_word_overlap_sets", lambda d: f"WITH a AS ({_EXPLODED(d, '@documents', 'doc_id')}), b AS ({_EXPLODED(d, '@benchmark', 'item_id')}) SELECT 'both' AS kind, count(*) AS n FROM (SELECT w FROM a INTERSECT SELECT w FROM b) UNION ALL SELECT 'documents', count(*) FROM (SELECT w FROM a EXCEPT SELECT w FROM b) UNION ALL SELECT 'benchmark', count(*) FROM (SELECT w FROM b EXCEPT SELECT w FROM a)")
@@ -256,7 +254,7 @@ _register("o05_o06_column_cuts", lambda d: f"""WITH a AS (SELECT * FROM (SELECT
     FROM ({_words(d)}) s WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   e AS (SELECT w.doc_id, w.line_no, a.anchor, k, abs(n_left * 12 * CAST(0.45 AS DOUBLE) - greatest(a.anchor - 72 - 24, 12)) AS error FROM w JOIN a ON a.doc_id = w.doc_id AND a.line_no = w.line_no WHERE k > 0 AND ({f.column_start(d, "text")} OR address = 1))
   SELECT doc_id, line_no, anchor, CAST({"min_by(k, struct(error, k))" if d is SPARK else "arg_min(k, {'e': error, 'k': k})"} AS BIGINT) AS words_left FROM e WHERE error <= 144 GROUP BY doc_id, line_no, anchor""")
-_register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT {d.item(f.tokens(d, 'text'), 0)} AS w FROM @benchmark) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
+_register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT w FROM ({_EXPLODED(d, '@benchmark', 'item_id')}) b) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
 _register("o11_fuzzy_scores", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0")
 _register("o03_nearest_column", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), k AS (SELECT doc_id, cell - 1 AS col_no, x AS col_x FROM c WHERE line_no = 0) SELECT c.doc_id, c.line_no, c.cell, " + ("min_by(k.col_no, struct(abs(c.x - k.col_x), k.col_no))" if d is SPARK else "arg_min(k.col_no, {'t': abs(c.x - k.col_x), 'n': k.col_no})") + " AS col_no FROM c JOIN k ON k.doc_id = c.doc_id GROUP BY c.doc_id, c.line_no, c.cell")
 _NATURAL = lambda d, x: d.sub(d.sub(x, "([0-9]+)", r"00000000000\1"), "0*([0-9]{12})([^0-9]|$)", r"\1\2")
