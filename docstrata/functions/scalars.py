@@ -450,6 +450,26 @@ SYMBOLS = (("Ł", "•"), ("––", "......"), (">&", "("), (">'", ")"))
 SPLIT_WORDS = (("h a r m o n i c", "harmonic"),)
 
 
+#: Word endings that follow their hyphen, words split after a capital, words run together.
+HYPHENATED = ("down", "wise", "frame", "phase", "committee")
+SPLIT_CAPITALS = (
+    ("D igital", "Digital"), ("D imming", "Dimming"), ("D im ming", "Dimming"), ("C ommunication", "Communication"), ("P rotocol", "Protocol"), ("o ther", "other"),
+    ("overDigital", "over Digital"), ("Read igital Dimming", "Read Digital Dimming"), ("Read igital", "Read Digital"), ("DigitalDimming", "Digital Dimming"),
+    ("level D, returns", "level, returns"), ("levelD , returns", "level, returns"), ("levelD, returns", "level, returns"), ("level D I returns", "level, returns"),
+    ("level DI returns", "level, returns"), ("levelD I returns", "level, returns"), ("levelDI returns", "level, returns"), ("between0-200", "between 0-200"), ("0 - 200", "0-200"),
+)
+JOINED_PROSE = (
+    ("purpose ofthis", "purpose of this"), ("Regulationis", "Regulation is"), ("ensurea", "ensure a"), ("elementsand", "elements and"), ("solutionsshould", "solutions should"),
+    ("definedas", "defined as"), ("byor", "by or"), ("of the productwith", "of the product with"), ("productwith", "product with"), ("behalf ofthe", "behalf of the"),
+    ("elementsconcerned", "elements concerned"), ("concerned I the", "concerned, the"), ("Union™s", "Union's"), ("EU™s", "EU's"), ("user™s", "user's"),
+    ("manufacturer™s", "manufacturer's"), ("aservicedeveloped", "a service developed"), ("within thescope", "within the scope"), ("withinthescope", "within the scope"), ("scope ofthis", "scope of this"),
+)
+
+
+def hyphenated(d, x):
+    return d.sub(d.sub(x, f"- ({'|'.join(HYPHENATED)})", r"-\1"), f" -({'|'.join(HYPHENATED)})", r"-\1")
+
+
 def unshift(d, x):
     return f"translate({x}, {d.text(SHIFTED)}, {d.text(UNSHIFTED)})"
 
@@ -525,6 +545,25 @@ def background(d, fill, stroke, w, h, page_width=PAGE_WIDTH, page_height=PAGE_HE
     return f"({fill} IS NOT NULL AND {stroke} IS NULL AND {w} >= {page_width} * 0.95 AND {h} >= {page_height} * 0.95)"
 
 
+def black_box(d, fill, stroke, w, h, page_width=PAGE_WIDTH, page_height=PAGE_HEIGHT):
+    return f"({fill} IN ('#000000', '#000') AND {stroke} IS NULL AND {w} >= 6 AND {h} >= 8 AND NOT {background(d, fill, stroke, w, h, page_width, page_height)})"
+
+
+def white_box(d, fill, stroke, w, h):
+    return f"({fill} IN ('#ffffff', '#fff') AND {stroke} IS NULL AND {w} >= 3 AND {h} >= 3)"
+
+
+def holds_box(d, a, b):
+    """Whether box a (x, y, w, h) holds box b, within 1.5 points, b being no larger."""
+    return f"({b}.x + 1.5 >= {a}.x AND {b}.y + 1.5 >= {a}.y AND {b}.x + {b}.w <= {a}.x + {a}.w + 1.5 AND {b}.y + {b}.h <= {a}.y + {a}.h + 1.5 AND {b}.w <= {a}.w AND {b}.h <= {a}.h)"
+
+
+def line_width(m, width):
+    """The width of a line under a matrix (a, b, c, d, e, f): by its larger scale, 0.01 at least."""
+    a, b, c, d_, _, _ = m
+    return f"{width} * greatest(sqrt({a} * {a} + {b} * {b}), sqrt({c} * {c} + {d_} * {d_}), CAST(0.01 AS DOUBLE))"
+
+
 def plausible_anchor(d, a, page_width=PAGE_WIDTH):
     return f"({a} BETWEEN 0.35 * {page_width} AND 0.68 * {page_width})"
 

@@ -182,6 +182,10 @@ _scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambd
 _register("g20_polygon_area", lambda d: f"WITH p AS (SELECT l_orderkey, x, y, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM ({_BOXES}) b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w)) SELECT l_orderkey, CASE WHEN count(*) < 3 THEN CAST(0 AS DOUBLE) ELSE round(abs(sum(x * ny - nx * y)) / 2, 3) END AS area FROM p GROUP BY l_orderkey")
 _scalar("p35_container_path", lambda d: _BOXES, "l_orderkey, l_linenumber", {"prepaint": lambda d: f.container(d, "fill", "stroke", "w", "h")})
 
+_scalar("f05_f07_f08_split_words", lambda d: f"SELECT doc_id, line_no, concat('a top- down step -wise plan, C ommunication between0-200, elementsand EU™s ', line) AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.literal(d, f.literal(d, f.hyphenated(d, "line"), f.SPLIT_CAPITALS), f.JOINED_PROSE)})
+_scalar("m09_line_width", lambda d: _MATRICES, "l_orderkey, l_linenumber", {"width": lambda d: f"round({f.line_width(_M, 'w')}, 6)"})
+_register("g17_g18_g19_bounds", lambda d: f"SELECT l_orderkey, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM ({_BOXES}) b GROUP BY l_orderkey")
+
 # --- relational plans --------------------------------------------------------------------
 
 
@@ -240,6 +244,22 @@ _register("w11_table_cells", lambda d: f"SELECT doc_id, line_no, seq, cell FROM
 _register("p30_p31_page_aggregates", lambda d: f"SELECT l_suppkey, sum(CASE WHEN h <= 1.5 AND w >= 20 THEN 1 ELSE 0 END) >= 8 AND sum(CASE WHEN w <= 1.5 AND h >= 20 THEN 1 ELSE 0 END) >= 6 AS grid, max(w * h) >= {f.PAGE_WIDTH * f.PAGE_HEIGHT} * 0.08 AS large_image, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE CAST(l_tax * 5000 + 1 AS DOUBLE) END AS w, CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE CAST(l_quantity * 4 AS DOUBLE) END AS h FROM @lineitem) b GROUP BY l_suppkey")
 _register("j24_p16_overlaps", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, {f.overlap_area(d, ('a.x', 'a.y', 'a.w', 'a.h'), ('b.x', 'b.y', 'b.w', 'b.h'))} AS area FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 _register("j25_containment", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS outer_no, count(*) AS n_inside FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE b.x >= a.x - 1.5 AND b.y >= a.y - 1.5 AND b.x + b.w <= a.x + a.w + 1.5 AND b.y + b.h <= a.y + a.h + 1.5 GROUP BY a.l_orderkey, a.l_linenumber")
+#: Outlines of five points: closed or not, upright or a little tilted.
+_OUTLINES = lambda d: f"""SELECT l_orderkey, l_linenumber, x AS ox, y AS oy, w AS ow, k, CASE WHEN k IN (1, 2) THEN x + w WHEN k = 4 THEN x + CASE l_linenumber % 5 WHEN 4 THEN CAST(3 AS DOUBLE) WHEN 3 THEN CAST(0.005 AS DOUBLE) ELSE 0 END ELSE x END AS px,
+  CASE k WHEN 1 THEN y + CASE l_linenumber % 4 WHEN 3 THEN CAST(0.5 AS DOUBLE) WHEN 2 THEN CAST(0.05 AS DOUBLE) ELSE 0 END WHEN 2 THEN y + h WHEN 3 THEN y + h ELSE y END AS py FROM ({_BOXES}) b {"LATERAL VIEW explode(sequence(0, 4)) t AS k" if d is SPARK else "CROSS JOIN unnest(range(0, 5)) AS t(k)"}"""
+_register("m17_contour_rectangles", lambda d: f"""WITH e AS (SELECT *, lead(px) OVER w AS nx, lead(py) OVER w AS ny FROM ({_OUTLINES(d)}) p WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, ox, oy, ow ORDER BY k)),
+  c AS (SELECT l_orderkey, l_linenumber, count(nx) AS n, min(CASE WHEN nx IS NULL OR abs(px - nx) < 0.1 OR abs(py - ny) < 0.1 THEN 1 ELSE 0 END) AS aligned, min(CASE WHEN k = 0 THEN px END) AS fx, min(CASE WHEN k = 0 THEN py END) AS fy, min(CASE WHEN nx IS NULL THEN px END) AS lx, min(CASE WHEN nx IS NULL THEN py END) AS ly, min(px) AS x, min(py) AS y, max(px) AS x2, max(py) AS y2 FROM e GROUP BY l_orderkey, l_linenumber, ox, oy, ow)
+  SELECT l_orderkey, l_linenumber, x, y, round(x2 - x, 6) AS w, round(y2 - y, 6) AS h FROM c WHERE n >= 4 AND aligned = 1 AND abs(fx - lx) < 0.01 AND abs(fy - ly) < 0.01""")
+#: The boxes of an order on a page of 400 x 200: pictures (each third), paths in several colours, some of them curved.
+_PAINT = f"SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 0 AS picture, l_linenumber % 5 = 4 AS curved, x / 10 AS x, y / 100 AS y, w AS w, h * 1.25 AS h, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '#ff0000' WHEN 2 THEN '#202824' ELSE '#302020' END AS fill, CASE WHEN l_linenumber = 7 THEN '#000000' END AS stroke FROM ({_BOXES}) b"
+_register("p36_prepainted_paths", lambda d: f"""WITH b AS ({_PAINT}), i AS (SELECT * FROM b WHERE picture AND w * h >= 0.25 * 80000),
+  o AS (SELECT p.l_orderkey, p.l_linenumber, max({f.overlap_area(d, ('p.x', 'p.y', 'p.w', 'p.h'), ('i.x', 'i.y', 'i.w', 'i.h'))}) AS shared FROM b p JOIN i ON p.l_orderkey = i.l_orderkey WHERE NOT p.picture AND p.fill IS NOT NULL AND p.stroke IS NULL GROUP BY p.l_orderkey, p.l_linenumber)
+  SELECT b.l_orderkey, b.l_linenumber, ({f.neutral(d, "b.fill")} AND b.w >= 0.2 * 400 AND b.h >= 0.2 * 200) OR (NOT b.curved AND b.w * b.h >= 0.18 * 80000 AND o.shared >= b.w * b.h * 0.85) AS prepaint FROM b JOIN o ON b.l_orderkey = o.l_orderkey AND b.l_linenumber = o.l_linenumber WHERE NOT b.picture""")
+#: Black boxes with white ones in most of them, a pair for each line of an order.
+_PAIRED = "SELECT l_orderkey, l_linenumber, x, y, w, h, '#000000' AS fill, CASE WHEN l_linenumber % 3 = 0 THEN '#000000' END AS stroke FROM (" + _BOXES + ") b UNION ALL SELECT l_orderkey, l_linenumber, x + CASE l_linenumber % 4 WHEN 1 THEN -2 ELSE 1 END, y + 2, w - 4, h - 6, CASE WHEN l_linenumber % 5 = 4 THEN '#fafafa' ELSE '#fff' END, NULL FROM (" + _BOXES + ") b"
+_register("p37_outlined_boxes", lambda d: f"""WITH b AS ({_PAIRED}), k AS (SELECT * FROM b WHERE {f.black_box(d, "fill", "stroke", "w", "h")}), v AS (SELECT * FROM b WHERE {f.white_box(d, "fill", "stroke", "w", "h")}),
+  n AS (SELECT l_orderkey, count(*) AS n FROM k GROUP BY l_orderkey HAVING count(*) >= 2), inner_boxes AS (SELECT v.l_orderkey, count(*) AS n FROM v WHERE EXISTS (SELECT 1 FROM k WHERE k.l_orderkey = v.l_orderkey AND {f.holds_box(d, "k", "v")}) GROUP BY v.l_orderkey)
+  SELECT n.l_orderkey, n.n AS n_black, i.n AS n_white FROM n JOIN inner_boxes i ON n.l_orderkey = i.l_orderkey WHERE i.n >= 2""")
 _register("p27_hairlines_removed", lambda d: f"WITH r AS ({_RULES}), k AS (SELECT * FROM r WHERE {f.hairline(d, 'fill', 'stroke', 'w', 'h')}), gone AS (SELECT DISTINCT a.l_orderkey, a.l_linenumber FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE {f.in_header('a')} AND {f.long_rule_above(d, 'a', 'b')}) SELECT r.l_orderkey, r.l_linenumber FROM r WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.l_orderkey = r.l_orderkey AND gone.l_linenumber = r.l_linenumber)")
 _register("j14_asof_anchor", lambda d: "SELECT e.event_id, coalesce(max(c.event_id), -1) AS anchor FROM @events e LEFT JOIN @events c ON c.user_id = e.user_id AND c.event_type = 'click' AND c.ts <= e.ts GROUP BY e.event_id" if d is DUCK else "SELECT event_id, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS anchor FROM @events")
 _register("j15_j16_left_neighbour", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, seq, coalesce(lag(text) OVER (PARTITION BY doc_id, line_no ORDER BY x, seq), '') AS before_text, {d.like('text', '[0-9]')} AND count(CASE WHEN NOT {d.like('text', '[0-9]')} THEN 1 END) OVER (PARTITION BY doc_id, line_no) > 0 AS anchored FROM s")

@@ -133,3 +133,19 @@ def test_deep_quotes_end():
     while block.kind == "quote":
         block, depth = block.children[0], depth + 1
     assert depth == markdown.DEPTH + 1 and block.inlines[0][1] == "x"
+
+
+def test_box_and_line_rules(spark):
+    assert numbers(spark, [f.line_width(("0.1", "0", "0", "0.2", "9", "9"), "10"), f.line_width(("0", "0", "0", "0", "0", "0"), "4"), f.line_width(("3", "4", "0", "1", "0", "0"), "2")]) == [2, 0.04, 10]
+    for d in (SPARK, DUCK):
+        cases = [f.black_box(d, "'#000'", "NULL", "6", "8"), f.black_box(d, "'#000'", "'#000'", "6", "8"), f.black_box(d, "'#000000'", "NULL", "5", "8"), f.black_box(d, "'#000'", "NULL", "612", "792"), f.white_box(d, "'#fff'", "NULL", "3", "3"), f.white_box(d, "'#fffffe'", "NULL", "3", "3")]
+        assert numbers(spark, [f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in cases]) == [1, 0, 0, 0, 1, 0]
+    for run in (lambda q: spark.sql(q).first()[0], lambda q: duckdb.sql(q).fetchall()[0][0]):
+        held = "SELECT {0} FROM (SELECT 0 AS x, 0 AS y, 20 AS w, 20 AS h) a CROSS JOIN (SELECT {1} AS x, 5 AS y, {2} AS w, 10 AS h) b"
+        assert [run(held.format(f.holds_box(SPARK, "a", "b"), x, w)) for x, w in ((5, 10), (-1.5, 20), (-2, 10), (0, 21))] == [True, True, False, False]
+
+
+def test_split_words(spark):
+    for d, run in ((SPARK, lambda q: spark.sql(q).first()[0]), (DUCK, lambda q: duckdb.sql(q).fetchall()[0][0])):
+        fixed = f.literal(d, f.literal(d, f.hyphenated(d, "'break- down, step -wise; D igital ensurea EU™s plan'"), f.SPLIT_CAPITALS), f.JOINED_PROSE)
+        assert run("SELECT " + fixed) == "break-down, step-wise; Digital ensure a EU's plan"
