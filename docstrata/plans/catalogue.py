@@ -7,13 +7,14 @@ check's SQL comes from; only the dialect's functions differ.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.functions import scalars as f
-from docstrata.functions.dialect import DUCK, SPARK
-from docstrata.session import table
+from docstrata.functions.dialect import DUCK, SPARK, WS
+from docstrata.session import shared_folder, table
 
 
 def _lines(d, source: str = "@documents") -> str:
@@ -189,10 +190,20 @@ _register("g17_g18_g19_bounds", lambda d: f"SELECT l_orderkey, min(x) AS x, min(
 # --- relational plans --------------------------------------------------------------------
 
 
+def _keyed(d) -> str:
+    """Lines with their furniture key; null for blank and long lines.
+
+    Spark looks at no more of a line than its first 101 letters and signs to see that it is long.
+    """
+    size, squeezed = d.octets("sq"), f.squeeze(d, "line")
+    if d is SPARK:
+        squeezed = f"CASE WHEN NOT {d.like('line', f'^[{WS}]*+(?:[^{WS}][{WS}]*+){{101}}')} THEN {squeezed} END"
+    return f"""q AS (SELECT doc_id, source, line_no, line, {squeezed} AS sq FROM ({_lines(d)}) b),
+    k AS (SELECT doc_id, source, line_no, line, CASE WHEN {size} BETWEEN 1 AND 100 THEN {f.squeezed_key(d, "sq")} END AS key FROM q)"""
+
+
 def _furniture(d) -> str:
-    size = d.octets("sq")
-    return f"""q AS (SELECT doc_id, source, line_no, line, {f.squeeze(d, "line")} AS sq FROM ({_lines(d)}) b),
-    k AS (SELECT doc_id, source, line_no, line, CASE WHEN {size} BETWEEN 1 AND 100 THEN {f.squeezed_key(d, "sq")} END AS key FROM q),
+    return f"""{_keyed(d)},
     n AS (SELECT source, count(DISTINCT doc_id) AS n_docs FROM @documents GROUP BY source),
     c AS (SELECT k.source, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY k.source, key),
     bad AS (SELECT c.source, c.key, c.n FROM c JOIN n ON c.source = n.source WHERE c.n >= greatest(2, {d.div("n_docs", "%d")}))"""
@@ -200,6 +211,24 @@ def _furniture(d) -> str:
 
 _register("furniture_keys", lambda d: f"WITH {_furniture(d) % 3} SELECT source, key, n FROM bad")
 _register("furniture_removed", lambda d: f"WITH {_furniture(d) % 3} SELECT doc_id, line_no, line FROM k WHERE key IS NULL UNION ALL SELECT doc_id, line_no, line FROM (SELECT * FROM k WHERE key IS NOT NULL) k WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = k.source AND bad.key = k.key)")
+
+
+def furniture_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that stay. The keys to remove are written first, so that Spark knows their size when it plans the join: small ones are
+    broadcast and no line is shuffled; else lines without a key, which match nothing, are spread by their document."""
+    folder = f"{shared_folder(spark)}/furniture-{uuid.uuid4().hex}"
+    QUERIES["furniture_keys"](spark, sf_dir).select("source", "key").write.parquet(folder)
+    spark.read.parquet(folder).createOrReplaceTempView("docstrata_furniture")
+    return spark.sql(
+        _TABLE.sub(
+            r"docstrata_\1",
+            f"""WITH {_keyed(SPARK)} SELECT k.doc_id, k.line_no, k.line FROM k LEFT ANTI JOIN docstrata_furniture bad
+            ON bad.source = k.source AND bad.key = coalesce(k.key, '') AND (CASE WHEN k.key IS NULL THEN k.doc_id ELSE 0 END) <=> (CASE WHEN bad.key IS NULL THEN -1 ELSE 0 END)""",
+        )
+    )
+
+
+QUERIES["furniture_removed"] = furniture_removed
 _register("g01_furniture_keys_tenth", lambda d: f"WITH {_furniture(d) % 10} SELECT source, key, n FROM bad")
 
 _register("g29_turn_word_stats", lambda d: f"""WITH p AS (SELECT x.conv_id, x.turn, {f.tokens(d, "x.text")} AS xs, {f.tokens(d, "y.text")} AS ys FROM @conversations x JOIN @conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 WHERE x.role = 'user' AND y.role = 'assistant')
