@@ -38,3 +38,25 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
+def test_furniture_without_broadcast(spark, con):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog.QUERIES["furniture_removed"](spark, DATA)
+        want = con.sql(catalog.ORACLES["furniture_removed"])
+        assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+        assert "SortMergeJoin" in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_furniture_of_odd_lines(spark, tmp_path):
+    """Blank lines, null texts, null ids and sources, and lines longer than 100 octets stay; what repeats in a third of a source's documents goes."""
+    long = "x" * 101
+    wide = "é" * 60
+    given = [(k, "a", f"Page {k + 1}/9\n\n{long}\n{wide}\nbody {'abcdef'[k]}") for k in range(6)] + [(None, "a", None), (7, None, "Page 1/9"), (8, "b", "alone")]
+    spark.createDataFrame(given, "doc_id bigint, source string, text string").selectExpr("*", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["furniture_removed"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line) for r in got) == sorted([(k, x) for k in range(6) for x in ("", long, wide, f"body {'abcdef'[k]}")] + [(7, "Page 1/9"), (8, "alone")])
