@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.llm import decontam, htmlmain, langid, license, mixing, ordermin, pii, simhash, toxicity, warc
+from docstrata.llm import decontam, htmlmain, langid, license, mixing, ordermin, pii, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_order_minhash": ordermin.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op7_decontamination": decontam.query,
     "op10_pii": pii.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 ORACLES = {
