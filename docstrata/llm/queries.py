@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.llm import crosstoken, decontam, htmlmain, langid, license, mixing, ordermin, pii, simhash, toxicity, warc, whitening
+from docstrata.llm import crosstoken, decontam, htmlmain, langid, license, mixing, ordermin, pii, quality, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_order_minhash": ordermin.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op7_decontamination": decontam.query,
     "op10_pii": pii.query,
+    "op11_quality_mil": quality.query,
     "op12_cross_tokenizer_alignment": crosstoken.query,
     "op13_embedding_whitening": whitening.query,
 }
