@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.text import chunks, words
+from docstrata.llm.text import chunks, packed, unpacked, words
 from docstrata.session import cut, shared_folder, table
 
 WINDOW = 10
@@ -338,26 +338,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     return search(index(docs), benchmark, window, slack)
 
 
-def _without_hits(windows: Windows, n_columns: int):
-    """A mapInArrow function that keeps the rows of (columns..., text) in which no window of the block occurs."""
+def _without_hits(windows: Windows):
+    """A mapInArrow function that keeps the rows of (row, text) in which no window of the block occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, SEGMENT_BYTES):
             found = find(Segment.of(texts), windows, -1)
             keep = np.ones(len(texts), bool)
             keep[found.exact[:, 0]] = False
-            yield batch.select(list(range(n_columns))).filter(pa.array(keep))
+            yield unpacked(batch, keep)
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without those that hold a window of an item; all columns stay, nothing is shuffled."""
-    frame, schema, n = docs, docs.schema, len(docs.columns)
+    frame, schema = docs, docs.schema
     for k, block in enumerate(_blocks(benchmark)):
         if k and k % CHAIN == 0:
             frame = cut(frame)
-        frame = frame.select("*", F.col("text").cast("string").alias("_searched")).mapInArrow(_without_hits(Windows(block, window), n), schema)
+        frame = packed(frame).mapInArrow(_without_hits(Windows(block, window)), schema)
     return frame
 
 

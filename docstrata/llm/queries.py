@@ -18,10 +18,12 @@ QUERIES = {
     "op11_quality_mil": quality.query,
     "op12_cross_tokenizer_alignment": crosstoken.query,
     "op13_embedding_whitening": whitening.query,
+    "warc_files": warc.files_query,
 }
 
 ORACLES = {
     "op2_warc_derivatives": warc.SQL,
+    "warc_files": warc.FILES_SQL,
     "op5_source_mixing": mixing.SQL,
     "op7_decontamination": decontam.SQL,
     "op10_pii": pii.SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +42,14 @@ def integral(df: DataFrame, name: str) -> Column:
     if not isinstance(kind, IntegralType) and kind.typeName() != "void":
         raise TypeError(f"{name} has to be an integer, not {kind.simpleString()}")
     return F.col(name).cast("bigint")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """(row, text): the whole row in one struct, whatever its columns are called, beside the text."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    """The rows of a packed batch that are kept, as columns again."""
+    rows = batch.column(0).filter(pa.array(keep))
+    return pa.RecordBatch.from_arrays(rows.flatten(), [f.name for f in rows.type])

@@ -11,7 +11,8 @@ of fixed size; nothing of the corpus is shuffled.
 
 Defined cases: a null text is empty and gets a score like any other; labels that
 are null, or of documents that are missing, teach nothing; without both labels
-in the sample the score is the share of label 1 (0 without labels); a doc_id
+in the sample the score is the share of label 1 (0 without labels), by which
+``keep_clean`` rejects nothing; a doc_id
 that is labelled more than once counts as toxic if any of its labels is;
 repeated rows are scored one by one; other columns are ignored by ``score`` and
 kept by ``keep_clean``.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.text import chunks, words
+from docstrata.llm.text import chunks, packed, unpacked, words
 from docstrata.session import cut, table
 
 TRAIN_ROWS = 12_000
@@ -217,16 +218,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The documents that score under ``reject``, with all columns, in one narrow pass."""
-    schema = docs.schema
-    names = docs.columns
+    """The documents that score under ``reject``, with all columns, in one narrow pass; all of them if the model has learned from one label only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             x = np.array([features(t, model.lexicon) for t in texts])
-            yield batch.select(list(range(len(names)))).filter(pa.array(model.score(x) < reject))
+            yield unpacked(batch, model.score(x) < reject)
 
-    return docs.select("*", F.col("text").cast("string").alias("_scored")).mapInArrow(run, schema)
+    if not model.trees:
+        # Nothing tells label 1 from label 0: nothing is rejected.
+        return docs
+    return packed(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

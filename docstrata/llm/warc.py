@@ -13,14 +13,13 @@ A payload of bytes is decoded for its text only: chunks are put together, gzip a
 deflate undone, and the charset is that of the byte order mark, the HTTP header
 or the page's meta element, else UTF-8. A payload of type string is its own text.
 
-``read_warc`` reads WARC files (plain, or gzip by record) into response rows, and
-a row with ``error`` for each record that is cut off or broken; what follows a
-broken record is read on from the next record's head. Files up to WHOLE bytes are
-read member by member; larger ones are split at record heads by Spark's line
-reader, which never holds more than a record. ``write_warc`` writes records as
-gzip members.
-
-Plain text: scripts, styles, comments (unclosed ones up to the end) and tags go,
+``read_warc`` reads WARC files (plain, or gzip by record or in whole) into response
+rows, and a row with ``error`` for each record that is cut off or broken; what
+follows a broken record or member is read on from the next head. A file of any size
+is read in one way, as a stream that holds one record and the next one. ``write_warc``
+writes records as files of gzip members.
+
+Plain text: scripts, styles, comments and tags (unclosed ones up to the end) go,
 block elements end lines, all named and numeric references are decoded once, as
 HTML does (white space among them, the no-break space too, to a space), white
 space inside a line is one space, empty lines go.
@@ -36,26 +35,37 @@ from __future__ import annotations
 import gzip
 import html as htmllib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from docstrata.session import table
+from docstrata.session import shared_folder, table
 
-#: Files up to this size are read in whole by one task each.
-WHOLE = 256 << 20
 #: Bytes that are inflated at once.
-STEP = 1 << 16
+STEP = 1 << 14
+#: Bytes before the place of damage in which the next gzip member is looked for.
+KEPT = 1 << 18
+#: Longest block and longest head of a record; longer ones are rows with an error.
+LONGEST = 1 << 29
+LONGEST_HEAD = 1 << 20
+#: Bytes of blocks that are handed over at once.
+SENT = 4 << 20
+#: The setting that hands files of an extension over as they are; Spark's own Hadoop classes have it under another name.
+PASSED = ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension")
+#: Where files are cut into pieces.
+CUT = b"\r\n"
 #: Fixed value: elements that end a line.
 LINE_ENDS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-BREAKS = rf"(?i)</?(?:{LINE_ENDS})(?:[ \t\n\r\f/][^>]*)?>"
-TAGS = r"<[a-zA-Z/!?][^>]*>"
+BREAKS = rf"(?i)</?(?:{LINE_ENDS})(?:[ \t\n\r\f/][^>]*)?(?:>|\z)"
+TAGS = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -125,7 +135,9 @@ def derive(source: DataFrame) -> DataFrame:
     if isinstance(source.schema["payload"].dataType, BinaryType):
         source = source.withColumn("__docstrata_page", F.coalesce(_page(F.col("payload"), text("http_headers")), F.lit("")))
     own = F.when(text("source_payload_digest") != "", text("source_payload_digest")).otherwise(_digest(bytes_))
-    title = F.btrim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[ \t\n\r\f]+", " "))
+    # In two steps, since every start of a title would look for its end in the whole rest.
+    title = F.regexp_extract(F.regexp_extract(page, r"(?is)<title[^<>]*>(.*)", 1), r"(?is)\A(.*?)</title\s*>", 1)
+    title = F.btrim(F.regexp_replace(title, r"[ \t\n\r\f]+", " "))
     rows = source.select(*keep, text("record_id").alias("refers_to"), text("target_uri").alias("target_uri"), text("date").alias("date"), text("http_headers").alias("http_headers"), own.alias("payload_digest"), text("source_block_digest").alias("source_block_digest"), F.octet_length(bytes_).cast("bigint").alias("payload_length"), F.explode(F.array(_bare(page))).alias("__docstrata_bare"), title.alias("title"))
     # Generate is a barrier: each text is made once, however often it is used.
     rows = rows.withColumn("__docstrata_signs", _signs(F.col("__docstrata_bare")))
@@ -160,6 +172,35 @@ def gzip_members(records: DataFrame) -> DataFrame:
     return records.mapInArrow(_members, "member binary")
 
 
+def _response_head(r: dict) -> bytes:
+    """The WARC header of a response whose HTTP headers and payload are the block."""
+    fields = (("WARC-Type", "response"), ("WARC-Record-ID", r["record_id"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"]), ("WARC-Payload-Digest", r.get("source_payload_digest")), ("WARC-Block-Digest", r.get("source_block_digest")), ("Content-Type", "application/http; msgtype=response"))
+    return ("WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in fields if value)).encode()
+
+
+def _response_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            members = []
+            for r in batch.slice(at, 256).to_pylist():
+                block = (r["http_headers"] or "").encode() + b"\r\n\r\n" + (r["payload"] or b"")
+                members.append(gzip.compress(_response_head(r) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n", 1, mtime=0))
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+
+
+def response_members(source: DataFrame) -> DataFrame:
+    """Each response row as a gzip member."""
+    return source.withColumn("payload", F.col("payload").cast("binary")).mapInArrow(_response_members, "member binary")
+
+
+def write_warc(members: DataFrame, path: str) -> None:
+    """Rows of gzip members as WARC files, one for each task, in a folder that all machines share.
+
+    The text writer puts its line end after each member; a line end of zeros is what gzip readers pass over.
+    """
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("fileExtension", ".warc.gz").text(path)
+
+
 def page_of(payload: bytes, headers: str) -> str:
     """The text of an HTTP payload: chunks, content encoding and charset undone."""
     fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in headers.split("\n"))}
@@ -211,131 +252,278 @@ def _inflated(data: bytes, bits: int) -> bytes:
     return b"".join(out)
 
 
-HEAD = re.compile(rb"(?:^|(?<=\n))WARC/[0-9.]+\r?\n")
+HEAD = rb"WARC/[0-9.]{1,16}\r?\n"
+_FRESH, _LATER = re.compile(rb"(?:\A|\n)" + HEAD), re.compile(rb"\n" + HEAD)
+_BLANK = re.compile(rb"\n\r?\n")
+
+Found = tuple[dict[str, str], bytes]
+
+
+class Records:
+    """Records out of bytes that come piece by piece; what is held is one record, which is given when what follows it has begun or all has ended well."""
+
+    def __init__(self) -> None:
+        self.held, self.seen = bytearray(), 0
+        self.fields: dict[str, str] | None = None
+        self.size = self.over = 0
+        self.in_head = self.junk = False
+        self.fresh = True
+        self.ready: list[Found] = []
+
+    def feed(self, data: bytes) -> Iterator[Found]:
+        self.held += data
+        while True:
+            if self.fields is not None:
+                if self.over:
+                    # Too long to hold: its bytes go by.
+                    gone = min(self.over, len(self.held))
+                    del self.held[:gone]
+                    self.over -= gone
+                    if self.over:
+                        return
+                    yield from self._next((self.fields | {"error": "block too long"}, b""))
+                elif len(self.held) < self.size:
+                    return
+                else:
+                    yield from self._next((self.fields, bytes(self.held[: self.size])))
+                    del self.held[: self.size]
+                self.fields, self.fresh, self.seen = None, True, 0
+            if not self.in_head:
+                head = (_FRESH if self.fresh else _LATER).search(self.held, max(0, self.seen - 32))
+                if not head:
+                    self.seen = len(self.held)
+                    if len(self.held) > STEP:
+                        self.junk |= bool(self.held[:-64].strip())
+                        del self.held[:-64]
+                        self.fresh, self.seen = False, 64
+                    return
+                if self.junk or self.held[: head.start()].strip():
+                    yield from self._next(({"error": "no record head"}, b""))
+                del self.held[: head.end()]
+                # The line end before the fields, so that a head without any is seen to end.
+                self.held[:0] = b"\n"
+                self.in_head, self.junk, self.seen = True, False, 0
+            end = _BLANK.search(self.held, max(0, self.seen - 3))
+            if not end:
+                self.seen = len(self.held)
+                if len(self.held) <= LONGEST_HEAD:
+                    return
+                yield from self._next(({"error": "no end of record head"}, b""))
+                self.in_head, self.fresh, self.seen = False, False, 0
+                continue
+            self._head(bytes(self.held[: end.start()]))
+            del self.held[: end.end()]
+            self.in_head, self.seen = False, 0
+            if self.fields is None:
+                self.fresh = True
+                yield from self._next(self.ready.pop())
+
+    def _head(self, raw: bytes) -> None:
+        fields: dict[str, str] = {}
+        for line in raw.split(b"\n"):
+            if line.strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+        size = fields.get("content-length", "")
+        if size.isascii() and size.isdigit():
+            self.fields, self.size = fields, int(size)
+            self.over = self.size if self.size > LONGEST else 0
+        else:
+            # What follows is looked through for the next head.
+            self.ready.append((fields | {"error": "no content length"}, b""))
 
+    def _next(self, found: Found) -> Iterator[Found]:
+        """The records before this one."""
+        yield from self.ready
+        self.ready = [found]
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields with lower-case names, block) of every record of a WARC file; a record that is cut off or broken has the field ``error``."""
-    for part in _parts(data):
-        if isinstance(part, str):
-            yield {"error": part}, b""
+    def finish(self, broken: str | None = None) -> Iterator[Found]:
+        """What is left at the end; of what is broken the last record is not given."""
+        if broken:
+            yield {"error": broken}, b""
         else:
-            yield from _records(part)
+            yield from self.ready
+            if self.in_head:
+                self.ready = []
+                self._head(bytes(self.held))
+                if self.fields is None:
+                    yield self.ready[-1]
+                elif self.size:
+                    yield self.fields | {"error": "cut off"}, b""
+                else:
+                    yield self.fields, b""
+            elif self.fields is not None:
+                yield self.fields | {"error": "cut off"}, b"" if self.over else bytes(self.held)
+            elif self.junk or self.held.strip():
+                yield {"error": "no record head"}, b""
+        self.__init__()
 
 
-def _parts(data: bytes) -> Iterator[bytes | str]:
-    """The gzip members of a file one at a time (each holds whole records), or the whole of a plain file; an error for a broken member."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    at = 0
-    while at < len(data):
-        unpack, out, fed = zlib.decompressobj(31), [], at
+class Members:
+    """Records of a plain or gzip file out of bytes that come piece by piece.
+
+    After a broken gzip member the next one is looked for in the last KEPT bytes of it, then in what follows.
+    """
+
+    def __init__(self) -> None:
+        self.records, self.packed = Records(), None
+        self.raw, self.at = bytearray(), 0  # bytes from place ``at`` of the file on that may be read again
+        self.state, self.unpack, self.begun, self.done = "start", None, 0, 0
+
+    def _drop(self, n: int) -> None:
+        del self.raw[:n]
+        self.at += n
+
+    def _begin(self) -> None:
+        self.state, self.unpack, self.begun, self.done = "inflate", zlib.decompressobj(31), self.at, 0
+
+    def feed(self, data: bytes) -> Iterator[Found]:
+        self.raw += data
+        if self.packed is None and len(self.raw) > 1:
+            self.packed = self.raw[:2] == b"\x1f\x8b"
+        if self.packed:
+            while self._ready():
+                yield from self._inflate()
+        elif self.packed is False:
+            yield from self.records.feed(bytes(self.raw))
+            self.raw.clear()
+
+    def _ready(self) -> bool:
+        """Whether a member has bytes to inflate."""
+        if self.state == "search":
+            found = self.raw.find(b"\x1f\x8b\x08")
+            # The signs may stand across the end.
+            self._drop(found if found >= 0 else max(0, len(self.raw) - 2))
+            if found >= 0:
+                self._begin()
+        elif self.state == "start":
+            # Members may be filled up with zeros.
+            self._drop(len(self.raw) - len(self.raw.lstrip(b"\0")))
+            if self.raw:
+                self._begin()
+        return self.state == "inflate" and self.done < len(self.raw)
+
+    def _inflate(self) -> Iterator[Found]:
+        # A piece of STEP bytes gives about a thousand times as many at most.
+        piece, before = bytes(self.raw[self.done : self.done + STEP]), self.unpack.copy()
         try:
-            while fed < len(data) and not unpack.eof:
-                out.append(unpack.decompress(data[fed : fed + STEP]))
-                fed = min(len(data), fed + STEP)
-        except zlib.error as problem:
-            yield f"broken gzip member at {at}: {problem}"
-            # The next member that can begin.
-            at = data.find(b"\x1f\x8b\x08", at + 1)
-            if at < 0:
-                return
-            continue
-        yield b"".join(out)
-        if not unpack.eof:
-            yield f"cut-off gzip member at {at}"
+            out = self.unpack.decompress(piece)
+        except zlib.error:
+            yield from self._break(piece, before)
             return
-        at = fed - len(unpack.unused_data)
-        while at < len(data) and data[at] == 0:
-            at += 1
+        self.done += len(piece)
+        yield from self.records.feed(out)
+        if self.unpack.eof:
+            self._drop(self.done - len(self.unpack.unused_data))
+            self.state = "start"
+            yield from self.records.finish()
+        elif self.done > KEPT + STEP:
+            self._drop(self.done - KEPT - STEP)
+            self.done = KEPT + STEP
+
+    def _break(self, piece: bytes, unpack) -> Iterator[Found]:
+        """The piece again, byte by byte, so that the place of damage is the same however the file comes."""
+        for i in range(len(piece)):
+            try:
+                out = unpack.decompress(piece[i : i + 1])
+            except zlib.error as problem:
+                yield from self.records.finish(f"broken gzip member at {self.begun}: {problem}")
+                self._drop(max(self.at == self.begun, self.done + i - KEPT))
+                self.state = "search"
+                return
+            yield from self.records.feed(out)
 
+    def finish(self) -> Iterator[Found]:
+        if self.packed is None:
+            yield from self.records.feed(bytes(self.raw))
+        yield from self.records.finish()
+        if self.state == "inflate":
+            yield {"error": f"cut-off gzip member at {self.begun}"}, b""
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        head = HEAD.search(data, at)
-        if not head:
-            if data[at:].strip():
-                yield {"error": "no record head"}, b""
-            return
-        if data[at : head.start()].strip():
-            yield {"error": "no record head"}, b""
-        fields: dict[str, str] = {}
-        at = head.end()
-        while at < len(data):
-            end = data.find(b"\n", at)
-            raw = data[at : end if end >= 0 else len(data)]
-            at = end + 1 if end >= 0 else len(data)
-            if not raw.strip():
-                break
-            name, _, value = raw.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = fields.get("content-length", "")
-        if not (size.isascii() and size.isdigit()):
-            # What follows is looked through for the next head.
-            yield fields | {"error": "no content length"}, b""
-            continue
-        block = data[at : at + int(size)]
-        if len(block) < int(size):
-            yield fields | {"error": "cut off"}, block
-            return
-        yield fields, block
-        at += int(size)
+
+def parse_records(data: bytes, piece: int = STEP) -> Iterator[Found]:
+    """(header fields with lower-case names, block) of every record of a WARC file; a record that is cut off or broken has the field ``error``."""
+    members = Members()
+    for at in range(0, len(data), piece):
+        yield from members.feed(data[at : at + piece])
+    yield from members.finish()
 
 
 _RESPONSE = "path string, record_id string, target_uri string, date string, http_headers string, source_payload_digest string, source_block_digest string, payload binary, error string"
 
 
-def _response_rows(path: str, found: Iterator[tuple[dict[str, str], bytes]]) -> pa.RecordBatch | None:
-    rows = []
+def _response_rows(path: str, found: Iterator[Found]) -> Iterator[pa.RecordBatch]:
+    """The responses and the errors, about SENT bytes at once."""
+    names, kinds = zip(*(part.split() for part in _RESPONSE.split(", ")), strict=True)
+    made: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary() if k == "binary" else pa.string()) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], list(names))
+
     for fields, block in found:
         if "error" in fields or fields.get("warc-type", "").lower() == "response":
             head, _, body = block.partition(b"\r\n\r\n")
             get = lambda name: fields.get(name, "")  # noqa: B023, E731
-            rows.append((path, get("warc-record-id"), get("warc-target-uri"), get("warc-date"), head.decode("utf-8", "replace"), get("warc-payload-digest"), get("warc-block-digest"), body, fields.get("error")))
-    kinds = [pa.binary() if part.split()[1] == "binary" else pa.string() for part in _RESPONSE.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [part.split()[0] for part in _RESPONSE.split(", ")]) if rows else None
+            made.append((path, get("warc-record-id"), get("warc-target-uri"), get("warc-date"), head.decode("utf-8", "replace"), get("warc-payload-digest"), get("warc-block-digest"), body, fields.get("error")))
+            size += len(block)
+            if size > SENT or len(made) >= 1000:
+                yield batch()
+                made, size = [], 0
+    if made:
+        yield batch()
 
 
-def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            for one in parse_records(batch.column(1)[i].as_py() or b""):
-                made = _response_rows(batch.column(0)[i].as_py(), iter([one]))
-                if made is not None:
-                    yield made
+def _from_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (path, length, piece), the pieces of a file one after the other and cut at CUT, to response rows."""
 
+    def pieces() -> Iterator[tuple[str, int, bytes]]:
+        for batch in batches:
+            # An empty file has one null piece.
+            yield from zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
 
-def _from_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces between record heads: the head's end, the fields and the block."""
-    for batch in batches:
-        for path, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            piece = re.sub(rb"^WARC/1", b"", piece or b"")
-            made = _response_rows(path, _records(b"WARC/1" + piece)) if piece.strip() else None
-            if made is not None:
-                yield made
+    def records(mine: Iterator[tuple[str, int, bytes]]) -> Iterator[Found]:
+        members, fed = Members(), 0
+        for _, length, piece in mine:
+            # The last piece of a file ends with the cut or with the file.
+            piece = (piece or b"") + (CUT if fed + len(piece or b"") + len(CUT) <= length else b"")
+            fed += len(piece)
+            yield from members.feed(piece)
+        yield from members.finish()
+
+    for path, mine in groupby(pieces(), key=lambda r: r[0]):
+        yield from _response_rows(path, records(mine))
 
 
-def read_warc(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Response rows of the WARC files under a path, and rows with ``error`` for records that can't be read.
 
-    Files over ``whole`` bytes are cut at lines that begin with WARC/1: a payload that holds such a line is reported as cut off, and of a
-    gzip file that ends inside a member Spark's reader gives what comes before.
+    A file is read by one task, in order and piece by piece, whatever its size, so that what a damaged part costs doesn't depend on where
+    a split falls; WARC files are a gigabyte or so by convention, and many files are what is read in parallel. Gzip files are handed over
+    as they are, unsplit; of others, which Spark splits, the pieces are put in order first.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(_from_files, _RESPONSE)
-    large = [r[0] for r in files.where(F.col("length") > whole).select("path").toLocalIterator()]
-    if not large:
-        return small
-    pieces = spark.read.option("lineSep", "\r\n\r\nWARC/1").option("ignoreCorruptFiles", "true").text(large)
-    return small.unionByName(pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_from_pieces, _RESPONSE))
+    raw = lambda glob: spark.read.option("recursiveFileLookup", "true").option("lineSep", CUT.decode()).option("pathGlobFilter", glob)
+    pieces = lambda df, *more: df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("piece"), *more)
+    unsplit = raw("*.gz").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+    for key in PASSED:
+        unsplit = unsplit.option(key, ".gz")
+    packed = pieces(unsplit.text(path))
+    others = pieces(raw("*{[!z],[!g]z,[!.]gz}").text(path), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    ordered = others.repartition("path").sortWithinPartitions("path", "start", "place").select("path", "length", "piece")
+    return packed.mapInArrow(_from_pieces, _RESPONSE).unionByName(ordered.mapInArrow(_from_pieces, _RESPONSE))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages")))
 
 
+def files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivatives of WARC files: the pages are written as members to the shared folder and read again."""
+    at = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
+    write_warc(response_members(responses(table(spark, sf_dir, "pages"))), at)
+    return derive(read_warc(spark, at).where("error is null").drop("path", "error"))
+
+
 def _sql_uuid(seed: str) -> str:
     h = f"md5({seed})"
     return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-3' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
@@ -359,7 +547,7 @@ WITH r AS (
   SELECT page_id, {_sql_uuid("'response:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri, '{DATE}' AS date,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) AS http_headers, coalesce(html, '') AS payload FROM pages
 ), t AS (
-  SELECT *, 'sha256:' || sha256(payload) AS payload_digest, {_sql_text("payload")} AS text, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[ \t\n\r\f]+', ' ', 'g')) AS title FROM r
+  SELECT *, 'sha256:' || sha256(payload) AS payload_digest, {_sql_text("payload")} AS text, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^<>]*>(.*?)</title\s*>', 1), '[ \t\n\r\f]+', ' ', 'g')) AS title FROM r
 ), b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-record-id: ' || refers_to || chr(13) || chr(10) || 'source-payload-digest: ' || payload_digest || chr(13) || chr(10) || 'source-payload-length: ' || strlen(payload) || chr(13) || chr(10) ||
@@ -369,3 +557,5 @@ WITH r AS (
 )
 SELECT page_id, record_type, {_sql_uuid("record_type || ':' || refers_to")} AS record_id, refers_to, target_uri, date, content_type, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest, block FROM b
 """
+
+FILES_SQL = f"SELECT * EXCLUDE (page_id) FROM ({SQL})"
