@@ -7,16 +7,28 @@ join blocks that follow each other (heavier the more open elements they share)
 and blocks of one parent element. The minimum cut (augmenting paths on level
 graphs) is the labelling of least total cost.
 
-The weights are fixed, as no page is labelled: without signs, a block of prose of
-about 50 characters stands even between content and boilerplate, which is where
-one-line remarks end and sentences begin; SIGN is worth more than a long block's
-length and the edges around it together, so that one long advert between two
-paragraphs stays out; everything else is worth less than the edges, so that short
-lines inside prose, and prose-like lines inside a menu, go with their neighbours.
-Only what is never shown as text (scripts, form controls, hidden elements) and
-navigation is left out beforehand; all signs of class, id, role and tag are
-features, weighed by the nearest element that has any, and undone where an
-article stands inside a wrapper whose sign names the page's layout.
+The classifier is fitted (``fit``) on pages that label themselves: of those with an
+article or main element, and no longer than FIT_CHARS, the FIT_PAGES with the smallest
+hash of page_id. A block's label is whether it stands in that element, whose tag, class,
+id and role are hidden from the signs; a block in it that has a bad sign of its own has
+no label. The weights are the most probable ones of a logistic model whose prior are
+the weights of PRIOR, each worth PRIOR_ROWS blocks, so that pages which tell little
+change little, and without such pages the prior stands. What an article's own tag is
+worth can't be learned this way and stays fixed. PRIOR follows from these: without
+signs, a block of prose of about 50 characters stands even between content and
+boilerplate, which is where one-line remarks end and sentences begin; a sign is worth
+more than a long block's length and the edges around it together, so that one long
+advert between two paragraphs stays out; everything else is worth less than the edges,
+so that short lines inside prose, and prose-like lines inside a menu, go with their
+neighbours.
+
+Signs are features, weighed by the nearest element that has any, and undone where an
+article stands inside a wrapper whose sign names the page's layout. A name of a class or
+id is a full sign if all its words are known ones ("ad-banner", "post-comments"), a
+weak one if it has others too ("promo-codes-explained"), and weak ones are all signs
+of what holds prose itself, and names like "legal" inside an article. Only what is
+never shown as text (scripts, form controls, hidden elements) and navigation is left
+out beforehand.
 
 Pages are handled one by one, in whole, without a shuffle; the work grows with a
 page's length, however deep its elements are nested.
@@ -30,16 +42,18 @@ ignored.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.llm.text import unescaped
 from docstrata.session import table
 
 #: HTML's elements by role.
@@ -47,11 +61,15 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul button legend label option".split())
 CLOSES_P = BLOCK - frozenset("button label legend option html head body td th tr tbody thead tfoot caption".split())
-NEVER = frozenset("nav button menu head label legend option".split())
+NEVER = frozenset("nav button menu head option".split())
+#: What is left out inside a form only.
+CONTROLS = frozenset("label legend".split())
 #: Elements that say something by name alone.
-SIGNED = NEVER | frozenset("article main aside footer form dialog fieldset header".split())
+SIGNED = NEVER | CONTROLS | frozenset("article main aside footer form dialog fieldset header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote pre figcaption".split())
+#: Of these the ones whose own names are weak signs.
+QUOTES = PROSE - {"p"} | HEADINGS
 CELLS = frozenset("li td th dd dt".split())
 #: Roles that are never main text, and roles that are weighed like BAD words.
 NEVER_ROLES = frozenset("navigation search menu menubar toolbar".split())
@@ -59,21 +77,33 @@ BAD_ROLES = frozenset("banner contentinfo complementary dialog alert alertdialog
 
 #: Words of class and id by what they say of an element: never an article's wrapper, a part of the page's layout, main text.
 BAD = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions comment comments respond reply replies disqus related recommended recommendations cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pager pagination copyright legal disclaimer".split())
+#: Of these the ones that name what an article may hold too.
+MILD = frozenset("legal copyright disclaimer related recommended sharing reply".split())
+#: Words that say nothing of a part of the page, only of its place or shape.
+NEUTRAL = frozenset("box block container wrapper wrap area section list item items inner outer bar panel unit slot top bottom left right center primary secondary site page global link links button buttons title heading label text row col column group module region js id html widget wp form menu the this my new main footer feed media inline large small wide mobile desktop a b c x v".split())
 LAYOUT = frozenset("sidebar side aside nav navbar navigation menu footer foot masthead banner widget widgets toolbar notice notices notification notifications alert alerts popup modal dialog overlay search form topbar".split())
 GOOD = frozenset("article post story entry content main text body prose".split())
 #: A word after or before one of these names a state or a count ("no-sidebar", "comments-open"), not a part of the page.
 STATES = frozenset("no has have with without open opened closed enabled disabled count on off".split())
 
-#: Weights of the classifier.
-BIAS, PER_CHAR, MOST_LENGTH = -0.8, 1 / 80, 2.0
-LINKED, HEADING, IN_PROSE, IN_CELL, LEGAL_LINE = -3.0, 1.2, 0.3, -0.4, -2.0
-SIGN, TAG_SIGN, GOOD_WORD, GOOD_TAG, LEAST, MOST = -5.0, -4.5, 1.0, 1.5, -6.0, 2.5
+#: What the classifier sees of a block, and the prior of its weights.
+FEATURES = ("one", "length", "linked", "heading", "prose", "cell", "legal", "against", "for")
+PRIOR = (-0.8, 1.0, -3.0, 1.2, 0.3, -0.4, -2.0, 1.0, 1.0)
+PRIOR_ROWS = 200.0
+#: Characters of length that weigh 1, and the most that length weighs.
+PER_LENGTH, MOST_LENGTH = 80, 2.0
+#: What a link counts less in a paragraph of an article.
+LINK_IN_ARTICLE = 0.3
+#: Signs: of full and weak names and of tags, of good names and tags, and their bounds.
+SIGN, WEAK, TAG_SIGN, GOOD_WORD, GOOD_TAG, LEAST, MOST = -5.0, -0.3, -4.5, 1.0, 1.5, -6.0, 2.5
+#: Bounds of the pages that are learned from.
+FIT_PAGES, FIT_CHARS = 1000, 1 << 18
 #: Share of an outer sign that stays with an inner element of the other kind: inside BAD, and an article inside LAYOUT.
 KEPT, KEPT_LAYOUT = 0.8, 0.1
 #: Edges: between neighbours at least and by shared elements, and to the last block of the same parent.
 NEIGHBOUR, SHARED, SIBLING = 0.2, 0.6, 0.4
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?][^>]*>)", re.S)
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?][^>]*(?:>|\Z))", re.S)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 SIGNS = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -96,6 +126,7 @@ class Element:
     sign: float = 0.0
     layout: bool = False
     in_article: bool = False
+    in_form: bool = False
 
 
 @dataclass(slots=True)
@@ -106,36 +137,49 @@ class Block:
     kind: str = ""
 
 
-def named(value: str) -> tuple[bool, bool, bool]:
-    """Whether a class or id value has bad, layout and good names."""
-    bad = layout = good = False
+KNOWN = BAD | LAYOUT | GOOD | NEUTRAL | frozenset(["header"])
+
+
+@lru_cache(maxsize=1 << 14)
+def named(value: str, mild: bool = False) -> tuple[float, bool, bool]:
+    """What the names of a class or id value are worth, whether that names the page's layout only, and whether one is good. mild: of what may be in an article."""
+    sign, layout, good = 0.0, True, False
     for name in value.split():
         parts = [w.lower() for w in WORDS.findall(name)]
         if not STATES.isdisjoint(parts):
             continue
         is_good = not GOOD.isdisjoint(parts)
-        # "entry-header" is an article's head, "post-comments" are comments.
-        bad = bad or not BAD.isdisjoint(parts) or "header" in parts and not is_good
-        layout = layout or not LAYOUT.isdisjoint(parts)
         good = good or is_good
-    return bad, layout, good
+        # "entry-header" is an article's head, "post-comments" are comments.
+        bad = {w for w in parts if w in BAD or w == "header" and not is_good}
+        if bad or not LAYOUT.isdisjoint(parts):
+            full = KNOWN.issuperset(parts) and not (mild and bad and bad <= MILD)
+            sign = min(sign, SIGN if full else WEAK)
+            layout = layout and not bad
+    return sign, layout and sign < 0, good
 
 
-def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
+def _open(name: str, attributes: str, parent: Element, number: int, hide: bool) -> Element:
     if name not in SIGNED and not attributes:
-        made = Element(name, parent, parent.depth + 1, number, parent.holder, parent.never, parent.sign, parent.layout, parent.in_article)
+        made = Element(name, parent, parent.depth + 1, number, parent.holder, parent.never, parent.sign, parent.layout, parent.in_article, parent.in_form)
         if name in BLOCK:
             made.holder = made
         return made
     made = Element(name, parent, parent.depth + 1, number)
     made.holder = made if name in BLOCK else parent.holder
-    made.never, made.in_article = parent.never or name in NEVER, parent.in_article or name in ("article", "main")
+    made.in_form = parent.in_form or name == "form" or name == "fieldset"
+    made.never = parent.never or name in NEVER or name in CONTROLS and made.in_form
+    article = name in ("article", "main") or bool(attributes) and any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in ("article", "main") for m in SIGNS.finditer(attributes))
+    made.in_article = parent.in_article or article
+    if article and hide:
+        made.sign, made.layout = parent.sign, parent.layout
+        return made
     own, layout = 0.0, True
     if name == "aside" or name == "footer":
         own, layout = TAG_SIGN, False
     elif name == "form" or name == "dialog" or name == "fieldset" or name == "header" and not parent.in_article:
         own = TAG_SIGN
-    good = GOOD_TAG if name in ("article", "main") else 0.0
+    good = GOOD_TAG if article else 0.0
     for m in SIGNS.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
@@ -145,18 +189,18 @@ def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
             made.never = made.never or role in NEVER_ROLES
             if role in BAD_ROLES:
                 own = min(own, SIGN)
-            good = max(good, GOOD_TAG if role in ("article", "main") else 0.0)
         elif key in ("class", "id") and name not in ("html", "body"):
-            is_bad, is_layout, is_good = named(value)
-            if is_bad or is_layout:
-                own, layout = min(own, SIGN), layout and not is_bad
+            sign, is_layout, is_good = named(value, parent.in_article or article)
+            if sign and (name in QUOTES or article):
+                sign = WEAK
+            if sign:
+                own, layout = min(own, sign), layout and is_layout
             good = max(good, GOOD_WORD if is_good else 0.0)
-    if own:
+    if own < WEAK:
         made.sign, made.layout = max(LEAST, own + min(0.0, parent.sign)), layout and (parent.layout or parent.sign >= 0)
-    elif good:
-        article = good >= GOOD_TAG
-        kept = parent.sign if parent.sign >= 0 or not article and parent.layout else parent.sign * (KEPT_LAYOUT if parent.layout else KEPT)
-        made.sign, made.layout = min(MOST, kept + good), parent.layout
+    elif good or own:
+        kept = parent.sign if parent.sign >= 0 or not article and (parent.layout or not good) else parent.sign * (KEPT_LAYOUT if parent.layout else KEPT)
+        made.sign, made.layout = max(LEAST, min(MOST, kept + good + own)), parent.layout
     else:
         made.sign, made.layout = parent.sign, parent.layout
     return made
@@ -165,7 +209,8 @@ def _open(name: str, attributes: str, parent: Element, number: int) -> Element:
 class Stack:
     """The open elements, with the places of each name and of all block elements, so that no tag looks through them."""
 
-    def __init__(self) -> None:
+    def __init__(self, hide: bool = False) -> None:
+        self.hide = hide
         root = Element("#root", None, 0, 0)
         root.holder = root
         self.open = [root]
@@ -180,7 +225,7 @@ class Stack:
     def push(self, name: str, attributes: str) -> None:
         self.count += 1
         place = len(self.open)
-        self.open.append(_open(name, attributes, self.open[-1], self.count))
+        self.open.append(_open(name, attributes, self.open[-1], self.count, self.hide))
         self.at[name].append(place)
         if name in BLOCK:
             self.blocks.append(place)
@@ -197,15 +242,15 @@ class Stack:
 ITEMS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with white space reduced and references decoded."""
-    stack, out, parts, links = Stack(), [], [], 0
+def blocks(page: str, hide: bool = False) -> list[Block]:
+    """The text blocks of a page in order, with white space reduced and references decoded; hide: without the signs of articles' own elements."""
+    stack, out, parts, links = Stack(hide), [], [], 0
 
     def flush() -> None:
         nonlocal links
         text = "".join(parts)
         if text and not text.isspace():
-            text = SPACE.sub(" ", entities.unescape(text) if "&" in text else text).strip()
+            text = SPACE.sub(" ", unescaped(text) if "&" in text else text).strip()
             if text:
                 holder = stack.open[-1].holder
                 out.append(Block(text, holder, min(links, len(text)), holder.name))
@@ -261,20 +306,63 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def margin(block: Block) -> float:
+def seen(block: Block) -> tuple[float, ...]:
+    """The block's FEATURES."""
+    length, sign = len(block.text), block.element.sign
+    linked = block.linked / max(1, length) * (LINK_IN_ARTICLE if block.element.in_article and block.kind == "p" else 1.0)
+    heading, prose, cell = block.kind in HEADINGS, block.kind in PROSE, block.kind in CELLS
+    return 1.0, min(MOST_LENGTH, length / PER_LENGTH), linked, float(heading), float(prose), float(cell), float(sign <= 0 and bool(LEGAL.match(block.text))), min(0.0, sign), max(0.0, sign)
+
+
+def margin(block: Block, weights: Sequence[float] = PRIOR) -> float:
     """How much rather content than boilerplate a block is by itself."""
-    length = len(block.text)
-    out = BIAS + min(MOST_LENGTH, length * PER_CHAR) + LINKED * block.linked / max(1, length) + block.element.sign
-    out += HEADING if block.kind in HEADINGS else IN_PROSE if block.kind in PROSE else IN_CELL if block.kind in CELLS else 0.0
-    return out + (LEGAL_LINE if LEGAL.match(block.text) and block.element.sign <= 0 else 0.0)
+    return sum(w * f for w, f in zip(weights, seen(block), strict=True))
 
 
-def costs(block: Block) -> tuple[float, float]:
+def costs(block: Block, weights: Sequence[float] = PRIOR) -> tuple[float, float]:
     """Costs of labelling the block as content and as boilerplate."""
-    by = margin(block)
+    by = margin(block, weights)
     return max(0.0, -by), max(0.0, by)
 
 
+def most_probable(x: np.ndarray, y: np.ndarray, steps: int = 20) -> list[float]:
+    """Newton's method on the logistic loss; a weight's distance to its prior costs like PRIOR_ROWS rows."""
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(steps if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + PRIOR_ROWS * (w - prior)
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(len(w)), slope)
+    return w.tolist()
+
+
+def self_labelled(page: str) -> list[tuple[tuple[float, ...], float]]:
+    """Features and label of the blocks of a page, its articles' elements hidden; what is in an article by its place but not by its signs has no label."""
+    out = []
+    for b in blocks(page, hide=True):
+        if not b.element.never and not (b.element.in_article and b.element.sign < 0):
+            out.append((seen(b), float(b.element.in_article)))
+    return out
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [row for page in batch.column(0).to_pylist() for row in self_labelled(page)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.float64())], ["x", "y"])
+
+
+def fit(pages: DataFrame, most: int = FIT_PAGES) -> list[float]:
+    """The classifier's weights."""
+    html = F.col("html").cast("string")
+    known = pages.select("page_id", html.alias("html")).where(F.length("html") <= FIT_CHARS).where(F.col("html").rlike(r"(?i)<(?:article|main)\b"))
+    # Ids first, so that no page is sorted but the chosen ones.
+    chosen = known.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(most).distinct()
+    sample = known.join(F.broadcast(chosen), "page_id", "left_semi").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"), "html").limit(most).select("html")
+    rows = sample.mapInArrow(_labelled, "x array<double>, y double").collect()
+    rows = sorted((r["x"], r["y"]) for r in rows)
+    return most_probable(np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows]))
+
+
 def smoothness(found: list[Block]) -> Iterator[tuple[int, int, float]]:
     """Edges between neighbours, by shared elements, and to the last block before of the same parent element."""
     last: dict[int, int] = {}
@@ -361,27 +449,31 @@ def minimum_cut(n: int, terminal: list[tuple[float, float]], edges: list[tuple[i
     return [level[i] >= 0 for i in range(n)]
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, weights: Sequence[float] = PRIOR) -> str:
     if not page:
         return ""
     found = [b for b in blocks(page) if not b.element.never]
-    keep = minimum_cut(len(found), [costs(b) for b in found], list(smoothness(found)))
+    keep = minimum_cut(len(found), [costs(b, weights) for b in found], list(smoothness(found)))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [extract(page) for page in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _pages(weights: Sequence[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [extract(page, weights) for page in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Sequence[float] = PRIOR) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_pages, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(_pages(weights), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages, fit(pages))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,3 +55,11 @@ def unpacked(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
     """The rows of a packed batch that are kept, as columns again."""
     rows = batch.column(0).filter(pa.array(keep))
     return pa.RecordBatch.from_arrays(rows.flatten(), [f.name for f in rows.type])
+
+
+_LONG = re.compile(r"&#(?:0+(?=[0-9])([0-9]*)|([0-9]{9,}))")
+
+
+def unescaped(text: str) -> str:
+    """The text with every character reference decoded as HTML does; numbers of any length are too large or have leading zeros, and neither is a crash."""
+    return html.unescape(_LONG.sub(lambda m: "&#" + ("1114112" if len(m[1] or m[2] or "") > 8 else m[1]), text))

@@ -33,7 +33,6 @@ empty table gives an empty result; other columns before ``payload`` stay.
 from __future__ import annotations
 
 import gzip
-import html as htmllib
 import re
 import uuid
 import zlib
@@ -45,6 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from docstrata.llm.text import unescaped
 from docstrata.session import shared_folder, table
 
 #: Bytes that are inflated at once.
@@ -75,7 +75,7 @@ SPACES = re.compile("[ \t\n\r\f\xa0]")
 
 def decode(text: str) -> str:
     """The text with every reference decoded; what is no reference stays."""
-    return REFERENCE.sub(lambda m: SPACES.sub(" ", htmllib.unescape(m[0])), text)
+    return REFERENCE.sub(lambda m: SPACES.sub(" ", unescaped(m[0])), text)
 
 
 @F.arrow_udf(StringType())

@@ -68,8 +68,81 @@ def test_wrappers_and_signs(page):
     assert htmlmain.extract(page) == PROSE
 
 
+SENTENCE = "This is one ordinary sentence of prose, of the kind that people write."
+
+
+@pytest.mark.parametrize("weights", [htmlmain.PRIOR, (0.6, 1.7, -3.0, 1.4, 1.5, -0.4, -2.0, 1.3, 1.0)])
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article class="story ad-free"><p>{SENTENCE}</p></article>', SENTENCE),
+        (f'<section id="promo-codes-explained"><p>{SENTENCE}</p></section>', SENTENCE),
+        (f'<div class="search-results-article"><p>{SENTENCE}</p></div>', SENTENCE),
+        (f'<article><p>{SENTENCE}</p><section class="share-price"><p>{SENTENCE}</p></section><blockquote class="legal">{SENTENCE}</blockquote><label>Note</label><p><a href="x">{SENTENCE}</a></p></article>', "\n".join([SENTENCE, SENTENCE, SENTENCE, "Note", SENTENCE])),
+        (f'<article><p>{SENTENCE}</p><div class="ad-banner"><p>{SENTENCE}</p></div><div class="post-comments"><p>{SENTENCE}</p></div><form><label>Name</label></form></article>', SENTENCE),
+    ],
+)
+def test_names_by_whole_words(page, want, weights):
+    assert htmlmain.extract(page, weights) == want
+
+
+def test_fit_learns_from_hidden_articles(spark):
+    import pyarrow.parquet as pq
+
+    html = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    teaching, rest = html[:100], html[100:]
+    rows = [(i, h, "c") for i, h in enumerate(teaching)] + [(None, teaching[0], ""), (5, None, ""), (1000, "<p>no article", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, x string").repartition(3)
+    weights = htmlmain.fit(pages)
+    assert weights == htmlmain.fit(pages.repartition(5)) and len(weights) == len(htmlmain.FEATURES)
+    labelled = [r for page in rest for r in htmlmain.self_labelled(page)]
+    right = sum((sum(w * f for w, f in zip(weights, x, strict=True)) > 0) == (y > 0) for x, y in labelled)
+    assert right / len(labelled) > 0.98
+    # Nothing to learn from: the prior.
+    assert htmlmain.fit(pages.where("page_id = 1000")) == list(htmlmain.PRIOR) and htmlmain.fit(pages.limit(0)) == list(htmlmain.PRIOR)
+
+
+def test_hidden_elements_leave_no_sign():
+    page = f'<div><article class="post ad"><p>{PROSE}</p></article><div role="main" id="content"><p>{PROSE}</p></div></div>'
+    (first, label), (second, other) = htmlmain.self_labelled(page)
+    assert first == second and first[-2:] == (0.0, 0.0) and label == other == 1.0
+
+
+def test_blocks_against_another_parser():
+    """All text that blocks give is what the standard library's parser sees outside raw elements, in order, without white space."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.raw, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in htmlmain.RAW
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in htmlmain.RAW and self.raw > 0
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.parts.append(data)
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        parser = Text()
+        parser.feed(page)
+        parser.close()
+        assert "".join("".join(b.text for b in htmlmain.blocks(page)).split()) == "".join("".join(parser.parts).split())
+
+
+def test_references_of_any_length():
+    page = f"<p>&#{'0' * 5000}65; &#{'1' * 5000}; &#x{'0' * 5000}42; {PROSE}</p>"
+    assert htmlmain.extract(page) == f"A \ufffd B {PROSE}"
+
+
 def test_deep_nesting_is_linear():
-    for page in ("<div>" * 200_000 + PROSE, "<div>x" * 200_000, "<b>" * 200_000 + "<li>x" * 200_000, "<p><a>" * 100_000 + "</i></p>" * 100_000):
+    for page in (*(x * 200_000 for x in ("<!", "<?", "<a ", "<a '", '<a "', "</", "<title", "<p x=", "&", "<p>")), "<div>" * 200_000 + PROSE, "<div>x" * 200_000, "<b>" * 200_000 + "<li>x" * 200_000, "<p><a>" * 100_000 + "</i></p>" * 100_000):
         began = time.time()
         htmlmain.extract(page)
         assert time.time() - began < 20
