@@ -11,7 +11,8 @@ letters is one space.
 
 The model is learned from a bounded sample: the PER_LANG documents with the
 smallest hash of doc_id of each non-null lang, SAMPLE in all, whole texts, as
-presence bits; rows with an empty kernel vector teach nothing.
+presence bits; rows with an empty kernel vector teach nothing, and of several rows of
+one doc_id the one with the smallest hash of its bits and lang teaches.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without any learned language every text is ``und``; ties go to the smaller lang
@@ -122,7 +123,9 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).withColumn("r", F.row_number().over(then)).where(F.col("r") <= per_lang)
     # At most SAMPLE ids whatever the number of languages, every language's first ones first.
     chosen = chosen.orderBy("r", "h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_presence_rows, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, bits binary").dropDuplicates(["doc_id"])
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_presence_rows, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, lang string, bits binary")
+    # Of several rows of one doc_id the one with the smallest hash teaches, wherever it stands.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("bits", "lang").alias("h"), "lang", "bits")).alias("r")).select("doc_id", "r.lang", "r.bits")
     got = sorted(((r[1], str(r[0]), bytes(r[2])) for r in rows.collect()))
     got = [g for g in got if any(g[2])]
     if not got:

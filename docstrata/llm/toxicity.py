@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Learned from a bounded sample of labelled rows (TRAIN_ROWS, those with the
-smallest hash of doc_id): from three quarters of it a lexicon of at most LEXICON
-words that tell label 1 from label 0 by smoothed log-odds of document counts, and
-boosted trees on the features; isotonic regression of the label on the trees'
+smallest hash of doc_id, and one of those that share the least hash of their shingles,
+as copies do): from three quarters of it a lexicon of at most LEXICON
+stems that tell label 1 from label 0 by smoothed log-odds of document counts, in units
+of their standard error, and boosted trees on the features; isotonic regression of the label on the trees'
 score over the last quarter, of which the lexicon knows nothing. Features: lexicon density and
 weight, nearness of second-person words, capitals, punctuation, digits,
 obfuscated lexicon words. Scoring is one pass over the whole texts with a model
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,17 @@ from docstrata.session import cut, table
 TRAIN_ROWS = 12_000
 LEXICON = 64
 LEAST_DOCS = 5
-LEAST_ODDS = 2.0
+#: Least log-odds of a stem, in standard errors.
+LEAST_SURE = 3.3
+#: Bytes of a stem: shorter words are whole entries, of longer ones the beginnings count.
+STEM, LONGEST_STEM = 5, 12
+#: Words whose stem a task remembers.
+REMEMBERED = 1 << 18
 REJECT = 0.3
 #: One of so many parts of the sample is kept for the calibration.
 PARTS = 4
 NEAR = 5
+SHINGLE = 3
 
 #: Second-person words of the four languages.
 SECOND = frozenset("you your yours yourself ur u tu toi te ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros".encode().split())
@@ -52,20 +60,41 @@ _DROPPED = b".,-_*+~^'\"`#%&()[]{}<>:;?/\\="
 FEATURES = ("hits", "density", "distinct", "weight", "second", "second_share", "capitals", "exclaims", "questions", "punctuation", "digits", "obfuscated", "obfuscated_share", "word_length", "log_words")
 
 
-def features(text: bytes, lexicon: dict[bytes, float]) -> list[float]:
-    ws = words(text)
+def beginnings(word: bytes) -> list[bytes]:
+    """The word if it is short, else its beginnings of STEM to LONGEST_STEM bytes that end with a code point."""
+    if len(word) <= STEM:
+        return [word]
+    return [word[:k] for k in range(STEM, min(len(word), LONGEST_STEM) + 1) if k == len(word) or word[k] & 0xC0 != 0x80]
+
+
+class Stems(dict):
+    """The lexicon's stem of each word, or nothing."""
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = next((b for b in beginnings(word) if b in self.lexicon), b"")
+        if len(self) < REMEMBERED:
+            self[word] = found
+        return found
+
+
+def features(text: bytes, stems: Stems) -> list[float]:
+    lexicon, ws = stems.lexicon, words(text)
+    met = [stems[w] for w in ws]
     n = max(1, len(ws))
-    at = [i for i, w in enumerate(ws) if w in lexicon]
+    at = [i for i, m in enumerate(met) if m]
     second = sum(1 for i in at if not SECOND.isdisjoint(ws[max(0, i - NEAR) : i + NEAR + 1]))
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     capitals, small = int(counts[65:91].sum()), int(counts[97:123].sum())
     digits = int(counts[48:58].sum())
     signs = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
-    plain = sum(1 for w in text.translate(_PLAIN, _DROPPED).split() if w in lexicon)
+    plain = sum(1 for w in text.translate(_PLAIN, _DROPPED).split() if stems[w])
     hidden = max(0, plain - len(at))
     size = max(1, len(text))
     return [
-        len(at), 1000.0 * len(at) / n, len({ws[i] for i in at}), sum(lexicon[ws[i]] for i in at),
+        len(at), 1000.0 * len(at) / n, len({met[i] for i in at}), sum(lexicon[met[i]] for i in at),
         second, second / max(1, len(at)), capitals / max(1, capitals + small), 100.0 * int(counts[33]) / n, 100.0 * int(counts[63]) / n,
         signs / size, digits / size, hidden, 1000.0 * hidden / n, size / n, math.log1p(len(ws)),
     ]
@@ -148,19 +177,30 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> word, documents of label 1 and 0, summed per batch."""
+    """(toxic, text) -> beginning of a word, documents of label 1 and 0, summed per batch."""
     for batch, texts in chunks(batches):
         by: tuple[Counter, Counter] = (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            by[int(label)].update(set(words(text)))
+            by[int(label)].update({b for w in set(words(text)) for b in beginnings(w)})
         every = list({*by[0], *by[1]})
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([by[1][w] for w in every], pa.int64()), pa.array([by[0][w] for w in every], pa.int64())], ["word", "ones", "zeros"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of the text's SHINGLE-word shingles (all its words if they are fewer)."""
+    for batch, texts in chunks(batches):
+        least = []
+        for text in texts:
+            ws = words(text)
+            least.append(str(min(xxhash.xxh64_intdigest(b" ".join(ws[i : i + SHINGLE])) for i in range(max(1, len(ws) - SHINGLE + 1)))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], ["doc_id", "toxic", "text", "least"])
+
+
 def _vectors(lexicon: dict[bytes, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems(lexicon)
         for batch, texts in chunks(batches):
-            rows = [features(t, lexicon) for t in texts]
+            rows = [features(t, stems) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     return run
@@ -178,6 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     # Of several texts of one doc_id the one with the smallest hash teaches.
     sample = sample.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    # One document of those that share their least shingle, so that copies are no evidence and don't stand on both sides of a split.
+    sample = sample.mapInArrow(_sketched, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, toxic int, text string, least string")
+    sample = sample.groupBy("least").agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct(F.xxhash64("doc_id"), "doc_id")).alias("r")).select("r.*")
     sample = cut(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))))
     n = {(r[0], r[1] > 0): r[2] for r in sample.groupBy("toxic", F.least("part", F.lit(1)).alias("part")).count().collect()}
     ones, zeros = (n.get((k, True), 0) + n.get((k, False), 0) for k in (1, 0))
@@ -190,8 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         ones, zeros = n[(1, True)], n[(0, True)]
     odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
     counts = teaching.select("toxic", "text").mapInArrow(_word_counts, "word binary, ones bigint, zeros bigint").groupBy("word").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    top = counts.where(F.col("ones") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("ones")), "word").limit(LEXICON).collect()
-    lexicon = {bytes(r["word"]): float(r["odds"]) for r in top}
+    error = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("zeros") + 0.5))
+    sure = counts.where(F.col("ones") >= LEAST_DOCS).withColumn("odds", odds).withColumn("sure", F.col("odds") / error).where(F.col("sure") >= LEAST_SURE)
+    # Beginnings of one word and its longer and shorter ones come together, of equal ones the longest first; LONGEST_STEM of them at most are of one kind.
+    lexicon: dict[bytes, float] = {}
+    for r in sure.orderBy(F.desc("sure"), F.desc(F.length("word")), "word").limit(LEXICON * LONGEST_STEM).collect():
+        word = bytes(r["word"])
+        if len(lexicon) < LEXICON and not any(word.startswith(x) or x.startswith(word) for x in lexicon):
+            lexicon[word] = float(r["odds"])
     got = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(lexicon), "doc_id bigint, toxic int, x array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))).orderBy("doc_id").collect()
     x, y, part = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got])
     for_trees = part != 0 if apart else np.ones(len(y), bool)
@@ -204,8 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems(model.lexicon)
         for batch, texts in chunks(batches):
-            x = np.array([features(t, model.lexicon) for t in texts])
+            x = np.array([features(t, stems) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     return run
@@ -221,8 +271,9 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
     """The documents that score under ``reject``, with all columns, in one narrow pass; all of them if the model has learned from one label only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = Stems(model.lexicon)
         for batch, texts in chunks(batches):
-            x = np.array([features(t, model.lexicon) for t in texts])
+            x = np.array([features(t, stems) for t in texts])
             yield unpacked(batch, model.score(x) < reject)
 
     if not model.trees:

@@ -11,7 +11,8 @@ sha256 of the payload's bytes; the source's block digest is kept beside it.
 
 A payload of bytes is decoded for its text only: chunks are put together, gzip and
 deflate undone, and the charset is that of the byte order mark, the HTTP header
-or the page's meta element, else UTF-8. A payload of type string is its own text.
+or the page's meta element, else UTF-8. A payload of type string is its own text, and
+a column ``page``, as ``read_warc`` has it, is the decoded payload.
 
 ``read_warc`` reads WARC files (plain, or gzip by record or in whole) into response
 rows, and a row with ``error`` for each record that is cut off or broken; what
@@ -59,7 +60,7 @@ SENT = 4 << 20
 #: The setting that hands files of an extension over as they are; Spark's own Hadoop classes have it under another name.
 PASSED = ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension")
 #: Where files are cut into pieces.
-CUT = b"\r\n"
+CUT = b"\n"
 #: Fixed value: elements that end a line.
 LINE_ENDS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
@@ -118,7 +119,7 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _uuid(F.concat(F.lit("response:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), url)).alias("record_id"), url.alias("target_uri"), F.lit(DATE).alias("date"), headers.alias("http_headers"), html.alias("payload"))
 
 
-FIELDS = ("record_id", "target_uri", "date", "http_headers", "payload", "source_payload_digest", "source_block_digest")
+FIELDS = ("record_id", "target_uri", "date", "http_headers", "payload", "page", "source_payload_digest", "source_block_digest")
 
 
 @F.arrow_udf(StringType())
@@ -131,8 +132,8 @@ def derive(source: DataFrame) -> DataFrame:
     keep = [c for c in source.columns if c not in FIELDS]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in source.columns else F.lit("")
     bytes_ = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
-    page = F.col("__docstrata_page") if isinstance(source.schema["payload"].dataType, BinaryType) else text("payload")
-    if isinstance(source.schema["payload"].dataType, BinaryType):
+    page = text("page") if "page" in source.columns else F.col("__docstrata_page") if isinstance(source.schema["payload"].dataType, BinaryType) else text("payload")
+    if "page" not in source.columns and isinstance(source.schema["payload"].dataType, BinaryType):
         source = source.withColumn("__docstrata_page", F.coalesce(_page(F.col("payload"), text("http_headers")), F.lit("")))
     own = F.when(text("source_payload_digest") != "", text("source_payload_digest")).otherwise(_digest(bytes_))
     # In two steps, since every start of a title would look for its end in the whole rest.
@@ -194,11 +195,11 @@ def response_members(source: DataFrame) -> DataFrame:
 
 
 def write_warc(members: DataFrame, path: str) -> None:
-    """Rows of gzip members as WARC files, one for each task, in a folder that all machines share.
+    """Rows of gzip members as WARC files (``.txt`` by the writer's rule), one for each task, in a folder that all machines share.
 
     The text writer puts its line end after each member; a line end of zeros is what gzip readers pass over.
     """
-    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("fileExtension", ".warc.gz").text(path)
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 def page_of(payload: bytes, headers: str) -> str:
@@ -449,7 +450,7 @@ def parse_records(data: bytes, piece: int = STEP) -> Iterator[Found]:
     yield from members.finish()
 
 
-_RESPONSE = "path string, record_id string, target_uri string, date string, http_headers string, source_payload_digest string, source_block_digest string, payload binary, error string"
+_RESPONSE = "path string, record_id string, target_uri string, date string, http_headers string, source_payload_digest string, source_block_digest string, payload binary, page string, error string"
 
 
 def _response_rows(path: str, found: Iterator[Found]) -> Iterator[pa.RecordBatch]:
@@ -465,7 +466,7 @@ def _response_rows(path: str, found: Iterator[Found]) -> Iterator[pa.RecordBatch
         if "error" in fields or fields.get("warc-type", "").lower() == "response":
             head, _, body = block.partition(b"\r\n\r\n")
             get = lambda name: fields.get(name, "")  # noqa: B023, E731
-            made.append((path, get("warc-record-id"), get("warc-target-uri"), get("warc-date"), head.decode("utf-8", "replace"), get("warc-payload-digest"), get("warc-block-digest"), body, fields.get("error")))
+            made.append((path, get("warc-record-id"), get("warc-target-uri"), get("warc-date"), head.decode("utf-8", "replace"), get("warc-payload-digest"), get("warc-block-digest"), body, page_of(body, head.decode("utf-8", "replace")), fields.get("error")))
             size += len(block)
             if size > SENT or len(made) >= 1000:
                 yield batch()
@@ -495,20 +496,21 @@ def _from_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _response_rows(path, records(mine))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, unsplit: str = ".gz") -> DataFrame:
     """Response rows of the WARC files under a path, and rows with ``error`` for records that can't be read.
 
     A file is read by one task, in order and piece by piece, whatever its size, so that what a damaged part costs doesn't depend on where
-    a split falls; WARC files are a gigabyte or so by convention, and many files are what is read in parallel. Gzip files are handed over
-    as they are, unsplit; of others, which Spark splits, the pieces are put in order first.
+    a split falls; WARC files are a gigabyte or so by convention, and many files are what is read in parallel. Files whose names end with
+    ``unsplit`` are handed over whole and in order; of others, which Spark splits, the pieces are put in order by a shuffle first.
     """
     raw = lambda glob: spark.read.option("recursiveFileLookup", "true").option("lineSep", CUT.decode()).option("pathGlobFilter", glob)
     pieces = lambda df, *more: df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("piece"), *more)
-    unsplit = raw("*.gz").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+    passed = raw(f"*{unsplit}").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
     for key in PASSED:
-        unsplit = unsplit.option(key, ".gz")
-    packed = pieces(unsplit.text(path))
-    others = pieces(raw("*{[!z],[!g]z,[!.]gz}").text(path), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+        passed = passed.option(key, unsplit)
+    packed = pieces(passed.text(path))
+    rest = ",".join(f"[!{c}]{unsplit[i + 1 :]}" for i, c in enumerate(unsplit))
+    others = pieces(raw(f"*{{{rest}}}").text(path), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
     ordered = others.repartition("path").sortWithinPartitions("path", "start", "place").select("path", "length", "piece")
     return packed.mapInArrow(_from_pieces, _RESPONSE).unionByName(ordered.mapInArrow(_from_pieces, _RESPONSE))
 
@@ -521,7 +523,7 @@ def files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivatives of WARC files: the pages are written as members to the shared folder and read again."""
     at = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     write_warc(response_members(responses(table(spark, sf_dir, "pages"))), at)
-    return derive(read_warc(spark, at).where("error is null").drop("path", "error"))
+    return derive(read_warc(spark, at, unsplit=".txt").where("error is null").drop("path", "error"))
 
 
 def _sql_uuid(seed: str) -> str:
