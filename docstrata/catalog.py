@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.plans import catalogue, documents
+from docstrata.plans import catalogue, documents, shifted  # noqa: F401  (registers its queries)
 
 QUERIES = catalogue.QUERIES | documents.QUERIES
 ORACLES = catalogue.ORACLES | documents.ORACLES

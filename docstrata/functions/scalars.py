@@ -496,16 +496,6 @@ def number_markers(d, x):
     return d.sub(x, "Œ([0-9]+)Œ", r"– \1 –")
 
 
-def connector(d, words):
-    """``C`` between two capitalised words is an ampersand."""
-    return d.sub(words, r"([A-Z][A-Za-z]+) C ([A-Z][A-Za-z]+)", r"\1 & \2")
-
-
-def open_parenthesis(d, words):
-    """``E`` between two lower-case words is an opening parenthesis."""
-    return d.sub(words, r"([a-z]{2,}) E ([a-z]{2,})", r"\1 (\2")
-
-
 # --- boxes, rules, matrices -------------------------------------------------------
 
 #: The page that boxes are measured against.

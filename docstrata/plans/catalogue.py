@@ -178,7 +178,6 @@ _scalar("f11_f13_shifted_text", _words, "doc_id, line_no, seq", {"unshifted": la
 _scalar("f16_f36_f37_literal_repairs", lambda d: f"SELECT doc_id, line_no, concat('Ł h a r m o n i c >& ', line, ' >' || chr(39) || ' ––') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.literal(d, f.literal(d, "line", f.SYMBOLS), f.SPLIT_WORDS)})
 _scalar("f19_f26_shifted_numbers", lambda d: f"SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN 'NPIQ' WHEN 1 THEN 'MNV' ELSE line END AS word FROM ({_lines(d)}) b", LINE, {"number": lambda d: f.shifted_number(d, "word")})
 _scalar("f24_f39_fiscal_markers", lambda d: f"SELECT doc_id, line_no, concat('e3(Q3 ', line, ' Œ3Œ') AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.number_markers(d, f.fiscal_period(d, "line"))})
-_scalar("w15_w17_connectors", lambda d: f"SELECT doc_id, line_no, concat('Sales C Marketing and profit E loss ', line) AS line FROM ({_lines(d)}) b", LINE, {"fixed": lambda d: f.open_parenthesis(d, f.connector(d, "line"))})
 _scalar("p24_column_anchor", _words, "doc_id, line_no, seq", {"plausible": lambda d: f.plausible_anchor(d, "x")})
 _register("g20_polygon_area", lambda d: f"WITH p AS (SELECT l_orderkey, x, y, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM ({_BOXES}) b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w)) SELECT l_orderkey, CASE WHEN count(*) < 3 THEN CAST(0 AS DOUBLE) ELSE round(abs(sum(x * ny - nx * y)) / 2, 3) END AS area FROM p GROUP BY l_orderkey")
 _scalar("p35_container_path", lambda d: _BOXES, "l_orderkey, l_linenumber", {"prepaint": lambda d: f.container(d, "fill", "stroke", "w", "h")})
@@ -270,7 +269,7 @@ _register("g16_page_extent", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id,
 _register("g21_g22_line_width", lambda d: f"WITH s AS ({_words(d)}) SELECT doc_id, line_no, greatest(max(x + width) - min(x), 0.5 * max(font)) AS line_width FROM s GROUP BY doc_id, line_no")
 _register("p12_w12_tabular", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, line_no ORDER BY cell) AS step FROM c), t AS (SELECT doc_id, line_no, count(*) >= 2 AND min(step) >= 24 AS cells_fit FROM g GROUP BY doc_id, line_no) SELECT t.doc_id, t.line_no, cells_fit, cells_fit AND NOT {f.bullet_prose(d, 'l.line')} AS tabular FROM t JOIN ({_lines(d)}) l ON l.doc_id = t.doc_id AND l.line_no = t.line_no")
 _register("w11_table_cells", lambda d: f"SELECT doc_id, line_no, seq, cell FROM ({_cells(d)}) c")
-_register("p30_p31_page_aggregates", lambda d: f"SELECT l_suppkey, sum(CASE WHEN h <= 1.5 AND w >= 20 THEN 1 ELSE 0 END) >= 8 AND sum(CASE WHEN w <= 1.5 AND h >= 20 THEN 1 ELSE 0 END) >= 6 AS grid, max(w * h) >= {f.PAGE_WIDTH * f.PAGE_HEIGHT} * 0.08 AS large_image, count(*) AS n FROM (SELECT l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE CAST(l_tax * 5000 + 1 AS DOUBLE) END AS w, CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE CAST(l_quantity * 4 AS DOUBLE) END AS h FROM @lineitem) b GROUP BY l_suppkey")
+_register("p30_p31_page_aggregates", lambda d: f"SELECT l_suppkey, sum(CASE WHEN painted AND h <= 1.5 AND w >= 20 THEN 1 ELSE 0 END) >= 8 AND sum(CASE WHEN painted AND w <= 1.5 AND h >= 20 THEN 1 ELSE 0 END) >= 6 AS grid, max(w * h) >= {f.PAGE_WIDTH * f.PAGE_HEIGHT} * 0.08 AS large_image, count(*) AS n FROM (SELECT l_suppkey, l_quantity > 5 AS painted, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE CAST(l_tax * 5000 + 1 AS DOUBLE) END AS w, CASE WHEN l_linenumber % 3 = 0 THEN 1.0 ELSE CAST(l_quantity * 4 AS DOUBLE) END AS h FROM @lineitem) b GROUP BY l_suppkey")
 _register("j24_p16_overlaps", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j, {f.overlap_area(d, ('a.x', 'a.y', 'a.w', 'a.h'), ('b.x', 'b.y', 'b.w', 'b.h'))} AS area FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 _register("j25_containment", lambda d: f"WITH r AS ({_RECTS}) SELECT a.l_orderkey, a.l_linenumber AS outer_no, count(*) AS n_inside FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE b.x >= a.x - 1.5 AND b.y >= a.y - 1.5 AND b.x + b.w <= a.x + a.w + 1.5 AND b.y + b.h <= a.y + a.h + 1.5 GROUP BY a.l_orderkey, a.l_linenumber")
 #: Outlines of five points: closed or not, upright or a little tilted.
