@@ -1,7 +1,6 @@
 """Each rule of the shifted-text repair on literal words, in both dialects; the steps of a line in their order."""
 
 import duckdb
-import pytest
 
 from docstrata.functions import shifted as s
 from docstrata.functions.dialect import DUCK, SPARK
@@ -29,67 +28,40 @@ WORDS = [
 ]
 
 
-def both(spark, expression):
-    """The expression's value, the same in both engines."""
-    out = spark.sql("SELECT " + expression(SPARK)).first()[0], duckdb.sql("SELECT " + expression(DUCK)).fetchall()[0][0]
-    assert out[0] == out[1]
-    return out[0]
+def both(spark, expressions, given):
+    """The expressions' values on every given text, the same in both engines; one query each."""
+    rows = lambda d: ", ".join(f"({k}, {d.text(x)})" for k, x in enumerate(given))
+    listed = lambda d: ", ".join(f"{e(d, 'x')} AS c{i}" for i, e in enumerate(expressions))
+    out = [tuple(r) for r in spark.sql(f"SELECT {listed(SPARK)} FROM VALUES {rows(SPARK)} AS t(k, x) ORDER BY k").collect()]
+    other = duckdb.sql(f"SELECT {listed(DUCK)} FROM (VALUES {rows(DUCK)}) AS t(k, x) ORDER BY k").fetchall()
+    assert out == [tuple(r) for r in other]
+    return out
 
 
-@pytest.mark.parametrize(("word", "rule", "want"), WORDS)
-def test_words(spark, word, rule, want):
-    assert (both(spark, lambda d: s.rule(d, d.text(word))), both(spark, lambda d: s.word(d, d.text(word)))) == (rule, want)
-
-
-def test_first_rule_wins(spark):
-    for d, run in ((SPARK, lambda q: spark.sql(q).first()[0]), (DUCK, lambda q: duckdb.sql(q).fetchall()[0][0])):
-        for word, rule, _ in WORDS:
-            tests = list(run("SELECT " + ("array(" if d is SPARK else "[") + ", ".join(test for test, _ in s.ladder(d, d.text(word))) + (")" if d is SPARK else "]")))
-            assert tests.index(True) + 1 == rule
+def test_words(spark):
+    """Every word's rule and repair; the rule is the first whose test holds."""
+    tests = [lambda d, x, k=k: f"coalesce({s.ladder(d, x)[k][0]}, false)" for k in range(len(s.RULES))]
     assert len(s.RULES) == len(s.ladder(DUCK, "x"))
+    for (word, rule, want), got in zip(WORDS, both(spark, [s.rule, s.word, *tests], [w for w, _, _ in WORDS]), strict=True):
+        assert got[:2] == (rule, want), word
+        assert got[2:].index(True) + 1 == rule, word
 
 
-@pytest.mark.parametrize(
-    ("given", "want"),
-    [
+MARKERS = [
         ("Part one ... NO", "Part one ... 12"), ("Part one .. NO", "Part one .. NO"),
         ("ŒNPŒ and ŒxŒNŒ", "– 13 – and Œx– 1 –"), ("Œ1 2Œ", "Œ1 2Œ"),
         ("see EMNF  and EF", "see (01) and EF"), ("two  spaces", "two  spaces"),
-    ],
-)
-def test_markers(spark, given, want):
-    assert both(spark, lambda d: s.markers(d, d.text(given))) == want
-
-
-@pytest.mark.parametrize(
-    ("given", "want"),
-    [
+]
+STRINGS = [
         ("ŒNŒ", "– 1 –"), ("A[B]c", "A[B]c"), ("some text", "some text"), ("A", "A"),
         ("WKH $JUHHPHQW", "the Agreement"), ("THE LAW OF", "THE LAW OF"),
-    ],
-)
-def test_file_strings(spark, given, want):
-    assert both(spark, lambda d: s.text(d, d.text(given))) == want
-
-
-@pytest.fixture
-def line(spark, monkeypatch):
-    """A line through all steps, in both engines."""
-
-    def run(text):
-        words = " ".join(text.split())
-        given = lambda d: f"SELECT 1 AS doc_id, 1 AS line_no, split({d.text(words)}, ' ') AS ws" if d is SPARK else f"SELECT 1 AS doc_id, 1 AS line_no, string_split({d.text(words)}, ' ') AS ws"
-        monkeypatch.setattr(shifted, "_broken", given)
-        out = spark.sql(shifted._spark_lines(SPARK)).first()["fixed"], duckdb.sql(shifted._duck_lines(DUCK)).fetchall()[0][-1]
-        assert out[0] == out[1]
-        return out[0]
-
-    return run
+]
+def test_markers_and_file_strings(spark):
+    for rule, cases in ((s.markers, MARKERS), (s.text, STRINGS)):
+        assert [r[0] for r in both(spark, [rule], [g for g, _ in cases])] == [w for _, w in cases]
 
 
-@pytest.mark.parametrize(
-    ("given", "want"),
-    [
+LINES = [
         # Pairs are taken before single words, and what is taken is gone.
         ("OMOQe N", "2024H1"), ("OMOQe O actual", "2024H2 actual"), ("OMOQeN OMORe N", "2024H1 2025H1"),
         # A word that could end one pair and begin the next ends the first.
@@ -102,7 +74,18 @@ def line(spark, monkeypatch):
         ("gain E Loss )", "gain E Loss)"), ("some ordinary prose words E like these )", "some ordinary prose words E like these)"),
         # The later steps: hyphens, capitals, joined prose, spaces, periods, markers.
         ("a top- down D igital elementsand ( x ) last3 years ŒNŒ", "a top-down Digital elements and (x) last 3 years – 1 –"),
-    ],
-)
-def test_lines(line, given, want):
-    assert line(given) == want
+]
+def test_lines(spark, monkeypatch):
+    """Lines through all steps, in both engines."""
+    split = {SPARK: "split", DUCK: "string_split"}
+
+    def given(d):
+        rows = ", ".join(f"({k}, {d.text(' '.join(g.split()))})" for k, (g, _) in enumerate(LINES))
+        values = f"VALUES {rows} AS t(k, x)" if d is SPARK else f"(VALUES {rows}) AS t(k, x)"
+        return f"SELECT 1 AS doc_id, k AS line_no, {split[d]}(x, ' ') AS ws FROM {values}"
+
+    monkeypatch.setattr(shifted, "_broken", given)
+    got = {r["line_no"]: r["fixed"] for r in spark.sql(shifted._spark_lines(SPARK)).collect()}
+    assert got == {r[1]: r[2] for r in duckdb.sql(shifted._duck_lines(DUCK)).fetchall()}
+    for k, (line, want) in enumerate(LINES):
+        assert got[k] == want, line
