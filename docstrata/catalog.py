@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docstrata.plans import catalogue, documents, pages, shifted  # noqa: F401  (registers its queries)
+from docstrata.plans import catalogue, documents, pages, placed, shifted  # noqa: F401  (registers its queries)
 
-QUERIES = catalogue.QUERIES | documents.QUERIES
-ORACLES = catalogue.ORACLES | documents.ORACLES
+QUERIES = catalogue.QUERIES | documents.QUERIES | placed.QUERIES
+ORACLES = catalogue.ORACLES | documents.ORACLES | placed.ORACLES
