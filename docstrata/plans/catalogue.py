@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.functions import scalars as f
 from docstrata.functions.dialect import DUCK, SPARK, WS
+from docstrata.operators import prefix
 from docstrata.session import shared_folder, table
 
 
@@ -242,10 +243,33 @@ _SIDES = lambda d: f"""i AS (SELECT doc_id, name, {f.match_key(d, "name")} AS mk
   p AS (SELECT ir.doc_id AS input_id, orr.doc_id AS output_id, coalesce(ir.mk, orr.mk) AS match_key FROM ir FULL OUTER JOIN orr ON ir.mk = orr.mk AND ir.rn = orr.rn)"""
 _register("j01_j03_pair_full_outer", lambda d: f"WITH {_SIDES(d)} SELECT coalesce(input_id, -1) AS input_id, coalesce(output_id, -1) AS output_id, match_key FROM p")
 _register("g25_pair_coverage", lambda d: f"WITH {_SIDES(d)} SELECT count(input_id) AS n_input, count(output_id) AS n_output, count(CASE WHEN input_id IS NOT NULL AND output_id IS NOT NULL THEN 1 END) AS matched, count(CASE WHEN output_id IS NULL THEN 1 END) AS missing, count(CASE WHEN input_id IS NULL THEN 1 END) AS extra FROM p")
-_PAGES = lambda d: f"WITH {_SIDES(d)}, c AS (SELECT match_key, input_id, output_id, greatest(CASE WHEN input_id IS NULL THEN 0 ELSE input_id % 5 + 1 END, CASE WHEN output_id IS NULL THEN 0 ELSE output_id % 4 + 1 END) AS n FROM p), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY match_key, input_id NULLS FIRST, output_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_page FROM c)"
+_PAIRS = lambda d: f"WITH {_SIDES(d)} SELECT match_key, input_id, output_id, greatest(CASE WHEN input_id IS NULL THEN 0 ELSE input_id % 5 + 1 END, CASE WHEN output_id IS NULL THEN 0 ELSE output_id % 4 + 1 END) AS n FROM p"
+_PAGES = lambda d: f"WITH c AS ({_PAIRS(d)}), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY match_key, input_id NULLS FIRST, output_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_page FROM c)"
 _register("g26_g28_page_ranges", lambda d: f"{_PAGES(d)} SELECT match_key, coalesce(input_id, -1) AS input_id, coalesce(output_id, -1) AS output_id, CAST(n AS BIGINT) AS n, CAST(start_page AS BIGINT) AS start_page FROM r")
 # Each range is dealt out to its pages, so that any page meets its pair by equality.
 _register("j04_resolve_global_page", lambda d: f"{_PAGES(d)}, e AS (SELECT r.match_key, r.input_id, r.output_id, r.start_page, " + ("explode(sequence(CAST(start_page AS BIGINT) + 1, CAST(start_page + n AS BIGINT)))" if d is SPARK else "unnest(range(CAST(start_page AS BIGINT) + 1, CAST(start_page + n AS BIGINT) + 1))") + " AS page FROM r WHERE n > 0), g AS (SELECT doc_id + 1 AS page FROM @documents) SELECT g.page, e.match_key, coalesce(e.input_id, -1) AS input_id, coalesce(e.output_id, -1) AS output_id, CAST(g.page - e.start_page AS BIGINT) AS local_page FROM g JOIN e ON g.page = e.page")
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their pages and the first of them, numbered over all pairs."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    pairs = spark.sql(_TABLE.sub(r"docstrata_\1", _PAIRS(SPARK)).replace("VARCHAR(9)", "STRING"))
+    return prefix.running_total(pairs, ["match_key", "input_id", "output_id"], "n", "start_page")
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir).selectExpr("match_key", "coalesce(input_id, -1) AS input_id", "coalesce(output_id, -1) AS output_id", "CAST(n AS BIGINT) AS n", "start_page")
+
+
+def resolved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair and its page that a global page number stands for, met by equality."""
+    pages = _ranges(spark, sf_dir).where("n > 0").selectExpr("match_key", "coalesce(input_id, -1) AS input_id", "coalesce(output_id, -1) AS output_id", "start_page", "explode(sequence(start_page + 1, start_page + n)) AS page")
+    asked = table(spark, sf_dir, "documents").selectExpr("doc_id + 1 AS page")
+    return asked.join(pages, "page").selectExpr("page", "match_key", "input_id", "output_id", "page - start_page AS local_page")
+
+
+QUERIES["g26_g28_page_ranges"] = page_ranges
+QUERIES["j04_resolve_global_page"] = resolved_pages
 _register("j05_pruned_counts", lambda d: "SELECT l.doc_id, l.quality FROM @labels l WHERE EXISTS (SELECT 1 FROM @documents x WHERE x.doc_id = l.doc_id)")
 _register("j06_missing_warnings", lambda d: "SELECT x.doc_id, concat('unlabelled document ', CAST(x.doc_id AS VARCHAR(12))) AS message FROM @documents x WHERE NOT EXISTS (SELECT 1 FROM @labels l WHERE l.doc_id = x.doc_id)")
 _register("j08_scoped_lookup", lambda d: "WITH m AS (SELECT user_id, event_type, max(event_id) AS v FROM @events WHERE event_id % 3 = 0 GROUP BY user_id, event_type), z AS (SELECT event_type, max(event_id) AS v FROM @events GROUP BY event_type) SELECT e.event_id, coalesce(m.v, z.v) AS found FROM @events e LEFT JOIN m ON e.user_id = m.user_id AND e.event_type = m.event_type LEFT JOIN z ON e.event_type = z.event_type")
@@ -302,11 +326,22 @@ _register("o05_o06_column_cuts", lambda d: f"""WITH a AS (SELECT * FROM (SELECT
     FROM ({_words(d)}) s WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   e AS (SELECT w.doc_id, w.line_no, a.anchor, k, abs(n_left * 12 * CAST(0.45 AS DOUBLE) - greatest(a.anchor - 72 - 24, 12)) AS error FROM w JOIN a ON a.doc_id = w.doc_id AND a.line_no = w.line_no WHERE k > 0 AND ({f.column_start(d, "text")} OR address = 1))
   SELECT doc_id, line_no, anchor, CAST({"min_by(k, struct(error, k))" if d is SPARK else "arg_min(k, {'e': error, 'k': k})"} AS BIGINT) AS words_left FROM e WHERE error <= 144 GROUP BY doc_id, line_no, anchor""")
-_register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT w FROM ({_EXPLODED(d, '@benchmark', 'item_id')}) b) SELECT k.w, min(x.doc_id) AS first_doc FROM k JOIN ({_EXPLODED(d, '@documents', 'doc_id')}) x ON x.w = k.w GROUP BY k.w")
+_register("j12_j13_first_match", lambda d: f"WITH k AS (SELECT DISTINCT w FROM ({_EXPLODED(d, '@benchmark', 'item_id')}) b) SELECT k.w, x.first_doc FROM k JOIN (SELECT w, min(doc_id) AS first_doc FROM ({_EXPLODED(d, '@documents', 'doc_id')}) e GROUP BY w) x ON x.w = k.w")
 _register("o11_fuzzy_scores", lambda d: f"SELECT doc_id, line_no, seq, text, score FROM (SELECT *, {f.fuzzy_score(d, 'text', 'th')} AS score FROM ({_words(d)}) b) c WHERE score > 0")
 _register("o03_nearest_column", lambda d: f"WITH c AS (SELECT doc_id, line_no, cell, min(x) AS x FROM ({_cells(d)}) s GROUP BY doc_id, line_no, cell), k AS (SELECT doc_id, cell - 1 AS col_no, x AS col_x FROM c WHERE line_no = 0) SELECT c.doc_id, c.line_no, c.cell, " + ("min_by(k.col_no, struct(abs(c.x - k.col_x), k.col_no))" if d is SPARK else "arg_min(k.col_no, {'t': abs(c.x - k.col_x), 'n': k.col_no})") + " AS col_no FROM c JOIN k ON k.doc_id = c.doc_id GROUP BY c.doc_id, c.line_no, c.cell")
 _NATURAL = lambda d, x: d.sub(d.sub(x, "([0-9]+)", r"00000000000\1"), "0*([0-9]{12})([^0-9]|$)", r"\1\2")
-_register("o12_natural_sort", lambda d: f"SELECT doc_id, match_key, row_number() OVER (PARTITION BY match_key ORDER BY variant, natural_name, doc_id) AS place FROM (SELECT doc_id, {f.match_key(d, 'name')} AS match_key, CASE WHEN {d.like(f.strip_extension(d, 'name'), '(?i)[.]include-images$')} THEN 1 ELSE 0 END AS variant, {_NATURAL(d, 'lower(name)')} AS natural_name FROM (SELECT doc_id, concat(source, '-', CAST(doc_id % 89 AS VARCHAR(9)), CASE doc_id % 3 WHEN 0 THEN '.include-images' ELSE '' END, CASE doc_id % 2 WHEN 0 THEN '.html' ELSE '.htm' END) AS name FROM @documents) z) b")
+_NAMED = lambda d: f"SELECT doc_id, {f.match_key(d, 'name')} AS match_key, CASE WHEN {d.like(f.strip_extension(d, 'name'), '(?i)[.]include-images$')} THEN 1 ELSE 0 END AS variant, {_NATURAL(d, 'lower(name)')} AS natural_name FROM (SELECT doc_id, concat(source, '-', CAST(doc_id % 89 AS VARCHAR(9)), CASE doc_id % 3 WHEN 0 THEN '.include-images' ELSE '' END, CASE doc_id % 2 WHEN 0 THEN '.html' ELSE '.htm' END) AS name FROM @documents) z"
+_register("o12_natural_sort", lambda d: f"SELECT doc_id, match_key, row_number() OVER (PARTITION BY match_key ORDER BY variant, natural_name, doc_id) AS place FROM ({_NAMED(d)}) b")
+
+
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places inside each match key, however many names share it."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    named = spark.sql(_TABLE.sub(r"docstrata_\1", _NAMED(SPARK)).replace("VARCHAR(9)", "STRING"))
+    return prefix.places(named, "match_key", ["variant", "natural_name", "doc_id"], "place").select("doc_id", "match_key", "place")
+
+
+QUERIES["o12_natural_sort"] = natural_sort
 _register("u04_latest_revision", lambda d: "SELECT user_id, event_type, " + ("max_by(value, struct(ts, event_id))" if d is SPARK else "arg_max(value, {'t': ts, 'e': event_id})") + " AS value, count(*) AS revisions FROM @events GROUP BY user_id, event_type")
 _register("u07_priority_union", lambda d: "WITH u AS (SELECT doc_id, 1 AS prio, CASE quality WHEN 1 THEN 'good' END AS v FROM @labels UNION ALL SELECT doc_id, 2, lang FROM @documents) SELECT doc_id, " + ("min_by(v, prio)" if d is SPARK else "arg_min(v, prio)") + " AS v FROM u WHERE v IS NOT NULL GROUP BY doc_id")
 _register("r05_g31_job_rollup", lambda d: "SELECT source, count(*) AS n, count(CASE WHEN n_chars > 5000 THEN 1 END) AS failed, CASE WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = 0 THEN 'done' WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM @documents GROUP BY source")
