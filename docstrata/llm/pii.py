@@ -1,9 +1,9 @@
 r"""Personal data: patterns propose spans, checksums confirm, context words score.
 
 Everything is Spark SQL expressions over one row at a time: no shuffle.
-Per kind, ``regexp_extract_all`` gives the leftmost non-overlapping matches and,
-only where there are any, the gaps before them, from whose lengths the code point
-offsets follow. Patterns are the plain ones with possessive quantifiers and a
+Per kind, ``regexp_extract_all`` gives the leftmost non-overlapping matches and a
+split at the same pattern the gaps before them, from whose lengths the code point
+offsets follow; only texts that can have a match are looked through. Patterns are the plain ones with possessive quantifiers and a
 look-behind where that cannot change a match, so that long runs stay linear and
 off the Java stack.
 
@@ -131,8 +131,8 @@ def _score(kind: Kind, near: Column) -> Column:
 def _spans(kind: Kind, text: Column) -> Column:
     """array<struct<kind,start,end,score>> of a kind, in text order."""
     found = F.regexp_extract_all(text, F.lit("(" + kind.pattern + ")"), F.lit(1))
-    # "\G" ties each try to the end of the last match; without it the tail after the last one would be scanned from every position.
-    gaps = F.regexp_extract_all(text, F.lit("(?s)\\G(.*?)(?:" + kind.pattern + ")"), F.lit(1))
+    # What stands before each match; the tail after the last one has no match and goes.
+    gaps = F.split(text, kind.pattern, -1)
     zero, none = F.lit(0), F.array().cast(_SPANS)
     state = lambda at, i: F.struct(at.alias("at"), i.alias("i"), none.alias("spans"))
 
@@ -159,7 +159,7 @@ def _spans(kind: Kind, text: Column) -> Column:
         start = lambda sums, b: state(F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x), b * BLOCK)
         return _let(sums, lambda sums: F.flatten(F.transform(blocks, lambda b: fold(every, block(b), start(sums, b)))))
 
-    both = F.arrays_zip(found.alias("m"), gaps.alias("g"))
+    both = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda x: x["m"].isNotNull())
     folded = _let(both, lambda z: F.when(F.size(z) <= BLOCK, fold(z, z, state(zero, zero))).otherwise(in_blocks(z)))
     return F.when(text.rlike(kind.needs), folded).otherwise(none)
 
@@ -197,8 +197,23 @@ def _iban_spans(kind: Kind, text: Column) -> Column:
     return F.when(text.rlike(kind.needs), folded).otherwise(spans)
 
 
+#: What all patterns but some of ``secret`` have: two digits in a row or with a sign between them, or one after a plus, a value after a colon or an equals sign, the end of a key's prefix.
+_MAY = r"[0-9+:=_-](?:(?<=[0-9])[\x20.-]?[0-9]|(?<=[+])[0-9]|(?<=[:=])\x20?[\"\x27]?[A-Za-z0-9+/_.-]{16}|(?<=gh[pousr]_)|(?<=sk-)|(?<=xox[abprs]-))"
+#: What else has to stand in a text with a span.
+_MAY_HOLD = ("@", "KIA", "SIA", "Iza", "PRIVATE KEY")
+
+
+def _may(text: Column) -> Column:
+    """Whether any kind's ``needs`` can hold: most texts are looked through once."""
+    out = text.rlike(_MAY)
+    for part in _MAY_HOLD:
+        out = text.contains(part) | out
+    return out
+
+
 def _all_spans(text: Column) -> Column:
-    return F.concat(*(_iban_spans(k, text) if k.name == "iban" else _spans(k, text) for k in KINDS))
+    every = F.concat(*(_iban_spans(k, text) if k.name == "iban" else _spans(k, text) for k in KINDS))
+    return F.when(_may(text), every).otherwise(F.array().cast(_SPANS))
 
 
 def find(docs: DataFrame) -> DataFrame:
