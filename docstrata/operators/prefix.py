@@ -11,19 +11,17 @@ the order follow each other in any way; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.session import shared_folder
+from docstrata.session import stored_path
 
 
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """The rows with the sum of ``value`` over all rows before each in the order, as a bigint."""
     spark = df.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = f"{shared_folder(spark)}/ranges-{uuid.uuid4()}"
+    at = stored_path(spark, "ranges")
     df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()).write.parquet(at)
     stored = spark.read.parquet(at)
     before, offsets = 0, []

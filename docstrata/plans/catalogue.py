@@ -7,7 +7,6 @@ check's SQL comes from; only the dialect's functions differ.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docstrata.functions import scalars as f
 from docstrata.functions.dialect import DUCK, SPARK, WS
 from docstrata.operators import prefix
-from docstrata.session import shared_folder, table
+from docstrata.session import stored_path, table
 
 
 def _lines(d, source: str = "@documents") -> str:
@@ -216,7 +215,7 @@ _register("furniture_removed", lambda d: f"WITH {_furniture(d) % 3} SELECT doc_i
 def furniture_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that stay. The keys to remove are written first, so that Spark knows their size when it plans the join: small ones are
     broadcast and no line is shuffled; else lines without a key, which match nothing, are spread by their document."""
-    folder = f"{shared_folder(spark)}/furniture-{uuid.uuid4().hex}"
+    folder = stored_path(spark, "furniture")
     QUERIES["furniture_keys"](spark, sf_dir).select("source", "key").write.parquet(folder)
     spark.read.parquet(folder).createOrReplaceTempView("docstrata_furniture")
     return spark.sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Folders that each application has stored intermediate tables in.
+_STORED: dict[str, list[str]] = {}
+
+
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table in the shared folder; ``release`` removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this application has stored so far, once the results read from them are written; how many there were."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
