@@ -30,7 +30,6 @@ import hashlib
 import heapq
 import json
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby, pairwise
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.text import chunks
-from docstrata.session import shared_folder, table
+from docstrata.session import stored_path, table
 
 #: Folder of the vocabularies, on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -245,7 +244,7 @@ def spill(docs: DataFrame, folder: str = TOKENIZERS) -> tuple[DataFrame, int]:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_radix = LEAST_RADIX + size // RADIX_BYTES
-    at = f"{shared_folder(spark)}/alignment-{uuid.uuid4()}"
+    at = stored_path(spark, "alignment")
     rows.mapInArrow(_spill(folder, n_radix), _SPILLED.format(rows.schema["doc_id"].dataType.simpleString())).write.parquet(at)
     return spark.read.parquet(at), n_radix
 
@@ -318,7 +317,7 @@ def count(spilled: DataFrame, n_slices: int) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("chunk"), F.lit(n)).cast("int").alias("part")
     runs = spilled.where("radix >= 0").select("radix", part(n_slices), "first", "pairs", "counts")
     while True:
-        at = f"{shared_folder(spark)}/alignment-{uuid.uuid4()}"
+        at = stored_path(spark, "alignment")
         runs.repartition("radix", "part").sortWithinPartitions("radix", "part", "first").mapInArrow(_merge, _COUNTED).write.parquet(at)
         runs = spark.read.parquet(at)
         if n_slices == 1:

@@ -27,7 +27,6 @@ of the input are ignored by ``index`` and kept by ``decontaminate``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.text import chunks, packed, unpacked, words
-from docstrata.session import cut, shared_folder, table
+from docstrata.session import cut, stored_path, table
 
 WINDOW = 10
 #: Words beyond the window's length within which all its terms make a proximity match.
@@ -229,7 +228,7 @@ def index(docs: DataFrame) -> DataFrame:
     """The stored index of the documents (doc_id, text), a row per segment."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    at = f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4()}"
+    at = stored_path(docs.sparkSession, "postings")
     rows.mapInArrow(_segments, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, terms array<binary>, counts array<bigint>, positions binary").write.parquet(at)
     return docs.sparkSession.read.parquet(at)
 
@@ -266,11 +265,19 @@ def _search(windows: Windows, slack: int, every: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda batch, name: batch.column(batch.schema.get_field_index(name))
+        vocab = pa.array(windows.vocab, pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
                 numbers = lambda name: column(batch, name)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 n_words = numbers("n_words")
-                segment = Segment.unpacked(n_words, column(batch, "terms")[i].values, numbers("counts"), column(batch, "positions")[i].as_py())
+                terms = column(batch, "terms")[i].values
+                if pc.any(pc.is_in(terms, value_set=vocab)).as_py():
+                    segment = Segment.unpacked(n_words, terms, numbers("counts"), column(batch, "positions")[i].as_py())
+                elif every:
+                    # Without any term of the block the positions stay packed.
+                    segment = Segment(n_words, terms.slice(0, 0), np.empty(0, np.int64), np.empty(0, np.int64))
+                else:
+                    continue
                 found = find(segment, windows, slack)
                 spans: list[list[dict]] = [[] for _ in n_words]
                 for document, start, end in zip(*(x.tolist() for x in found.stretches), strict=True):
@@ -316,7 +323,7 @@ def search(stored: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     """doc_id, n_words, n_hit, spans (hit words, may overlap), items and near (arrays of item_id) for every indexed document."""
     spark = stored.sparkSession
     schema = f"doc_id {stored.schema['doc_ids'].dataType.elementType.simpleString()}, {_FOUND}"
-    at, parts = f"{shared_folder(spark)}/matches-{uuid.uuid4()}", []
+    at, parts = stored_path(spark, "matches"), []
     for k, block in enumerate(_blocks(benchmark)):
         if parts:
             # One block is held at a time: what the one before has found is stored.

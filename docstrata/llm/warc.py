@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import gzip
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from docstrata.llm.text import unescaped
-from docstrata.session import shared_folder, table
+from docstrata.session import stored_path, table
 
 #: Bytes that are inflated at once.
 STEP = 1 << 14
@@ -521,7 +520,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivatives of WARC files: the pages are written as members to the shared folder and read again."""
-    at = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
+    at = stored_path(spark, "warc")
     write_warc(response_members(responses(table(spark, sf_dir, "pages"))), at)
     return derive(read_warc(spark, at, unsplit=".txt").where("error is null").drop("path", "error"))
 

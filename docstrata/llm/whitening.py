@@ -23,7 +23,6 @@ beyond a long, are refused.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docstrata.session import shared_folder, table
+from docstrata.session import stored_path, table
 
 SCALE = 64
 SHIFT = 1_000_000
@@ -118,7 +117,7 @@ def store(vectors: DataFrame) -> Stored | None:
     length = top[0]["length"]
     per_block = max(1, min(BLOCK_ENTRIES // length, top[0]["most"]))
     kind = rows.schema["vec_id"].dataType.simpleString()
-    at = f"{shared_folder(spark)}/vectors-{uuid.uuid4()}"
+    at = stored_path(spark, "vectors")
     rows.where(F.size("c") == length).mapInArrow(_blocks(length, per_block), f"part bigint, k bigint, vec_ids array<{kind}>, x array<bigint>, sums array<bigint>").write.parquet(at)
     frame = spark.read.parquet(at)
     sums = frame.select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
@@ -209,7 +208,7 @@ def project(stored: Stored, fitted: Fitted) -> DataFrame:
     blocks = _projected(callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model), columns, k)
     firsts = spark.createDataFrame(list(stored.first.items()), "part bigint, first bigint")
     rows = stored.frame.join(firsts, "part").select((F.col("first") + F.col("k")).alias("number"), "vec_ids", "x")
-    at = f"{shared_folder(spark)}/whitened-{uuid.uuid4()}"
+    at = stored_path(spark, "whitened")
     rows.join(blocks, "number").select("vec_ids", "x", "y").write.parquet(at)
     return spark.read.parquet(at)
 
