@@ -9,12 +9,10 @@ documents, the last one adds ``copies``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm import decontam, mixing, pii, simhash, toxicity
-from docstrata.session import shared_folder, table
+from docstrata.session import stored_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
-    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    """All stages over documents, each written as Parquet to the shared folder and read again; ``docstrata.session.release`` drops what they stored."""
+    at = stored_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
