@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docstrata.operators import graphics
@@ -99,8 +100,8 @@ def test_query_against_plain(spark):
     given = {r.page: [tuple(o) for o in r.operators] for r in painted.operators(spark.read.parquet(f"{sf}/lineitem.parquet")).collect()}
     got = {}
     for r in painted.shapes(spark, sf).orderBy("page", "place").collect():
-        got.setdefault(r.page, []).append((r.number, r.kind, r.fill, r.stroke, round(r.width, 4), len(r.dash.split()), len(r.box.split()), len(r.path.split())))
-    want = {p: [(s[0], s[1], s[2], s[3], round(s[4], 4), len(s[5]), len(s[6]), sum(1 + len(xy) for _, xy in s[7])) for s in plain(ops)] for p, ops in given.items()}
+        got.setdefault(r.page, []).append((r.number, r.kind, r.fill, r.stroke, pytest.approx(r.width, abs=2e-6), len(r.dash.split()), len(r.box.split()), len(r.path.split())))
+    want = {p: [(s[0], s[1], s[2], s[3], s[4], len(s[5]), len(s[6]), sum(1 + len(xy) for _, xy in s[7])) for s in plain(ops)] for p, ops in given.items()}
     assert got == {p: w for p, w in want.items() if w}
 
 
