@@ -79,7 +79,7 @@ _RECTS = "SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TABLES = ("documents", "pages", "lineitem", "events", "conversations", "benchmark", "labels", "orders", "customer")
+TABLES = ("part", "documents", "pages", "lineitem", "events", "conversations", "benchmark", "labels", "orders", "customer")
 _TABLE = re.compile(rf"@({'|'.join(TABLES)})\b")
 
 
@@ -143,10 +143,10 @@ _scalar("s02_s03_format", _names, NAME, {"ext": lambda d: f.extension(d, "name")
 _scalar("f61_f62_media", _names, NAME, {"mime": lambda d: f.media_type(d, "name"), "target": lambda d: f.package_target(d, "name")})
 _scalar("f77_f78_f79_match_key", _names, NAME, {"match_key": lambda d: f.match_key(d, "name"), "stem": lambda d: f.strip_extension(d, "name")})
 _scalar("k32_k36_file_name", _names, NAME, {"file": lambda d: f.file_name(d, "name"), "out_path": lambda d: f"concat('output/', {f.strip_extension(d, f.file_name(d, 'name'))}, '.html')"})
-_scalar("f60_heading_style", lambda d: "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('Heading', CAST(doc_id % 11 AS VARCHAR(9))) WHEN 1 THEN 'heading' ELSE 'Normal' END AS style FROM @documents", "doc_id", {"depth": lambda d: f"coalesce({f.heading_style(d, 'style')}, 0)"})
+_scalar("f60_heading_style", lambda d: "SELECT p_partkey, CASE WHEN p_type LIKE 'S%' THEN concat('Heading', CAST(p_size AS VARCHAR(9))) WHEN p_type LIKE 'P%' THEN concat('heading ', CAST(p_size % 10 AS VARCHAR(9))) WHEN p_type LIKE 'E%' THEN lower(p_type) ELSE p_type END AS style FROM @part", "p_partkey, style", {"depth": lambda d: f"coalesce({f.heading_style(d, 'style')}, 0)"})
 _scalar("f76_report_name", lambda d: "SELECT page_id, url, concat('Policy Draft (', CAST(page_id AS VARCHAR(12)), ').pdf') AS name FROM @pages", "page_id", {"report": lambda d: f.report_name(d, "name", f.url_host(d, "url"))})
 _scalar("f66_f68_data_uri", _lines, LINE, {"uri": lambda d: f.data_uri(d, "line")})
-_scalar("f75_score_bands", lambda d: "SELECT doc_id, doc_id % 101 AS score FROM @documents", "doc_id", {"band": lambda d: f.classify_score(d, "score")})
+_scalar("f75_score_bands", lambda d: f"SELECT conv_id, turn, CASE WHEN {d.size('xs')} + {d.size('ys')} = 0 THEN CAST(100 AS DOUBLE) ELSE CAST(400 * {d.both('xs', 'ys')} AS DOUBLE) / ({d.size('xs')} + {d.size('ys')}) END AS score FROM (SELECT x.conv_id, x.turn, {f.tokens(d, 'x.text')} AS xs, {f.tokens(d, 'y.text')} AS ys FROM @conversations x JOIN @conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) t", "conv_id, turn", {"band": lambda d: f.classify_score(d, "score")})
 _scalar("f80_fuzzy_score", _words, "doc_id, line_no, seq", {"score": lambda d: f.fuzzy_score(d, "text", "the")})
 _scalar("f84_f89_html_text", lambda d: "SELECT page_id, html FROM @pages", "page_id", {"stripped": lambda d: f.strip_tags(d, "html"), "visible": lambda d: f.visible_text(d, "html")})
 _scalar("f90_html_article", lambda d: "SELECT page_id, html FROM @pages", "page_id", {"article": lambda d: f.article(d, "html"), "title": lambda d: f.page_title(d, "html")})
@@ -168,8 +168,8 @@ _scalar("m03_text_advance", _words, "doc_id, line_no, seq", {"advance": lambda d
 _scalar("p15_p38_image_rules", lambda d: _BOXES, "l_orderkey, l_linenumber", {"content_image": lambda d: f.content_image(d, "y", "w", "h"), "background": lambda d: f.background(d, "fill", "stroke", "w", "h", 420, 140)})
 _scalar("p01_p04_visible", lambda d: "SELECT event_id, CASE WHEN event_type = 'click' THEN 'Artifact' WHEN user_id % 2 = 0 THEN event_type END AS role, user_id % 8 AS mode FROM @events", "event_id, role, mode", {"drawn": lambda d: "mode NOT IN (3, 7)"}, "role IS NULL OR role <> 'Artifact'")
 _scalar("g02_threshold", lambda d: "SELECT DISTINCT n_chars AS pages FROM @documents", "pages", {"least_repeats": lambda d: f"CASE WHEN pages <= 1 THEN 2 ELSE greatest(2, {d.div('pages', '3')}) END"})
-_scalar("f87_table_size", lambda d: "SELECT doc_id, concat(CAST(doc_id % 30 AS VARCHAR(9)), 'x', CAST(doc_id % 17 AS VARCHAR(9))) AS size FROM @documents", "doc_id", {"n_rows": lambda d: f"least(20, greatest(1, {d.whole(d.get('size', '^([0-9]+)x[0-9]+$', 1))}))", "n_cols": lambda d: f"least(12, greatest(1, {d.whole(d.get('size', '^[0-9]+x([0-9]+)$', 1))}))"})
-_scalar("f85_f86_style", lambda d: "SELECT doc_id, concat('color:#', CAST(doc_id % 999 AS VARCHAR(9)), ';left:', CAST(doc_id AS VARCHAR(12)), '.5pt;width:3px') AS style FROM @documents", "doc_id", {"left_pt": lambda d: d.double(d.get("style", r"(?:^|;)\s*left\s*:\s*(-?[0-9]+(?:[.][0-9]+)?)", 1)), "colour": lambda d: d.get("style", r"(?:^|;)\s*color\s*:\s*([^;]*)", 1)})
+_scalar("f87_table_size", lambda d: "SELECT p_partkey, concat(CAST(p_size AS VARCHAR(9)), 'x', CAST(length(p_name) AS VARCHAR(9))) AS size FROM @part", "p_partkey, size", {"n_rows": lambda d: f"least(20, greatest(1, {d.whole(d.get('size', '^([0-9]+)x[0-9]+$', 1))}))", "n_cols": lambda d: f"least(12, greatest(1, {d.whole(d.get('size', '^[0-9]+x([0-9]+)$', 1))}))"})
+_scalar("f85_f86_style", lambda d: "SELECT p_partkey, concat('color:', lower(p_brand), ';left:', CAST(p_partkey AS VARCHAR(12)), '.', CAST(p_size AS VARCHAR(9)), 'pt;width:', CAST(p_size AS VARCHAR(9)), 'px', CASE WHEN p_size % 3 = 0 THEN '; left : -7' ELSE '' END) AS style FROM @part", "p_partkey", {"left_pt": lambda d: d.double(d.get("style", r"(?:^|;)\s*left\s*:\s*(-?[0-9]+(?:[.][0-9]+)?)", 1)), "colour": lambda d: d.get("style", r"(?:^|;)\s*color\s*:\s*([^;]*)", 1)})
 _scalar("k33_j31_outline", lambda d: f"SELECT * FROM ({_markdown(d)}) m WHERE {f.heading_depth(d, 'line')} > 0", MD, {"depth": lambda d: f.heading_depth(d, "line"), "heading": lambda d: f.heading_text(d, "line")})
 
 _scalar("g24_text_score", lambda d: "SELECT doc_id, text FROM @documents", "doc_id", {"score": lambda d: f.text_score(d, "text")})
@@ -343,7 +343,22 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["o12_natural_sort"] = natural_sort
 _register("u04_latest_revision", lambda d: "SELECT user_id, event_type, " + ("max_by(value, struct(ts, event_id))" if d is SPARK else "arg_max(value, {'t': ts, 'e': event_id})") + " AS value, count(*) AS revisions FROM @events GROUP BY user_id, event_type")
 _register("u07_priority_union", lambda d: "WITH u AS (SELECT doc_id, 1 AS prio, CASE quality WHEN 1 THEN 'good' END AS v FROM @labels UNION ALL SELECT doc_id, 2, lang FROM @documents) SELECT doc_id, " + ("min_by(v, prio)" if d is SPARK else "arg_min(v, prio)") + " AS v FROM u WHERE v IS NOT NULL GROUP BY doc_id")
-_register("r05_g31_job_rollup", lambda d: "SELECT source, count(*) AS n, count(CASE WHEN n_chars > 5000 THEN 1 END) AS failed, CASE WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = 0 THEN 'done' WHEN count(CASE WHEN n_chars > 5000 THEN 1 END) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM @documents GROUP BY source")
+
+
+def _jobs(d) -> str:
+    """A user is a job, each event a file of it: errors failed, sign-ups wait, the rest is done. A job whose last event waits is running."""
+    last = lambda c: f"max_by({c}, struct(ts, event_id))" if d is SPARK else f"arg_max({c}, {{'t': ts, 'i': event_id}})"
+    many = lambda x: f"CAST({x} AS VARCHAR(12))"
+    jobs = f"""SELECT user_id, user_id % 2 = 0 AS images, count(*) AS total, count(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 END) AS completed, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed,
+      {last("event_type")} = 'signup' AS running, {last(f"concat('file-', {many('event_id')}, '.pdf')")} AS file FROM @events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id"""
+    status = f"SELECT *, CASE WHEN images THEN 'images on' ELSE 'images off' END AS mode, CASE WHEN running THEN 'running' WHEN failed > 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN failed > 0 AND NOT running THEN concat({many('failed')}, ' of ', {many('total')}, ' conversions failed.') END AS error FROM ({jobs}) j"
+    message = f"""CASE status WHEN 'running' THEN concat('Generating ', {many('least(completed + failed + 1, total)')}, ' of ', {many('total')}, ' (', mode, '): ', file)
+      WHEN 'done' THEN concat('Generated ', {many('completed')}, ' PDF ', CASE WHEN completed = 1 THEN 'output' ELSE 'outputs' END, ' with ', mode, '.')
+      ELSE concat('Generated ', {many('completed')}, ' of ', {many('total')}, '; ', {many('failed')}, ' failed: ', error) END"""
+    return f"SELECT user_id, total, completed, failed, status, error, {message} AS message FROM ({status}) s"
+
+
+_register("r05_g31_job_rollup", _jobs)
 _register("r06_page_slices", lambda d: ("SELECT page_id, CAST(k AS BIGINT) AS slice_no, CAST(k AS BIGINT) * 1120 AS top FROM @pages LATERAL VIEW explode(sequence(0, CAST(greatest(1, ceil(length(html) / 1120.0)) AS INT) - 1)) t AS k" if d is SPARK else "SELECT page_id, k AS slice_no, k * 1120 AS top FROM (SELECT page_id, unnest(range(0, CAST(greatest(1, ceil(length(html) / 1120.0)) AS BIGINT))) AS k FROM @pages)"))
 _register("r07_page_offsets", lambda d: "SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM @conversations")
 _register("r08_positional_zip", lambda d: "WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM @conversations WHERE role = 'user'), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM @conversations WHERE role = 'assistant') SELECT a.conv_id, a.k, a.turn AS left_turn, b.turn AS right_turn FROM a JOIN b ON a.conv_id = b.conv_id AND a.k = b.k")
