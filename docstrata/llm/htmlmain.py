@@ -89,7 +89,7 @@ STATES = frozenset("no has have with without open opened closed enabled disabled
 #: What the classifier sees of a block, and the prior of its weights.
 FEATURES = ("one", "length", "linked", "heading", "prose", "cell", "legal", "against", "for")
 PRIOR = (-0.8, 1.0, -3.0, 1.2, 0.3, -0.4, -2.0, 1.0, 1.0)
-PRIOR_ROWS = 200.0
+PRIOR_ROWS = 1000.0
 #: Characters of length that weigh 1, and the most that length weighs.
 PER_LENGTH, MOST_LENGTH = 80, 2.0
 #: What a link counts less in a paragraph of an article.
@@ -97,7 +97,7 @@ LINK_IN_ARTICLE = 0.3
 #: Signs: of full and weak names and of tags, of good names and tags, and their bounds.
 SIGN, WEAK, TAG_SIGN, GOOD_WORD, GOOD_TAG, LEAST, MOST = -5.0, -0.3, -4.5, 1.0, 1.5, -6.0, 2.5
 #: Bounds of the pages that are learned from.
-FIT_PAGES, FIT_CHARS = 1000, 1 << 18
+FIT_PAGES, FIT_CHARS = 400, 1 << 18
 #: Share of an outer sign that stays with an inner element of the other kind: inside BAD, and an article inside LAYOUT.
 KEPT, KEPT_LAYOUT = 0.8, 0.1
 #: Edges: between neighbours at least and by shared elements, and to the last block of the same parent.
