@@ -118,3 +118,26 @@ def sum_signs(lines: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:
     size = F.least(F.greatest(F.col("tfont") * 1.75, F.lit(14.0)), F.lit(19.0))
     top = F.greatest((F.col("utop") + F.col("ltop")) / 2 - size * 0.38, F.lit(0.0))
     return found.select("page", "upper", (F.col("ux") - size * 0.14).alias("x"), (F.lit(height) - top - size).alias("y"), size.alias("font"), (size * 0.45).alias("width"))
+
+
+def fiscal_quarters(segments: DataFrame) -> DataFrame:
+    """Segments (page, number, text, x, y, font, width, rotation) with 43 and 44 right after a year of 20.. on one line read as Q3 and Q4, in ``fixed``.
+
+    Right after: no more than 0.75 font sizes to the right and 0.15 to the left of its end, by the larger of both fonts.
+    """
+    upright = segments.where((F.abs("rotation") < 0.5) & (F.col("font") <= LARGEST_FONT))
+    years = upright.where(F.col("text").rlike("^20[0-9]{2}$")).select("page", (F.col("x") + F.col("width")).alias("yend"), F.col("x").alias("yx"), F.col("y").alias("yy"), F.col("font").alias("yfont"))
+    key = ["page", "number", "x", "y", "font"]
+    asked = upright.where(F.col("text").isin("43", "44")).select(*key).distinct()
+    pairs = band_join(years, asked, ["page"], {"yend": ("x", -0.15 * LARGEST_FONT, 0.75 * LARGEST_FONT), "yy": ("y", -0.25 * LARGEST_FONT, 0.25 * LARGEST_FONT)})
+    size, gap = F.greatest("font", "yfont", F.lit(1.0)), F.col("x") - F.col("yend")
+    met = pairs.where((F.abs(F.col("yy") - F.col("y")) <= size * 0.25) & (F.abs(F.col("font") - F.col("yfont")) <= size * 0.15) & (gap >= size * -0.15) & (gap <= size * 0.75) & (F.col("yx") <= F.col("x")))
+    met = met.select(*key).distinct().withColumn("__met", F.lit(True))
+    out = segments.join(met, key, "left")
+    return out.withColumn("fixed", F.when(F.col("__met") & (F.col("text") == "43"), "Q3").when(F.col("__met") & (F.col("text") == "44"), "Q4").otherwise(F.col("text"))).drop("__met")
+
+
+def anchor_to_right(x: Column, font: Column, anchors: Column) -> Column:
+    """The nearest of a page's anchors right of a place, within three font sizes and 18 points at least; null without any."""
+    reach = F.greatest(F.greatest(font, F.lit(6.0)) * 3, F.lit(18.0))
+    return F.array_min(F.filter(anchors, lambda a: (a > x) & (a - x <= reach)))

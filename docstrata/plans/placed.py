@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docstrata.operators import placing
 from docstrata.session import table
@@ -53,5 +54,29 @@ o AS (SELECT *, least(greatest(tfont * 1.75, 14), 19) AS size FROM k WHERE EXIST
   AND NOT EXISTS (SELECT 1 FROM t WHERE t.page = k.page AND regexp_matches(t.text, '[Σ∑]') AND abs(t.x - k.x) <= 18 AND t.top >= utop AND t.top <= ltop + 4))
 SELECT page, number AS upper, round(x - size * 0.14, 6) AS x, round(792 - greatest((utop + ltop) / 2 - size * 0.38, 0) - size, 6) AS y, size::DOUBLE AS font, round(size * 0.45, 6)::DOUBLE AS width FROM o"""
 
-QUERIES = {"j23_links_on_segments": links_on_segments, "j26_sum_signs": sum_signs}
-ORACLES = {"j23_links_on_segments": LINKS_SQL, "j26_sum_signs": SIGNS_SQL}
+#: An order is a page whose lines hold a year, a quarter that may follow it, and other numbers.
+_YEARS = """SELECT l_orderkey AS page, l_linenumber AS number, CASE l_linenumber % 3 WHEN 1 THEN CASE WHEN l_discount < 0.08 THEN '2024' ELSE '1999' END WHEN 2 THEN CASE WHEN l_tax < 0.04 THEN '43' ELSE '44' END ELSE '43.5' END AS text,
+    CASE l_linenumber % 3 WHEN 1 THEN 100 ELSE 120 END + CAST(l_quantity / 4 AS DOUBLE) AS x, 500 - 20 * (l_linenumber // 3) + CAST(l_discount * 40 AS DOUBLE) AS y, 10 + CAST(l_tax * 30 AS DOUBLE) AS font, 18.0 AS width,
+    CASE WHEN l_quantity > 48 THEN 90.0 ELSE 0.0 END AS rotation FROM lineitem"""
+
+
+def fiscal_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placing.fiscal_quarters(_spark(spark, sf_dir, "lineitem", _YEARS.replace("l_linenumber // 3", "l_linenumber div 3"))).select("page", "number", "x", "y", "fixed")
+
+
+def anchors_to_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's place moved to the anchor right of it; a page's anchors are its distinct rounded places."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").selectExpr("l_orderkey AS page", "l_linenumber AS number", "CAST(l_quantity AS DOUBLE) AS x", "CAST(4 + l_tax * 50 AS DOUBLE) AS font")
+    anchors = rows.groupBy("page").agg(F.collect_set(F.round(F.col("x") / 8) * 8).alias("anchors"))
+    return rows.join(anchors, "page").select("page", "number", "x", "font", F.coalesce(placing.anchor_to_right(F.col("x"), F.col("font"), F.col("anchors")), F.col("x")).alias("moved"))
+
+
+QUARTERS_SQL = f"""WITH s AS ({_YEARS})
+SELECT page, number, x, y, CASE WHEN text IN ('43', '44') AND rotation < 0.5 AND EXISTS (SELECT 1 FROM s AS o WHERE o.page = s.page AND o.rotation < 0.5 AND regexp_matches(o.text, '^20[0-9][0-9]$') AND o.x <= s.x
+  AND abs(o.y - s.y) <= greatest(o.font, s.font) * 0.25 AND abs(o.font - s.font) <= greatest(o.font, s.font) * 0.15 AND s.x - (o.x + o.width) >= greatest(o.font, s.font) * -0.15 AND s.x - (o.x + o.width) <= greatest(o.font, s.font) * 0.75)
+  THEN CASE text WHEN '43' THEN 'Q3' ELSE 'Q4' END ELSE text END AS fixed FROM s"""
+ANCHORS_SQL = """WITH r AS (SELECT l_orderkey AS page, l_linenumber AS number, CAST(l_quantity AS DOUBLE) AS x, CAST(4 + l_tax * 50 AS DOUBLE) AS font FROM lineitem), a AS (SELECT DISTINCT page, round(x / 8) * 8 AS anchor FROM r)
+SELECT page, number, x, font, coalesce((SELECT min(anchor) FROM a WHERE a.page = r.page AND anchor > r.x AND anchor - r.x <= greatest(greatest(r.font, 6) * 3, 18)), x) AS moved FROM r"""
+
+QUERIES = {"j23_links_on_segments": links_on_segments, "j26_sum_signs": sum_signs, "w07_fiscal_quarters": fiscal_quarters, "o08_anchor_to_right": anchors_to_right}
+ORACLES = {"j23_links_on_segments": LINKS_SQL, "j26_sum_signs": SIGNS_SQL, "w07_fiscal_quarters": QUARTERS_SQL, "o08_anchor_to_right": ANCHORS_SQL}

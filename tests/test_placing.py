@@ -67,3 +67,22 @@ def test_sum_signs(spark):
     (one,) = placing.sum_signs(lines).collect()
     assert one.page == 1 and one.font == 17.5 and one.x == pytest.approx(300 - 2.45) and one.width == pytest.approx(7.875)
     assert placing.sum_signs(lines.limit(0)).count() == 0
+
+
+def test_fiscal_quarters(spark):
+    year = (1, 0, "2024", 100.0, 500.0, 10.0, 18.0, 0.0)
+    rows = [
+        year, (1, 1, "43", 125.5, 500.0, 10.0, 9.0, 0.0), (1, 2, "44", 125.6, 500.0, 10.0, 9.0, 0.0), (1, 3, "43", 116.5, 502.5, 10.0, 9.0, 0.0), (1, 4, "43", 116.4, 500.0, 10.0, 9.0, 0.0),
+        (1, 5, "44", 120.0, 502.6, 10.0, 9.0, 0.0), (1, 6, "44", 120.0, 500.0, 12.0, 9.0, 0.0), (1, 7, "44", 120.0, 500.0, 10.0, 9.0, 90.0), (1, 8, "45", 120.0, 500.0, 10.0, 9.0, 0.0), (2, 9, "43", 120.0, 500.0, 10.0, 9.0, 0.0),
+        (None, 10, "43", 120.0, None, 10.0, 9.0, 0.0),
+    ]
+    got = {r.number: r.fixed for r in placing.fiscal_quarters(frame(spark, rows, SEGMENT)).collect()}
+    assert got == {0: "2024", 1: "Q3", 2: "44", 3: "Q3", 4: "43", 5: "44", 6: "44", 7: "44", 8: "45", 9: "43", 10: "43"}
+
+
+def test_anchor_to_right(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(10.0, 4.0, [5.0, 10.0, 28.0, 12.0]), (10.0, 4.0, [28.5]), (10.0, 10.0, [40.0]), (10.0, 10.0, []), (None, 1.0, [1.0])]
+    df = spark.createDataFrame(rows, "x double, f double, a array<double>")
+    assert [r[0] for r in df.select(placing.anchor_to_right(F.col("x"), F.col("f"), F.col("a"))).collect()] == [12.0, None, 40.0, None, None]
