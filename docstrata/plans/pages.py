@@ -125,3 +125,36 @@ def _modes(d) -> str:
 
 
 _register("p29_p33_render_modes", _modes)
+
+# Labels of two columns that stand in one line
+
+
+def address_like(d, x):
+    """Whether a word looks like an address: a scheme, an at sign, two dots, or a www in front."""
+    return d.like(x, r"://|@|\.\S*\.|(?:^|\s)[,;:()\[\]<>]*www\.")
+
+
+def starts_column(d, x):
+    return d.like(x, r"^[-:;,(\[]*(?:[A-Z0-9]|www\.|http)")
+
+
+def _labels(d) -> str:
+    """Lines of fonts up to 10 with an address, cut where the right part begins like a column, holds an address, and the left part is closest to
+    the width before the right column. A left part is no more than TARGET and a few signs wide, so only so many words are tried."""
+    target = "(312.12 - x - font * 2)"
+    rows = f"SELECT doc_id, line_no, {f.squeeze(d, 'line')} AS line, CAST(20 + line_no % 20 * 10 AS DOUBLE) AS x, CAST(7 + line_no % 5 AS DOUBLE) AS font FROM ({_lines(d)}) l"
+    asked = f"SELECT * FROM ({rows}) r WHERE font <= 10 AND 312.12 > x + 134.64 AND {address_like(d, 'line')}"
+    if d is SPARK:
+        split = f"SELECT *, split(line, ' ') AS ws, CAST(ceil((({target} + 12 * font) / (0.45 * font) + 1) / 2) AS INT) AS most FROM ({asked}) a"
+        last = f"SELECT *, array_max(transform(ws, (w, i) -> CASE WHEN {address_like(d, 'w')} THEN i ELSE -1 END)) AS last FROM ({split}) s WHERE size(ws) > 1"
+        error = f"abs(length(array_join(slice(ws, 1, k), ' ')) * font * 0.45D - {target})"
+        tried = f"filter(sequence(1, greatest(1, least(size(ws) - 1, most, last))), k -> k <= last AND {starts_column(d, 'get(ws, k)')} AND {error} <= font * 12)"
+        best = f"SELECT *, array_min(transform({tried}, k -> struct({error} AS error, k AS k))).k AS k FROM ({last}) t"
+        return f"SELECT doc_id, line_no, array_join(slice(ws, 1, k), ' ') AS left_text, array_join(slice(ws, k + 1, size(ws)), ' ') AS right_text FROM ({best}) b WHERE k IS NOT NULL"
+    cuts = f"SELECT *, unnest(range(1, len(string_split(line, ' ')))) AS k FROM ({asked}) a"
+    parts = f"SELECT *, array_to_string(string_split(line, ' ')[1:k], ' ') AS left_text, array_to_string(string_split(line, ' ')[k + 1:], ' ') AS right_text FROM ({cuts}) c"
+    errors = f"SELECT *, abs(length(left_text) * font * CAST(0.45 AS DOUBLE) - {target}) AS error FROM ({parts}) p WHERE {starts_column(d, 'right_text')} AND {address_like(d, 'right_text')}"
+    return f"SELECT doc_id, line_no, left_text, right_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY error, k) AS r FROM ({errors}) e WHERE error <= font * 12) b WHERE r = 1"
+
+
+_register("o07_two_column_labels", _labels)
