@@ -35,7 +35,7 @@ def _words(d) -> str:
     return f"SELECT doc_id, line_no, i - 1 AS seq, ws[i] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM ({_broken(d)}))"
 
 
-_register("f14_f15_f17_f18_f20_shifted_words", lambda d: f"SELECT doc_id, line_no, seq, CAST({s.rule(d, 'w')} AS BIGINT) AS rule, {s.word(d, 'w')} AS fixed FROM ({_words(d)}) b")
+_register("f14_f15_f17_f18_f20_shifted_words", lambda d: f"SELECT doc_id, line_no, seq, r.rule, r.fixed FROM (SELECT doc_id, line_no, seq, {s.rule_and_word(d, 'w')} AS r FROM ({_words(d)}) b) f" if d is SPARK else f"SELECT doc_id, line_no, seq, CAST({s.rule(d, 'w')} AS BIGINT) AS rule, {s.word(d, 'w')} AS fixed FROM ({_words(d)}) b")
 _register("f25_structural_markers", lambda d: f"SELECT doc_id, line_no, {s.markers(d, 'x')} AS fixed FROM (SELECT doc_id, line_no, concat(CASE line_no % 2 WHEN 0 THEN 'E' ELSE 'Œ' END, translate(CAST(length(line) AS VARCHAR(12)), '0123456789', 'MNOPQRSTUV'), CASE line_no % 2 WHEN 0 THEN 'F ' ELSE 'Œ ' END, line, CASE line_no % 3 WHEN 0 THEN ' ... NO' ELSE '' END) AS x FROM ({_lines(d)}) l) b")
 _register("f03_file_strings", lambda d: f"SELECT doc_id, line_no, {s.text(d, 'x')} AS fixed FROM (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN line WHEN 1 THEN translate(translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), {d.text(f.UNSHIFTED)}, {d.text(f.SHIFTED)}) ELSE translate(line, {d.text(f.UNSHIFTED + ' ')}, {d.text(f.SHIFTED + ' ')}) END AS x FROM ({_lines(d)}) l) b")
 
@@ -51,7 +51,7 @@ def _connected(d) -> str:
 
 def _opened(d) -> str:
     """E after a word with letters and before a word that begins with a capital is an opening parenthesis, in prose with a closing one."""
-    return f"CASE WHEN {s.opens(d, 'x', 'ws')} THEN array_join(transform(ws, (w, i) -> CASE WHEN w = 'E' AND i > 0 AND {d.like(_at('i - 1'), r'\p{L}')} AND {d.like(_at('i + 1'), r'^[^\p{L}]*\p{Lu}')} THEN '(' ELSE w END), ' ') ELSE x END"
+    return f"CASE WHEN {d.like('x', '(?:^| )E(?: |$)')} AND {s.opens(d, 'x', 'ws')} THEN array_join(transform(ws, (w, i) -> CASE WHEN w = 'E' AND i > 0 AND {d.like(_at('i - 1'), r'\p{L}')} AND {d.like(_at('i + 1'), r'^[^\p{L}]*\p{Lu}')} THEN '(' ELSE w END), ' ') ELSE x END"
 
 
 def _spark_lines(d) -> str:

@@ -89,3 +89,12 @@ def test_lines(spark, monkeypatch):
     assert got == {r[1]: r[2] for r in duckdb.sql(shifted._duck_lines(DUCK)).fetchall()}
     for k, (line, want) in enumerate(LINES):
         assert got[k] == want, line
+
+
+def test_work_of_a_word_is_bounded(spark):
+    """Spark's rules name what they use more than once, so their text doesn't grow with each use; a word's rule and repair are asked once, and words that skip rules keep theirs."""
+    assert len(s.word(SPARK, "x")) < len(s.word(DUCK, "x")) * 0.6 and len(s.text(SPARK, "x")) < len(s.text(DUCK, "x")) * 0.6
+    given = [*(w for w, _, _ in WORDS), "IVMMM", "MIM", "JKLMNOP", "$MMMMMM", "ABCDEFGH", "TKHVHDWV", "Word.", "aM", "éx", "", "e2", "2e1", "20", "Nx,"]
+    both(spark, [s.rule, s.word, s.fiscal_one, lambda d, x: s.fiscal_two(d, d.text("OMOQ"), x), s.text, s.markers], given)
+    rows = ", ".join(f"({SPARK.text(x)})" for x in given)
+    assert spark.sql(f"SELECT r.rule <> {s.rule(SPARK, 'x')} OR r.fixed <> {s.word(SPARK, 'x')} AS bad FROM (SELECT x, {s.rule_and_word(SPARK, 'x')} AS r FROM VALUES {rows} AS t(x)) f").where("bad").count() == 0
