@@ -131,7 +131,7 @@ def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of each document's page after column repair."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._spread(SPARK).replace("@documents", "docstrata_documents"))
+    words = spark.sql(catalogue._dealt(spark, catalogue._spread(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["line_no", "seq"])
@@ -145,7 +145,7 @@ def column_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a document grouped to lines by the fold: one group is one document's page."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._words(SPARK).replace("@documents", "docstrata_documents"))
+    words = spark.sql(catalogue._dealt(spark, catalogue._words(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         made = [layout.Segment(t, x, y, f, w, seq=int(s)) for t, x, y, f, w, s in zip(page.text, page.x, page.y, page.font, page.width, page.seq, strict=True)]
@@ -157,7 +157,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of each document's page: those that a window of four lines shares (at: its first line), left edges that repeat, and runs of one visual line (at: their number)."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._spread(SPARK).replace("@documents", "docstrata_documents"))
+    words = spark.sql(catalogue._dealt(spark, catalogue._spread(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["line_no", "seq"])

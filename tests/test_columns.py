@@ -97,3 +97,21 @@ def test_empty_page_and_ties():
     assert columns.repair(600, 800, []) == []
     same = [seg("Same", 50, 500, seq=k) for k in range(4)]
     assert columns.repair(600, 800, same) == same
+
+
+def test_page_folds_look_at_near_segments_only():
+    """A long page's anchors and bands: the first mean within reach is joined wherever means have moved to, and no list of all segments is scanned for each."""
+    from docstrata.operators import layout
+
+    page = [seg("Word", 72 + 7 * (k * k % 3001), 700 - 14 * (k % 40), 20, seq=k) for k in range(4000)]
+    means = []
+    for s in page:
+        mean = next((m for m in means if abs(m[0] - s.x) <= layout.ANCHOR), None)
+        if mean is None:
+            means.append([s.x, 1])
+        else:
+            mean[0], mean[1] = (mean[0] * mean[1] + s.x) / (mean[1] + 1), mean[1] + 1
+    assert layout.repeated_anchors(page) == sorted(m for m, n in means if n >= layout.ANCHOR_SEGMENTS)
+    edges = columns.Edges(page)
+    assert len(list(edges.near(300.0, 12.0))) < 100
+    assert all(columns.in_band(edges, s, 303.0) == columns.in_band(page, s, 303.0) for s in page[:200])

@@ -1,11 +1,13 @@
 """Rules on inputs with known results, in both dialects; layout rules on small pages."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from docstrata.functions import scalars as f
 from docstrata.functions.dialect import DUCK, SPARK
 from docstrata.operators import layout
+from docstrata.plans import catalogue
 from docstrata.sources import markdown
 
 LONG = "The committee shall publish a yearly report on the state of rivers"
@@ -149,3 +151,19 @@ def test_split_words(spark):
     for d, run in ((SPARK, lambda q: spark.sql(q).first()[0]), (DUCK, lambda q: duckdb.sql(q).fetchall()[0][0])):
         fixed = f.literal(d, f.literal(d, f.hyphenated(d, "'break- down, step -wise; D igital ensurea EU™s plan'"), f.SPLIT_CAPITALS), f.JOINED_PROSE)
         assert run("SELECT " + fixed) == "break-down, step-wise; Digital ensure a EU's plan"
+
+
+def test_places_of_words_without_a_window(spark):
+    """Words of short and of very long lines stand where the check's SQL puts them, and Spark deals texts at most, not words."""
+    texts = ["one two.  three,\n\n a  b", " ".join(["w" * (k % 5) + "." * (k % 7 == 0) for k in range(700)]), "é, x. y", ""]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string").createOrReplaceTempView("placed_documents")
+    documents = pa.table({"doc_id": list(range(len(texts))), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts)})
+    con = duckdb.connect()
+    con.register("placed_documents", documents)
+    for rows in (catalogue._words, catalogue._spread, catalogue._cells):
+        columns = "doc_id, line_no, seq, text, y, font, width, x" + (", cell" if rows is catalogue._cells else "")
+        sql = lambda d: f"SELECT {columns} FROM ({rows(d).replace('@documents', 'placed_documents')}) r ORDER BY doc_id, line_no, seq"  # noqa: E731, B023
+        found = spark.sql(catalogue._dealt(spark, sql(SPARK)))
+        assert [tuple(r) for r in found.collect()] == con.sql(sql(DUCK)).fetchall()
+        plan = spark.sql(catalogue._dealt(spark, rows(SPARK).replace("@documents", "placed_documents")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == (rows is catalogue._cells)
