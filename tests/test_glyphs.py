@@ -20,3 +20,12 @@ def test_outlines(spark, tmp_path):
     orders = [(1, "F", 1, "5-LOW"), (2, "O", 1, "1-X"), (3, "P", 1, "1-X"), (4, "F", 1, "2-X"), (5, "O", 1, "1-X"), (6, "F", 1, "3-X"), (7, "F", 1, "4-X"), (8, "O", 1, "1-X"), (9, "F", 5, "3-X"), (10, "O", 1, "1-X")]
     spark.createDataFrame(orders, "o_orderkey int, o_orderstatus string, o_custkey int, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert {(r.o_orderkey, r.text) for r in catalog.QUERIES["u08_outline_signatures"](spark, str(tmp_path)).collect()} == {(2, "5"), (3, "5"), (5, "2")}
+
+
+def test_codes_are_read_without_moving_lines(spark, tmp_path):
+    """Known codes are one pattern, so lines meet them without a join; signs beyond ASCII count once, and without a known code all are single."""
+    spark.createDataFrame([(1, "ab"), (2, None), (3, "cx")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "ababx\nz9.\U0001f600", "en", "s"), (2, "", "en", "s"), (3, "bcx", "en", "s")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.QUERIES["g23_m31_decode_counts"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 2, 1, 1, 3, 6), (3, 2, 0, 0, 0, 2)]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
