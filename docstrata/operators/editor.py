@@ -64,24 +64,31 @@ def toggle(chars: Column, start: Column, end: Column, flag: int) -> Column:
 
     def put(c: Column, clear: Column) -> Column:
         changed = lambda x: F.when(clear, x["style"].bitwiseAND(F.lit(~flag))).otherwise(x["style"].bitwiseOR(F.lit(flag)))
-        return F.transform(c, lambda x, i: F.struct(x["ch"].alias("ch"), F.when((i >= start) & (i < end), changed(x)).otherwise(x["style"]).cast("int").alias("style")))
+        # Only the range is made anew; an offset that is null has none.
+        first, last = _clamp(c, start), F.greatest(_clamp(c, start), _clamp(c, end))
+        inside = F.transform(F.slice(c, first + 1, last - first), lambda x: F.struct(x["ch"].alias("ch"), changed(x).cast("int").alias("style")))
+        return F.when(start.isNull() | end.isNull(), c).otherwise(F.concat(F.slice(c, F.lit(1), first), inside, F.slice(c, last + 1, F.size(c) - last)))
 
     return let(chars, lambda c: let(all_set(c), lambda clear: put(c, clear)))
 
 
 def runs(chars: Column) -> Column:
     """Runs of one style: array<struct<text,style>>."""
-    start = F.expr("cast(array() as array<struct<text:string,style:int>>)")
+    style = lambda c, k: F.get(c, k)["style"]
 
-    def step(acc: Column, c: Column) -> Column:
-        def put(last: Column) -> Column:
-            same = F.coalesce(last["style"] == c["style"], F.lit(False))
-            grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.concat(last["text"], c["ch"]).alias("text"), last["style"].alias("style"))))
-            return F.when(same, grown).otherwise(F.array_append(acc, F.struct(c["ch"].alias("text"), c["style"].alias("style"))))
+    def cut(c: Column, starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(c)) - at
+            return F.struct(F.array_join(F.transform(F.slice(c, at + 1, size), lambda x: x["ch"]), "").alias("text"), style(c, at).alias("style"))
 
-        return let(F.try_element_at(acc, F.lit(-1)), put)
+        return F.transform(starts, one)
 
-    return F.aggregate(chars, start, step)
+    def found(c: Column) -> Column:
+        # A run begins where a character's style isn't that of the one before it.
+        places = F.filter(F.transform(c, lambda _, i: i), lambda i: (i == 0) | ~F.coalesce(style(c, i) == style(c, i - 1), F.lit(False)))
+        return let(places, lambda starts: cut(c, starts))
+
+    return let(chars, found)
 
 
 def runs_html(found: Column) -> Column:

@@ -73,3 +73,16 @@ def test_visual_page(spark):
     out = visual.render_pages(spark.createDataFrame(rows, columns)).first().html
     assert "outside" not in out and out.index("<div") < out.index("a&lt;b") < out.index("http://a?b&amp;c")
     assert "left:20.00pt;top:48.00pt;font-size:12.00pt;color:#000000;transform:rotate(-90.00deg)" in out
+
+
+def test_runs_of_a_long_text(spark):
+    """Runs are cut where styles change; a text of one run isn't copied for each of its characters."""
+    rows = spark.createDataFrame([("ab" * 30000,), ("",), ("x",)], "t string")
+    chars = editor.toggle(editor.styled(F.col("t")), F.lit(1), F.lit(3), editor.BOLD)
+    found = [r[0] for r in rows.select(editor.runs(chars)).collect()]
+    assert [[(len(x.text), x.style) for x in r] for r in found] == [[(1, 0), (2, editor.BOLD), (59997, 0)], [], [(1, 0)]]
+    assert "aggregate" not in str(editor.runs(chars))
+    back = editor.toggle(editor.styled(F.lit("abc")), F.lit(2), F.lit(1), editor.BOLD)
+    assert [x.style for x in rows.limit(1).select(back).first()[0]] == [0, 0, 0]
+    none = editor.toggle(editor.styled(F.lit("abc")), F.lit(None).cast("int"), F.lit(1), editor.BOLD)
+    assert [x.style for x in rows.limit(1).select(none).first()[0]] == [0, 0, 0]
