@@ -8,12 +8,19 @@ are multiplied by the matrix in force when they are given, widths when they are
 Known operators: q Q cm, g G rg RG, w d, re m l c h, f S s B b n. Defined cases: a restore
 without a save gives the default state; operators with too few operands and unknown ones
 change nothing; rectangles under a quarter point wide or high are not painted; a page
-without operators has no shapes. What is painted is copied as it grows, so the work is
-quadratic, though small, in the shapes of one page.
+without operators has no shapes; null operands are counted, and make null what is worked
+out of them. The fold is a small loop over a batch's flat columns, so the work is linear
+in the operators.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,48 +81,146 @@ def colour(*parts: Column) -> Column:
     return F.concat(F.lit("#"), *(byte(v) for v in (parts if len(parts) == 3 else parts * 3)))
 
 
-def _state(s: Column, **changed: Column) -> Column:
-    return F.struct(*[changed.get(n, s[n]).alias(n) for n in ("m", "fill", "stroke", "width", "dash")]).cast(STATE)
+#: Operands that an operator needs, whether it fills and whether it strokes.
+_NEED = {"cm": 6, "g": 1, "G": 1, "rg": 3, "RG": 3, "w": 1, "d": 2, "re": 4, "m": 2, "l": 2, "c": 6}
+_FILLS, _STROKES = frozenset(("f", "F", "f*", "B", "B*", "b", "b*")), frozenset(("S", "s", "B", "B*", "b", "b*"))
+_FIRST = ((1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "#000000", "#000000", 1.0, ())
+
+
+def _along(a, x, c, y, e=None):
+    """a * x + c * y, and e if given; null where a part is."""
+    try:
+        return a * x + c * y if e is None else a * x + c * y + e
+    except TypeError:
+        return None
+
+
+def _order(v: float) -> tuple[bool, float]:
+    return v != v, v
+
+
+def _ends(vs):
+    """Least and greatest, as SQL has them: nulls don't count, and what is no number is greatest."""
+    try:
+        if sum(vs) == sum(vs):
+            return min(vs), max(vs)
+    except TypeError:
+        pass
+    vs = [v for v in vs if v is not None]
+    return (min(vs, key=_order), max(vs, key=_order)) if vs else (None, None)
+
+
+def _byte(v) -> str:
+    return f"{math.floor(_ends((1.0, _ends((0.0, v))[1]))[0] * 255 + 0.5):02x}"
+
+
+def _colour(parts) -> str:
+    return "#" + ("".join(map(_byte, parts)) if len(parts) == 3 else _byte(parts[0]) * 3)
+
+
+def _times(m, n):
+    a, b, c, d, e, f = m
+    o, p, q, r, s, t = n
+    # A null last part makes the sum null too.
+    return _along(a, o, c, p), _along(b, o, d, p), _along(a, q, c, r), _along(b, q, d, r), None if e is None else _along(a, s, c, t, e), None if f is None else _along(b, s, d, t, f)
+
+
+def _moved(m, xy) -> list:
+    a, b, c, d, e, f = m
+    out = []
+    for x, y in zip(xy[::2], xy[1::2]):
+        out += (None if e is None else _along(a, x, c, y, e), None if f is None else _along(b, x, d, y, f))
+    return out
+
+
+def _moved_box(m, box) -> list:
+    x, y, w, h = box
+    right, top = (None if p is None or q is None else p + q for p, q in ((x, w), (y, h)))
+    p = _moved(m, (x, y, right, y, x, top, right, top))
+    (left, end), (low, high) = _ends(p[::2]), _ends(p[1::2])
+    return [left, low, None if left is None else end - left, None if low is None else high - low]
+
+
+def _scale(m) -> float:
+    a, b, c, d = m[:4]
+    root = lambda v: None if v is None else math.sqrt(v)
+    return _ends((root(_along(a, a, b, b)), root(_along(c, c, d, d)), LEAST_SCALE))[1]
+
+
+def _shown(size) -> bool:
+    return size is not None and not size < LEAST
+
+
+def _painted(numbers, names, args):
+    """What a page's operators paint, one after the other: number, kind, fill, stroke, width, dash, box, path."""
+    now, saved, boxes, path = _FIRST, [], [], []
+    for number, name, given in zip(numbers, names, args):
+        if name is None or len(given) < _NEED.get(name, 0):
+            continue
+        if name in ("m", "l"):
+            path.append((name, _moved(now[0], given[-2:])))
+        elif name == "re":
+            boxes.append(_moved_box(now[0], given[-4:]))
+        elif name == "c":
+            path.append((name, _moved(now[0], given[-6:])))
+        elif name == "h":
+            path.append((name, []))
+        elif name == "q":
+            saved.append(now)
+        elif name == "Q":
+            now = saved.pop() if saved else _FIRST
+        elif name == "cm":
+            now = (_times(now[0], given[-6:]), *now[1:])
+        elif name in ("g", "rg"):
+            now = (now[0], _colour(given[-_NEED[name] :]), *now[2:])
+        elif name in ("G", "RG"):
+            now = (*now[:2], _colour(given[-_NEED[name] :]), *now[3:])
+        elif name == "w":
+            now = (*now[:3], _ends((None if given[-1] is None else abs(given[-1]), LEAST_WIDTH))[1], now[4])
+        elif name == "d":
+            now = (*now[:4], [abs(v) for v in given[:-1] if v is not None and v != 0])
+        elif name == "n":
+            boxes, path = [], []
+        elif name in _FILLS or name in _STROKES:
+            strokes = name in _STROKES
+            if path and name in ("s", "b", "b*"):
+                path.append(("h", []))
+            style = now[1] if name in _FILLS else None, now[2] if strokes else None, now[3] * _scale(now[0]), now[4] if strokes else ()
+            for box in boxes:
+                if _shown(box[2]) and _shown(box[3]):
+                    yield number, "rectangle", *style, box, ()
+            if path:
+                yield number, "path", *style, (), path
+            boxes, path = [], []
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), values)
+
+
+def _numbers(lists: list) -> pa.Array:
+    return _lists([len(v) for v in lists], pa.array([*chain.from_iterable(lists)], pa.float64()))
+
+
+def _fold(operators: pa.Array) -> pa.Array:
+    """Pages' operators as flat columns, each page folded in their order, and what they paint as flat columns again."""
+    numbers, names, args = operators.flatten().flatten()
+    numbers, names, flat = numbers.to_pylist(), names.to_pylist(), args.flatten().to_pylist()
+    edges = [0, *np.cumsum(pc.fill_null(pc.list_value_length(args), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()]
+    sizes, out, at = [], [], 0
+    for n in pc.fill_null(pc.list_value_length(operators), 0).to_pylist():
+        before = len(out)
+        out.extend(_painted(numbers[at : at + n], names[at : at + n], (flat[edges[k] : edges[k + 1]] for k in range(at, at + n))))
+        sizes.append(len(out) - before)
+        at += n
+    number, kind, fill, stroke, width, dash, box, path = zip(*out, strict=True) if out else [()] * 8
+    commands = [*chain.from_iterable(path)]
+    drawn = pa.StructArray.from_arrays([pa.array([c[0] for c in commands], pa.string()), _numbers([c[1] for c in commands])], ["name", "xy"])
+    text, double = pa.string(), pa.float64()
+    columns = [pa.array(number, pa.int64()), pa.array(kind, text), pa.array(fill, text), pa.array(stroke, text), pa.array(width, double), _numbers(dash), _numbers(box), _lists([len(p) for p in path], drawn)]
+    return _lists(sizes, pa.StructArray.from_arrays(columns, ["number", "kind", "fill", "stroke", "width", "dash", "box", "path"]))
 
 
 def shapes(operators: Column) -> Column:
     """What a page's operators paint, in order: rectangles with their box, paths with their commands."""
-    none = lambda kind: F.expr(f"cast(array() as {kind})")
-    first = F.struct(F.array(*[F.lit(float(v)) for v in (1, 0, 0, 1, 0, 0)]).alias("m"), F.lit("#000000").alias("fill"), F.lit("#000000").alias("stroke"), F.lit(1.0).alias("width"), none("array<double>").alias("dash")).cast(STATE)
-    start = F.struct(first.alias("now"), none(f"array<{STATE}>").alias("saved"), none("array<array<double>>").alias("boxes"), none(COMMANDS).alias("path"), none(SHAPES).alias("out"))
-
-    def step(acc: Column, o: Column) -> Column:
-        now, name, args = acc["now"], o["name"], o["args"]
-        n = F.coalesce(F.size(args), F.lit(0))
-        # The last operands count.
-        arg = lambda k, of: F.get(args, n - of + k)
-        last = lambda of: F.slice(args, F.greatest(F.lit(1), n - of + 1), F.lit(of))
-        top = F.try_element_at(acc["saved"], F.lit(-1))
-        new = (
-            F.when(name == "Q", F.coalesce(top, first))
-            .when((name == "cm") & (n >= 6), _state(now, m=times(now["m"], last(6))))
-            .when((name == "g") & (n >= 1), _state(now, fill=colour(arg(0, 1))))
-            .when((name == "G") & (n >= 1), _state(now, stroke=colour(arg(0, 1))))
-            .when((name == "rg") & (n >= 3), _state(now, fill=colour(arg(0, 3), arg(1, 3), arg(2, 3))))
-            .when((name == "RG") & (n >= 3), _state(now, stroke=colour(arg(0, 3), arg(1, 3), arg(2, 3))))
-            .when((name == "w") & (n >= 1), _state(now, width=F.greatest(F.abs(arg(0, 1)), F.lit(LEAST_WIDTH))))
-            .when((name == "d") & (n >= 2), _state(now, dash=F.filter(F.transform(F.slice(args, F.lit(1), F.greatest(F.lit(0), n - 1)), F.abs), lambda v: v > 0)))
-            .otherwise(now)
-        )
-        saved = F.when(name == "q", F.array_append(acc["saved"], now)).when(name == "Q", F.slice(acc["saved"], F.lit(1), F.greatest(F.lit(0), F.size(acc["saved"]) - 1))).otherwise(acc["saved"])
-        fills, strokes = name.isin("f", "F", "f*", "B", "B*", "b", "b*"), name.isin("S", "s", "B", "B*", "b", "b*")
-        ends = fills | strokes | (name == "n")
-        need = F.when(name.isin("m", "l"), 2).when(name == "c", 6).when(name == "h", 0)
-        drawn = F.struct(name.alias("name"), F.when(name == "h", none("array<double>")).otherwise(moved(now["m"], F.when(name == "c", last(6)).otherwise(last(2)))).alias("xy"))
-        path = F.when(ends, none(COMMANDS)).when(need.isNotNull() & (n >= need), F.array_append(acc["path"], drawn)).otherwise(acc["path"]).cast(COMMANDS)
-        boxes = F.when(ends, none("array<array<double>>")).when((name == "re") & (n >= 4), F.array_append(acc["boxes"], moved_box(now["m"], last(4)))).otherwise(acc["boxes"])
-        fill, stroke, width = F.when(fills, now["fill"]), F.when(strokes, now["stroke"]), now["width"] * scale(now["m"])
-        closed = F.when(name.isin("s", "b", "b*") & (F.size(acc["path"]) > 0), F.array_append(acc["path"], F.struct(F.lit("h").alias("name"), none("array<double>").alias("xy")))).otherwise(acc["path"])
-        shape = lambda kind, box, path: F.struct(o["number"].alias("number"), F.lit(kind).alias("kind"), fill.alias("fill"), stroke.alias("stroke"), width.alias("width"), F.when(strokes, now["dash"]).otherwise(none("array<double>")).alias("dash"), box.alias("box"), path.alias("path"))
-        seen = F.filter(acc["boxes"], lambda b: (F.get(b, F.lit(2)) >= LEAST) & (F.get(b, F.lit(3)) >= LEAST))
-        rects = F.transform(seen, lambda b: shape("rectangle", b, none(COMMANDS))).cast(SHAPES)
-        lines = F.when(F.size(acc["path"]) > 0, F.array(shape("path", none("array<double>"), closed))).otherwise(none(SHAPES)).cast(SHAPES)
-        out = F.when(fills | strokes, F.concat(acc["out"], rects, lines)).otherwise(acc["out"])
-        return F.struct(new.alias("now"), saved.alias("saved"), boxes.alias("boxes"), path.alias("path"), out.alias("out"))
-
-    return F.aggregate(F.coalesce(operators.cast(OPERATORS), none(OPERATORS)), start, step, lambda acc: acc["out"])
+    return F.arrow_udf(_fold, SHAPES)(F.coalesce(operators.cast(OPERATORS), F.expr(f"cast(array() as {OPERATORS})")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ _OPERATORS = """filter(array(
 
 def operators(lineitem: DataFrame) -> DataFrame:
     """page, operators: all operators of each order, numbered in the order of its lines."""
-    rows = lineitem.where("l_orderkey is not null").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_quantity", "l_tax", "l_discount", F.expr(_OPERATORS).alias("ops")).alias("r"))
-    made = rows.groupBy("page").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["ops"])).alias("ops"))
+    rows = lineitem.where("l_orderkey is not null").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_quantity", "l_tax", "l_discount").alias("r"))
+    # Lines meet by their numbers; operators are made once they are in order.
+    made = rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("page", F.expr(f"flatten(transform(rs, r -> {re.sub(r'l_[a-z]+', r'r.\g<0>', _OPERATORS)}))").alias("ops"))
     return made.select("page", F.transform("ops", lambda o, k: F.struct(k.cast("bigint").alias("number"), o["name"].alias("name"), o["args"].alias("args"))).alias("operators"))
 
 

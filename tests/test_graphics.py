@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,24 @@ def test_parts_of_forms(spark):
     r = df.select(graphics.moved_box(F.col("m"), F.col("box")).alias("box"), graphics.moved_path(F.col("m"), F.col("path")).alias("path"), graphics.moved_segment(F.col("m"), F.lit(1.0), F.lit(2.0), F.lit(5.0), F.lit(4.0)).alias("segment"), graphics.scale(F.col("m")).alias("scale")).first()
     assert r.box == [-8.0, 22.0, 12.0, 6.0] and r.segment == [4.0, 22.0, 10.0, 12.0] and r.scale == 3.0
     assert [(c.name, c.xy) for c in r.path] == [("m", [4.0, 22.0]), ("c", [10.0, 20.0, 10.0, 22.0, 7.0, 20.0]), ("h", [])]
+
+
+def test_only_numbers_are_shuffled_and_long_pages_stay_linear(spark):
+    lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = painted.operators(lineitem)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "l_linenumber" in below and "name, re" not in below
+    # One page of 60,000 rectangles, each painted at once; copying what is painted takes minutes.
+    n = 60_000
+    ops = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.array(F.struct((2 * k).alias("number"), F.lit("re").alias("name"), F.array(k, F.lit(0), F.lit(5), F.lit(7)).alias("args")), F.struct((2 * k + 1).alias("number"), F.lit("f").alias("name"), F.array().alias("args")))))
+    began = time.time()
+    page = spark.range(1).select(graphics.shapes(ops).alias("s")).select(F.size("s").alias("n"), F.aggregate("s", F.lit(0.0), lambda t, s: t + F.get(s["box"], F.lit(0))).alias("x")).first()
+    assert (page.n, page.x) == (n, n * (n + 1) / 2) and time.time() - began < 30
+
+
+def test_null_operands(spark):
+    ops = [(0, "cm", [None, 0.0, 0.0, 1.0, 0.0, 3.0]), (1, "rg", [None, 1.0, 0.0]), (2, "w", [None]), (3, "re", [1.0, 2.0, 3.0, 4.0]), (4, "m", [1.0, 2.0]), (5, "b", []), None]
+    df = spark.createDataFrame([(ops,)], f"ops {graphics.OPERATORS}")
+    (s,) = df.select(graphics.shapes(F.col("ops")).alias("s")).first().s
+    # The box has no edges and isn't painted; the path keeps its commands.
+    assert (s.kind, s.fill, s.width, [(c.name, c.xy) for c in s.path]) == ("path", "#00ff00", 0.25, [("m", [None, None]), ("h", [])])
