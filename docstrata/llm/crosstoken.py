@@ -107,7 +107,7 @@ class Pair:
         a, b = self.a.encode_ordinary(" " + plain), self.b.encode(plain)
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
 
 
 @lru_cache(maxsize=1)
@@ -116,27 +116,34 @@ def tokenizers(folder: str) -> Pair:
     return Pair(folder)
 
 
-def cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
-    return np.intersect1d(a_ends, b_ends, assume_unique=True)
+def marked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places where a token ends, and what ends there: 1 for A, 2 for B, 3 for both, which is a cut."""
+    marks = np.zeros(int(a_ends[-1]) + 1, np.uint8)
+    marks[a_ends] = 1
+    marks[b_ends] += 2
+    ends = np.flatnonzero(marks)
+    return ends, marks[ends]
 
 
-def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the A and B tokens that overlap. All ends together cut the bytes into pieces, and a link is the piece that its tokens share."""
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    of_a, of_b = (kinds & 1).astype(np.int64), (kinds >> 1).astype(np.int64)
+    return np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
 
 
-def groups_text(pair: Pair, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> str:
+def groups_text(pair: Pair, a: np.ndarray, b: np.ndarray, kinds: np.ndarray) -> str:
     """``a1,a2|b1;a3|b2,b3``."""
-    of_a, of_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
-    n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+    cut = kinds == 3
+    before = np.cumsum(cut) - cut
+    cut_a, cut_b = cut[(kinds & 1) == 1], cut[kinds > 1]
     # Before a token stand its own side's earlier tokens and the other side's of earlier groups; A's of the same one too for B.
-    a_at = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[of_a]
-    b_at = np.arange(len(b)) + np.cumsum(n_a)[of_b]
+    a_stops, b_stops = np.flatnonzero(cut_a) + 1, np.concatenate(([0], np.flatnonzero(cut_b) + 1))
+    a_at = np.arange(len(a)) + b_stops[before[(kinds & 1) == 1]]
+    b_at = np.arange(len(b)) + a_stops[before[kinds > 1]]
     step = len(pair.shown) // 3
     codes = np.empty(len(a) + len(b), np.int64)
-    codes[a_at] = a + step * np.isin(a_ends, common, assume_unique=True)
-    codes[b_at] = b + 2 * step * np.isin(b_ends, common, assume_unique=True)
+    codes[a_at] = a + step * cut_a
+    codes[b_at] = b + 2 * step * cut_b
     return "".join(map(pair.shown.__getitem__, codes.tolist()))[:-1]
 
 
@@ -175,11 +182,10 @@ def _chunk(pair: Pair, texts: list[bytes], n_radix: int):
         if both is None:
             continue
         a, b = both
-        a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
-        common = cuts(a_ends, b_ends)
-        i, j = links(a_ends, b_ends)
-        numbers[d] = len(a), len(b), len(common), len(i)
-        hashes[d] = hashlib.sha256(groups_text(pair, a, b, a_ends, b_ends, common).encode()).hexdigest()
+        _, kinds = marked(np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]))
+        i, j = links(kinds)
+        numbers[d] = len(a), len(b), np.count_nonzero(kinds == 3), len(i)
+        hashes[d] = hashlib.sha256(groups_text(pair, a, b, kinds).encode()).hexdigest()
         found, times = np.unique((b[j] << A_BITS) | a[i], return_counts=True)
         keys.append((found, np.full(len(found), d), times))
     runs = []

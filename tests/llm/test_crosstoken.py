@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -106,3 +107,21 @@ def test_runs_round_trip():
         assert crosstoken.unpacked(crosstoken.packed(np.array(values, np.int64))).tolist() == values
     ascending = np.array([3, 9, 1 << 50])
     assert crosstoken.unpacked(crosstoken.packed(ascending, True), True).tolist() == ascending.tolist()
+
+
+def test_ends_links_and_groups_by_one_pass_over_the_bytes():
+    """What ends where, links and groups of random tokens against sets, without a sort of the ends."""
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        size = int(rng.integers(1, 40))
+        a_ends, b_ends = (np.array(sorted({*rng.integers(1, size + 1, rng.integers(0, size + 1)).tolist(), size})) for _ in range(2))
+        ends, kinds = crosstoken.marked(a_ends, b_ends)
+        assert ends.tolist() == sorted({*a_ends.tolist(), *b_ends.tolist()})
+        assert kinds.tolist() == [(e in a_ends) + 2 * (e in b_ends) for e in ends]
+        spans = lambda es: list(zip([0, *es[:-1].tolist()], es.tolist()))
+        want = [(i, j) for i, (lo, hi) in enumerate(spans(a_ends)) for j, (left, right) in enumerate(spans(b_ends)) if max(lo, left) < min(hi, right)]
+        assert list(zip(*(x.tolist() for x in crosstoken.links(kinds)))) == want
+        pair = SimpleNamespace(shown=[f"{i}{sign}" for sign in ",|;" for i in range(50)])
+        cut = sorted({*a_ends.tolist()} & {*b_ends.tolist()})
+        group = lambda es: [",".join(str(k) for k, e in enumerate(es.tolist()) if lo < e <= hi) for lo, hi in zip([0, *cut[:-1]], cut)]  # noqa: B023, E731
+        assert crosstoken.groups_text(pair, np.arange(len(a_ends)), np.arange(len(b_ends)), kinds) == ";".join(f"{x}|{y}" for x, y in zip(group(a_ends), group(b_ends)))
