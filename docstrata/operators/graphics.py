@@ -16,14 +16,13 @@ in the operators.
 from __future__ import annotations
 
 import math
-from itertools import chain
+from itertools import accumulate, chain
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docstrata.operators import flat
 from docstrata.operators.editor import let
 
 STATE = "struct<m:array<double>,fill:string,stroke:string,width:double,dash:array<double>>"
@@ -194,31 +193,27 @@ def _painted(numbers, names, args):
             boxes, path = [], []
 
 
-def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), values)
-
-
 def _numbers(lists: list) -> pa.Array:
-    return _lists([len(v) for v in lists], pa.array([*chain.from_iterable(lists)], pa.float64()))
+    return flat.lists([len(v) for v in lists], pa.array([*chain.from_iterable(lists)], pa.float64()))
 
 
 def _fold(operators: pa.Array) -> pa.Array:
     """Pages' operators as flat columns, each page folded in their order, and what they paint as flat columns again."""
     numbers, names, args = operators.flatten().flatten()
-    numbers, names, flat = numbers.to_pylist(), names.to_pylist(), args.flatten().to_pylist()
-    edges = [0, *np.cumsum(pc.fill_null(pc.list_value_length(args), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()]
+    numbers, names, values = numbers.to_pylist(), names.to_pylist(), args.flatten().to_pylist()
+    edges = [0, *accumulate(flat.sizes(args))]
     sizes, out, at = [], [], 0
-    for n in pc.fill_null(pc.list_value_length(operators), 0).to_pylist():
+    for n in flat.sizes(operators):
         before = len(out)
-        out.extend(_painted(numbers[at : at + n], names[at : at + n], (flat[edges[k] : edges[k + 1]] for k in range(at, at + n))))
+        out.extend(_painted(numbers[at : at + n], names[at : at + n], (values[edges[k] : edges[k + 1]] for k in range(at, at + n))))
         sizes.append(len(out) - before)
         at += n
     number, kind, fill, stroke, width, dash, box, path = zip(*out, strict=True) if out else [()] * 8
     commands = [*chain.from_iterable(path)]
     drawn = pa.StructArray.from_arrays([pa.array([c[0] for c in commands], pa.string()), _numbers([c[1] for c in commands])], ["name", "xy"])
     text, double = pa.string(), pa.float64()
-    columns = [pa.array(number, pa.int64()), pa.array(kind, text), pa.array(fill, text), pa.array(stroke, text), pa.array(width, double), _numbers(dash), _numbers(box), _lists([len(p) for p in path], drawn)]
-    return _lists(sizes, pa.StructArray.from_arrays(columns, ["number", "kind", "fill", "stroke", "width", "dash", "box", "path"]))
+    columns = [pa.array(number, pa.int64()), pa.array(kind, text), pa.array(fill, text), pa.array(stroke, text), pa.array(width, double), _numbers(dash), _numbers(box), flat.lists([len(p) for p in path], drawn)]
+    return flat.lists(sizes, pa.StructArray.from_arrays(columns, ["number", "kind", "fill", "stroke", "width", "dash", "box", "path"]))
 
 
 def shapes(operators: Column) -> Column:

@@ -1,6 +1,7 @@
 """Edit logs against a plain replay, on given tables and on random logs; rules at block borders."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,26 @@ def test_query_against_plain(spark, sf):
     assert both and set(got) == both
     for i in both:
         assert got[i] == [(k, n, "".join(c for c, _ in chars), sum(s for _, s in chars)) for k, n, chars in plain(pages[i], logs[i])]
+
+
+def test_runs_give_what_characters_give(spark):
+    """Blocks of runs against blocks of characters, signs beyond the basic plane too."""
+    rng = random.Random(9)
+    chars = [("a\U0001f600b", 0), ("cé", 3), ("x", 1)]
+    single = [(c, n) for run, n in chars for c in run]
+    logs = [[(rng.choice(["insert", "backspace", "delete", "split", "turn"]), rng.randint(0, 2), rng.randint(-1, 8), "y\U0001f600", "code", 1, 4) for _ in range(20)] for _ in range(40)]
+    rows = [([("paragraph", 0, chars), ("quote", 0, chars)], [("paragraph", 0, single), ("quote", 0, single)], log) for log in logs]
+    df = spark.createDataFrame(rows, f"runs {edits.BLOCKS}, blocks {edits.BLOCKS}, log {edits.LOG}")
+    for r in df.select("log", edits.replay_runs(F.col("runs"), F.col("log")).alias("a"), edits.replay(F.col("blocks"), F.col("log")).alias("b"), *[edits.path(F.col(c), F.lit(0), F.lit(k)).alias(f"{c}{k}") for c in ("runs", "blocks") for k in (0, 4)]).collect():
+        spread = lambda blocks: [(b.kind, b.level, [(c, x.style) for x in b.chars for c in x.ch]) for b in blocks]
+        assert spread(r.a) == spread(r.b) == plain(rows[0][1], [tuple(e) for e in r.log])
+        assert (r.runs0, r.runs4) == (r.blocks0, r.blocks4) == ("body > p", "body > p > strong > em")
+
+
+def test_long_text_and_log(spark):
+    """A log of 3,000 edits of a text of 500,000 characters; a copy of its characters for each edit takes minutes."""
+    log = [("insert", 0, k, "z", None, None, 1) for k in range(3000)]
+    df = spark.createDataFrame([([("paragraph", 0, [("a" * 500_000, 0)])], log)], f"blocks {edits.BLOCKS}, log {edits.LOG}")
+    began = time.time()
+    (b,) = df.select(edits.replay_runs(F.col("blocks"), F.col("log")).alias("b")).first().b
+    assert "".join(c.ch for c in b.chars) == "z" * 3000 + "a" * 500_000 and time.time() - began < 60
