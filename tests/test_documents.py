@@ -1,6 +1,7 @@
 """Readers, layout folds, rendering, comparison, conversion and streaming on small inputs."""
 
 import io
+import time
 import zipfile
 import zlib
 
@@ -208,3 +209,12 @@ def test_files_and_stream(spark, tmp_path):
     assert ingest.job_status(spark.read.parquet(out)).first().status == "partial"
     files.write_html(spark.read.parquet(out), str(tmp_path / "html"))
     assert spark.read.parquet(str(tmp_path / "html" / "html")).count() == 4
+
+
+def test_plain_signs_are_passed_at_once():
+    """Three million plain signs between marks; one step for each takes seconds."""
+    text = "word, and more. " * 187_500
+    began = time.process_time()
+    found = markdown.inlines(f"{text}*{text}*! \\ `c`{text}")
+    assert time.process_time() - began < 1
+    assert found == [("text", text, {}), ("emphasis", [("text", text, {})], {}), ("text", "! \\ ", {}), ("code", "c", {}), ("text", text, {})]
