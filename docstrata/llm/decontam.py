@@ -47,6 +47,9 @@ SLACK = 5
 SEGMENT_BYTES = 2 << 20
 #: Bytes of item text that are searched for at once; larger benchmarks go block after block.
 BLOCK_BYTES = 8 << 20
+#: How the index is written: its rows are megabytes long, so that a row group and a page are looked at after each row, not after each hundred, and no task has
+#: more than a few segments at once in the buffers of Parquet and its codec.
+STORED_AS = {"parquet.block.size": 8 * SEGMENT_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Blocks that one chain of filters holds before its rows are cut to the shared folder.
 CHAIN = 4
 #: Candidate places compared at once.
@@ -229,7 +232,7 @@ def index(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     at = stored_path(docs.sparkSession, "postings")
-    rows.mapInArrow(_segments, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, terms array<binary>, counts array<bigint>, positions binary").write.parquet(at)
+    rows.mapInArrow(_segments, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, terms array<binary>, counts array<bigint>, positions binary").write.options(**STORED_AS).parquet(at)
     return docs.sparkSession.read.parquet(at)
 
 
