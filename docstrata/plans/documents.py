@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import scalars
 from docstrata.functions.dialect import DUCK, SPARK
-from docstrata.operators import columns as repairs
-from docstrata.operators import compare, editor, layout, model, visual
+from docstrata.operators import compare, editor, flatpages, layout, model, visual
 from docstrata.plans import catalogue
 from docstrata.session import shared_folder, table
 from docstrata.sources import docx, htmldoc, markdown, pdf
@@ -130,16 +129,7 @@ def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of each document's page after column repair."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._dealt(spark, catalogue._spread(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line_no", "seq"])
-        made = [layout.Segment(t, x, y, f, w, seq=k) for k, (t, x, y, f, w) in enumerate(zip(page.text, page.x, page.y, page.font, page.width, strict=True))]
-        fixed = repairs.repair(scalars.PAGE_WIDTH, scalars.PAGE_HEIGHT, made)
-        return pd.DataFrame([(page.doc_id.iloc[0], s.seq, s.text, s.x, s.y, s.width) for s in fixed], columns=["doc_id", "seq", "text", "x", "y", "width"])
-
-    return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, seq bigint, text string, x double, y double, width double")
+    return flatpages.folded(table(spark, sf_dir, "documents"), True, lambda pages: flatpages.repaired(pages, scalars.PAGE_WIDTH, scalars.PAGE_HEIGHT), "doc_id bigint, seq bigint, text string, x double, y double, width double")
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
