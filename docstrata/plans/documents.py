@@ -134,14 +134,7 @@ def column_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a document grouped to lines by the fold: one group is one document's page."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._dealt(spark, catalogue._words(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        made = [layout.Segment(t, x, y, f, w, seq=int(s)) for t, x, y, f, w, s in zip(page.text, page.x, page.y, page.font, page.width, page.seq, strict=True)]
-        return pd.DataFrame([(page.doc_id.iloc[0], round(z.y, 3), z.text, len(z.cells)) for z in layout.text_lines(made)], columns=["doc_id", "y", "text", "n_cells"])
-
-    return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, y double, text string, n_cells bigint")
+    return flatpages.folded(table(spark, sf_dir, "documents"), False, flatpages.text_lines, "doc_id bigint, y double, text string, n_cells bigint")
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
