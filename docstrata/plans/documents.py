@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import scalars
 from docstrata.functions.dialect import DUCK, SPARK
-from docstrata.operators import compare, editor, flatpages, layout, model, visual
+from docstrata.operators import compare, editor, flatpages, model, visual
 from docstrata.plans import catalogue
 from docstrata.session import shared_folder, table
 from docstrata.sources import docx, htmldoc, markdown, pdf
@@ -139,18 +139,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of each document's page: those that a window of four lines shares (at: its first line), left edges that repeat, and runs of one visual line (at: their number)."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
-    words = spark.sql(catalogue._dealt(spark, catalogue._spread(SPARK, catalogue._DEALT).replace("@documents", "docstrata_documents")))
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line_no", "seq"])
-        made = [layout.Segment(t, x, y, f, w, seq=int(s)) for t, x, y, f, w, s in zip(page.text, page.x, page.y, page.font, page.width, page.seq, strict=True)]
-        lines = layout.text_lines(made)
-        rows = [("window", i, x) for i in range(len(lines) - 1) for x in layout.common_columns(lines[i : i + layout.TABLE_WINDOW])]
-        rows += [("repeated", i, x) for i, x in enumerate(layout.repeated_anchors(made))] + [("run", i, g[0].x) for i, g in enumerate(layout.visual_groups(made))]
-        return pd.DataFrame([(page.doc_id.iloc[0], *r) for r in rows], columns=["doc_id", "kind", "at", "x"])
-
-    return words.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, kind string, at bigint, x double")
+    return flatpages.folded(table(spark, sf_dir, "documents"), True, flatpages.shared_columns, "doc_id bigint, kind string, at bigint, x double")
 
 
 def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
