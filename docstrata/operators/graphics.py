@@ -16,9 +16,12 @@ in the operators.
 from __future__ import annotations
 
 import math
-from itertools import accumulate, chain
+from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,23 +200,178 @@ def _numbers(lists: list) -> pa.Array:
     return flat.lists([len(v) for v in lists], pa.array([*chain.from_iterable(lists)], pa.float64()))
 
 
-def _fold(operators: pa.Array) -> pa.Array:
-    """Pages' operators as flat columns, each page folded in their order, and what they paint as flat columns again."""
-    numbers, names, args = operators.flatten().flatten()
-    numbers, names, values = numbers.to_pylist(), names.to_pylist(), args.flatten().to_pylist()
-    edges = [0, *accumulate(flat.sizes(args))]
-    sizes, out, at = [], [], 0
-    for n in flat.sizes(operators):
-        before = len(out)
-        out.extend(_painted(numbers[at : at + n], names[at : at + n], (values[edges[k] : edges[k + 1]] for k in range(at, at + n))))
-        sizes.append(len(out) - before)
-        at += n
-    number, kind, fill, stroke, width, dash, box, path = zip(*out, strict=True) if out else [()] * 8
+def _alone(pages: list[tuple]) -> tuple[list[int], pa.Array]:
+    """Pages folded one by one, operand by operand: how many shapes each has, and their columns."""
+    made = [[*_painted(*page)] for page in pages]
+    number, kind, fill, stroke, width, dash, box, path = zip(*chain.from_iterable(made), strict=True) if any(made) else [()] * 8
     commands = [*chain.from_iterable(path)]
     drawn = pa.StructArray.from_arrays([pa.array([c[0] for c in commands], pa.string()), _numbers([c[1] for c in commands])], ["name", "xy"])
     text, double = pa.string(), pa.float64()
     columns = [pa.array(number, pa.int64()), pa.array(kind, text), pa.array(fill, text), pa.array(stroke, text), pa.array(width, double), _numbers(dash), _numbers(box), flat.lists([len(p) for p in path], drawn)]
-    return flat.lists(sizes, pa.StructArray.from_arrays(columns, ["number", "kind", "fill", "stroke", "width", "dash", "box", "path"]))
+    return [len(m) for m in made], pa.StructArray.from_arrays(columns, _SHAPE)
+
+
+_SHAPE = ["number", "kind", "fill", "stroke", "width", "dash", "box", "path"]
+#: Operators by what they do to a page: commands of a path, boxes, states, paints.
+_KINDS = {name: k for k, names in enumerate((("m",), ("l",), ("c",), ("h",), ("re",), ("q",), ("Q",), ("cm",), ("g", "rg"), ("G", "RG"), ("w",), ("d",), ("n",), tuple(_FILLS | _STROKES))) for name in names}
+_POINTS = np.array([1, 1, 3, 0])
+_HEX = pa.array([f"{k:02x}" for k in range(256)])
+
+
+def _in_force(kinds: list[int], lengths: list[int]):
+    """One pass over pages' operators, in their order, without their numbers: which matrix is in force at each operator (the operator that made it, -1 for the first one), matrices by how many others they stand on,
+    and shapes as (paint, box or -1, first and last command, and the operators that made its fill, stroke, width and dash)."""
+    matrix, levels, level, shapes = [-1] * len(kinds), [], {-1: -1}, []
+    commands = at = 0
+    for n in lengths:
+        m = fill = stroke = width = dash = -1
+        saved, boxes, first = [], [], commands
+        for i, kind in enumerate(kinds[at : at + n], at):
+            if kind < 0:
+                continue
+            matrix[i] = m
+            if kind == 13:
+                state = fill, stroke, width, dash
+                shapes += [(i, box, 0, 0, *state) for box in boxes]
+                if commands > first:
+                    shapes.append((i, -1, first, commands, *state))
+                boxes, first = [], commands
+            elif kind < 4:
+                commands += 1
+            elif kind == 4:
+                boxes.append(i)
+            elif kind == 8:
+                fill = i
+            elif kind == 9:
+                stroke = i
+            elif kind == 10:
+                width = i
+            elif kind == 5:
+                saved.append((m, fill, stroke, width, dash))
+            elif kind == 6:
+                m, fill, stroke, width, dash = saved.pop() if saved else (-1,) * 5
+            elif kind == 7:
+                level[i] = level[m] + 1
+                if level[i] == len(levels):
+                    levels.append([])
+                levels[level[i]].append(i)
+                m = i
+            elif kind == 11:
+                dash = i
+            else:
+                boxes, first = [], commands
+        at += n
+    return np.array(matrix, np.int64), levels, np.array(shapes, np.int64).reshape(-1, 8).T
+
+
+def _inside(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts and have sizes, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _first(vs, better):
+    """The least or greatest of columns; of equal ones the first."""
+    return reduce(lambda a, b: np.where(better(b, a), b, a), vs)
+
+
+def _fold(operators: pa.Array) -> pa.Array:
+    """Pages' operators as flat columns, and what they paint as flat columns again. What is in force where is told by a loop without numbers; numbers are worked out for all operators at once. Pages with numbers that are null or too large are folded alone."""
+    numbers, names, args = operators.flatten().flatten()
+    lengths, sizes, values = np.array(flat.sizes(operators), np.int64), np.array(flat.sizes(args), np.int64), args.flatten()
+    page, ends = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(sizes)
+    given = values.to_numpy(zero_copy_only=False).astype(float)
+    encoded = names.dictionary_encode()
+    known = encoded.dictionary.to_pylist()
+    code = pc.fill_null(encoded.indices, len(known)).to_numpy(zero_copy_only=False)
+    kind = np.array([_KINDS.get(name, -1) for name in known] + [-1])[code]
+    kind[sizes < np.array([_NEED.get(name, 0) for name in known] + [0])[code]] = -1
+    is_ = lambda test: np.array([test(name) for name in known] + [False], bool)[code]
+    matrix, levels, (paint, box, low, high, fill, stroke, width, dash) = _in_force(kind.tolist(), lengths.tolist())
+    odd = np.zeros(len(lengths), bool)
+    odd[page[np.repeat(np.arange(len(sizes)), sizes)[~np.isfinite(given)]]] = True
+
+    def operands(ops: np.ndarray, n: int) -> list[np.ndarray]:
+        """The last n operands of operators."""
+        return [given[ends[ops] - n + k] for k in range(n)]
+
+    with np.errstate(all="ignore"):
+        # The last row is the matrix before any.
+        m = np.zeros((6, len(sizes) + 1))
+        m[:, -1] = _FIRST[0]
+        for ops in levels:
+            ops = np.array(ops)
+            m[:, ops] = _times(m[:, matrix[ops]], operands(ops, 6))
+        odd[page[~np.isfinite(m[:, :-1]).all(axis=0)]] = True
+
+        command = np.flatnonzero((kind >= 0) & (kind < 4))
+        points = _POINTS[kind[command]]
+        of = np.repeat(command, points)
+        a, b, c, d, e, f = m[:, matrix[of]]
+        at = _inside(ends[command] - 2 * points, 2 * points)
+        x, y = given[at[::2]], given[at[1::2]]
+        xy = np.stack((a * x + c * y + e, b * x + d * y + f), axis=1)
+        odd[page[of[~np.isfinite(xy).all(axis=1)]]] = True
+
+        x, y, w, h = operands(boxed := box[box >= 0], 4)
+        right, top = x + w, y + h
+        corners = _moved(m[:, matrix[boxed]], (x, y, right, y, x, top, right, top))
+        left, bottom = (_first(corners[k::2], np.less) for k in (0, 1))
+        boxes = np.full((len(box), 4), 0.0)
+        boxes[box >= 0] = np.stack((left, bottom, _first(corners[::2], np.greater) - left, _first(corners[1::2], np.greater) - bottom), axis=1)
+        odd[page[paint[~np.isfinite(boxes).all(axis=1)]]] = True
+
+        a, b, c, d = m[:4, matrix[paint]]
+        line = np.ones(len(sizes) + 1)
+        ops = np.flatnonzero(kind == 10)
+        line[ops] = _first((np.abs(given[ends[ops] - 1]), LEAST_WIDTH), np.greater)
+        wide = line[width] * _first((np.sqrt(a * a + b * b), np.sqrt(c * c + d * d), LEAST_SCALE), np.greater)
+        odd[page[paint[~np.isfinite(wide)]]] = True
+
+    colours, ops = [pa.array(["#000000"])], np.flatnonzero((kind == 8) | (kind == 9))
+    place = np.zeros(len(sizes) + 1, np.int64)
+    for several in (False, True):
+        own = ops[is_(lambda name: name in ("rg", "RG"))[ops] == several]
+        place[own] = sum(map(len, colours)) + np.arange(len(own))
+        with np.errstate(all="ignore"):
+            shown = [_HEX.take(pa.array(np.floor(_first((1.0, _first((0.0, np.where(np.isfinite(v), v, 0.0)), np.greater)), np.less) * 255 + 0.5).astype(np.int64))) for v in operands(own, 3 if several else 1)]
+        colours.append(pc.binary_join_element_wise("#", *(shown if several else shown * 3), ""))
+    colours = pa.concat_arrays(colours)
+
+    kept = np.flatnonzero(~odd[page[paint]] & ((box < 0) | ~((boxes[:, 2] < LEAST) | (boxes[:, 3] < LEAST))))
+    paint, box, low, high, fill, stroke, width, dash, boxes, wide = (v[kept] for v in (paint, box, low, high, fill, stroke, width, dash, boxes, wide))
+    fills, strokes, closes = is_(_FILLS.__contains__)[paint], is_(_STROKES.__contains__)[paint], is_({"s", "b", "b*"}.__contains__)[paint]
+    # Dashes without those of nothing, the last operand is where they begin; the row after the last operator has none.
+    ops = np.flatnonzero(kind == 11)
+    at = _inside(ends[ops] - sizes[ops], sizes[ops] - 1)
+    dashed = given[at] != 0
+    dashes = np.abs(given[at[dashed]])
+    count = np.zeros(len(sizes) + 1, np.int64)
+    count[ops] = np.bincount(np.repeat(np.arange(len(ops)), sizes[ops] - 1)[dashed], minlength=len(ops))
+    first = np.cumsum(count) - count
+    n_dash = np.where(strokes, count[dash], 0)
+    # Commands of each path, and one more where it is closed.
+    last, closed = len(command), closes & (box < 0)
+    n = high - low + closed
+    at = _inside(low, n)
+    at[np.cumsum(n)[closed] - 1] = last
+    points = np.append(points, 0)
+    start = np.cumsum(points) - points
+    coordinates = flat.lists((2 * points[at]).tolist(), pa.array(xy[_inside(start[at], points[at])].ravel()))
+    drawn = pa.StructArray.from_arrays([pa.concat_arrays([names.take(pa.array(command)), pa.array(["h"])]).take(pa.array(at)), coordinates], ["name", "xy"])
+    columns = [
+        numbers.take(pa.array(paint)), pa.array(["rectangle", "path"]).take(pa.array((box < 0).astype(np.int64))), colours.take(pa.array(place[fill], mask=~fills)), colours.take(pa.array(place[stroke], mask=~strokes)), pa.array(wide),
+        flat.lists(n_dash.tolist(), pa.array(dashes[_inside(first[dash], n_dash)])), flat.lists(np.where(box >= 0, 4, 0).tolist(), pa.array(boxes[box >= 0].ravel())), flat.lists(n.tolist(), drawn),
+    ]
+    made, counts = pa.StructArray.from_arrays(columns, _SHAPE), np.bincount(page[paint], minlength=len(lengths))
+    if odd.any():
+        edges, which = np.concatenate(([0], np.cumsum(lengths))), np.flatnonzero(odd)
+        lists = args.to_pylist() if odd.all() else None
+        slices = [slice(edges[k], edges[k + 1]) for k in which]
+        found, others = _alone([(numbers[k].to_pylist(), names[k].to_pylist(), [v or [] for v in (lists[k] if lists else args[k].to_pylist())]) for k in slices])
+        order = np.argsort(np.concatenate((np.repeat(np.arange(len(lengths)), counts), np.repeat(which, found))), kind="stable")
+        counts[which] = found
+        made = pa.concat_arrays([made, others]).take(pa.array(order))
+    return flat.lists(counts.tolist(), made)
 
 
 def shapes(operators: Column) -> Column:
