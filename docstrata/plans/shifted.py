@@ -7,10 +7,15 @@ that walks rows with windows where the plan keeps a line's words in one array.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from docstrata.functions import scalars as f
 from docstrata.functions import shifted as s
 from docstrata.functions.dialect import SPARK
-from docstrata.plans.catalogue import _lines, _register
+from docstrata.functions.shifted_words import repairing
+from docstrata.plans.catalogue import QUERIES, _lines, _register
+from docstrata.session import table
 
 
 def _off(d, w: str, i: str) -> str:
@@ -35,7 +40,19 @@ def _words(d) -> str:
     return f"SELECT doc_id, line_no, i - 1 AS seq, ws[i] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM ({_broken(d)}))"
 
 
-_register("f14_f15_f17_f18_f20_shifted_words", lambda d: f"SELECT doc_id, line_no, seq, r.rule, r.fixed FROM (SELECT doc_id, line_no, seq, {s.rule_and_word(d, 'w')} AS r FROM ({_words(d)}) b) f" if d is SPARK else f"SELECT doc_id, line_no, seq, CAST({s.rule(d, 'w')} AS BIGINT) AS rule, {s.word(d, 'w')} AS fixed FROM ({_words(d)}) b")
+def _spark(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("docstrata_documents")
+    return spark.sql(text.replace("@documents", "docstrata_documents").replace("VARCHAR(12)", "STRING"))
+
+
+def shifted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's rule and repair; a batch of lines repairs each of its words once."""
+    found = F.arrow_udf(repairing(True), "array<struct<rule:bigint,fixed:string>>")("ws")
+    return _spark(spark, sf_dir, _broken(SPARK)).select("doc_id", "line_no", F.posexplode(found).alias("pos", "r")).selectExpr("doc_id", "line_no", "CAST(pos AS BIGINT) AS seq", "r.rule", "r.fixed")
+
+
+_register("f14_f15_f17_f18_f20_shifted_words", lambda d: f"SELECT doc_id, line_no, seq, CAST({s.rule(d, 'w')} AS BIGINT) AS rule, {s.word(d, 'w')} AS fixed FROM ({_words(d)}) b")
+QUERIES["f14_f15_f17_f18_f20_shifted_words"] = shifted_words
 _register("f25_structural_markers", lambda d: f"SELECT doc_id, line_no, {s.markers(d, 'x')} AS fixed FROM (SELECT doc_id, line_no, concat(CASE line_no % 2 WHEN 0 THEN 'E' ELSE 'Œ' END, translate(CAST(length(line) AS VARCHAR(12)), '0123456789', 'MNOPQRSTUV'), CASE line_no % 2 WHEN 0 THEN 'F ' ELSE 'Œ ' END, line, CASE line_no % 3 WHEN 0 THEN ' ... NO' ELSE '' END) AS x FROM ({_lines(d)}) l) b")
 _register("f03_file_strings", lambda d: f"SELECT doc_id, line_no, {s.text(d, 'x')} AS fixed FROM (SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN line WHEN 1 THEN translate(translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), {d.text(f.UNSHIFTED)}, {d.text(f.SHIFTED)}) ELSE translate(line, {d.text(f.UNSHIFTED + ' ')}, {d.text(f.SHIFTED + ' ')}) END AS x FROM ({_lines(d)}) l) b")
 
@@ -54,10 +71,9 @@ def _opened(d) -> str:
     return f"CASE WHEN {d.like('x', '(?:^| )E(?: |$)')} AND {s.opens(d, 'x', 'ws')} THEN array_join(transform(ws, (w, i) -> CASE WHEN w = 'E' AND i > 0 AND {d.like(_at('i - 1'), r'\p{L}')} AND {d.like(_at('i + 1'), r'^[^\p{L}]*\p{Lu}')} THEN '(' ELSE w END), ' ') ELSE x END"
 
 
-def _spark_lines(d) -> str:
-    """All eleven steps in one row, without a shuffle: the words of a line in an array, its consuming pairs told by a pattern over their flags."""
+def _spark_lines(d, repaired: str = "") -> str:
+    """All eleven steps in one row, without a shuffle: the words of a line in an array, its consuming pairs told by a pattern over their flags. ``repaired`` names rows whose words are repaired already."""
     steps: list[tuple[str, str]] = [
-        ("ws", f"transform(filter(split({f.squeeze(d, s.markers(d, 'x'))}, ' '), w -> w <> ''), w -> {s.word(d, 'w')})"),
         ("two", f"transform(ws, (w, i) -> CASE WHEN i + 1 < size(ws) THEN {s.fiscal_two(d, 'w', _at('i + 1'))} END)"),
         ("flags", "split(regexp_replace(array_join(transform(two, t -> CASE WHEN t IS NULL THEN '-' ELSE 'x' END), ''), 'x.', 'TS'), '')"),
         ("ws", f"filter(transform(ws, (w, i) -> CASE get(flags, i) WHEN 'T' THEN get(two, i) WHEN 'S' THEN null ELSE coalesce({s.fiscal_one(d, 'w')}, w) END), w -> w IS NOT NULL)"),
@@ -67,7 +83,7 @@ def _spark_lines(d) -> str:
         ("x", _opened(d)),
         ("x", s.spaces(d, "x")),
     ]
-    out, have = f"SELECT doc_id, line_no, array_join(ws, ' ') AS x FROM ({_broken(d)}) b0", ["x"]
+    out, have = repaired or f"SELECT doc_id, line_no, transform(ws, w -> {s.word(d, 'w')}) AS ws FROM ({_marked_words(d)}) m", ["ws"]
     for k, (name, expression) in enumerate(steps, 1):
         kept = [c for c in have if c != name]
         out = f"SELECT doc_id, line_no{''.join(f', {c}' for c in kept)}, {expression} AS {name} FROM ({out}) b{k}"
@@ -75,6 +91,11 @@ def _spark_lines(d) -> str:
     return f"SELECT doc_id, line_no, x AS fixed FROM ({out}) b"
 
 
+def _marked_words(d) -> str:
+    """The words of each broken line after the step before their repair."""
+    return f"SELECT doc_id, line_no, filter(split({f.squeeze(d, s.markers(d, 'x'))}, ' '), w -> w <> '') AS ws FROM (SELECT doc_id, line_no, array_join(ws, ' ') AS x FROM ({_broken(d)}) b0) j"
+
+
 def _duck_lines(d) -> str:
     """The same by rows: a word's pair is taken if an even number of pairs in a row end before it."""
     return f"""WITH a AS (SELECT doc_id, line_no, {f.squeeze(d, s.markers(d, "array_to_string(ws, ' ')"))} AS x FROM ({_broken(d)})),
