@@ -96,6 +96,13 @@ def _marked_words(d) -> str:
     return f"SELECT doc_id, line_no, filter(split({f.squeeze(d, s.markers(d, 'x'))}, ' '), w -> w <> '') AS ws FROM (SELECT doc_id, line_no, array_join(ws, ' ') AS x FROM ({_broken(d)}) b0) j"
 
 
+def shifted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of every line; a batch of lines repairs each of its words once."""
+    words = _spark(spark, sf_dir, _marked_words(SPARK))
+    words.withColumn("ws", F.arrow_udf(repairing(False), "array<string>")("ws")).createOrReplaceTempView("docstrata_repaired_words")
+    return spark.sql(_spark_lines(SPARK, "SELECT * FROM docstrata_repaired_words"))
+
+
 def _duck_lines(d) -> str:
     """The same by rows: a word's pair is taken if an even number of pairs in a row end before it."""
     return f"""WITH a AS (SELECT doc_id, line_no, {f.squeeze(d, s.markers(d, "array_to_string(ws, ' ')"))} AS x FROM ({_broken(d)})),
@@ -116,7 +123,8 @@ def _duck_lines(d) -> str:
     SELECT doc_id, line_no, {s.spaces(d, f"CASE WHEN {s.opens(d, 'x', "string_split(x, ' ')")} THEN opened ELSE x END")} AS fixed FROM e"""
 
 
-_register("f04_w15_w16_w17_shifted_lines", lambda d: _spark_lines(d) if d is SPARK else _duck_lines(d))
+_register("f04_w15_w16_w17_shifted_lines", _duck_lines)
+QUERIES["f04_w15_w16_w17_shifted_lines"] = shifted_lines
 
 
 def _connectors(d) -> str:
