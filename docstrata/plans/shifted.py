@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import scalars as f
 from docstrata.functions import shifted as s
 from docstrata.functions.dialect import SPARK
-from docstrata.functions.shifted_words import repairing
+from docstrata.functions.shifted_words import repairing, repairing_lines
 from docstrata.plans.catalogue import QUERIES, _lines, _register
 from docstrata.session import table
 
@@ -47,7 +47,7 @@ def _spark(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def shifted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word's rule and repair; a batch of lines repairs each of its words once."""
-    found = F.arrow_udf(repairing(True), "array<struct<rule:bigint,fixed:string>>")("ws")
+    found = F.arrow_udf(repairing(), "array<struct<rule:bigint,fixed:string>>")("ws")
     return _spark(spark, sf_dir, _broken(SPARK)).select("doc_id", "line_no", F.posexplode(found).alias("pos", "r")).selectExpr("doc_id", "line_no", "CAST(pos AS BIGINT) AS seq", "r.rule", "r.fixed")
 
 
@@ -71,8 +71,8 @@ def _opened(d) -> str:
     return f"CASE WHEN {d.like('x', '(?:^| )E(?: |$)')} AND {s.opens(d, 'x', 'ws')} THEN array_join(transform(ws, (w, i) -> CASE WHEN w = 'E' AND i > 0 AND {d.like(_at('i - 1'), r'\p{L}')} AND {d.like(_at('i + 1'), r'^[^\p{L}]*\p{Lu}')} THEN '(' ELSE w END), ' ') ELSE x END"
 
 
-def _spark_lines(d, repaired: str = "") -> str:
-    """All eleven steps in one row, without a shuffle: the words of a line in an array, its consuming pairs told by a pattern over their flags. ``repaired`` names rows whose words are repaired already."""
+def _spark_lines(d, joined: str = "") -> str:
+    """All eleven steps in one row, without a shuffle: the words of a line in an array, its consuming pairs told by a pattern over their flags. ``joined`` names rows (doc_id, line_no, x) that are past the joins already."""
     steps: list[tuple[str, str]] = [
         ("two", f"transform(ws, (w, i) -> CASE WHEN i + 1 < size(ws) THEN {s.fiscal_two(d, 'w', _at('i + 1'))} END)"),
         ("flags", "split(regexp_replace(array_join(transform(two, t -> CASE WHEN t IS NULL THEN '-' ELSE 'x' END), ''), 'x.', 'TS'), '')"),
@@ -83,7 +83,9 @@ def _spark_lines(d, repaired: str = "") -> str:
         ("x", _opened(d)),
         ("x", s.spaces(d, "x")),
     ]
-    out, have = repaired or f"SELECT doc_id, line_no, transform(ws, w -> {s.word(d, 'w')}) AS ws FROM ({_marked_words(d)}) m", ["ws"]
+    out, have = f"SELECT doc_id, line_no, transform(ws, w -> {s.word(d, 'w')}) AS ws FROM ({_marked_words(d)}) m", ["ws"]
+    if joined:
+        out, have, steps = f"SELECT doc_id, line_no, x FROM {joined}", ["x"], steps[5:]
     for k, (name, expression) in enumerate(steps, 1):
         kept = [c for c in have if c != name]
         out = f"SELECT doc_id, line_no{''.join(f', {c}' for c in kept)}, {expression} AS {name} FROM ({out}) b{k}"
@@ -97,10 +99,10 @@ def _marked_words(d) -> str:
 
 
 def shifted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps of every line; a batch of lines repairs each of its words once."""
+    """All steps of every line; a batch of lines repairs each of its words once and joins what is split."""
     words = _spark(spark, sf_dir, _marked_words(SPARK))
-    words.withColumn("ws", F.arrow_udf(repairing(False), "array<string>")("ws")).createOrReplaceTempView("docstrata_repaired_words")
-    return spark.sql(_spark_lines(SPARK, "SELECT * FROM docstrata_repaired_words"))
+    words.select("doc_id", "line_no", F.arrow_udf(repairing_lines(), "string")("ws").alias("x")).createOrReplaceTempView("docstrata_joined_lines")
+    return spark.sql(_spark_lines(SPARK, "docstrata_joined_lines"))
 
 
 def _duck_lines(d) -> str:

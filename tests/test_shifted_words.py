@@ -8,6 +8,7 @@ from docstrata.functions import scalars as f
 from docstrata.functions import shifted as s
 from docstrata.functions import shifted_words
 from docstrata.functions.dialect import SPARK
+from docstrata.plans import shifted
 from tests.test_shifted import WORDS
 
 DOWN = str.maketrans(f.UNSHIFTED, f.SHIFTED)
@@ -32,7 +33,7 @@ def test_lists_and_nulls(monkeypatch):
     given = pa.array([["WKLV", None, "Q4"], None, [], ["Q4", "WKLV", "WKLV"]], pa.list_(pa.string()))
     asked = []
     monkeypatch.setattr(shifted_words, "repaired", lambda w, plain=shifted_words.repaired: (asked.append(w), plain(w))[1])
-    run = shifted_words.repairing(True)
+    run = shifted_words.repairing()
     this, quarter, none = ({"rule": k, "fixed": w} for k, w in (*map(shifted_words.repaired, ("WKLV", "Q4")), (0, None)))
     asked.clear()
     assert run(given).to_pylist() == [[this, none, quarter], None, [], [quarter, this, this]]
@@ -40,4 +41,20 @@ def test_lists_and_nulls(monkeypatch):
     # A word that was met is not asked again; what is remembered is bounded and changes nothing.
     assert run(given.slice(3)).to_pylist() == [[quarter, this, this]] and len(asked) == 2
     monkeypatch.setattr(shifted_words, "KNOWN", 1)
-    assert shifted_words.repairing(False)(given).to_pylist() == [[this["fixed"], None, "Q4"], None, [], ["Q4", this["fixed"], this["fixed"]]]
+    assert shifted_words.repairing()(given).to_pylist() == [[this, none, quarter], None, [], [quarter, this, this]]
+    assert shifted_words.repairing_lines()(given).to_pylist() == [f"{this['fixed']} Q4", None, "", f"Q4 {this['fixed']} {this['fixed']}"]
+
+
+def test_lines_are_those_of_the_sql(spark):
+    """Fiscal periods, ampersands and joins of words that are repaired already, in one function and step by step."""
+    r = random.Random(9)
+    pool = ["OMOQe", "OMOQeN", "N", "O", "e", "eN", "eO", "eNEnNHnO", "F", "e1(", "C", "A1", "B22", "a", "top-", "down", "D", "igital", "elementsand", "level", "D,", "returns", "™s", "user™s", "é", "--", "(OMOQ", "eN)", "0", "-", "200", "byor", "Word."]
+    given = [[r.choice(pool) for _ in range(r.randrange(1, 12))] for _ in range(4000)] + [[], ["C"], ["e"]]
+    d, at = SPARK, lambda i: f"coalesce(get(ws, {i}), '')"
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, ws array<string>")
+    rows = rows.selectExpr("k", "ws", f"transform(ws, (w, i) -> CASE WHEN i + 1 < size(ws) THEN {s.fiscal_two(d, 'w', at('i + 1'))} END) AS two").selectExpr("k", "ws", "two", "split(regexp_replace(array_join(transform(two, t -> CASE WHEN t IS NULL THEN '-' ELSE 'x' END), ''), 'x.', 'TS'), '') AS flags")
+    rows = rows.selectExpr("k", f"filter(transform(ws, (w, i) -> CASE get(flags, i) WHEN 'T' THEN get(two, i) WHEN 'S' THEN null ELSE coalesce({s.fiscal_one(d, 'w')}, w) END), w -> w IS NOT NULL) AS ws")
+    want = {x.k: x.x for x in rows.selectExpr("k", f"{shifted._connected(d)} AS x").selectExpr("k", f"{s.joins(d, 'x')} AS x").collect()}
+    got = {k: shifted_words.line(ws) for k, ws in enumerate(given)}
+    assert got == want
+    assert sum(x != " ".join(ws) for x, ws in zip(got.values(), given, strict=True)) > 1000
